@@ -13,7 +13,8 @@ NOW = "2024-01-31 12:00:00"
 
 FEEDS = """
 select cast(feed_id as bigint) as feed_id,
- concat('https://',source,'.example/feed') as feed_url,
+ case when feed_id%10=1 then concat('https://www.youtube.com/feeds/videos.xml?channel_id=UC', source)
+  else concat('https://',source,'.example/feed') end as feed_url,
  case when feed_id%4=0 then null else concat('https://',source,'.example') end as site_url,
  case when feed_id%7=0 then '' else concat('Source ',cast(feed_id as string)) end as title,
  case feed_id%5 when 0 then null when 1 then 'News' when 2 then 'Tech' when 3 then 'Science' else 'news' end as folder,
@@ -21,7 +22,11 @@ select cast(feed_id as bigint) as feed_id,
  case when feed_id%6=0 then 'HTTP 403' end as last_error,
  case when feed_id%6=0 then feed_id%9 else 0 end as error_count,
  case when feed_id%6=1 then null
-  else cast('2024-01-31 00:00:00' as timestamp) - (feed_id*47) * interval '1' minute end as last_polled_at
+  else cast('2024-01-31 00:00:00' as timestamp) - (feed_id*47) * interval '1' minute end as last_polled_at,
+ case when feed_id%2=0 then concat('W/"f',cast(feed_id as string),'"') end as etag,
+ case when feed_id%3=0 then 'Mon, 01 Jan 2024 00:00:00 GMT' end as last_modified,
+ case when feed_id%3=2 then 'scrape' else 'feed' end as kind,
+ case when feed_id%3=2 then (feed_id%4)*30+2 end as last_item_count
 from (select distinct cast(substring(source,4) as int)+1 as feed_id, source from {documents}
       union all select 21,'src20' union all select 22,'src21') t
 """
@@ -63,7 +68,7 @@ ACTIONS = """
 select event_id as action_id, ts, event_id % (select count(*) from {documents}) + 1 as item_id,
  user_id % 20 + 1 as feed_id,
  case event_type when 'click' then 'open' when 'view' then 'mark-read' when 'signup' then 'star'
-   when 'purchase' then 'mark-read' else 'mark-all' end as do,
+   when 'purchase' then 'mark-read' else 'mark-all' end as act,
  case when event_type='purchase' then 0 else 1 end as state from {events}
 """
 
@@ -82,15 +87,57 @@ select doc_id+1 as fetch_id, cast(cast(substring(source,4) as int)+1 as bigint)
    when 3 then 'application/json' when 4 then 'text/xml' when 5 then 'text/plain' else 'application/atom+xml' end
    as content_type,
  case doc_id%5 when 0 then concat('<?xml version="1.0"?>', text) when 1 then concat('  <RSS version="2.0">', text)
-   when 2 then concat('{"items":[]}', text) when 3 then concat(' <feedback>', text) else text end as body,
+   when 2 then concat(chr(123), '"items":[]', chr(125), text) when 3 then concat(' <feedback>', text) else text end as body,
  concat('W/"', cast(doc_id as string), '"') as etag,
  case when doc_id%2=0 then 'Mon, 01 Jan 2024 00:00:00 GMT' end as last_modified,
  case when doc_id%3=0 then 'W/"old"' end as sent_etag
 from {documents}
 """
 
+# The last poll of every feed, with what it brought.
+OUTCOMES = """
+select feed_id, max_by(status, poll_id) as status,
+ case when max_by(status, poll_id)='error' then concat('HTTP ', cast(max_by(n_items, poll_id) % 200 + 400 as string))
+  end as error,
+ concat('W/"', cast(max(poll_id) as string), '"') as etag, cast(null as string) as last_modified,
+ case when feed_id%2=1 then concat('Fetched ', cast(feed_id as string)) end as feed_title,
+ concat('https://site', cast(feed_id as string), '.example') as site_url, max_by(n_items, poll_id) as n_items
+from (""" + POLLS + """) p group by feed_id
+"""
+
+# Folder moves and renames by feed; a third of them retitle as well.
+EDITS = """
+select event_id as action_id, user_id % 20 + 1 as feed_id,
+ case when event_type in ('signup','click') then 'update-feed' else 'set-folder' end as act,
+ concat('Renamed ', cast(event_id as string)) as title,
+ case event_type when 'view' then null when 'error' then 'Errors' else concat('F', cast(event_id%7 as string)) end
+  as folder
+from {events}
+"""
+
+# Subscription requests: one per page, many for the same address.
+REQUESTS = """
+select page_id as request_id, concat('https://src', cast(page_id%40 as string), '.example/feed') as feed_url,
+ concat('https://src', cast(page_id%40 as string), '.example') as site_url,
+ case when page_id%3=0 then '' else concat('Site ', cast(page_id%40 as string), ' by ', url) end as title,
+ case when page_id%4=0 then 'News' when page_id%4=1 then '' end as folder
+from {pages}
+"""
+
+# Landed pages: a spread of statuses, types and announced sizes.
+PAGE_FETCHES = """
+select page_id, url, html as body, case page_id%11 when 0 then 304 when 1 then 404 when 2 then null else 200 end as status,
+ case when page_id%11=2 then 'reset' end as network_error,
+ case page_id%5 when 0 then 'text/html; charset=utf-8' when 1 then '' when 2 then 'application/json'
+  when 3 then 'text/plain' else 'application/xhtml+xml' end as content_type,
+ case when page_id%17=5 then cast(9000000 as bigint) else cast(length(html) as bigint) end as content_length,
+ concat('W/"', cast(page_id as string), '"') as etag, cast(null as string) as last_modified
+from {pages}
+"""
+
 VIEWS = {"feeds": FEEDS, "items": ITEMS, "polls": POLLS, "probes": PROBES, "verdicts": VERDICTS, "actions": ACTIONS,
-         "runs": RUNS, "landed": LANDED}
+         "runs": RUNS, "landed": LANDED, "outcomes": OUTCOMES, "edits": EDITS, "requests": REQUESTS,
+         "page_fetches": PAGE_FETCHES}
 SOURCES = ("documents", "labels", "pages", "events")
 
 
@@ -100,10 +147,10 @@ def with_views(sql: str, *names: str) -> str:
     ctes = ",\n".join(f"{n}_v as ({VIEWS[n].format(**plain)})" for n in names)
     if not names:
         return sql
-    head, tail = ("with recursive ", sql[len("with recursive "):]) if sql.startswith("with recursive ") else ("with ", sql)
-    if tail.startswith("with "):
-        return f"{head}{ctes},\n{tail[5:]}"
-    return f"{head}{ctes}\n{sql}"
+    for opening in ("with recursive ", "with "):
+        if sql.startswith(opening):
+            return f"{opening}{ctes},\n{sql[len(opening):]}"
+    return f"with {ctes}\n{sql}"
 
 
 class Tables:
@@ -130,3 +177,7 @@ class Tables:
     actions = cached_property(lambda self: self._view("actions"))
     runs = cached_property(lambda self: self._view("runs"))
     landed = cached_property(lambda self: self._view("landed"))
+    outcomes = cached_property(lambda self: self._view("outcomes"))
+    edits = cached_property(lambda self: self._view("edits"))
+    requests = cached_property(lambda self: self._view("requests"))
+    page_fetches = cached_property(lambda self: self._view("page_fetches"))

@@ -41,8 +41,8 @@ query("list_after", _PAGE.format(where="""where coalesce(i.published_at,i.fetche
     lambda t: lists.list_items(t.items, t.feeds, "all", after=("2024-01-20 00:00:00", 500)))
 
 query("item_by_id", f"""select {_COLS} from items_v i join feeds_v f on f.feed_id=i.feed_id
-where i.item_id in (select item_id from actions_v where do='open')""", "feeds items actions")(
-    lambda t: lists.items_by_id(t.items, t.feeds, t.actions.filter("do = 'open'")))
+where i.item_id in (select item_id from actions_v where act='open')""", "feeds items actions")(
+    lambda t: lists.items_by_id(t.items, t.feeds, t.actions.filter("act = 'open'")))
 
 # Title and author carry no markup in these tables, so the checking side squeezes and skips the tag removal.
 _WS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -80,10 +80,10 @@ def _age(expr: str) -> str:
 query("item_cards", f"""select item_id, feed_id, case when t='' then '(untitled)' else t end as title,
  case when a<>coalesce(ft,'') then a end as author, coalesce(nullif(ft,''),'feed') as source,
  case when vid<>'' then '/rss/watch?v='||vid else url end as link, vid<>'' as is_video,
- {sql_excerpt('b')} as excerpt, {_age('at')} as age, is_read, is_starred
+ {sql_excerpt('b')} as excerpt, {_age('shown_at')} as age, is_read, is_starred
 from (select i.item_id, i.feed_id, {sql_strip('i.title')} as t, {sql_strip('i.author')} as a, f.title as ft, i.url,
  regexp_extract(i.url,'watch\\?v=([0-9A-Za-z_-]{{11}})',1) as vid,
- {sql_strip("coalesce(nullif(i.summary,''),i.content)")} as b, coalesce(i.published_at,i.fetched_at) as at,
+ {sql_strip("coalesce(nullif(i.summary,''),i.content)")} as b, coalesce(i.published_at,i.fetched_at) as shown_at,
  i.is_read, i.is_starred from items_v i join feeds_v f on f.feed_id=i.feed_id)""", "feeds items")(
     lambda t: lists.item_cards(lists.with_feed(t.items, t.feeds), now()))
 

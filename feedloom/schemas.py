@@ -21,7 +21,7 @@ RUNS = (
     "not_modified bigint, errored bigint, inserted bigint, shorts_swept bigint, unclassified bigint, "
     "duration_ms bigint, note string"
 )
-ACTIONS = "action_id bigint, ts timestamp, do string, item_id bigint, feed_id bigint, folder string, state int"
+ACTIONS = "action_id bigint, ts timestamp, act string, item_id bigint, feed_id bigint, folder string, state int"
 PAGES = "page_id bigint, url string, html string"
 RULE = "struct<item:string,title:string,link:string,date:string,summary:string>"
 NODES = (
