@@ -47,7 +47,7 @@ from {documents} d left join {labels} l on l.doc_id=d.doc_id
 """
 
 POLLS = """
-select event_id as poll_id, user_id as feed_id, ts as polled_at,
+select event_id as poll_id, user_id as feed_id, cast(ts as timestamp) as polled_at,
  case event_type when 'error' then 'error' when 'view' then 'not-modified' else 'ok' end as status,
  cast(floor(value) as int) as n_items from {events}
 """
@@ -65,7 +65,7 @@ from (""" + PROBES + """) p where http_status in (200, 303)
 """
 
 ACTIONS = """
-select event_id as action_id, ts, event_id % (select count(*) from {documents}) + 1 as item_id,
+select event_id as action_id, cast(ts as timestamp) as ts, event_id % (select count(*) from {documents}) + 1 as item_id,
  user_id % 20 + 1 as feed_id,
  case event_type when 'click' then 'open' when 'view' then 'mark-read' when 'signup' then 'star'
    when 'purchase' then 'mark-read' else 'mark-all' end as act,
@@ -75,7 +75,7 @@ select event_id as action_id, ts, event_id % (select count(*) from {documents})
 RUNS = """
 select cast((day(slot)-1)*24 + hour(slot) + 1 as bigint) as run_id, slot as started_at,
  slot + interval '3' minute as finished_at
-from (select distinct date_trunc('hour', ts) as slot from {events}) t
+from (select distinct date_trunc('hour', cast(ts as timestamp)) as slot from {events}) t
 """
 
 # One landed response per document: a spread of statuses, types and bodies.
