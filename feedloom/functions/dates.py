@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from feedloom.functions.text import let
 from feedloom.schemas import POLL_INTERVAL_MIN
 
 _TIME = r"(?:[,\sT]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3})\d*)?)?)?"
@@ -42,7 +43,10 @@ def _assemble(s: Column, pattern: str, year: Column, month: Column, day: Column)
 
 def parse_date(c: Column) -> Column:
     """RFC 822, month-first or ISO text to a timestamp in whole milliseconds, else null."""
-    s = F.trim(c)
+    return let(F.trim(c), _parse_date)
+
+
+def _parse_date(s: Column) -> Column:
     group = lambda pattern, g: F.regexp_extract(s, pattern, g)
     first = lambda v: F.when(v == "", "1").otherwise(v)
     year = group(_RFC, 3)

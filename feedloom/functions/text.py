@@ -55,12 +55,19 @@ def esc(c: Column) -> Column:
     return out
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; without it a nested expression is repeated wherever it is used."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def splice(c: Column, pattern: str, render: Callable[[Column, Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``render(match, ordinal)``, in one pass over the text."""
-    gaps = F.split(c, pattern, -1)
-    hits = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), render)
-    woven = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
-    return F.when(c.rlike(pattern), F.array_join(woven, "")).otherwise(c)
+    def weave(x: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), render)
+        woven = F.zip_with(F.split(x, pattern, -1), hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
+        return F.when(x.rlike(pattern), F.array_join(woven, "")).otherwise(x)
+
+    return let(c, weave)
 
 
 def _code_point(digits: Column, base: int, invalid: Column) -> Column:
@@ -84,20 +91,21 @@ def _numeric(c: Column, keep_invalid: bool) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Reader's decoder: no-break space first, ``&amp;`` last, a bad reference vanishes."""
-    out = F.regexp_replace(c, "(?i)&nbsp;", " ")
-    out = F.when(out.contains("&#"), _numeric(out, keep_invalid=False)).otherwise(out)
-    for pattern, char in (("&quot;", '"'), ("&#39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        out = F.regexp_replace(out, f"(?i){pattern}", char)
-    return F.when(c.contains("&"), out).otherwise(c)
+    def decode(x: Column) -> Column:
+        out = _numeric(F.regexp_replace(x, "(?i)&nbsp;", " "), keep_invalid=False)
+        for pattern, char in (("&quot;", '"'), ("&#39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            out = F.regexp_replace(out, f"(?i){pattern}", char)
+        return F.when(x.contains("&"), out).otherwise(x)
+
+    return let(c, decode)
 
 
 def decode_page_entities(c: Column) -> Column:
     """Scraper's decoder: fifteen names, a bad reference stays as text."""
     table = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-    out = F.when(c.contains("&#"), _numeric(c, keep_invalid=True)).otherwise(c)
-    out = splice(out, "(?i)&[a-z]+;", lambda m, _: F.coalesce(
-        F.try_element_at(table, F.lower(F.regexp_extract(m, "(?i)&([a-z]+);", 1))), m))
-    return F.when(c.contains("&"), out).otherwise(c)
+    name = lambda m: F.lower(F.regexp_extract(m, "(?i)&([a-z]+);", 1))
+    named = lambda x: splice(x, "(?i)&[a-z]+;", lambda m, _: F.coalesce(F.try_element_at(table, name(m)), m))
+    return let(c, lambda x: F.when(x.contains("&"), named(_numeric(x, keep_invalid=True))).otherwise(x))
 
 
 def decode_href(c: Column) -> Column:
@@ -115,8 +123,8 @@ def strip_tags(c: Column) -> Column:
 
 
 def excerpt(c: Column, n: int = EXCERPT_LENGTH) -> Column:
-    text = strip_tags(c)
-    return F.when(utf16_length(text) > n, F.concat(F.rtrim(utf16_left(text, n)), F.lit("…"))).otherwise(text)
+    return let(strip_tags(c), lambda text: F.when(
+        utf16_length(text) > n, F.concat(F.rtrim(utf16_left(text, n)), F.lit("…"))).otherwise(text))
 
 
 _ANCHOR = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(https?://[^"'\s>]+)["']?[^>]*>([\s\S]*?)</a>"""

@@ -5,11 +5,11 @@ import re
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from feedloom.functions.text import blank_to_null, decode_page_entities, js_trim
+from feedloom.functions.text import blank_to_null, decode_page_entities, js_trim, let
 from feedloom.schemas import YOUTUBE_MARKER
 
 _HTTP = "(?i)^https?://"
@@ -94,13 +94,18 @@ def _resolve(href: str | None, base: str | None) -> str | None:
 
 
 @pandas_udf(StringType())
-def resolve_url_udf(href: pd.Series, base: pd.Series) -> pd.Series:
+def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([_resolve(h, b) for h, b in zip(href, base)], dtype=object)
 
 
-def absolute_link(href: Column, base: Column) -> Column:
-    """A page link as an absolute http(s) address; null for fragments, scripts, mail and phone links."""
+# Marked so that a filter on the result does not run it a second time.
+resolve_url_udf = resolve_url.asNondeterministic()
+
+
+def with_absolute_link(df: DataFrame, href: Column, base: Column, out: str = "url") -> DataFrame:
+    """Add a page link as an absolute http(s) address; null for fragments, scripts, mail and phone links."""
     raw = js_trim(decode_page_entities(href))
-    usable = (raw != "") & ~raw.startswith("#") & ~raw.rlike("(?i)^(javascript|mailto|tel):")
-    resolved = resolve_url_udf(F.when(usable, raw), base)
-    return F.when(resolved.rlike("^https?:"), resolved)
+    usable = let(raw, lambda r: F.when(
+        (r != "") & ~r.startswith("#") & ~r.rlike("(?i)^(javascript|mailto|tel):"), r))
+    resolved = df.withColumn(out, resolve_url_udf(usable, base))
+    return resolved.withColumn(out, F.when(F.col(out).rlike("^https?:"), F.col(out)))

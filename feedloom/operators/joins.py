@@ -13,3 +13,17 @@ def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     splits skewed keys. Give ``small`` slim columns: the bound is a row count."""
     small = cut_lineage(small)
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+SMALL_BYTES = 256 << 20
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input that sits in too few file splits over all cores before heavy per-row work.
+
+    Anything larger keeps its scan partitions: there the splits already outnumber the cores and a shuffle would only
+    move the bodies.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if size <= SMALL_BYTES else df

@@ -27,7 +27,7 @@ RULE = "struct<item:string,title:string,link:string,date:string,summary:string>"
 NODES = (
     "page_id bigint, error string, base_url string, node_id int, parent_id int, depth int, tag string, id string, "
     "classes array<string>, attrs map<string,string>, start int, open_end int, close_start int, end int, "
-    "text string, text_len int"
+    "text string, text_len int, links int"
 )
 
 # Limits and thresholds of the reader and the poller.
