@@ -1 +1,7 @@
 """Feed analytics on Spark: ingest, read and curate feeds at crawl scale."""
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: its functions travel with the tasks that use them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

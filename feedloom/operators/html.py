@@ -5,14 +5,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions.dates import parse_date
 from feedloom.functions.markup import scan_batches
-from feedloom.functions.text import blank_to_null, js_trim, utf16_left, utf16_length
+from feedloom.functions.text import WS, blank_to_null, utf16_left, utf16_length
 from feedloom.functions.urls import with_absolute_link
 from feedloom.operators.joins import spread_small
 from feedloom.schemas import (HEADINGS, MAX_PAGE_BYTES, MAX_PAGE_ITEMS, MAX_SELECTOR, MAX_SUMMARY, MAX_TITLE, NODES,
                               RULE)
 
 ROLES = ("item", "title", "link", "date", "summary")
-_SIMPLE = "struct<tag:string,id:string,classes:array<string>,attrs:array<struct<name:string,value:string>>>"
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
@@ -25,88 +24,93 @@ def html_nodes(pages: DataFrame) -> DataFrame:
 
 # --- selectors
 
-def selector(c: Column) -> Column:
-    """Selector text to its steps, outermost first; null where it does not parse. Descendant steps only."""
-    token = r"^[a-zA-Z][\w-]*|\.[\w-]+|#[\w-]+|\[[^\]]+\]"
-    pair = r"""^\[([\w-]+)(?:=["']?([^"']*)["']?)?\]$"""
-    parts = F.split(js_trim(c), r"\s+")
-    tokens = F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(token), F.lit(0)))
-    starting = lambda ts, mark: F.filter(ts, lambda t: t.startswith(mark))
+# Selector work is written as SQL text: the same predicate is built for every role and step, and one parsed string
+# costs the driver far less than dozens of column calls.
 
-    def step(ts: Column) -> Column:
-        tag = F.get(F.filter(ts, lambda t: t.rlike("^[a-zA-Z]")), F.lit(0))
-        return F.struct(
-            F.lower(tag).alias("tag"),
-            F.substring(F.try_element_at(starting(ts, "#"), F.lit(-1)), 2, MAX_SELECTOR).alias("id"),
-            F.transform(starting(ts, "."), lambda t: F.substring(t, 2, MAX_SELECTOR)).alias("classes"),
-            F.transform(starting(ts, "["), lambda t: F.struct(
-                F.lower(F.regexp_extract(t, pair, 1)).alias("name"),
-                F.when(t.contains("="), F.regexp_extract(t, pair, 2)).alias("value"))).alias("attrs"))
+_TOKEN = r"^[a-zA-Z][\w-]*|\.[\w-]+|#[\w-]+|\[[^\]]+\]"
+_PAIR = r"""^\[([\w-]+)(?:=["\x27]?([^"\x27]*)["\x27]?)?\]$"""
 
-    whole = F.forall(F.zip_with(parts, tokens, lambda p, ts: F.array_join(ts, "") == p), lambda ok: ok)
-    pairs = F.forall(F.flatten(tokens), lambda t: ~t.startswith("[") | t.rlike(pair))
-    return F.when((js_trim(c) != "") & whole & pairs, F.transform(tokens, step))
 
+def selector(text: str) -> Column:
+    """The steps of the selector in column ``text``, outermost first; null where it does not parse. Descendant steps
+    only: ``div.card``, ``.card h3``, ``a[rel="bookmark"]``, ``#main .row``."""
+    clean = rf"regexp_replace({text}, r'^[{WS}]+|[{WS}]+$', '')"
+    parts = rf"split({clean}, r'[{WS}]+')"
+    tokens = f"transform({parts}, p -> regexp_extract_all(p, r'{_TOKEN}', 0))"
+    step = f"""named_struct(
+      'tag', lower(get(filter(ts, t -> t rlike '^[a-zA-Z]'), 0)),
+      'id', substring(try_element_at(filter(ts, t -> startswith(t, '#')), -1), 2),
+      'classes', transform(filter(ts, t -> startswith(t, '.')), t -> substring(t, 2)),
+      'attrs', transform(filter(ts, t -> startswith(t, '[')), t -> named_struct(
+        'name', lower(regexp_extract(t, r'{_PAIR}', 1)),
+        'value', if(contains(t, '='), regexp_extract(t, r'{_PAIR}', 2), null))))"""
+    return F.expr(f"""get(transform(array({tokens}), tokens -> case when {clean} <> ''
+      and forall(zip_with({parts}, tokens, (p, ts) -> array_join(ts, '') = p), ok -> ok)
+      and forall(flatten(tokens), t -> not startswith(t, '[') or t rlike r'{_PAIR}')
+      then transform(tokens, ts -> {step}) end), 0)""")
 
-def matches(step: Column) -> Column:
-    """Whether the element row satisfies one step."""
-    attr = lambda a: F.map_contains_key("attrs", a["name"]) & (
-        a["value"].isNull() | (F.try_element_at("attrs", a["name"]) == a["value"]))
-    return F.coalesce(
-        (step["tag"].isNull() | (F.col("tag") == step["tag"]))
-        & (step["id"].isNull() | F.coalesce(F.col("id") == step["id"], F.lit(False)))
-        & F.forall(step["classes"], lambda c: F.array_contains("classes", c))
-        & F.forall(step["attrs"], attr), F.lit(False))
 
+def _matches(step: str) -> str:
+    return f"""coalesce(({step}.tag is null or tag = {step}.tag) and ({step}.id is null or coalesce(id = {step}.id, false))
+      and forall({step}.classes, c -> array_contains(classes, c))
+      and forall({step}.attrs, a -> map_contains_key(attrs, a.name)
+        and (a.value is null or try_element_at(attrs, a.name) = a.value)), false)"""
 
-def _any_step(chain: Column) -> Column:
-    return F.coalesce(F.exists(chain, matches), F.lit(False))
 
+def matches(chain: str, step: int) -> Column:
+    """Whether the element row satisfies one step of the chain in column ``chain``."""
+    return F.expr(_matches(f"get({chain}, {step})")) & (F.size(chain) > step)
 
-def with_match(rows: DataFrame, chain: str, out: str, steps: int, scope: list[str]) -> DataFrame:
-    """Flag the elements that end a selector chain inside ``scope``.
+
+def _any_step(chain: str) -> Column:
+    return F.expr(f"coalesce(exists({chain}, s -> {_matches('s')}), false)")
+
+
+def with_matches(rows: DataFrame, chains: dict[str, str], steps: int, scope: list[str]) -> DataFrame:
+    """Flag the elements that end each selector chain (flag name to chain column) inside ``scope``.
 
     Element extents nest, so an element lies inside an earlier match exactly when the furthest end among earlier
     matches is past its start: each step is one running maximum over the page in document order, never a join.
     """
     earlier = Window.partitionBy(*scope).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.size(chain)
-    flag = lambda j: (size >= j) & matches(F.get(chain, F.lit(j - 1)))
-    rows = rows.withColumn("_m1", F.coalesce(flag(1), F.lit(False)))
-    for j in range(2, steps + 1):
-        inside = F.coalesce(F.max(F.when(F.col(f"_m{j - 1}"), F.col("end"))).over(earlier) > F.col("start"), F.lit(False))
-        rows = rows.withColumn(f"_inside{j}", inside).withColumn(
-            f"_m{j}", F.coalesce(flag(j), F.lit(False)) & F.col(f"_inside{j}"))
-    hit = F.lit(False)
-    for j in range(1, steps + 1):
-        hit = F.when(size == j, F.col(f"_m{j}")).otherwise(hit)
-    return rows.withColumn(out, hit).drop(*[f"_m{j}" for j in range(1, steps + 1)],
-                                          *[f"_inside{j}" for j in range(2, steps + 1)])
+    rows = rows.withColumns({f"{out}_0": F.coalesce(matches(chain, 0), F.lit(False)) for out, chain in chains.items()})
+    for j in range(1, steps):
+        inside = {f"{out}_{j}": F.max(F.when(F.col(f"{out}_{j - 1}"), F.col("end"))).over(earlier) for out in chains}
+        rows = rows.withColumns(inside).withColumns({
+            f"{out}_{j}": F.coalesce(F.col(f"{out}_{j}") > F.col("start"), F.lit(False)) & F.coalesce(matches(chain, j), F.lit(False))
+            for out, chain in chains.items()})
+    hits = {}
+    for out, chain in chains.items():
+        hit = F.lit(False)
+        for j in range(steps):
+            hit = F.when(F.size(chain) == j + 1, F.col(f"{out}_{j}")).otherwise(hit)
+        hits[out] = hit
+    return rows.withColumns(hits).drop(*[f"{out}_{j}" for out in chains for j in range(steps)])
 
 
 def select_nodes(nodes: DataFrame, text: str) -> DataFrame:
     """Elements of every page that match one selector."""
     steps = len(text.split())
-    chained = nodes.filter("error is null").withColumn("_chain", selector(F.lit(text)))
-    return with_match(chained, "_chain", "_hit", steps, ["page_id"]).filter("_hit").drop("_chain", "_hit")
+    chained = nodes.filter("error is null").withColumn("_text", F.lit(text)).withColumn("_chain", selector("_text"))
+    return with_matches(chained, {"_hit": "_chain"}, steps, ["page_id"]).filter("_hit").drop("_text", "_chain", "_hit")
 
 
 # --- rules
 
-def parse_rule(json: Column) -> Column:
+def with_rule(df: DataFrame, json: str, out: str = "rule") -> DataFrame:
     """Rule text to a rule, null for anything unusable: five known keys, selector texts of at most 200 characters."""
-    v = F.try_parse_json(json)
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    field = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
-    kind = lambda k: F.schema_of_variant(field(k))
-    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
-    usable = lambda k: (field(k).isNull() | kind(k).isin("VOID") | (text(k) == "")
-                        | F.coalesce((utf16_length(text(k)) <= MAX_SELECTOR) & selector(text(k)).isNotNull(), F.lit(False)))
-    ok = is_object & (F.coalesce(kind("item"), F.lit("")) == "STRING")
+    read = df.withColumn("_v", F.expr(f"try_parse_json({json})")).withColumns({
+        f"_{k}": F.expr(f"case when schema_of_variant(try_variant_get(_v, '$.{k}', 'variant')) = 'STRING' "
+                        f"then try_variant_get(_v, '$.{k}', 'string') end") for k in ROLES})
+    kind = lambda k: F.expr(f"coalesce(schema_of_variant(try_variant_get(_v, '$.{k}', 'variant')), 'VOID')")
+    text = lambda k: F.col(f"_{k}")
+    usable = lambda k: (kind(k) == "VOID") | (text(k) == "") | (
+        (utf16_length(text(k)) <= MAX_SELECTOR) & selector(f"_{k}").isNotNull())
+    ok = F.expr("coalesce(startswith(schema_of_variant(_v), 'OBJECT'), false)") & (text("item") != "")
     for k in ROLES:
         ok = ok & F.coalesce(usable(k), F.lit(False))
     rule = F.struct(*[blank_to_null(text(k)).alias(k) for k in ROLES])
-    return F.when(ok & (text("item") != ""), rule)
+    return read.withColumn(out, F.when(ok, rule)).drop("_v", *[f"_{k}" for k in ROLES])
 
 
 def literal_rule(**selectors: str) -> Column:
@@ -133,27 +137,36 @@ def is_link() -> Column:
     return (F.col("tag") == "a") & (F.coalesce(F.try_element_at("attrs", F.lit("href")), F.lit("")) != "")
 
 
-def extract_items(nodes: DataFrame, rules: DataFrame, steps: int | None = None) -> DataFrame:
+def extract_items(nodes: DataFrame, rules: DataFrame | Column, steps: int | None = None) -> DataFrame:
     """What each rule finds on its pages: ``page_id, rule_id, pos, guid, url, title, summary, published_at``.
 
-    ``rules`` holds ``page_id, rule_id, rule``; ``steps`` is the longest selector's step count where it is known. Elements that can play no part in a rule are dropped before the one
+    ``rules`` is one rule for every page, or holds ``page_id, rule_id, rule``; ``steps`` is the longest selector's step count where it is known. Elements that can play no part in a rule are dropped before the one
     shuffle, which is by page; containers, their contents and every chosen element then come from running maxima and
     one aggregate over the same ordering. A page is at most 4 MB, so no group is unbounded.
     """
-    chains = rules.select("page_id", "rule_id", *[selector(F.col(f"rule.{r}")).alias(f"c_{r}") for r in ROLES])
-    longest = steps or chains.select(F.greatest(*[F.size(f"c_{r}") for r in ROLES]).alias("n")).agg(
-        F.max("n")).first()[0] or 1
+    chain = [selector(f"rule.{r}").alias(f"c_{r}") for r in ROLES]
+    most = F.greatest(*[F.size(f"c_{r}") for r in ROLES]).alias("n")
+    read = nodes.filter("error is null")
+    if isinstance(rules, Column):
+        one = nodes.sparkSession.range(1).select(rules.alias("rule"))
+        steps = steps or one.select(*chain).select(most).first()[0]
+        ruled = read.withColumn("rule", rules).select("*", F.lit(0).alias("rule_id"), *chain)
+    else:
+        chains = rules.select("page_id", "rule_id", *chain)
+        steps = steps or chains.select(most).agg(F.max("n")).first()[0]
+        ruled = read.join(chains, "page_id")
+    longest = steps or 1
     keep = ["page_id", "rule_id", "base_url", "tag", "id", "classes", "attrs", "start", "end", "text", "text_len"]
     heading = F.col("tag").isin(HEADINGS)
     useful = is_link() | (heading & F.col("c_title").isNull())
     for role in ROLES:
-        useful = useful | _any_step(F.col(f"c_{role}"))
-    rows = nodes.filter("error is null").join(chains, "page_id").filter(useful).select(
+        useful = useful | _any_step(f"c_{role}")
+    rows = ruled.filter(useful).select(
         *keep, *[f"c_{r}" for r in ROLES])
 
     scope = ["page_id", "rule_id"]
     order = Window.partitionBy(*scope).orderBy("start")
-    rows = with_match(rows, "c_item", "is_item", longest, scope)
+    rows = with_matches(rows, {"is_item": "c_item"}, longest, scope)
     before = F.max(F.when(F.col("is_item"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_before", before).withColumn(
         "opens", F.col("is_item") & (F.col("_before").isNull() | (F.col("start") >= F.col("_before"))))
@@ -163,8 +176,7 @@ def extract_items(nodes: DataFrame, rules: DataFrame, steps: int | None = None)
     inside = rows.filter(F.col("pos").between(1, MAX_PAGE_ITEMS) & ~F.col("opens") & (F.col("start") < F.col("until")))
 
     block = [*scope, "pos"]
-    for role in ("title", "link", "date", "summary"):
-        inside = with_match(inside, f"c_{role}", f"is_{role}", longest, block)
+    inside = with_matches(inside, {f"is_{r}": f"c_{r}" for r in ROLES if r != "item"}, longest, block)
     titled = F.col("is_title") | (F.col("c_title").isNull() & heading)
     title = F.min(F.when(titled, F.struct("start", "end", "text"))).over(Window.partitionBy(*block))
     inside = inside.withColumn("title_el", title)
@@ -189,6 +201,5 @@ def extract_items(nodes: DataFrame, rules: DataFrame, steps: int | None = None)
 
 def headline_links(nodes: DataFrame, container: str) -> DataFrame:
     """The headline anchor of every block matching ``container``."""
-    rules = nodes.select("page_id").distinct().select(
-        "page_id", F.lit(0).alias("rule_id"), literal_rule(item=container).alias("rule"))
-    return extract_items(nodes, rules, len(container.split())).select("page_id", "pos", "url", "title")
+    return extract_items(nodes, literal_rule(item=container), len(container.split())).select(
+        "page_id", "pos", "url", "title")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.session import cut_lineage
+from feedloom.session import stored
 
 BROADCAST_ROWS = 1_000_000
 
@@ -11,7 +11,7 @@ BROADCAST_ROWS = 1_000_000
 def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Broadcast ``small`` only once its rows are written and counted; a larger side is joined by shuffle, where AQE
     splits skewed keys. Give ``small`` slim columns: the bound is a row count."""
-    small = cut_lineage(small)
+    small = stored(small)
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once under the shared folder, so that later jobs and lost executors re-read it."""
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table under the shared folder and read it back.
+
+    Later jobs and replaced executors then re-read columns instead of repeating the work, and the planner knows the
+    real size of what it reads.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/feedloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
