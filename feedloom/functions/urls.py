@@ -62,7 +62,7 @@ def origin(url: Column) -> Column:
     return blank_to_null(F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#\\]+)", 1)))
 
 
-def _resolve(href: str | None, base: str | None) -> str | None:
+def resolve(href: str | None, base: str | None) -> str | None:
     """``href`` against ``base``, spelt as a browser would spell it; null where either is no address."""
     if href is None or base is None:
         return None
@@ -95,7 +95,7 @@ def _resolve(href: str | None, base: str | None) -> str | None:
 
 @pandas_udf(StringType())
 def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([_resolve(h, b) for h, b in zip(href, base)], dtype=object)
+    return pd.Series([resolve(h, b) for h, b in zip(href, base)], dtype=object)
 
 
 # Marked so that a filter on the result does not run it a second time.

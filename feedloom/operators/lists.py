@@ -38,12 +38,12 @@ def in_view(items: DataFrame, view: View) -> DataFrame:
     return items
 
 
-def with_feed(items: DataFrame, feeds: DataFrame) -> DataFrame:
-    """The thirteen item columns, two of them the feed's."""
+def with_feed(items: DataFrame, feeds: DataFrame, *more: str) -> DataFrame:
+    """The thirteen item columns, two of them the feed's, and any further ones asked for."""
     names = feeds.select("feed_id", F.col("title").alias("feed_title"), F.col("site_url").alias("feed_site"))
     return items.join(names, "feed_id").select(
         "item_id", "feed_id", "url", "title", "author", "summary", "content", "published_at", "fetched_at",
-        "is_read", "is_starred", "feed_title", "feed_site")
+        "is_read", "is_starred", "feed_title", "feed_site", *more)
 
 
 def list_items(items: DataFrame, feeds: DataFrame, view: View = "unread", feed_id: int | None = None,
