@@ -79,60 +79,73 @@ def _mend(body: str | None) -> str | None:
 
 
 @pandas_udf(StringType())
-def mend_xml_udf(body: pd.Series) -> pd.Series:
+def mend_xml(body: pd.Series) -> pd.Series:
     return body.map(_mend, na_action="ignore").astype(object)
 
 
-def _text(field: Column) -> Column:
-    """The text of an element that occurs once; a repeated or absent one has none."""
-    return F.coalesce(F.when(F.size(field) == 1, F.get(field, F.lit(0))["_VALUE"]), F.lit(""))
-
-
-def _either(*texts: Column) -> Column:
-    return F.coalesce(*[blank_to_null(t) for t in texts], F.lit(""))
-
-
-def _link(links: Column) -> Column:
-    """The alternate link (a link without ``rel`` counts as one), else the first."""
-    alternate = F.filter(links, lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
-    chosen = F.coalesce(F.get(alternate, F.lit(0)), F.get(links, F.lit(0)))
-    bare = F.when(chosen["_rel"].isNull(), chosen["_VALUE"])
-    return F.coalesce(chosen["_href"], bare, F.lit(""))
-
-
-def _entry(raw_id, link, title, author, summary, content, id_when, pub_when) -> Column:
-    names = [part.split()[0] for part in _ENTRY.split(", ")]
-    values = (raw_id, link, title, author, summary, content, id_when, pub_when)
-    return F.struct(*[v.alias(n) for n, v in zip(names, values)])
+# Marked so that filters on the entries stay above the parse, which would otherwise run once more inside the filter.
+mend_xml_udf = mend_xml.asNondeterministic()
 
 
-def _rss_entry(i: Column) -> Column:
-    return _entry(_text(i["guid"]), _either(_text(i["link"]), _link(i["atom:link"])), _text(i["title"]),
-                  _either(_text(i["dc:creator"]), _text(i["author"])), _text(i["description"]),
-                  _text(i["content:encoded"]), _text(i["pubDate"]), _either(_text(i["pubDate"]), _text(i["dc:date"])))
+# Entry mappings are SQL texts: they are built once and parsed by Spark, not assembled call by call.
 
-
-def _atom_entry(e: Column) -> Column:
-    once = lambda field: F.when(F.size(field) == 1, F.get(field, F.lit(0)))
-    group = once(e["media:group"])
-    return _entry(_text(e["id"]), _link(e["link"]), _either(_text(e["title"]), _text(group["media:title"])),
-                  _text(once(e["author"])["name"]), _either(_text(e["summary"]), _text(group["media:description"])),
-                  _text(e["content"]), _text(e["updated"]), _either(_text(e["published"]), _text(e["updated"])))
-
-
-def _rdf_entry(i: Column) -> Column:
-    return _entry(F.coalesce(i["_rdf:about"], F.lit("")), _text(i["link"]), _text(i["title"]), _text(i["dc:creator"]),
-                  _text(i["description"]), _text(i["content:encoded"]), _text(i["dc:date"]), _text(i["dc:date"]))
-
-
-def _json_entry(feed_author: Column):
-    def entry(i: Column) -> Column:
-        url = F.coalesce(i["url"], i["external_url"])
-        day = F.coalesce(i["date_published"], F.lit(""))
-        return _entry(F.coalesce(i["id"], url), url, F.coalesce(i["title"], F.lit("")),
-                      F.coalesce(i["author"]["name"], feed_author), i["summary"],
-                      F.coalesce(i["content_html"], i["content_text"]), day, day)
-    return entry
+def _text(field: str) -> str:
+    """The text of an element that occurs once; a repeated or absent one has none."""
+    return f"coalesce(if(size({field}) = 1, get({field}, 0)._VALUE, null), '')"
+
+
+def _either(*texts: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({t}, '')" for t in texts) + ", '')"
+
+
+def _link(links: str) -> str:
+    """The alternate link (a link without ``rel`` counts as one), else the first; a link without attributes is its text."""
+    chosen = f"coalesce(get(filter({links}, l -> coalesce(l._rel, 'alternate') = 'alternate'), 0), get({links}, 0))"
+    return f"coalesce({chosen}._href, if({chosen}._rel is null, {chosen}._VALUE, null), '')"
+
+
+def _once(field: str) -> str:
+    return f"if(size({field}) = 1, get({field}, 0), null)"
+
+
+def _entries(source: str, **fields: str) -> str:
+    """The entries of a format: ``source`` is its list, ``i`` stands for one element of it."""
+    pairs = ", ".join(f"'{name}', {fields[name]}" for name in _FIELDS)
+    return f"transform({source}, i -> named_struct({pairs}))"
+
+
+_FIELDS = [part.split()[0] for part in _ENTRY.split(", ")]
+_GROUP = f"{_once('i.`media:group`')}"
+_JSON_URL = "coalesce(i.url, i.external_url)"
+
+# What each format's entries, title and link are read from.
+_READ = {
+    "rss": (
+        _entries("_rss.channel.item", raw_id=_text("i.guid"), link=_either(_text("i.link"), _link("i.`atom:link`")),
+                 title=_text("i.title"), author=_either(_text("i.`dc:creator`"), _text("i.author")),
+                 summary=_text("i.description"), content=_text("i.`content:encoded`"), id_when=_text("i.pubDate"),
+                 pub_when=_either(_text("i.pubDate"), _text("i.`dc:date`"))),
+        _text("_rss.channel.title"), _text("_rss.channel.link")),
+    "atom": (
+        _entries("_atom.entry", raw_id=_text("i.id"), link=_link("i.link"),
+                 title=_either(_text("i.title"), _text(f"{_GROUP}.`media:title`")),
+                 author=_text(f"{_once('i.author')}.name"),
+                 summary=_either(_text("i.summary"), _text(f"{_GROUP}.`media:description`")),
+                 content=_text("i.content"), id_when=_text("i.updated"),
+                 pub_when=_either(_text("i.published"), _text("i.updated"))),
+        _text("_atom.title"), _link("_atom.link")),
+    "rdf": (
+        _entries("_rdf.item", raw_id="coalesce(i.`_rdf:about`, '')", link=_text("i.link"), title=_text("i.title"),
+                 author=_text("i.`dc:creator`"), summary=_text("i.description"), content=_text("i.`content:encoded`"),
+                 id_when=_text("i.`dc:date`"), pub_when=_text("i.`dc:date`")),
+        _text(f"{_once('_rdf.channel')}.title"), _text(f"{_once('_rdf.channel')}.link")),
+    "json": (
+        _entries("_json.items", raw_id=f"coalesce(i.id, {_JSON_URL})", link=_JSON_URL, title="coalesce(i.title, '')",
+                 author="coalesce(i.author.name, _json.author.name)", summary="i.summary",
+                 content="coalesce(i.content_html, i.content_text)", id_when="coalesce(i.date_published, '')",
+                 pub_when="coalesce(i.date_published, '')"),
+        "coalesce(_json.title, '')", "_json.home_page_url"),
+}
 
 
 _PROLOG = rf"^﻿?(?:[{WS}]+|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|(?i:<!DOCTYPE)[^>]*>)*"
@@ -162,43 +175,28 @@ def parse_feeds(fetches: DataFrame) -> DataFrame:
         return F.from_xml(wanted, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
 
     schemas = {"rss": _RSS, "atom": _ATOM, "rdf": _RDF}
-    for fmt, schema in schemas.items():
-        staged = staged.withColumn(f"_{fmt}", strict(body, fmt, schema))
+    staged = staged.withColumns({f"_{fmt}": strict(body, fmt, schema) for fmt, schema in schemas.items()})
     # A document with no element of the wanted names also reads as corrupt: mending leaves it as it is.
     rejected = F.coalesce(*[F.col(f"_{f}._corrupt_record") for f in schemas]).isNotNull()
-    broken = rejected | ((F.col("format") == "none") & body.rlike(r"<!\[CDATA\[(?![\s\S]*\]\]>)|<!--(?![\s\S]*-->)"))
-    staged = staged.withColumn("_broken", broken).withColumn("_mended", mend_xml_udf(F.when(F.col("_broken"), body)))
-    for fmt, schema in schemas.items():
-        again = strict(F.col("_mended"), fmt, schema)
-        staged = staged.withColumn(f"_{fmt}", F.when(F.col("_broken"), again).otherwise(F.col(f"_{fmt}")))
-
-    rss, atom, rdf, js = (F.col(c) for c in ("_rss.channel", "_atom", "_rdf", "_json"))
-    rdf_channel = F.when(F.size(rdf["channel"]) == 1, F.get(rdf["channel"], F.lit(0)))
-    entries = {
-        "rss": F.transform(rss["item"], _rss_entry), "atom": F.transform(atom["entry"], _atom_entry),
-        "rdf": F.transform(rdf["item"], _rdf_entry),
-        "json": F.transform(js["items"], _json_entry(js["author"]["name"])),
-    }
-    titles = {"rss": _text(rss["title"]), "atom": _text(atom["title"]), "rdf": _text(rdf_channel["title"]),
-              "json": F.coalesce(js["title"], F.lit(""))}
-    links = {"rss": _text(rss["link"]), "atom": _link(atom["link"]), "rdf": _text(rdf_channel["link"]),
-             "json": js["home_page_url"]}
-
-    def pick(by_format: dict[str, Column], default: Column) -> Column:
-        out = F
-        for fmt, value in by_format.items():
-            out = out.when(F.col("format") == fmt, value)
-        return out.otherwise(default)
+    endless = body.rlike(r"<!\[CDATA\[(?![\s\S]*\]\]>)|<!--(?![\s\S]*-->)")
+    staged = staged.withColumn("_broken", rejected | ((F.col("format") == "none") & endless))
+    staged = staged.withColumn("_mended", mend_xml_udf(F.when(F.col("_broken"), body)))
+    staged = staged.withColumns({
+        f"_{fmt}": F.when(F.col("_broken"), strict(F.col("_mended"), fmt, schema)).otherwise(F.col(f"_{fmt}"))
+        for fmt, schema in schemas.items()})
+
+    def pick(part: int, default: str) -> Column:
+        cases = " ".join(f"when '{fmt}' then {read[part]}" for fmt, read in _READ.items())
+        return F.expr(f"case format {cases} else {default} end")
 
     kept = [c for c in fetches.columns if c != "body"]
+    no_entries = f"cast(array() as array<struct<{_ENTRY.replace(' string', ':string')}>>)"
     return staged.select(
         *kept, "format",
         F.when(F.col("_broken") & F.col("_mended").isNull(), "a section of the document never ends").alias("parse_error"),
         F.when(F.col("_mended").isNotNull(), "mended").otherwise("strict").alias("parse_mode"),
-        pick(titles, F.lit("")).alias("feed_title"),
-        blank_to_null(pick(links, F.lit(None).cast("string"))).alias("site_url"),
-        F.coalesce(pick(entries, F.lit(None)), F.array().cast(f"array<struct<{_ENTRY.replace(' string', ':string')}>>"))
-        .alias("entries"))
+        pick(1, "''").alias("feed_title"), blank_to_null(pick(2, "null")).alias("site_url"),
+        F.coalesce(pick(0, "null"), F.expr(no_entries)).alias("entries"))
 
 
 def items_of(parsed: DataFrame) -> DataFrame:

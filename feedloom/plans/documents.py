@@ -266,7 +266,11 @@ def _discover(t: Tables) -> DataFrame:
         "url", F.col("url").alias("final_url"), F.when(F.col("page_id") % 6 == 5, 500).otherwise(200).alias("status"),
         F.lit("text/html").alias("content_type"),
         F.replace("html", F.lit("</title>"), F.concat(F.lit("</title>"), F.expr(_DECLARED))).alias("body"))
-    landed = pages.unionByName(crawl(t).dropDuplicates(["url"]))
+    # One response per address; where pages disagree the one with a feed stands.
+    better = F.struct(F.col("status") != 200, ~F.col("body").startswith("<rss"), F.xxhash64("body"))
+    response = F.struct("final_url", "status", "content_type", "body")
+    one = crawl(t).groupBy("url").agg(F.min_by(response, better).alias("r")).select("url", "r.*")
+    landed = pages.unionByName(one)
     return discover.discover_feeds(t.pages.select(F.col("page_id").alias("site_id"), "url"), landed)
 
 
