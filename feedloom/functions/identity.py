@@ -16,8 +16,8 @@ def hash_guid(*parts: Column) -> Column:
         low = F.lit(0xDC00) + (cp - 0x10000).bitwiseAND(F.lit(0x3FF))
         return F.when(cp > 0xFFFF, step(step(h, high), low)).otherwise(step(h, cp))
 
-    text = F.concat_ws("|", *parts)
-    return F.concat(F.lit("h:"), F.lower(F.hex(F.aggregate(F.split(text, ""), F.lit(5381).cast("bigint"), fold))))
+    chars = F.filter(F.split(F.concat_ws("|", *parts), ""), lambda c: c != "")
+    return F.concat(F.lit("h:"), F.lower(F.hex(F.aggregate(chars, F.lit(5381).cast("bigint"), fold))))
 
 
 def item_guid(raw: Column, link: Column, channel_link: Column, title: Column, when: Column) -> Column:
