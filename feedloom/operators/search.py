@@ -67,10 +67,10 @@ def stem_postings(index: DataFrame) -> DataFrame:
             .agg(F.sum("tf").alias("tf")))
 
 
-def lengths(items: DataFrame) -> DataFrame:
-    """``item_id, dl``: how many tokens each item holds. No shuffle."""
-    total = sum((F.size(tokens(F.col(c))) for c in TEXT_COLUMNS), F.lit(0))
-    return items.select("item_id", total.cast("bigint").alias("dl"))
+def lengths(items: DataFrame, index: DataFrame) -> DataFrame:
+    """``item_id, dl``: how many tokens each item holds, from its postings; an item without any counts as empty."""
+    totals = index.groupBy("item_id").agg(F.sum("tf").alias("dl"))
+    return items.select("item_id").join(totals, "item_id", "left").select("item_id", F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
 def match(index: DataFrame, terms: list[str]) -> DataFrame:
@@ -105,7 +105,7 @@ def bm25(index: DataFrame, sizes: DataFrame, terms: list[str]) -> DataFrame:
 def build_index(items: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
     """Stored postings and lengths."""
     index = stored(postings(items))
-    return (stored(stem_postings(index)) if stemmed else index), stored(lengths(items))
+    return (stored(stem_postings(index)) if stemmed else index), stored(lengths(items, index))
 
 
 def search(items: DataFrame, feeds: DataFrame, q: str, index: tuple[DataFrame, DataFrame], stemmed: bool = True,

@@ -9,6 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.operators.joins import spread_small
+
 NOW = "2024-01-31 12:00:00"
 
 FEEDS = """
@@ -166,11 +168,18 @@ class Tables:
         sql = VIEWS[name]
         return self.spark.sql(sql, **{s: self.read(s) for s in SOURCES if "{" + s + "}" in sql})
 
+    def _spread(self, name: str) -> DataFrame:
+        """A view over documents whose few file splits are spread over all cores first, for heavy per-row work."""
+        given = {s: self.read(s) for s in SOURCES if "{" + s + "}" in VIEWS[name]}
+        given["documents"] = spread_small(given["documents"], "doc_id")
+        return self.spark.sql(VIEWS[name], **given)
+
     documents = cached_property(lambda self: self.read("documents"))
     pages = cached_property(lambda self: self.read("pages"))
     events = cached_property(lambda self: self.read("events"))
     feeds = cached_property(lambda self: self._view("feeds"))
     items = cached_property(lambda self: self._view("items"))
+    text_items = cached_property(lambda self: self._spread("items"))
     polls = cached_property(lambda self: self._view("polls"))
     probes = cached_property(lambda self: self._view("probes"))
     verdicts = cached_property(lambda self: self._view("verdicts"))

@@ -31,26 +31,27 @@ _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 _RFC = "EEE, dd MMM yyyy HH:mm:ss 'GMT'"
 
 
-def _entries() -> dict[str, Column]:
+def _entries(only: str | None = None) -> dict[str, Column]:
     c, cdata = F.col, lambda v: F.concat(F.lit("<content:encoded><![CDATA["), v, F.lit("]]></content:encoded>"))
-    json = F.to_json(F.struct(
+    json = lambda: F.to_json(F.struct(
         c("guid").alias("id"), c("url"), c("title"), F.struct(c("author").alias("name")).alias("author"), c("summary"),
         c("content").alias("content_text"), F.date_format("published_at", _ISO).alias("date_published")))
-    return {
-        "rss": F.concat(F.lit("<item>"), _element("title", c("title")), _element("link", c("url")),
+    build = {
+        "rss": lambda: F.concat(F.lit("<item>"), _element("title", c("title")), _element("link", c("url")),
                         _element('guid isPermaLink="false"', c("guid")), _element("dc:creator", c("author")),
                         _element("description", c("summary")), cdata(c("content")),
                         _element("pubDate", F.date_format("published_at", _RFC)), F.lit("</item>")),
-        "atom": F.concat(F.lit("<entry>"), _element("title", c("title")), F.lit('<link rel="self" href="https://x/"/><link href="'),
+        "atom": lambda: F.concat(F.lit("<entry>"), _element("title", c("title")), F.lit('<link rel="self" href="https://x/"/><link href="'),
                          _xml(c("url")), F.lit('"/>'), _element("id", c("guid")),
                          F.coalesce(F.concat(F.lit("<author>"), _element("name", c("author")), F.lit("</author>")), F.lit("")),
                          _element("summary", c("summary")), _element('content type="html"', c("content")),
                          _element("updated", F.date_format("published_at", _ISO)), F.lit("</entry>")),
-        "rdf": F.concat(F.lit('<item rdf:about="'), c("guid"), F.lit('">'), _element("title", c("title")),
+        "rdf": lambda: F.concat(F.lit('<item rdf:about="'), c("guid"), F.lit('">'), _element("title", c("title")),
                         _element("link", c("url")), _element("dc:creator", c("author")), _element("description", c("summary")),
                         cdata(c("content")), _element("dc:date", F.date_format("published_at", _ISO)), F.lit("</item>")),
         "json": json,
     }
+    return {f: make() for f, make in build.items() if only in (None, f)}
 
 
 _FRAMES = {
@@ -68,7 +69,7 @@ def bodies(items: DataFrame, fmt: str | Column) -> DataFrame:
     """One response per feed and run of item numbers: ``fetch_id, feed_id, format_in, content_type, body``."""
     name = F.lit(fmt) if isinstance(fmt, str) else fmt
     entry, opening, closing, kind = F, F, F, F
-    for f, text in _entries().items():
+    for f, text in _entries(fmt if isinstance(fmt, str) else None).items():
         entry = entry.when(F.col("format_in") == f, text)
         start, end, content_type = _FRAMES[f]
         pieces = start.replace("{{", "{").replace("}}", "}").split("{0}")
@@ -79,7 +80,6 @@ def bodies(items: DataFrame, fmt: str | Column) -> DataFrame:
         kind = kind.when(F.col("format_in") == f, content_type)
     rows = items.withColumn("format_in", name).withColumn("entry", entry).withColumn(
         "chunk", F.floor(F.col("item_id") / CHUNK))
-    between = F.when(F.col("format_in") == "json", ",").otherwise("")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "entry"))), lambda r: r["entry"])
     grouped = rows.groupBy("feed_id", "chunk", "format_in").agg(listed.alias("entries"))
     joined = F.when(F.col("format_in") == "json", F.array_join("entries", ",")).otherwise(F.array_join("entries", ""))
@@ -98,13 +98,13 @@ _READ_XML = ("select feed_id, guid, url, " + ", ".join(
     for c in ("title", "author", "summary", "content")) + ", published_at from items_v")
 _READ_JSON = "select feed_id, guid, url, title, author, summary, content, published_at from items_v"
 
-query("parse_rss", _READ_XML, "items")(lambda t: parsed(bodies(t.items, "rss")))
-query("parse_atom", _READ_XML, "items")(lambda t: parsed(bodies(t.items, "atom")))
-query("parse_rdf", _READ_XML, "items")(lambda t: parsed(bodies(t.items, "rdf")))
-query("parse_jsonfeed", _READ_JSON, "items")(lambda t: parsed(bodies(t.items, "json")))
+query("parse_rss", _READ_XML, "items")(lambda t: parsed(bodies(t.text_items, "rss")))
+query("parse_atom", _READ_XML, "items")(lambda t: parsed(bodies(t.text_items, "atom")))
+query("parse_rdf", _READ_XML, "items")(lambda t: parsed(bodies(t.text_items, "rdf")))
+query("parse_jsonfeed", _READ_JSON, "items")(lambda t: parsed(bodies(t.text_items, "json")))
 
 def mixed(t: Tables) -> DataFrame:
-    return bodies(t.items, F.expr("case feed_id % 4 when 0 then 'rss' when 1 then 'atom' when 2 then 'rdf' else 'json' end"))
+    return bodies(t.text_items, F.expr("case feed_id % 4 when 0 then 'rss' when 1 then 'atom' when 2 then 'rdf' else 'json' end"))
 
 
 query("parse_feeds", f"{_READ_XML} where feed_id%4<3 union all {_READ_JSON} where feed_id%4=3", "items")(
@@ -117,7 +117,7 @@ query("feed_channels", """select distinct feed_id, case feed_id%4 when 0 then 'r
 # The same bodies cut off before their last close tags, with an undeclared reference in every title.
 query("parse_feeds_lenient", _READ_XML.replace("as title", "as title").replace(
     f"{_OUT.format('title')} as title", f"{_OUT.format(chr(39) + 'No. ' + chr(39) + '||title')} as title"), "items")(
-    lambda t: parsed(bodies(t.items, "rss").withColumn("body", F.replace(F.replace(
+    lambda t: parsed(bodies(t.text_items, "rss").withColumn("body", F.replace(F.replace(
         "body", F.lit("<item><title>"), F.lit("<item><title>No.&nbsp;")), F.lit("</channel></rss>"), F.lit("")))))
 
 
@@ -285,7 +285,7 @@ def lists(t: Tables) -> DataFrame:
     # Deep lists: language outside, an unlabelled container, then source.
     nested = F.concat(F.lit('<outline title="'), "lang", F.lit('"><outline text=""><outline text=" '), "source",
                       F.lit(' ">'), feed, F.lit("</outline>"), feed, F.lit("</outline></outline>"), feed)
-    rows = t.documents.select(F.floor(F.col("doc_id") / 100).alias("doc"), "doc_id", nested.alias("xml"))
+    rows = spread_small(t.documents, "doc_id").select(F.floor(F.col("doc_id") / 100).alias("doc"), "doc_id", nested.alias("xml"))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "xml"))), lambda r: r["xml"])
     return rows.groupBy("doc").agg(F.array_join(entries, "").alias("xml")).select(
         F.col("doc").cast("string").alias("doc_id"),

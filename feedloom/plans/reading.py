@@ -85,7 +85,7 @@ from (select i.item_id, i.feed_id, {sql_strip('i.title')} as t, {sql_strip('i.au
  regexp_extract(i.url,'watch\\?v=([0-9A-Za-z_-]{{11}})',1) as vid,
  {sql_strip("coalesce(nullif(i.summary,''),i.content)")} as b, coalesce(i.published_at,i.fetched_at) as shown_at,
  i.is_read, i.is_starred from items_v i join feeds_v f on f.feed_id=i.feed_id)""", "feeds items")(
-    lambda t: lists.item_cards(lists.with_feed(t.items, t.feeds), now()))
+    lambda t: lists.item_cards(lists.with_feed(t.text_items, t.feeds), now()))
 
 # --- counts and folders
 

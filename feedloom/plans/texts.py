@@ -107,7 +107,7 @@ _DJB2 = "'h:'||lower(to_hex(list_reduce(list_prepend(5381::bigint, list_transfor
         "cast(unicode(c) as bigint))), lambda h, c: (h*33+c)&4294967295)))"
 query("hash_guid", f"""select item_id, {_DJB2.format("concat(title,'|',strftime(fetched_at,'%Y-%m-%d'))")} as guid,
  {_DJB2.format("content")} as content_hash from items_v""", "items")(
-    lambda t: t.items.select("item_id", identity.hash_guid(F.col("title"), F.date_format("fetched_at", "yyyy-MM-dd")).alias("guid"),
+    lambda t: t.text_items.select("item_id", identity.hash_guid(F.col("title"), F.date_format("fetched_at", "yyyy-MM-dd")).alias("guid"),
                              identity.hash_guid(F.col("content")).alias("content_hash")))
 
 _RFC = "strftime(published_at,'%a, %d %b %Y %H:%M:%S GMT')"
@@ -171,7 +171,7 @@ _POST = " union all ".join(f"select item_id, '{c}' as col, unnest({_TOKENS.forma
 _SIZES = "select item_id, " + "+".join(f"len({_TOKENS.format(c)})" for c in search.TEXT_COLUMNS) + " as dl from items_v"
 Q1, Q2 = "the", "por que"
 query("postings", f"select term, item_id, col, count(*) as tf from ({_POST}) group by 1,2,3", "items")(
-    lambda t: search.postings(spread_small(t.items, "item_id")))
+    lambda t: search.postings(t.text_items))
 
 
 def _bm25_sql(terms: list[str], scope: str = "true") -> str:
@@ -186,7 +186,7 @@ select r.item_id, i.feed_id, i.title, f.title as feed_title, round(score,6) as s
 
 
 def _found(t: Tables, q: str, **scope) -> DataFrame:
-    index = search.build_index(spread_small(t.items, "item_id"), stemmed=False)
+    index = search.build_index(t.text_items, stemmed=False)
     return search.search(t.items, t.feeds, q, index, stemmed=False, **scope).select(
         "item_id", "feed_id", "title", "feed_title", F.round("score", 6).alias("score"))
 
@@ -195,11 +195,10 @@ query("search", _bm25_sql(["de", "la"], "f.folder='News'"), "items feeds")(lambd
 query("search_bm25", _bm25_sql(["que"]), "items feeds")(lambda t: _found(t, "Qué"))
 query("search_count", f"""select count(*) as n from (select item_id from ({_POST}) where term in ('de','la') group by 1
  having count(distinct term)=2)""", "items")(
-    lambda t: search.search_count(t.items, t.feeds, "la de", (search.postings(spread_small(t.items, "item_id")), None),
+    lambda t: search.search_count(t.items, t.feeds, "la de", (search.postings(t.text_items), None),
                                   stemmed=False))
 
 
 @query("search_stemmed")
 def _stemmed(t: Tables) -> DataFrame:
-    items = spread_small(t.items, "item_id")
-    return search.search(t.items, t.feeds, "things", search.build_index(items)).select("item_id", "feed_id", "score")
+    return search.search(t.items, t.feeds, "things", search.build_index(t.text_items)).select("item_id", "feed_id", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from feedloom.functions.text import blank_to_null, decode_entities, js_trim, utf16_left
 from feedloom.functions.urls import is_http
 from feedloom.schemas import FEED_TITLE_CAP, FOLDER_CAP
+from feedloom.session import stored
 
 _TAGS = r"""<outline\b(?:[^>"']|"[^"]*"|'[^']*')*>|</outline\s*>|</?body\b[^>]*>"""
 
@@ -16,12 +17,12 @@ def read_opml(spark: SparkSession, path: str) -> DataFrame:
                                                         F.col("value").alias("xml"))
 
 
-def _attr(tag: Column, *names: str) -> Column:
-    """The first of the named attributes that is there, decoded and trimmed; null where none is."""
+def _attr(*names: str) -> Column:
+    """The first of the named attributes that is there, as written; null where none is."""
     def one(name: str) -> Column:
         pattern = rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-        value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-        return F.when(tag.rlike(pattern), js_trim(decode_entities(value)))
+        return F.when(F.col("tag").rlike(pattern), F.concat(F.regexp_extract("tag", pattern, 1),
+                                                            F.regexp_extract("tag", pattern, 2)))
 
     return F.coalesce(*[one(n) for n in names])
 
@@ -30,7 +31,8 @@ def opml_feeds(files: DataFrame) -> DataFrame:
     """The feeds of each list in order: ``doc_id, pos, feed_url, title, site_url, folder``.
 
     A feed's folder is the label of the nearest outline around it that is no feed itself and has a label. Outlines are
-    read level by level, each level one running lookup in file order, so nesting may be of any depth.
+    read level by level, each level one running lookup in file order, so nesting may be of any depth. The tags are stored
+    once parsed, as their depth is asked for first.
     """
     clean = F.regexp_replace("xml", r"<!--[\s\S]*?-->", "")
     # Only outlines inside the body count; a file without a body holds no feeds.
@@ -43,11 +45,12 @@ def opml_feeds(files: DataFrame) -> DataFrame:
     in_file = Window.partitionBy("doc_id").orderBy("pos")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("depth", F.coalesce(F.sum(change).over(before), F.lit(0))).filter(opens)
-    rows = rows.withColumns({
-        "feed_url": blank_to_null(_attr(F.col("tag"), "xmlUrl", "xmlurl")),
-        "site_url": blank_to_null(_attr(F.col("tag"), "htmlUrl", "htmlurl")),
-        "title": F.coalesce(_attr(F.col("tag"), "title", "text"), F.lit("")),
-        "nests": nests}).drop("tag")
+    raw = {"feed_url": _attr("xmlUrl", "xmlurl"), "site_url": _attr("htmlUrl", "htmlurl"), "title": _attr("title", "text")}
+    rows = rows.select("doc_id", "pos", "depth", nests.alias("nests"), *[v.alias(k) for k, v in raw.items()])
+    clean_value = lambda c: blank_to_null(js_trim(decode_entities(F.col(c))))
+    rows = rows.withColumns({"feed_url": clean_value("feed_url"), "site_url": clean_value("site_url"),
+                             "title": F.coalesce(clean_value("title"), F.lit(""))})
+    rows = stored(rows)
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     rows = rows.withColumn("folder", F.lit(None).cast("string"))
     for level in range(deepest):

@@ -48,7 +48,7 @@ def test_ingest_survives_repeats(spark, tmp_path):
     page = '<div class="c"><a href="/1">one</a></div><div class="c"><a href="/2">two</a></div>'
     rule = '{"item":".c"}'
     batches = [
-        [response(0, 1, rss("a", "b")), response(1, 2, page, "scrape", rule), response(2, 3, "<html>challenge")],
+        [response(0, 1, rss("a", "b")), response(1, 2, page, "scrape", rule), response(2, 3, "gone", status=410)],
         [response(3, 1, rss("b", "c")), response(4, 2, page, "scrape", rule), response(5, 4, page, "scrape", "{oops"),
          response(6, 1, "", status=304)]]
     for rows in batches:
