@@ -76,11 +76,14 @@ def apply_actions(items: DataFrame, actions: DataFrame, feeds: DataFrame, arrive
 
 
 def merge_state(items: DataFrame, state: DataFrame) -> DataFrame:
-    """Items with the state columns replaced."""
-    fresh = state.select("item_id", *[F.col(c).alias(f"_{c}") for c in ("is_read", "is_starred", "read_at")])
-    joined = items.drop("is_read", "is_starred", "read_at").join(fresh, "item_id")
-    return joined.select(*[F.col(f"_{c}").alias(c) if c in ("is_read", "is_starred", "read_at") else c
-                           for c in items.columns])
+    """Items with new read and star state. Only changed rows take part, so wide rows stay put while changes are few."""
+    parts = ("is_read", "is_starred", "read_at")
+    new = state.select("item_id", F.struct(*parts).alias("_new"))
+    old = items.select("item_id", F.struct(*parts).alias("_old"))
+    changed = old.join(new, "item_id").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("item_id", "_new")
+    merged = join_checked(items, changed, "item_id", "left")
+    return merged.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+                           if c in parts else F.col(c) for c in items.columns])
 
 
 def apply_feed_edits(feeds: DataFrame, edits: DataFrame) -> DataFrame:

@@ -65,7 +65,8 @@ def discover_feeds(sites: DataFrame, crawl: DataFrame) -> DataFrame:
     """
     good = answered(crawl).withColumn("is_feed", _is_feed())
     final = F.coalesce("final_url", "url")
-    read = parse_feeds(good.select("url", final.alias("landed"), "content_type", "body")).select(
+    read = parse_feeds(good.select("url", final.alias("landed"), "content_type",
+                                   F.when(F.col("is_feed"), F.col("body")).alias("body"))).select(
         "url", "landed", "feed_title", F.col("site_url").alias("states_site"))
 
     def lookup(prefix: str) -> DataFrame:

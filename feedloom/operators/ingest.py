@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from feedloom.functions.urls import video_id
-from feedloom.operators.ranking import top_per_key
+from feedloom.operators.ranking import ordinals, top_per_key
 from feedloom.schemas import MAX_ITEMS_PER_POLL, RETAIN_PER_FEED
 
 _NEWEST = ("published_at desc nulls last", "feed_pos asc")
@@ -59,14 +59,17 @@ def new_items(batch: DataFrame, stored: DataFrame, verdicts: DataFrame, poll_key
     return insert_ignore(first_wins(kept), stored)
 
 
-def with_ids(fresh: DataFrame, stored: DataFrame, cap: int = RETAIN_PER_FEED) -> DataFrame:
+def with_ids(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Give new rows ids that grow with recency inside each feed.
 
-    An id is ``base + rank * stride + feed_id``: ranks are per feed and a poll inserts few rows per feed, so no global
-    sort is needed and ids never collide.
+    An id is ``base + rank * stride + feed_id``: ranks are per feed, so no global sort is needed and ids never collide.
+    Ranks are counted day by day (undated rows by place), so a feed with a third of the rows is not one task's work.
     """
-    bounds = stored.agg(F.max("item_id").alias("top"))
-    base = F.coalesce(bounds.scalar(), F.lit(0).cast("bigint"))
-    stride = F.coalesce(fresh.agg(F.max("feed_id")).scalar(), F.lit(0).cast("bigint")) + 1
-    rank = F.row_number().over(Window.partitionBy("feed_id").orderBy(*_order(_OLDEST), "guid"))
-    return fresh.withColumn("item_id", base + rank * stride + F.col("feed_id"))
+    base = F.coalesce(stored.agg(F.max("item_id")).scalar(), F.lit(0).cast("bigint"))
+    top = fresh.agg(F.max(F.abs("feed_id"))).scalar()
+    stride = 2 * F.coalesce(top, F.lit(0).cast("bigint")) + 1
+    undated = F.when(F.col("published_at").isNull(), -F.col("feed_pos"))
+    chunk = F.struct(F.coalesce(F.unix_date(F.to_date("published_at")), F.lit(-2**31)).alias("day"),
+                     F.coalesce(undated, F.lit(0)).alias("place"))
+    ranked = ordinals(fresh, ["feed_id"], chunk, [*_order(_OLDEST), F.col("guid")], "_rank")
+    return ranked.withColumn("item_id", base + F.col("_rank") * stride + F.col("feed_id")).drop("_rank")

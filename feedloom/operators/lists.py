@@ -80,21 +80,31 @@ def items_by_id(items: DataFrame, feeds: DataFrame, wanted: DataFrame) -> DataFr
     return with_feed(items.join(wanted.select("item_id").distinct(), "item_id", "left_semi"), feeds)
 
 
+def _shown(now: Column) -> dict[str, Column]:
+    """What a list row and a reading view both show."""
+    video = urls.video_id(F.col("url"))
+    title, author = text.strip_tags(F.col("title")), text.strip_tags(F.col("author"))
+    return {
+        "title": F.when(title == "", "(untitled)").otherwise(title),
+        "author": F.when((F.col("author") != "") & (author != F.coalesce(F.col("feed_title"), F.lit(""))), author),
+        "source": F.coalesce(text.blank_to_null(F.col("feed_title")), F.lit("feed")),
+        "link": F.when(video.isNotNull(), F.concat(F.lit("/rss/watch?v="), video)).otherwise(urls.safe_url(F.col("url"))),
+        "is_video": video.isNotNull(),
+        "age": dates.relative_date(sort_time(), now),
+    }
+
+
 def item_cards(listed: DataFrame, now: Column) -> DataFrame:
     """What a list row shows: plain title, author unless it repeats the feed, excerpt, link, video flag, age."""
-    video = urls.video_id(F.col("url"))
-    title = text.strip_tags(F.col("title"))
-    author = text.strip_tags(F.col("author"))
     body = F.coalesce(text.blank_to_null(F.col("summary")), text.blank_to_null(F.col("content")))
-    return listed.select(
-        "item_id", "feed_id",
-        F.when(title == "", "(untitled)").otherwise(title).alias("title"),
-        F.when((F.col("author") != "") & (author != F.coalesce(F.col("feed_title"), F.lit(""))), author).alias("author"),
-        F.coalesce(text.blank_to_null(F.col("feed_title")), F.lit("feed")).alias("source"),
-        F.when(video.isNotNull(), F.concat(F.lit("/rss/watch?v="), video))
-        .otherwise(urls.safe_url(F.col("url"))).alias("link"),
-        video.isNotNull().alias("is_video"),
-        text.excerpt(body).alias("excerpt"),
-        dates.relative_date(sort_time(), now).alias("age"),
-        "is_read", "is_starred",
-    )
+    shown = [c.alias(n) for n, c in _shown(now).items()]
+    return listed.select("item_id", "feed_id", *shown, text.excerpt(body).alias("excerpt"), "is_read", "is_starred")
+
+
+def item_views(listed: DataFrame, now: Column) -> DataFrame:
+    """What a reading view shows: the card's fields, the feed's site, the body's paragraphs and its safe links."""
+    body = F.coalesce(text.blank_to_null(F.col("content")), text.blank_to_null(F.col("summary")), F.lit(""))
+    shown = [c.alias(n) for n, c in _shown(now).items()]
+    return listed.withColumn("_body", body).select(
+        "item_id", "feed_id", *shown, urls.safe_url(F.col("feed_site")).alias("site"),
+        text.reading_paragraphs(F.col("_body")).alias("paragraphs"), text.reading_links(F.col("_body")).alias("links"))

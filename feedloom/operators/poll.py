@@ -90,7 +90,7 @@ def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts:
     outcomes, entries = read_responses(fetches.join(due, "feed_id", "left_semi"))
     outcomes = stored(outcomes)
     fresh = stored(ingest.new_items(entries, items, verdicts, ["feed_id", "fetch_id"], cap, bounded=True))
-    rows = ingest.with_ids(fresh, items, cap).withColumns({
+    rows = ingest.with_ids(fresh, items).withColumns({
         "fetched_at": now, "is_read": F.lit(0), "is_starred": F.lit(0), "read_at": F.lit(None).cast("timestamp")})
     grown = items.unionByName(rows.select(*items.columns))
 

@@ -30,17 +30,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     )
 
 
-def ordinals(df: DataFrame, keys: Sequence[str], order: str, chunk: int, name: str = "ordinal") -> DataFrame:
-    """1-based position of every row within its key, ordered by the whole-number column ``order`` (unique per key).
+def ordinals(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], name: str = "ordinal") -> DataFrame:
+    """1-based position of every row within its key.
 
-    Rows are numbered inside chunks of ``chunk`` consecutive order values, and a running total over the chunk sizes
-    gives each chunk its offset, so no key is ever sorted by one task.
+    ``chunk`` must rise with ``order``. Rows are numbered inside (key, chunk), and a running total over one row per
+    chunk gives each chunk its offset, so no key is sorted whole by one task.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    cut = df.withColumn("_chunk", chunk)
     sizes = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
         cut.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_chunk"])

@@ -1,6 +1,7 @@
 """Full-text search over title, summary and content: postings, AND match, BM25 rank."""
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -78,34 +79,34 @@ def match(index: DataFrame, terms: list[str]) -> DataFrame:
     the index scan."""
     distinct = sorted(set(terms))
     per_term = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, t in enumerate(distinct)]
-    hits = index.filter(F.col("term").isin(distinct)).groupBy("item_id").agg(
-        *per_term, F.count_distinct("term").alias("_found"))
-    return hits.filter(F.col("_found") == len(distinct)).drop("_found")
+    hits = index.filter(F.col("term").isin(distinct)).groupBy("item_id").agg(*per_term)
+    for i in range(len(distinct)):
+        hits = hits.filter(F.col(f"tf_{i}") > 0)
+    return hits
 
 
 def bm25(index: DataFrame, sizes: DataFrame, terms: list[str]) -> DataFrame:
     """``item_id, score`` for every match, higher is better. A term asked for twice weighs twice."""
     weights = Counter(terms)
     distinct = sorted(weights)
-    n, avgdl = sizes.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.avg("dl")).scalar()
-    wanted = index.filter(F.col("term").isin(distinct))
-    # One (item, term) row per posting of any column is counted once.
-    df = wanted.select("term", "item_id").distinct().groupBy().agg(
-        *[F.count_if(F.col("term") == t).alias(f"df_{i}") for i, t in enumerate(distinct)])
-    df_of = lambda i: df.select(f"df_{i}").scalar()
-    idf = lambda i: F.greatest(F.log((n - df_of(i) + 0.5) / (df_of(i) + 0.5)), F.lit(IDF_FLOOR))
-    norm = K1 * (1 - B + B * F.col("dl") / avgdl)
+    # Two one-row aggregates; the document counts are of (item, term), whatever the column.
+    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    held = index.filter(F.col("term").isin(distinct)).select("term", "item_id").distinct().agg(
+        *[F.count_if(F.col("term") == t).alias(f"df_{i}") for i, t in enumerate(distinct)]).first()
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(total.avgdl or 1.0))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
-        tf = F.col(f"tf_{i}")
-        score = score + weights[t] * idf(i) * tf * (K1 + 1) / (tf + norm)
+        df = held[f"df_{i}"]
+        idf = max(math.log((total.n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+        score = score + weights[t] * idf * F.col(f"tf_{i}") * (K1 + 1) / (F.col(f"tf_{i}") + norm)
     return match(index, terms).join(sizes, "item_id").select("item_id", score.alias("score"))
 
 
 def build_index(items: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Stored postings and lengths."""
-    index = stored(postings(items))
-    return (stored(stem_postings(index)) if stemmed else index), stored(lengths(items, index))
+    """Stored postings and lengths. Files are sorted by term, so a search reads the row groups of its terms."""
+    plain = stored(postings(items).sortWithinPartitions("term"))
+    index = stored(stem_postings(plain).sortWithinPartitions("term")) if stemmed else plain
+    return index, stored(lengths(items, plain))
 
 
 def search(items: DataFrame, feeds: DataFrame, q: str, index: tuple[DataFrame, DataFrame], stemmed: bool = True,

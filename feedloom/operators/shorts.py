@@ -37,7 +37,7 @@ def probe_plan(work: DataFrame, per_feed: int = PROBES_PER_FEED, per_run: int =
 
 def api_batches(work: DataFrame, size: int = API_BATCH) -> DataFrame:
     """The work list in numbered batches for an external duration lookup, ids joined by commas."""
-    placed = ordinals(work, ["feed_id"], "item_id", chunk=100_000)
+    placed = ordinals(work, ["feed_id"], F.floor(F.col("item_id") / 100_000), [F.col("item_id")])
     batch = F.floor((F.col("ordinal") - 1) / size)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "video_id"))), lambda r: r["video_id"])
     return placed.groupBy("feed_id", batch.alias("batch")).agg(F.array_join(ids, ",").alias("ids"),

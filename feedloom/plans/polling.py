@@ -94,7 +94,7 @@ def _replay(t: Tables) -> DataFrame:
 
 query("ingest_ids", f"""select feed_id, guid, published_at,
  row_number() over (partition by feed_id order by published_at asc nulls first, item_id desc, guid)
- * (select max(feed_id)+1 from ({_NEW})) + feed_id + (select max(item_id) from items_v) as item_id from ({_NEW})""",
+ * (select 2*max(feed_id)+1 from ({_NEW})) + feed_id + (select max(item_id) from items_v) as item_id from ({_NEW})""",
       "items verdicts")(
     lambda t: ingest.with_ids(fresh(t).drop("item_id"), t.items).select("feed_id", "guid", "published_at", "item_id"))
 

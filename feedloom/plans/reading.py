@@ -87,6 +87,16 @@ from (select i.item_id, i.feed_id, {sql_strip('i.title')} as t, {sql_strip('i.au
  i.is_read, i.is_starred from items_v i join feeds_v f on f.feed_id=i.feed_id)""", "feeds items")(
     lambda t: lists.item_cards(lists.with_feed(t.text_items, t.feeds), now()))
 
+_INLINE = _WS.replace(r"\s\x{0B}", r"\t\x0B\f\r ")
+query("item_views", f"""select i.item_id, i.feed_id, {sql_strip('i.title')} as title, f.site_url as site,
+ array_to_string(list_filter(list_transform(string_split_regex({sql_decode("regexp_replace(i.content,'<[^>]+>',' ','g')")}, '\n{{2,}}'),
+  lambda p: regexp_replace(regexp_replace(regexp_replace(p, '{_INLINE}', ' ', 'g'), ' *\n *', chr(10), 'g'),
+  '^[ \n]+|[ \n]+$', '', 'g')), lambda p: p<>''), '¶') as body, cast(0 as bigint) as links
+from items_v i join feeds_v f on f.feed_id=i.feed_id""", "feeds items")(
+    lambda t: lists.item_views(lists.with_feed(t.text_items, t.feeds), now()).select(
+        "item_id", "feed_id", "title", "site", F.array_join("paragraphs", "¶").alias("body"),
+        F.size("links").cast("bigint").alias("links")))
+
 # --- counts and folders
 
 _ROWS = """select f.*, trim(coalesce(f.folder,'')) as fname, coalesce(nullif(f.title,''),f.feed_url) as label,

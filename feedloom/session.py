@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STORED: list[str] = []
+
+
 def get_session(app: str = "feedloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session pinned to UTC with AQE on. Sizing (executors, shuffle partitions) is the cluster's to set."""
     builder = SparkSession.builder.appName(app)
@@ -46,4 +49,13 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feedloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process stored. Frames that read them must not be used afterwards."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _STORED:
+        path = hadoop.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
