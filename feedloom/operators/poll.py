@@ -88,7 +88,7 @@ def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts:
     """
     due = due_feeds(feeds, now, force).select("feed_id")
     outcomes, entries = read_responses(fetches.join(due, "feed_id", "left_semi"))
-    outcomes = stored(outcomes)
+    outcomes, entries = stored(outcomes), stored(entries)
     fresh = stored(ingest.new_items(entries, items, verdicts, ["feed_id", "fetch_id"], cap, bounded=True))
     rows = ingest.with_ids(fresh, items).withColumns({
         "fetched_at": now, "is_read": F.lit(0), "is_starred": F.lit(0), "read_at": F.lit(None).cast("timestamp")})

@@ -13,6 +13,7 @@ from feedloom.operators.joins import spread_small
 
 NOW = "2024-01-31 12:00:00"
 
+# The sources, and a few feeds that hold nothing.
 FEEDS = """
 select cast(feed_id as bigint) as feed_id,
  case when feed_id%10=1 then concat('https://www.youtube.com/feeds/videos.xml?channel_id=UC', source)
@@ -29,8 +30,8 @@ select cast(feed_id as bigint) as feed_id,
  case when feed_id%3=0 then 'Mon, 01 Jan 2024 00:00:00 GMT' end as last_modified,
  case when feed_id%3=2 then 'scrape' else 'feed' end as kind,
  case when feed_id%3=2 then (feed_id%4)*30+2 end as last_item_count
-from (select distinct cast(substring(source,4) as int)+1 as feed_id, source from {documents}
-      union all select 21,'src20' union all select 22,'src21') t
+from (select distinct cast(substring(source,4) as int)+1 as feed_id, source from (select source from {documents}
+      union all select concat('src', cast(n_nationkey as string)) from {nation}) s) t
 """
 
 ITEMS = """
@@ -140,7 +141,7 @@ from {pages}
 VIEWS = {"feeds": FEEDS, "items": ITEMS, "polls": POLLS, "probes": PROBES, "verdicts": VERDICTS, "actions": ACTIONS,
          "runs": RUNS, "landed": LANDED, "outcomes": OUTCOMES, "edits": EDITS, "requests": REQUESTS,
          "page_fetches": PAGE_FETCHES}
-SOURCES = ("documents", "labels", "pages", "events")
+SOURCES = ("documents", "labels", "pages", "events", "nation")
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -16,6 +16,7 @@ def ingest_batch(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: T
     """One micro-batch: read the responses, insert what is new, log the polls. A repeated batch changes nothing."""
     fetches = stored(fetches)
     outcomes, entries = read_responses(fetches)
+    entries = stored(entries)
     when = fetches.select("fetch_id", "fetched_at")
     known = items.read()
     fresh = stored(ingest.new_items(entries, known, verdicts, ["feed_id", "fetch_id"], bounded=True))

@@ -189,6 +189,8 @@ def test_actions(spark):
     everything = log.union(spark.createDataFrame([(9, at(6), "mark-all", None, None, None, 1)], log.schema))
     got = {r.item_id: (r.is_read, r.read_at) for r in actions.apply_actions(held, everything, feeds).collect()}
     assert got == {1: (1, at(2)), 2: (1, at(3)), 3: (1, at(6)), 4: (1, at(2)), 5: (1, at(6)), 6: (1, at(6))}
+    merged = actions.merge_state(held, actions.apply_actions(held, log, feeds)).collect()
+    assert {r.item_id: (r.feed_id, r.is_read, r.read_at) for r in merged}[4] == (2, 1, at(2)) and len(merged) == 6
 
 
 def test_folders_and_subscriptions(spark):
