@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.porter import porter_stem_udf, stem
 from feedloom.operators.joins import join_checked
-from feedloom.operators.lists import in_scope, with_feed
+from feedloom.operators.lists import View, in_scope, list_items, with_feed
 from feedloom.schemas import PAGE_SIZE, QUERY_CAP, QUERY_TOKENS
 from feedloom.session import stored
 
@@ -110,15 +110,17 @@ def build_index(items: DataFrame, stemmed: bool = True) -> tuple[DataFrame, Data
 
 
 def search(items: DataFrame, feeds: DataFrame, q: str, index: tuple[DataFrame, DataFrame], stemmed: bool = True,
-           feed_id: int | None = None, folder: str | None = None, page: int = 0,
+           view: View = "unread", feed_id: int | None = None, folder: str | None = None, page: int = 0,
            page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of matches, best first, newer first on ties. The view filter does not apply; feed and folder do.
 
-    ``index`` is what ``build_index`` stored with the same ``stemmed``. Only the page's rows meet the wide items.
+    ``index`` is what ``build_index`` stored with the same ``stemmed``. Only the page's rows meet the wide items. A query
+    without a letter or digit is the plain list of ``view``.
     """
     terms = query_terms(q, stemmed)
     if not terms:
-        raise ValueError("a query without letters or digits is a plain list: use list_items")
+        listed = list_items(items, feeds, view, feed_id, folder, page, page_size=page_size)
+        return listed.withColumn("score", F.lit(None).cast("double"))
     scoped = in_scope(items.select("item_id", "feed_id"), feeds, feed_id, folder).select("item_id")
     best = [F.col("score").desc(), F.col("item_id").desc()]
     top = bm25(*index, terms).join(scoped, "item_id", "left_semi").orderBy(*best).offset(page * page_size).limit(page_size)

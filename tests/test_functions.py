@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import dates, identity, text, urls
+from feedloom.functions import dates, identity, sql, text, urls
 from feedloom.functions.porter import stem
 from feedloom.operators import search
 from feedloom.schemas import ITEMS
@@ -117,5 +117,20 @@ def test_rank_against_brute_force(spark, q, stemmed):
     assert page == sorted(want, key=lambda i: (-round(want[i], 12), -i))
 
 
-def test_a_query_without_words_is_no_search(spark):
+def test_a_query_without_words_is_the_plain_list(spark):
     assert search.query_terms("  !? _ ") == [] and len(search.query_terms(" ".join("abcdefghijklmnop"))) == 12
+    table, texts = docs(spark)
+    feeds = spark.createDataFrame([(1, "F", None, None)], "feed_id bigint, title string, site_url string, folder string")
+    assert search.search(table, feeds, "?!", search.build_index(table), view="all").count() == len(texts)
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    table = spark.createDataFrame([(1, "https://h.example/", "<p>a <b class='x y'>b</b></p>"), (2, "https://h.example/", "<i>c</i>")],
+                                  "page_id bigint, url string, html string")
+    rows = spark.sql("select n.page_id, n.tag, n.text, n.classes from {pages} p, lateral html_nodes(p.page_id, p.url, p.html) n",
+                     pages=table).collect()
+    assert sorted((r.page_id, r.tag, r.text, r.classes) for r in rows) == [
+        (1, "b", "b", ["x", "y"]), (1, "p", "a b", []), (2, "i", "c", [])]
+    assert spark.sql("select porter_stem('running') s, resolve_url('b', 'https://h.example/a/') u").first() == (
+        "run", "https://h.example/a/b")
