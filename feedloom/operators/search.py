@@ -5,6 +5,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,48 +75,72 @@ def lengths(items: DataFrame, index: DataFrame) -> DataFrame:
     return items.select("item_id").join(totals, "item_id", "left").select("item_id", F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
-def match(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Items that hold every term in any column: ``item_id, tfs`` (a count per distinct term). The term filter reaches
-    the index scan."""
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class Index:
+    """Stored postings (``bucket, term, item_id, tf, dl``) and the two totals a rank needs."""
+    postings: DataFrame
+    n: int
+    avgdl: float
+    buckets: int
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: only the folders of their buckets are read."""
+        asked = [F.lit(t) for t in terms]
+        folders = [term_bucket(t, self.buckets) for t in asked]
+        return self.postings.filter(F.col("bucket").isin(*folders) & F.col("term").isin(*asked))
+
+
+def build_index(items: DataFrame, stemmed: bool = True, buckets: int = 64) -> Index:
+    """Postings of all columns together, with each item's length beside its terms, stored in folders by term.
+
+    A search then reads its terms' folders and joins nothing. Folders are rebalanced, so a term that every item holds is
+    many files and a rare one few.
+    """
+    plain = stored(postings(items))
+    sizes = stored(lengths(items, plain))
+    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    terms = stem_postings(plain) if stemmed else plain
+    whole = terms.groupBy("item_id", "term").agg(F.sum("tf").alias("tf")).join(sizes, "item_id")
+    placed = whole.withColumn("bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
+    return Index(stored(placed.sortWithinPartitions("bucket", "term"), "bucket"), total.n, total.avgdl or 1.0, buckets)
+
+
+def match(index: Index, terms: list[str]) -> DataFrame:
+    """Items that hold every term in any column: ``item_id, dl`` and a count ``tf_i`` per distinct term."""
     distinct = sorted(set(terms))
     per_term = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, t in enumerate(distinct)]
-    hits = index.filter(F.col("term").isin(distinct)).groupBy("item_id").agg(*per_term)
+    hits = index.of(distinct).groupBy("item_id").agg(F.first("dl").alias("dl"), *per_term)
     for i in range(len(distinct)):
         hits = hits.filter(F.col(f"tf_{i}") > 0)
     return hits
 
 
-def bm25(index: DataFrame, sizes: DataFrame, terms: list[str]) -> DataFrame:
+def bm25(index: Index, terms: list[str]) -> DataFrame:
     """``item_id, score`` for every match, higher is better. A term asked for twice weighs twice."""
     weights = Counter(terms)
     distinct = sorted(weights)
-    # Two one-row aggregates; the document counts are of (item, term), whatever the column.
-    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    held = index.filter(F.col("term").isin(distinct)).select("term", "item_id").distinct().agg(
-        *[F.count_if(F.col("term") == t).alias(f"df_{i}") for i, t in enumerate(distinct)]).first()
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(total.avgdl or 1.0))
+    # One row of document counts, a column per term of the query.
+    held = index.of(distinct).agg(*[F.count_if(F.col("term") == t).alias(f"df_{i}") for i, t in enumerate(distinct)]).first()
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         df = held[f"df_{i}"]
-        idf = max(math.log((total.n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+        idf = max(math.log((index.n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
         score = score + weights[t] * idf * F.col(f"tf_{i}") * (K1 + 1) / (F.col(f"tf_{i}") + norm)
-    return match(index, terms).join(sizes, "item_id").select("item_id", score.alias("score"))
-
-
-def build_index(items: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Stored postings and lengths. Files are sorted by term, so a search reads the row groups of its terms."""
-    plain = stored(postings(items).sortWithinPartitions("term"))
-    index = stored(stem_postings(plain).sortWithinPartitions("term")) if stemmed else plain
-    return index, stored(lengths(items, plain))
+    return match(index, terms).select("item_id", score.alias("score"))
 
 
-def search(items: DataFrame, feeds: DataFrame, q: str, index: tuple[DataFrame, DataFrame], stemmed: bool = True,
+def search(items: DataFrame, feeds: DataFrame, q: str, index: Index, stemmed: bool = True,
            view: View = "unread", feed_id: int | None = None, folder: str | None = None, page: int = 0,
            page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of matches, best first, newer first on ties. The view filter does not apply; feed and folder do.
 
-    ``index`` is what ``build_index`` stored with the same ``stemmed``. Only the page's rows meet the wide items. A query
-    without a letter or digit is the plain list of ``view``.
+    ``index`` was built with the same ``stemmed``. Only the page's rows meet the wide items. A query without a letter or
+    digit is the plain list of ``view``.
     """
     terms = query_terms(q, stemmed)
     if not terms:
@@ -123,11 +148,11 @@ def search(items: DataFrame, feeds: DataFrame, q: str, index: tuple[DataFrame, D
         return listed.withColumn("score", F.lit(None).cast("double"))
     scoped = in_scope(items.select("item_id", "feed_id"), feeds, feed_id, folder).select("item_id")
     best = [F.col("score").desc(), F.col("item_id").desc()]
-    top = bm25(*index, terms).join(scoped, "item_id", "left_semi").orderBy(*best).offset(page * page_size).limit(page_size)
+    top = bm25(index, terms).join(scoped, "item_id", "left_semi").orderBy(*best).offset(page * page_size).limit(page_size)
     return with_feed(items.join(top, "item_id"), feeds, "score").orderBy(*best).limit(page_size)
 
 
-def search_count(items: DataFrame, feeds: DataFrame, q: str, index: tuple[DataFrame, DataFrame], stemmed: bool = True,
+def search_count(items: DataFrame, feeds: DataFrame, q: str, index: Index, stemmed: bool = True,
                  feed_id: int | None = None, folder: str | None = None) -> DataFrame:
     scoped = in_scope(items.select("item_id", "feed_id"), feeds, feed_id, folder)
-    return match(index[0], query_terms(q, stemmed)).join(scoped, "item_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return match(index, query_terms(q, stemmed)).join(scoped, "item_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))

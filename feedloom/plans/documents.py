@@ -192,13 +192,23 @@ query("parse_rules", """select page_id, case page_id%8 when 0 then '.card' when
     .select("page_id", "rule.item", "rule.title", "rule.link"))
 
 
-@query("suggest_rules")
+# The only repeated linked block of these pages is the menu; it counts where two of its labels are long enough.
+_LIST = """select page_id, url, len(w) as n, list_avg(list_transform(w, lambda x: length(x))) as avg_title from (select page_id, url,
+ regexp_extract_all(html,'<li><a href="[^"]*">([^<]*)</a>',1) as w from pages)
+where len(w)>=3 and len(list_filter(w, lambda x: length(x)>=8))>=2"""
+
+
+@query("suggest_rules", f"""select page_id, 1 as rank, 'li' as item, cast(null as varchar) as link, n,
+ round(least(avg_title,80)*log2(n+1),6) as score from ({_LIST})""")
 def _suggest(t: Tables) -> DataFrame:
     return suggest.suggest_rules(stored(nodes(t))).select("page_id", "rank", "rule.item", "rule.link", "n",
                                                           F.round("score", 6).alias("score"))
 
 
-query("scrape_preview")(lambda t: suggest.scrape_preview(t.pages).select("page_id", "url", "rank", "rule.item", "n", "reason"))
+query("scrape_preview", f"""select p.page_id, p.url, case when l.n is not null then 1 end as rank,
+ case when l.n is not null then 'li' end as item, l.n, case when l.n is null then
+ 'nothing on the page reads as a list of articles (a repeated block of linked headlines)' end as reason
+from pages p left join ({_LIST}) l on l.page_id=p.page_id""")(lambda t: suggest.scrape_preview(t.pages).select("page_id", "url", "rank", "rule.item", "n", "reason"))
 
 
 @query("add_scrapes", f"""select page_id, case when n=0 then 'error' else 'ok' end as status, n, case when n=0 then

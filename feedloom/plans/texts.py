@@ -195,7 +195,7 @@ query("search", _bm25_sql(["de", "la"], "f.folder='News'"), "items feeds")(lambd
 query("search_bm25", _bm25_sql(["que"]), "items feeds")(lambda t: _found(t, "Qué"))
 query("search_count", f"""select count(*) as n from (select item_id from ({_POST}) where term in ('de','la') group by 1
  having count(distinct term)=2)""", "items")(
-    lambda t: search.search_count(t.items, t.feeds, "la de", (search.postings(t.text_items), None),
+    lambda t: search.search_count(t.items, t.feeds, "la de", search.build_index(t.text_items, stemmed=False),
                                   stemmed=False))
 
 

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once as a table under the shared folder and read it back.
 
     Later jobs and replaced executors then re-read columns instead of repeating the work, and the planner knows the
@@ -48,7 +48,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feedloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from feedloom.functions.urls import is_http
 from feedloom.schemas import FEED_TITLE_CAP, FOLDER_CAP
 from feedloom.session import stored
 
-_TAGS = r"""<outline\b(?:[^>"']|"[^"]*"|'[^']*')*>|</outline\s*>|</?body\b[^>]*>"""
+_TAGS = r"""<outline\b(?:[^>"']++|"[^"]*"|'[^']*')*+>|</outline\s*>|</?body\b[^>]*>"""
 
 
 def read_opml(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ class Table:
         out.close()
 
     def _write(self, df: DataFrame) -> str:
-        part = f"{self.path}/part-{uuid.uuid4().hex}"
+        part = f"{self.path}/part={uuid.uuid4().hex}"
         if self.bucket_by:
             # Rows of one feed share a folder, and a large feed is still many files inside it.
             df = df.withColumn("bucket", F.pmod(F.xxhash64(self.bucket_by), F.lit(FEED_BUCKETS)).cast("int"))
@@ -52,12 +52,8 @@ class Table:
         parts = self.manifest()["parts"]
         if not parts:
             return self.spark.createDataFrame([], self.schema)
-        schema = self.schema + (", bucket int" if self.bucket_by else "")
-        frames = [self.spark.read.schema(schema).parquet(p) for p in parts]
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out.drop("bucket") if self.bucket_by else out
+        schema = self.schema + ", part string" + (", bucket int" if self.bucket_by else "")
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*parts).drop("part", "bucket")
 
     def append(self, df: DataFrame, stream: str | None = None, batch_id: int | None = None) -> bool:
         """Add rows. With a stream's batch id a repeated batch is recognised and changes nothing."""

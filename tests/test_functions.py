@@ -109,11 +109,11 @@ def test_rank_against_brute_force(spark, q, stemmed):
         if all(t in words for t in terms):
             want[i] = sum(max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / avg))
                           for t in terms for df in [sum(t in w for w in tokens)] for tf in [words.count(t)])
-    index, sizes = search.build_index(table, stemmed)
-    got = {r.item_id: r.score for r in search.bm25(index, sizes, terms).collect()}
+    index = search.build_index(table, stemmed, buckets=4)
+    got = {r.item_id: r.score for r in search.bm25(index, terms).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
     feeds = spark.createDataFrame([(1, "F", None, None)], "feed_id bigint, title string, site_url string, folder string")
-    page = [r.item_id for r in search.search(table, feeds, q, (index, sizes), stemmed).collect()]
+    page = [r.item_id for r in search.search(table, feeds, q, index, stemmed).collect()]
     assert page == sorted(want, key=lambda i: (-round(want[i], 12), -i))
 
 
