@@ -53,28 +53,24 @@ def query_terms(q: str, stemmed: bool = True) -> list[str]:
     return [stem(w) if stemmed else w for w in folded]
 
 
+# The outer explode keeps the optimizer from adding a non-empty filter below it, which would tokenize every text again.
+
 def postings(items: DataFrame) -> DataFrame:
     """``term, item_id, col, tf``. A row's tokens are counted before they leave its task, so the shuffle carries distinct
     (item, column, term) only."""
     by_column = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("terms")) for c in TEXT_COLUMNS])
     return (items.select("item_id", F.explode(by_column).alias("t"))
-            .select("item_id", F.col("t.col").alias("col"), F.explode("t.terms").alias("term"))
-            .groupBy("term", "item_id", "col").agg(F.count(F.lit(1)).alias("tf")))
+            .select("item_id", F.col("t.col").alias("col"), F.explode_outer("t.terms").alias("term"))
+            .filter("term is not null").groupBy("term", "item_id", "col").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def stem_postings(index: DataFrame) -> DataFrame:
-    """Postings by stem. Only the distinct terms go through Python."""
-    stems = index.select("term").distinct().withColumn("stem", porter_stem_udf(F.col("term")))
-    return (join_checked(index, stems, "term", "inner").groupBy(F.col("stem").alias("term"), "item_id", "col")
+def by_stem(counts: DataFrame, *keys: str) -> DataFrame:
+    """Term counts added up by stem. Only the distinct terms go through Python."""
+    stems = counts.select("term").distinct().withColumn("stem", porter_stem_udf(F.col("term")))
+    return (join_checked(counts, stems, "term", "inner").groupBy(*keys, F.col("stem").alias("term"))
             .agg(F.sum("tf").alias("tf")))
 
 
-def lengths(items: DataFrame, index: DataFrame) -> DataFrame:
-    """``item_id, dl``: how many tokens each item holds, from its postings; an item without any counts as empty."""
-    totals = index.groupBy("item_id").agg(F.sum("tf").alias("dl"))
-    return items.select("item_id").join(totals, "item_id", "left").select("item_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-
-
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -97,16 +93,20 @@ class Index:
 def build_index(items: DataFrame, stemmed: bool = True, buckets: int = 64) -> Index:
     """Postings of all columns together, with each item's length beside its terms, stored in folders by term.
 
-    A search then reads its terms' folders and joins nothing. Folders are rebalanced, so a term that every item holds is
-    many files and a rare one few.
+    An item's tokens and their number come from its own row, so one shuffle of (item, term) counts builds the index, and
+    a search reads its terms' folders and joins nothing. Folders are rebalanced: a term that every item holds is many
+    files and a rare one few.
     """
-    plain = stored(postings(items))
-    sizes = stored(lengths(items, plain))
-    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    terms = stem_postings(plain) if stemmed else plain
-    whole = terms.groupBy("item_id", "term").agg(F.sum("tf").alias("tf")).join(sizes, "item_id")
-    placed = whole.withColumn("bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
-    return Index(stored(placed.sortWithinPartitions("bucket", "term"), "bucket"), total.n, total.avgdl or 1.0, buckets)
+    words = F.concat(*[tokens(F.col(c)) for c in TEXT_COLUMNS])
+    counts = (items.select("item_id", words.alias("w"))
+              .select("item_id", F.size("w").cast("bigint").alias("dl"), F.explode_outer("w").alias("term"))
+              .filter("term is not null").groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    if stemmed:
+        counts = by_stem(stored(counts), "item_id", "dl")
+    placed = counts.withColumn("bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
+    index = stored(placed.sortWithinPartitions("bucket", "term"), "bucket")
+    n, held = items.count(), index.agg(F.sum("tf")).first()[0] or 0
+    return Index(index, n, held / n if held else 1.0, buckets)
 
 
 def match(index: Index, terms: list[str]) -> DataFrame:
