@@ -38,7 +38,8 @@ def opml_feeds(files: DataFrame) -> DataFrame:
     # Only outlines inside the body count; a file without a body holds no feeds.
     tags = F.filter(F.regexp_extract_all(F.regexp_extract(clean, r"(?s)<body\b[^>]*>(.*)", 1), F.lit(_TAGS), F.lit(0)),
                     lambda t: ~t.rlike("^</?body"))
-    rows = files.select("doc_id", F.posexplode(tags).alias("pos", "tag"))
+    # The outer explode keeps the tag search from running once more inside an inferred filter.
+    rows = files.select("doc_id", F.posexplode_outer(tags).alias("pos", "tag")).filter("tag is not null")
     opens = ~F.col("tag").startswith("</")
     nests = opens & ~F.col("tag").rlike(r"/\s*>$")
     change = F.when(nests, 1).when(opens, 0).otherwise(-1)
