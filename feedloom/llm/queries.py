@@ -4,9 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedloom.llm import chunk_dedup, ngram_join, packing, token_counts
+from feedloom.llm import chunk_dedup, mixing, ngram_join, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,46 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
+#: The topic of a text, here its form; the same words in both dialects.
+TOPIC = """case
+    when length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')) > length(coalesce(text, '')) / 40.0 then 'table'
+    when length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!!', '')) > length(coalesce(text, '')) / 20.0 then 'shout'
+    when lower(coalesce(text, '')) like '%license%' then 'notice'
+    when length(coalesce(text, '')) < 600 then 'note'
+    when length(coalesce(text, '')) < 8000 then 'article' else 'longform' end"""
+#: Powers of the observed token mass that make the target shares.
+POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+
+
+def mix_settings() -> dict:
+    dims: dict[str, Column] = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}
+    return {"dims": dims, "weight": F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4),
+            "targets": {d: mixing.tempered(p) for d, p in POWERS.items()}}
+
+
+def mix_oracle() -> str:
+    dims = list(POWERS)
+    steps = [f"""rows as materialized (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, {TOPIC} as topic,
+        greatest(1, ceil(strlen(coalesce(text, '')) / 4.0))::bigint as weight from documents)""",
+             "cells as materialized (select source, lang, topic, sum(weight)::double as mass from rows group by all)"]
+    steps += [f"""t_{d} as materialized (select {d}, pow(seen, {p}) / sum(pow(seen, {p})) over () as target
+        from (select {d}, sum(mass) as seen from cells group by all))""" for d, p in POWERS.items()]
+    last, fit = "cells", "mass"
+    for k in range(mixing.ROUNDS):
+        for d in dims:
+            steps.append(f"""f{k}_{d} as materialized (select source, lang, topic, mass,
+                {fit} * target / sum({fit}) over (partition by {d}) as fit from {last} join t_{d} using ({d}))""")
+            last, fit = f"f{k}_{d}", "fit"
+    return f"""with {", ".join(steps)},
+        odds as (select source, lang, topic, round((fit / mass) / max(fit / mass) over (), {mixing.PLACES}) as probability from {last})
+        select doc_id, source, lang, topic, weight, probability,
+               round(('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / {1 << 52}.0::double, {mixing.PLACES})
+               < probability as kept
+        from rows join odds using (source, lang, topic)"""
+
+
+@query("op4_mix_sources", mix_oracle())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **mix_settings())
