@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedloom.llm import chunk_dedup, mixing, ngram_join, packing, token_counts
+from feedloom.llm import chunk_dedup, mixing, ngram_join, packing, span_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def mix_oracle() -> str:
 @query("op4_mix_sources", mix_oracle())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **mix_settings())
+
+
+@query("op5_span_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
