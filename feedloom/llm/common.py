@@ -29,8 +29,11 @@ def fold(name: str, folds: int) -> Column:
 
 
 def slim_batches(spark, rows: int = 512):
-    """Arrow batches of fewer rows, so that a batch of long texts stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of fewer rows, so that a batch of long texts stays small in a Python worker. Spark reads the setting
+    when the job runs, so it stays in the session; a smaller one is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

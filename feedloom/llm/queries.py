@@ -1,12 +1,14 @@
 """The corpus operators as named queries over the driver's tables, and the SQL that checks them."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedloom.llm import chunk_dedup, mixing, ngram_join, packing, span_dedup, token_counts
+from feedloom.llm import chunk_dedup, mixing, ngram_join, packing, span_dedup, token_counts, topk, warc
+from feedloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +98,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_span_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+@query("op7_exact_top_k", """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select query_id, rank::int as rank, vec_id, score from (
+    select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score,
+           row_number() over (partition by a.vec_id order by list_dot_product(a.q, b.q) desc, b.vec_id) as rank
+    from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0)
+where rank <= 5
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op8_warc", f"""
+with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex, max(page_id) over (partition by coalesce(html, '')) as keep
+           from pages)
+select page_id, strlen(payload) as payload_bytes,
+       {" || ".join(f'''array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+           lambda s: substr('{warc.BASE32}', ((('0x' || substr(hex, {10 * k + 1}, 10))::bigint >> s) & 31)::int + 1, 1)), '')''' for k in range(4))}
+           as payload_digest,
+       case when page_id = keep then 'response' else 'revisit' end as record_type,
+       case when page_id <> keep then keep end as refers_to
+from p
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/feedloom/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, captured=F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id")))
+    return warc.merge_runs(warc.read_runs(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
