@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedloom.llm import chunk_dedup, mixing, ngram_join, packing, span_dedup, token_counts, topk, warc
+from feedloom.llm.common import fold
+from feedloom.llm import chunk_dedup, langid, mixing, ngram_join, packing, span_dedup, token_counts, topk, warc
 from feedloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path, captured=F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id")))
     return warc.merge_runs(warc.read_runs(spark, path)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    return langid.identify(docs, may_learn=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
