@@ -111,5 +111,6 @@ def group_bounds(frame: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(frame))
 
 
-def empty_like(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], schema)
+def rows_frame(rows: list[tuple], columns: Sequence[str]) -> pd.DataFrame:
+    """A frame of plain objects: no column is guessed to be a number or to lie in several chunks of text."""
+    return pd.DataFrame(rows, columns=list(columns), dtype=object)

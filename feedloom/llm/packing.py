@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from feedloom.llm.common import slim_batches, whole_text
+from feedloom.llm.common import rows_frame, slim_batches, whole_text
 from feedloom.llm.encoders import text_ids, word_ids
 from feedloom.session import stored
 
@@ -80,7 +80,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, size: int, end_id: int, id_
                 total = len(ids) // 4
                 out += [(doc, k, k * size, min(size, total - k * size), crc32(ids[4 * k * size:4 * (k + 1) * size]), row)
                         for k in range(-(-total // size))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+            yield rows_frame(out, ("doc_id", "piece", "start", "length", "ids_crc32", "row"))
 
     slim_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"),

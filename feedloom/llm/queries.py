@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedloom.llm.common import fold
-from feedloom.llm import chunk_dedup, langid, mixing, ngram_join, packing, span_dedup, token_counts, topk, warc
+from feedloom.llm import chunk_dedup, langid, mixing, ngram_join, packing, span_dedup, token_counts, topk, toxicity, warc
 from feedloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 4) == 2
     return langid.identify(docs, may_learn=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels").filter(~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")

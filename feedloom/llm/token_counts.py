@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.llm.common import slim_batches, whole_text
+from feedloom.llm.common import rows_frame, slim_batches, whole_text
 from feedloom.llm.encoders import Remembered, piece_lengths, pieces
 
 #: Pre-tokens in the broadcast table: at most 32 characters each, so a few megabytes.
@@ -39,7 +39,7 @@ def frequent_pieces(docs: DataFrame, text_col: str, table: int, per_task: int) -
                 if len(seen) > COUNTERS:
                     seen = Counter(dict(seen.most_common(COUNTERS // 2)))
         best = [(p, n) for p, n in seen.most_common(per_task) if n > 1 and len(p) <= LONGEST]
-        yield pd.DataFrame(best, columns=["piece", "n"])
+        yield rows_frame(best, ("piece", "n"))
 
     summaries = docs.select(whole_text(text_col).alias("text")).mapInPandas(summarise, "piece string, n long")
     top = summaries.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table)

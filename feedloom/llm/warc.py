@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from feedloom.llm.common import rows_frame
 from feedloom.session import stored
 
 #: Uncompressed bytes an archive holds, about; captures in a range of the merged index, about.
@@ -32,6 +33,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CAPTURE_SCHEMA = ("url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, "
                   "payload_digest string, refers_to long, archive string, at long, run string, place long")
+CAPTURE_COLUMNS = tuple(f.split()[0] for f in CAPTURE_SCHEMA.split(", "))
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -135,8 +137,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 found = [capture(name, *r) for r in parse(zlib.decompress(content, 31))]
                 found.sort(key=order_of)
                 rows = [(*c, name, k) for k, c in enumerate(found)]
-                names = [f.split()[0] for f in CAPTURE_SCHEMA.split(", ")]
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield rows_frame(rows, CAPTURE_COLUMNS)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInPandas(
         work, CAPTURE_SCHEMA)
@@ -144,7 +145,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def order_of(c: Sequence) -> tuple:
     """URL key, time and id; an unknown id comes first."""
-    return c[0], c[1], -1 if c[2] is None or c[2] is pd.NA else c[2], c[8], c[9]
+    return c[0], c[1], -1 if c[2] is None else c[2], c[8], c[9]
 
 
 class LoserTree:
@@ -196,24 +197,13 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lists: dict[str, list] = {}
         for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                lists.setdefault(row[10], []).append(tuple(None if x is pd.NA or x != x else x for x in row))
+            ids = {c: [None if x is None else int(x) for x in frame[c]] for c in ("page_id", "refers_to")}
+            for row in zip(*(ids.get(c, frame[c]) for c in CAPTURE_COLUMNS), strict=True):
+                lists.setdefault(row[10], []).append(row)
         merged = list(LoserTree(list(lists.values()), order_of))
         if merged:
-            yield pd.DataFrame(merged, columns=[f.split()[0] for f in CAPTURE_SCHEMA.split(", ")]).astype(
-                {"page_id": "Int64", "refers_to": "Int64"})
+            yield rows_frame(merged, CAPTURE_COLUMNS)
 
-    # Ids pass through Python as nullable numbers of 18 digits at most in a float, so they go as text.
-    texts = by_range.sortWithinPartitions("run", "place").withColumns(
-        {c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    return texts.mapInPandas(_with_ids(work), CAPTURE_SCHEMA)
-
-
-def _with_ids(work):
-    """Hand ``work`` its frames with whole-number ids again."""
-
-    def wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from work(f.assign(**{c: [None if x is None else int(x) for x in f[c]] for c in ("page_id", "refers_to")}).astype(
-            {"page_id": "Int64", "refers_to": "Int64"}) for f in frames)
-
-    return wrapped
+    # Ids pass through Python as text, so that a null among them does not turn them into floats.
+    texts = by_range.sortWithinPartitions("run", "place").withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return texts.mapInPandas(work, CAPTURE_SCHEMA)
