@@ -37,3 +37,18 @@ def sample_by(docs: DataFrame, label: Column, per_label: int, id_col: str, text_
     chosen = top_per_key(slim.withColumn("h", F.xxhash64("id")), ["label"], [F.col("h"), F.col("id")], per_label, ["h"])
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     return texts.join(F.broadcast(chosen.select("id", "label").distinct()), "id")
+
+
+def logistic_newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, rounds: int = 12) -> np.ndarray:
+    """Weights (the last one is the bias) of one logistic model for ``y`` (0 to 1), by Newton's method: for a few hundred
+    columns of very different frequency."""
+    x = np.column_stack((x, np.ones(len(x))))
+    weight = weight / weight.sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + ridge * w
+        bend = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x
+        bend[np.diag_indices_from(bend)] += ridge
+        w = w - np.linalg.solve(bend, slope)
+    return w

@@ -10,7 +10,8 @@ documents. If voters erred independently, the covariance of voters i and j would
 share of toxic texts and d_i tells how much more often i votes on toxic ones. The d are fitted to all pairs, starting at
 the labelled sample and leaving out pairs that the fit shows to be correlated; a voter that repeats others weighs less.
 
-Bounds, all of them parameters: ``per_label`` labelled texts of each label; ``terms`` lexicon voters. Everything else
+Bounds, all of them parameters: ``per_label`` labelled texts of each label for the terms, ``fitted`` of them for the
+models; ``terms`` lexicon voters. Everything else
 reads whole texts and all documents. Null and empty texts get the score of a text without any vote. Without labelled
 rows every text scores 0.
 """
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from feedloom.llm.common import rows_frame, slim_batches, whole_text
 from feedloom.llm.encoders import Remembered
-from feedloom.llm.linear import logistic, sample_by
+from feedloom.llm.linear import logistic_newton
+from feedloom.operators.ranking import top_per_key
 
-#: Labelled texts of each label that terms, label model and classifier are fitted on; lexicon voters at most.
-PER_LABEL, TERMS = 3000, 96
+#: Labelled texts of each label that terms are picked from, and of those the ones that label model and classifier are
+#: fitted on; lexicon voters at most.
+PER_LABEL, FITTED, TERMS = 20_000, 3000, 96
 #: Common insults that vote without having been seen in labelled texts.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting",
            "clown", "jerk", "fool", "bastard", "filth", "freak", "vermin", "retard", "imbecile", "crétin", "connard", "salaud",
@@ -40,7 +43,7 @@ SPELLED = str.maketrans("013457@$!", "oieastasi")
 #: Forms of address.
 ADDRESS = ("you", "your", "du", "ihr", "tu", "vous", "tú", "usted")
 #: Lengths of word beginnings that may be terms, and buckets of the words that are none.
-BEGINNINGS, BUCKETS = (4, 5, 6), 1 << 11
+BEGINNINGS, BUCKETS = (4, 5, 6), 1 << 9
 PATTERNS = ("spelled", "spaced", "shouted", "addressed", "several", "none")
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,7 +80,7 @@ def pick_terms(counts: pd.DataFrame, toxic: int, clean: int, limit: int) -> list
     share = (counts["toxic"] + 0.1) / (toxic + 1)
     odds = share / ((counts["clean"] + 0.1) / (clean + 1))
     # A few copies of one text must not make its rare words terms.
-    good = counts[(odds >= 20) & (counts["toxic"] >= max(8, toxic / 200))].assign(size=lambda d: d["term"].str.len())
+    good = counts[(odds >= 100) & (counts["toxic"] >= max(5, 0.01 * toxic))].assign(size=lambda d: d["term"].str.len())
     good = good.sort_values(["toxic", "size", "term"], ascending=[False, False, True])
     picked: list[str] = []
     for term in good["term"]:
@@ -152,18 +155,20 @@ class LabelModel:
     prior: float
     yes: np.ndarray  # chance of each voter's vote on a toxic text
     no: np.ndarray  # and on a clean one
-    weight: np.ndarray
+    overlap: np.ndarray  # how far two voters repeat each other, from 0 to 1
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Chance that a text is toxic, from its votes; a voter that stays silent says little but something."""
-        cast = votes != 0
+        """Chance that a text is toxic, from its votes. A vote weighs less by what other votes on the text repeat of it;
+        silence weighs less by what all voters repeat."""
+        cast = (votes != 0).astype(np.float64)
         spoke, silent = np.log(self.yes / self.no), np.log((1 - self.yes) / (1 - self.no))
-        total = np.log(self.prior / (1 - self.prior)) + np.where(cast, spoke, silent) @ self.weight
+        total = np.log(self.prior / (1 - self.prior)) + (cast / (1 + cast @ self.overlap)) @ spoke
+        total += (1 - cast) @ (silent / (1 + self.overlap.sum(axis=1)))
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def fit_label_model(moments: tuple, votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 50,
-                    anchor: float = 0.1) -> LabelModel:
+                    anchor: float = 5.0) -> LabelModel:
     """Accuracies and correlations of the voters."""
     n, total, both = moments
     cast = np.abs(votes).astype(np.float64)
@@ -183,9 +188,9 @@ def fit_label_model(moments: tuple, votes: np.ndarray, labels: np.ndarray, prior
         target = np.where(free, cov / spread, 0.0)
         d = (target @ d + anchor * start) / ((free * d ** 2).sum(axis=1) + anchor)
     left = np.clip((cov - spread * np.outer(d, d)) / scale, 0, 1) * ~np.eye(len(rate), dtype=bool)
-    overlap = np.where(left >= 0.1, left, 0.0).sum(axis=1)
+    overlap = np.where(left >= 0.1, left, 0.0)
     low, high = 0.5 / (n + 1), 1 - 0.5 / (n + 1)
-    return LabelModel(prior, np.clip(rate + (1 - prior) * d, low, high), np.clip(rate - prior * d, low, high), 1 / (1 + overlap))
+    return LabelModel(prior, np.clip(rate + (1 - prior) * d, low, high), np.clip(rate - prior * d, low, high), overlap)
 
 
 class Features:
@@ -206,7 +211,7 @@ def hash_word(word: str) -> int:
     value = 0
     for b in word[:6].encode("utf-8", "replace"):
         value = (value * 31 + b) & 0xFFFFFFFF
-    return ((value * 0x9E3779B1) & 0xFFFFFFFF) >> 21
+    return ((value * 0x9E3779B1) & 0xFFFFFFFF) % BUCKETS
 
 
 def dense(votes: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
@@ -231,17 +236,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int, terms: int, id_col: str, text_col: str, label_col: str) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int, fitted: int, terms: int, id_col: str, text_col: str, label_col: str) -> Model | None:
     """Lexicon, label model and classifier; None where no row is labelled."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     if not counts:
         return None
     wanted = known.groupBy("_id").agg(F.max("_label").alias("_label"))
-    ids = sample_by(wanted.withColumn("_none", F.lit("")), F.col("_label"), per_label, "_id", "_none").select("id", "label")
     # A bounded sample: ``per_label`` ids of either label.
+    ids = top_per_key(wanted.select(F.col("_id").alias("id"), F.col("_label").alias("label"), F.xxhash64("_id").alias("h"))
+                      .filter("id is not null"), ["label"], [F.col("h"), F.col("id")], per_label, ["h"])
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(ids), "id").select(
-        "text", F.col("label").cast("int").alias("label"))
+        "text", "label", "rank")
     sampled = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     lexicon = pick_terms(term_counts(texts), sampled.get(1, 0), sampled.get(0, 0), terms)
     covered = Voters(lexicon)
@@ -253,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int, terms: int, id_col:
             rows = [make(t) for t in frame["text"]]
             yield pd.DataFrame({"label": frame["label"], "vote": [v.tobytes() for v, _ in rows], "bucket": [b.tobytes() for _, b in rows]})
 
-    rows = texts.mapInPandas(look, "label int, vote binary, bucket binary").toPandas().sort_values(["label", "vote", "bucket"])
+    rows = texts.filter(F.col("rank") <= fitted).mapInPandas(look, "label int, vote binary, bucket binary").toPandas().sort_values(["label", "vote", "bucket"])
     votes = np.frombuffer(b"".join(rows["vote"]), dtype=np.int8).reshape(len(rows), -1)
     label = rows["label"].to_numpy()
     prior = float(np.clip(counts.get(1, 0) / sum(counts.values()), 1e-4, 1 - 1e-4))
@@ -262,15 +268,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int, terms: int, id_col:
     # The sample has as many texts of either label as it can; weights bring back their real shares.
     weight = np.where(label == 1, prior / max(1, (label == 1).sum()), (1 - prior) / max(1, (label == 0).sum()))
     x = dense(votes, [np.frombuffer(b, dtype=np.int64) for b in rows["bucket"]])
-    w = logistic(x, believed[:, None].astype(np.float32), weight, ridge=1e-5, rounds=400)
-    return Model(lexicon, w[:, 0].astype(np.float64))
+    return Model(lexicon, logistic_newton(x, believed, weight))
 
 
-def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: int = TERMS, id_col: str = "doc_id",
+def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, fitted: int = FITTED, terms: int = TERMS, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted. ``labels`` holds only rows that may be learned from."""
     slim_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label, terms, id_col, text_col, label_col))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label, fitted, terms, id_col, text_col, label_col))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
