@@ -6,12 +6,13 @@ from pyspark.sql import Column, functions as F
 from feedloom.functions.text import let
 from feedloom.schemas import POLL_INTERVAL_MIN
 
-_TIME = r"(?:[,\sT]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3})\d*)?)?)?"
-_ZONE = r"\s*(Z|UTC?|GMT|[ECMP][SD]T|[+-]\d{2}:?\d{2})?(?:\s*\([^)]*\))?$"
+_TIME = r"(?:[,\sT]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3})\d*)?)?(?:\s*([ap]m))?)?"
+_ZONE = r"\s*(?:(?:UTC|GMT)(?=[+-]))?(Z|UTC?|GMT|[ECMP][SD]T|[+-]\d{2}:?\d{2})?(?:\s*\([^)]*\))?$"
 _DAY = r"(?i)^(?:[a-z]{3,9}\.?,?\s+)?"
-# Day first (RFC 822), month first, ISO. Groups 4-8 are hour, minute, second, fraction, zone in all three.
+# Day first (RFC 822), month first, month/day/year, ISO. Groups 4-9 are hour, minute, second, fraction, half, zone in all.
 _RFC = _DAY + r"(\d{1,2})[\s-]+([a-z]{3})[a-z]*\.?,?[\s-]+(\d{4}|\d{2})" + _TIME + _ZONE
 _US = _DAY + r"([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME + _ZONE
+_SLASH = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME + _ZONE
 _ISO = r"(?i)^(\d{4})(?:[-/](\d{1,2})(?:[-/](\d{1,2}))?)?" + _TIME + _ZONE
 
 # Zone names of RFC 822 and month names.
@@ -33,16 +34,19 @@ def _assemble(s: Column, pattern: str, year: Column, month: Column, day: Column)
         found = F.regexp_extract(s, pattern, g)
         return F.when(found == "", default).otherwise(found)
 
-    zone = F.upper(part(8, "Z"))
+    zone, half = F.upper(part(9, "Z")), F.lower(part(8, ""))
+    given = part(4, "0").try_cast("int")
+    clock = given % 12 + F.when(half == "pm", 12).otherwise(0)
+    hour = F.when(half == "", given).when(given.between(1, 12), clock).cast("string")
     offset = F.coalesce(_lookup(_ZONES, zone), F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
     two = lambda c: F.lpad(c, 2, "0")
-    iso = F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit("T"), two(part(4, "0")), F.lit(":"),
+    iso = F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit("T"), two(hour), F.lit(":"),
                    part(5, "00"), F.lit(":"), part(6, "00"), F.lit("."), F.rpad(part(7, "0"), 3, "0"), offset)
     return F.when(s.rlike(pattern), iso.try_cast("timestamp"))
 
 
 def parse_date(c: Column) -> Column:
-    """RFC 822, month-first or ISO text to a timestamp in whole milliseconds, else null."""
+    """RFC 822, month-first (``Jan 5, 2024``, ``1/5/2024``) or ISO text, with a 24-hour or AM/PM clock, to a timestamp in whole milliseconds, else null."""
     return let(F.trim(c), _parse_date)
 
 
@@ -55,6 +59,7 @@ def _parse_date(s: Column) -> Column:
         _assemble(s, _ISO, group(_ISO, 1), first(group(_ISO, 2)), first(group(_ISO, 3))),
         _assemble(s, _RFC, F.concat(century, year), _month(group(_RFC, 2)), group(_RFC, 1)),
         _assemble(s, _US, group(_US, 3), _month(group(_US, 1)), group(_US, 2)),
+        _assemble(s, _SLASH, group(_SLASH, 3), group(_SLASH, 1), group(_SLASH, 2)),
     )
 
 

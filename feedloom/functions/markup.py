@@ -7,14 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 from feedloom.functions.text import NAMED, WS
-from feedloom.schemas import MAX_SUMMARY
 
 # Elements without content, elements whose content is no markup, and implied end tags.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template".split())
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+RAW = {"script", "style", "noscript", "template"}
 IMPLIED = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
-MAX_DEPTH = 4000  # a page nested deeper is an error row, not a stalled task
 
 _START = re.compile(rf"<([a-zA-Z][^{WS}/>]*)")
 _ATTR = re.compile(rf"""[{WS}]*(?:(/?>)|([^{WS}=/>]+)[{WS}]*(=[{WS}]*("[^"]*"?|'[^']*'?|[^{WS}>]*))?|[=/])""")
@@ -54,37 +52,75 @@ def _attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
 
 
 class _Element:
-    __slots__ = ("row", "tag", "parts", "cursor", "links")
+    __slots__ = ("row", "tag", "pieces", "cursor", "links", "begin")
 
-    def __init__(self, row: dict, cursor: int):
-        self.row, self.tag, self.parts, self.cursor, self.links = row, row["tag"], [], cursor, 0
+    def __init__(self, row: dict, cursor: int, begin: int):
+        self.row, self.tag, self.pieces, self.cursor, self.links, self.begin = row, row["tag"], [], cursor, 0, begin
 
 
-def scan(html: str) -> list[dict] | None:
-    """Elements in document order with their extents and text, or None for a page nested too deep.
+class _PageText:
+    """The text of a page, written once. An element's text is a slice of it: what is written between its start and end,
+    without outer space. Space at an element's start is never written, and space at its end is taken back."""
 
-    An element's text is the markup-free gaps between its children and the children's own cleaned texts. Its length is
-    exact; the text itself is kept up to the longest piece ever stored from an element.
+    def __init__(self):
+        self.parts: list[str] = []
+        self.length = 0
+
+    def write(self, raw: str, begin: int) -> None:
+        """Add the text of a gap between tags to the element whose text begins at ``begin``."""
+        text = _SPACE.sub(" ", _REF.sub(_decode, raw) if "&" in raw else raw)
+        if text[:1] == " " and (self.length == begin or self.parts[-1][-1] == " "):
+            text = text[1:]
+        if text:
+            self.parts.append(text)
+            self.length += len(text)
+
+    def end(self, begin: int) -> int:
+        """Take back the space that ends an element's text, and say where the text ends."""
+        if self.length > begin and self.parts[-1][-1] == " ":
+            last = self.parts.pop()[:-1]
+            if last:
+                self.parts.append(last)
+            self.length -= 1
+        return self.length
+
+
+def _utf16_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "replace")) // 2
+
+
+def scan(html: str) -> list[dict]:
+    """Elements in document order with their extents and whole text, however deep they nest.
+
+    An element's text is the text between its children and the children's own texts, references decoded and space
+    collapsed at each level. The page's text is written once and elements are slices of it. Only where a decoded
+    reference left another one behind (``&amp;lt;``) does a level above decode further, and texts are joined level by
+    level instead.
     """
     rows: list[dict] = []
-    top = _Element({"tag": "#root", "node_id": -1}, 0)
+    page = _PageText()
+    top = _Element({"tag": "#root", "node_id": -1}, 0, 0)
     stack, open_tags, at = [top], {}, 0
 
     def close(close_start: int, end: int) -> None:
         el = stack.pop()
         open_tags[el.tag] -= 1
-        el.parts.append(html[el.cursor:close_start])
-        finish(el, stack[-1], _clean("".join(el.parts)), close_start, end)
+        page.write(html[el.cursor:close_start], el.begin)
+        el.pieces.append((el.cursor, close_start))
+        finish(el, stack[-1], (el.begin, page.end(el.begin)), close_start, end)
 
-    def finish(el: _Element, parent: _Element, text: str, close_start: int, end: int) -> None:
-        el.row.update(close_start=close_start, end=end, text=text[:MAX_SUMMARY], links=el.links,
-                      text_len=len(text) if text.isascii() else len(text.encode("utf-16-le", "replace")) // 2)
-        parent.parts.append(html[parent.cursor:el.row["start"]])
+    def finish(el: _Element, parent: _Element, span: tuple[int, int] | str, close_start: int, end: int) -> None:
+        el.row.update(close_start=close_start, end=end, text=span, links=el.links, pieces=el.pieces)
         if el.tag not in RAW:
-            parent.parts.append(text)
+            parent.pieces.append(el.row)
         parent.cursor = end
         parent.links += el.links + (el.tag == "a")
 
+    def enter(parent: _Element, start: int) -> None:
+        """The parent's text up to the element that starts there."""
+        page.write(html[parent.cursor:start], parent.begin)
+        parent.pieces.append((parent.cursor, start))
+
     while (lt := html.find("<", at)) != -1:
         if html.startswith("<!", lt):
             stop = "-->" if html.startswith("<!--", lt) else ">"
@@ -113,7 +149,8 @@ def scan(html: str) -> list[dict] | None:
                "classes": [c for c in _SPACE.split(attrs.get("class", "")) if c],
                "attrs": list(attrs.items()), "start": lt, "open_end": at}
         rows.append(row)
-        el = _Element(row, at)
+        enter(stack[-1], lt)
+        el = _Element(row, at, page.length)
         if self_closing or tag in VOID:
             finish(el, stack[-1], "", at, at)
         elif tag in RAW:
@@ -126,28 +163,40 @@ def scan(html: str) -> list[dict] | None:
         else:
             stack.append(el)
             open_tags[tag] = open_tags.get(tag, 0) + 1
-            if len(stack) > MAX_DEPTH:
-                return None
+            # Markup that is passed over (comments, stray tags) stays part of the text between tags, as it always was.
     while len(stack) > 1:
         close(len(html), len(html))
+    _give_texts(rows, "".join(page.parts), html)
     return rows
 
 
+def _give_texts(rows: list[dict], page: str, html: str) -> None:
+    """Turn spans into texts. Children come after their parents, so going backwards finds their texts ready."""
+    again = "&" in page and _REF.search(page)
+    for row in reversed(rows):
+        pieces, span = row.pop("pieces"), row["text"]
+        if not isinstance(span, str):
+            row["text"] = _clean("".join(p["text"] if isinstance(p, dict) else html[p[0]:p[1]] for p in pieces)) \
+                if again else page[span[0]:span[1]]
+        row["text_len"] = _utf16_length(row["text"])
+
+
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, url, html, error) in, element rows out; a page that cannot be read is one row with an error."""
     for batch in batches:
         out: list[dict] = []
         for page_id, url, html, error in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "error"))):
-            rows = None if error else scan(html or "")
-            if rows is None:
-                out.append({"page_id": page_id, "error": error or f"page nests over {MAX_DEPTH} elements"})
-            else:
-                for row in rows:
-                    row["page_id"] = page_id
-                    row["base_url"] = url if row["tag"] == "a" else None
-                out.extend(rows)
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
-                out = []
+            if error:
+                out.append({"page_id": page_id, "error": error})
+                continue
+            size = 0
+            for row in scan(html or ""):
+                row["page_id"] = page_id
+                row["base_url"] = url if any(name == "href" for name, _ in row["attrs"]) else None
+                out.append(row)
+                size += len(row["text"])
+                if len(out) >= 20_000 or size >= 16 << 20:
+                    yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)

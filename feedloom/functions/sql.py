@@ -16,9 +16,9 @@ class HtmlNodes:
     """``select n.* from pages p, lateral html_nodes(p.page_id, p.url, p.html) n``; bulk jobs use ``html.html_nodes``."""
 
     def eval(self, page_id: int, url: str, html: str) -> Iterator[tuple]:
-        for row in scan(html or "") or [{"error": "page nests too deep"}]:
-            given = {**row, "page_id": page_id, "base_url": url if row.get("tag") == "a" else None,
-                     "attrs": dict(row.get("attrs", []))}
+        for row in scan(html or ""):
+            attrs = dict(row["attrs"])
+            given = {**row, "page_id": page_id, "base_url": url if "href" in attrs else None, "attrs": attrs}
             yield tuple(given.get(name) for name in SCHEMA.names)
 
 

@@ -10,15 +10,16 @@ from feedloom.schemas import FEED_TITLE_CAP, FOLDER_CAP
 
 
 def _next_mark(waiting: DataFrame, marks: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """For every (item_id, since) the first mark at or after ``since`` under the same keys.
+    """For every (item_id, since) the first mark after ``since`` under the same keys. Both are (time, action id) pairs.
 
     Items are cut into salts and marks copied to each, so neither a hot feed nor a mark over everything makes one
     large sort. ``marks`` are mark-all actions, few against the items.
     """
-    items = waiting.select(*keys, "item_id", F.col("since").alias("at"), F.lit(None).cast("timestamp").alias("mark"),
+    items = waiting.select(*keys, "item_id", F.col("since").alias("at"),
+                           F.lit(None).cast("struct<ts:timestamp,action_id:bigint>").alias("mark"),
                            F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("salt"))
-    copies = marks.select(*keys, F.lit(None).cast("bigint").alias("item_id"), F.col("ts").alias("at"),
-                          F.col("ts").alias("mark"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    copies = marks.select(*keys, F.lit(None).cast("bigint").alias("item_id"), F.col("seq").alias("at"),
+                          F.col("seq").alias("mark"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     latest_first = Window.partitionBy(*keys, "salt").orderBy(F.col("at").desc(), F.col("mark").desc_nulls_last())
     seen = latest_first.rowsBetween(Window.unboundedPreceding, 0)
     found = items.unionByName(copies.withColumn("salt", F.col("salt").cast("bigint"))).withColumn(
@@ -30,10 +31,11 @@ def mark_all_scopes(actions: DataFrame, feeds: DataFrame) -> tuple[DataFrame, Da
     """Mark-all actions as (per feed, over everything). A feed scope beats a folder scope."""
     marks = actions.filter("act = 'mark-all'")
     folder = F.coalesce(F.trim("folder"), F.lit("")) if "folder" in actions.columns else F.lit("")
-    by_feed = marks.filter("feed_id is not null").select("feed_id", "ts")
-    rest = marks.filter("feed_id is null").select("ts", folder.alias("folder"))
-    by_folder = rest.filter("folder <> ''").join(feeds.select("feed_id", "folder"), "folder").select("feed_id", "ts")
-    return by_feed.unionByName(by_folder).distinct(), rest.filter("folder = ''").select("ts").distinct()
+    seq = F.struct("ts", F.col("action_id").cast("bigint").alias("action_id")).alias("seq")
+    by_feed = marks.filter("feed_id is not null").select("feed_id", seq)
+    rest = marks.filter("feed_id is null").select(seq, folder.alias("folder"))
+    by_folder = rest.filter("folder <> ''").join(feeds.select("feed_id", "folder"), "folder").select("feed_id", "seq")
+    return by_feed.unionByName(by_folder).distinct(), rest.filter("folder = ''").select("seq").distinct()
 
 
 def apply_actions(items: DataFrame, actions: DataFrame, feeds: DataFrame, arrived: Column | None = None) -> DataFrame:
@@ -43,7 +45,7 @@ def apply_actions(items: DataFrame, actions: DataFrame, feeds: DataFrame, arrive
     is unread; marking it unread clears the stamp. ``arrived`` says from when a mark-all can reach an item.
     """
     arrived = F.col("fetched_at") if arrived is None else arrived
-    own = actions.filter("act <> 'mark-all'").select("item_id", "act", "state", F.struct("ts", "action_id").alias("at"))
+    own = actions.filter("act <> 'mark-all'").select("item_id", "act", "state", F.struct("ts", F.col("action_id").cast("bigint").alias("action_id")).alias("at"))
     is_read_act = F.col("act").isin("open", "mark-read")
     unread = (F.col("act") == "mark-read") & (F.col("state") == 0)
     star = F.col("act") == "star"
@@ -58,13 +60,15 @@ def apply_actions(items: DataFrame, actions: DataFrame, feeds: DataFrame, arrive
 
     slim = items.select("item_id", "feed_id", "is_read", "is_starred", "read_at", arrived.alias("arrived"))
     state = join_checked(slim, changes, "item_id", "left")
-    since = F.greatest(F.col("arrived"), F.col("unread_at.ts"))
+    # A mark reaches an item from the second it arrived, and an unread item only by a later action.
+    reached = F.struct(F.col("arrived").alias("ts"), F.lit(-(1 << 63)).alias("action_id"))
+    since = F.when(F.col("unread_at").isNull() | (reached > F.col("unread_at")), reached).otherwise(F.col("unread_at"))
     waiting = state.filter(((F.col("is_read") == 0) | F.col("unread_at").isNotNull()) & F.col("stamp").isNull()).select(
         "item_id", "feed_id", since.alias("since"))
     by_feed, by_all = mark_all_scopes(actions, feeds)
     salts = salts_for(items)
     marked = _next_mark(waiting, by_feed, ["feed_id"], salts).unionByName(
-        _next_mark(waiting, by_all, [], 8 * salts)).groupBy("item_id").agg(F.min("next").alias("marked_at"))
+        _next_mark(waiting, by_all, [], 8 * salts)).groupBy("item_id").agg(F.min("next.ts").alias("marked_at"))
 
     first = F.least(F.col("first_read.ts"), F.col("marked_at"))
     stays = (F.col("is_read") == 1) & F.col("unread_at").isNull()
@@ -112,7 +116,7 @@ def canonical_folders(requests: DataFrame, feeds: DataFrame) -> DataFrame:
     typed, chosen = F.trim(F.coalesce("folder_new", F.lit(""))), F.trim(F.coalesce("folder", F.lit("")))
     stored = feeds.select(F.trim("folder").alias("name")).filter("name <> ''").groupBy(
         key(F.col("name")).alias("_key")).agg(F.min(F.collate("name", "UTF8_BINARY")).alias("_stored"))
-    want = F.left(F.when(typed != "", typed).otherwise(chosen), F.lit(FOLDER_CAP))
+    want = utf16_left(F.when(typed != "", typed).otherwise(chosen), FOLDER_CAP)
     asked = requests.withColumn("_want", want).withColumn("_key", key(F.when(typed != "", want)))
     named, plain = asked.filter("_key is not null"), asked.filter("_key is null").withColumn("_stored", F.lit(None).cast("string"))
     found = named.join(stored, "_key", "left").unionByName(plain)

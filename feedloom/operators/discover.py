@@ -72,15 +72,17 @@ def discover_feeds(sites: DataFrame, crawl: DataFrame) -> DataFrame:
     def lookup(prefix: str) -> DataFrame:
         return read.select(*[F.col(c).alias(f"{prefix}_{c}") for c in read.columns])
 
-    channel = F.when(urls.is_channel_url(F.col("url")),
-                     F.coalesce(urls.channel_id_in_url(F.col("url")), urls.channel_id_in_page(F.col("body"))))
-    pages = crawl.select("url", "status", "body", F.col("content_type"), final.alias("landed"))
-    asked = sites.select("site_id", "url").join(pages, "url", "left").withColumn(
+    # What a page says is read where it is scanned: no body takes part in a join.
+    pages = crawl.select("url", "status", "body", "content_type", final.alias("landed")).withColumn(
         "ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
-    asked = asked.withColumns({"channel_feed": urls.channel_feed(channel), "is_feed": F.col("ok") & _is_feed(),
-                               "origin": urls.origin(F.coalesce("landed", "url"))})
-    asked = with_feed_link(asked.withColumn("page", F.when(F.col("ok") & ~F.col("is_feed"), F.col("body"))),
-                           "page", "landed", "linked").drop("body", "page")
+    pages = pages.withColumns({"is_feed": F.col("ok") & _is_feed(), "channel_in_page": F.when(
+        F.col("ok") & urls.is_channel_url(F.col("url")), urls.channel_id_in_page(F.col("body")))})
+    pages = with_feed_link(pages.withColumn("page", F.when(F.col("ok") & ~F.col("is_feed"), F.col("body"))),
+                           "page", "landed", "linked").drop("body", "page", "content_type")
+    asked = sites.select("site_id", "url").join(pages, "url", "left").fillna(False, ["ok", "is_feed"])
+    channel = F.when(urls.is_channel_url(F.col("url")),
+                     F.coalesce(urls.channel_id_in_url(F.col("url")), F.col("channel_in_page")))
+    asked = asked.withColumns({"channel_feed": urls.channel_feed(channel), "origin": urls.origin(F.coalesce("landed", "url"))})
     guesses = feed_candidates(asked.filter("ok").select(F.col("landed").alias("url")), crawl).select(
         "origin", F.col("feed_url").alias("guessed"))
     found = asked.join(guesses, "origin", "left")

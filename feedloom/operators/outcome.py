@@ -1,6 +1,9 @@
 """What a landed response means for its feed: ok, not modified, or which error."""
 from __future__ import annotations
 
+import codecs
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -100,34 +103,59 @@ def classify_scrape(fetches: DataFrame, items: Column, item_selector: Column,
 def decode_bodies(fetches: DataFrame) -> DataFrame:
     """Binary bodies to text by the declared charset: header first, then the page's own meta tag, else UTF-8.
 
-    UTF-8 bodies stay in the JVM; only bodies in another known charset go to Python. Bad bytes become U+FFFD.
+    UTF-8 bodies stay in the JVM; only bodies with another label go to Python. Unknown labels read as UTF-8. Bad bytes become U+FFFD.
     """
     utf8 = F.make_valid_utf8(F.col("body").cast("string"))
     label = r"""charset=["']?([\w-]+)"""
     declared = F.regexp_extract(F.coalesce("content_type", F.lit("")), "(?i)" + label, 1)
     meta = F.regexp_extract(F.left(utf8, F.lit(2048)), r"(?i)<meta[^>]+" + label, 1)
     charset = F.lower(F.when(declared != "", declared).otherwise(meta))
-    legacy = F.when(charset.isin(list(_CHARSETS)), F.col("body"))
-    return fetches.withColumn("charset", charset).withColumn(
-        "body", F.coalesce(decode_udf(legacy, charset), utf8))
-
-
-# Web charset labels and the codecs that read them; any other label reads as UTF-8.
-_CHARSETS = {
-    "windows-1252": "cp1252", "iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252",
-    "windows-1250": "cp1250", "windows-1251": "cp1251", "windows-1253": "cp1253", "windows-1254": "cp1254",
-    "windows-1255": "cp1255", "windows-1256": "cp1256", "windows-1257": "cp1257", "windows-1258": "cp1258",
-    "windows-874": "cp874", "iso-8859-2": "iso8859-2", "iso-8859-3": "iso8859-3", "iso-8859-4": "iso8859-4",
-    "iso-8859-5": "iso8859-5", "iso-8859-6": "iso8859-6", "iso-8859-7": "iso8859-7", "iso-8859-8": "iso8859-8",
-    "iso-8859-9": "cp1254", "iso-8859-10": "iso8859-10", "iso-8859-13": "iso8859-13", "iso-8859-14": "iso8859-14",
-    "iso-8859-15": "iso8859-15", "iso-8859-16": "iso8859-16", "koi8-r": "koi8-r", "koi8-u": "koi8-u",
-    "macintosh": "mac-roman", "ibm866": "cp866", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932",
-    "euc-jp": "euc-jp", "iso-2022-jp": "iso2022-jp", "euc-kr": "cp949", "gb2312": "gb18030", "gbk": "gb18030",
-    "gb18030": "gb18030", "big5": "big5hkscs", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "utf-16": "utf-16-le",
-}
+    legacy = F.when((charset != "") & ~charset.isin("utf-8", "utf8"), F.col("body"))
+    decoded = F.coalesce(decode_udf(legacy, charset), utf8)
+    return fetches.withColumn("charset", charset).withColumn("body", F.regexp_replace(decoded, "^\ufeff", ""))
+
+
+# Codecs that the web reads as a wider one.
+_WIDER = {"iso8859-1": "cp1252", "ascii": "cp1252", "iso8859-9": "cp1254", "iso8859-11": "cp874", "tis-620": "cp874",
+          "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "euc_kr": "cp949", "johab": "cp949", "big5": "big5hkscs",
+          "utf-16": "utf-16-le"}
+# Web labels that Python's codec registry does not know.
+_LABELS = {"dos-874": "cp874", "x-mac-cyrillic": "mac-cyrillic", "x-mac-roman": "mac-roman", "macintosh": "mac-roman",
+           "mac": "mac-roman", "ks_c_5601-1987": "cp949", "ks_c_5601-1989": "cp949", "windows-949": "cp949", "korean": "cp949",
+           "windows-31j": "cp932", "ms_kanji": "cp932", "x-sjis": "cp932", "sjis": "cp932", "koi": "koi8-r", "koi8": "koi8-r",
+           "koi8-ru": "koi8-u", "iso-8859-8-i": "iso8859-8", "logical": "iso8859-8", "visual": "iso8859-8", "big5-hkscs": "big5hkscs",
+           "cn-big5": "big5hkscs", "x-x-big5": "big5hkscs", "x-gbk": "gb18030", "chinese": "gb18030", "ucs-2": "utf-16-le",
+           "unicode": "utf-16-le", "csunicode": "utf-16-le", "unicodefffe": "utf-16-be", "unicodefeff": "utf-16-le",
+           "x-euc-jp": "euc_jp"}
+
+
+def codec_of(label: str) -> str | None:
+    """The codec that reads a web charset label; None where there is none."""
+    for name in (_LABELS.get(label), label, label.removeprefix("x-")):
+        try:
+            found = name and codecs.lookup(name)
+        except LookupError:
+            continue
+        if found and found._is_text_encoding:
+            return _WIDER.get(found.name, found.name)
+    return None
+
+
+def decode_body(body: bytes, label: str) -> str | None:
+    """Bytes to text by a label; a byte order mark beats the label. Bytes that a Windows code page leaves open are control
+    characters, other bad bytes U+FFFD."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark):].decode(name, "replace")
+    codec = codec_of(label)
+    if codec is None:
+        return None
+    if codec.startswith("cp125") or codec == "cp874":
+        return "".join(part.decode(codec, "replace") if part[0] not in range(0x80, 0xA0) or part.decode(codec, "ignore")
+                       else part.decode("latin-1") for part in re.findall(rb"[\x80-\x9f]|[^\x80-\x9f]+", body))
+    return body.decode(codec, "replace")
 
 
 @pandas_udf(StringType())
 def decode_udf(body: pd.Series, charset: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else b.decode(_CHARSETS[c], "replace") for b, c in zip(body, charset)],
-                     dtype=object)
+    return pd.Series([None if b is None else decode_body(b, c) for b, c in zip(body, charset)], dtype=object)

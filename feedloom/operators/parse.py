@@ -23,9 +23,7 @@ _ATOM = f"""title {_T}, link {_LINK}, entry array<struct<id:{_T},title:{_T},link
  `media:group`:array<struct<`media:title`:{_T},`media:description`:{_T}>>>>"""
 _RDF = f"""channel array<struct<title:{_T},link:{_T}>>, item array<struct<`_rdf:about`:string,title:{_T},link:{_T},
  `dc:creator`:{_T},description:{_T},`content:encoded`:{_T},`dc:date`:{_T}>>"""
-_JSON = """title string, home_page_url string, author struct<name:string>, items array<struct<id:string,url:string,
- external_url:string,title:string,author:struct<name:string>,summary:string,content_html:string,content_text:string,
- date_published:string>>, _corrupt_record string"""
+_JSON = "title variant, home_page_url variant, author variant, items variant, _corrupt_record string"
 _ENTRY = ("raw_id string, link string, title string, author string, summary string, content string, id_when string, "
           "pub_when string")
 
@@ -116,7 +114,17 @@ def _entries(source: str, **fields: str) -> str:
 
 _FIELDS = [part.split()[0] for part in _ENTRY.split(", ")]
 _GROUP = f"{_once('i.`media:group`')}"
-_JSON_URL = "coalesce(i.url, i.external_url)"
+
+
+def _json_text(value: str, path: str = "$") -> str:
+    """A text of a JSON feed. A field of another kind than the format asks for has none; numbers are spelt out."""
+    kind = f"schema_of_variant(try_variant_get({value}, '{path}', 'variant'))"
+    return f"if({kind} in ('OBJECT<>', 'VOID') or {kind} like 'OBJECT%' or {kind} like 'ARRAY%', null, try_variant_get({value}, '{path}', 'string'))"
+
+
+_JSON_URL = f"coalesce({_json_text('i', '$.url')}, {_json_text('i', '$.external_url')})"
+# A lone object stands for a list of one.
+_JSON_ITEMS = "if(schema_of_variant(_json.items) like 'OBJECT%', array(_json.items), try_variant_get(_json.items, '$', 'array<variant>'))"
 
 # What each format's entries, title and link are read from.
 _READ = {
@@ -140,15 +148,18 @@ _READ = {
                  id_when=_text("i.`dc:date`"), pub_when=_text("i.`dc:date`")),
         _text(f"{_once('_rdf.channel')}.title"), _text(f"{_once('_rdf.channel')}.link")),
     "json": (
-        _entries("_json.items", raw_id=f"coalesce(i.id, {_JSON_URL})", link=_JSON_URL, title="coalesce(i.title, '')",
-                 author="coalesce(i.author.name, _json.author.name)", summary="i.summary",
-                 content="coalesce(i.content_html, i.content_text)", id_when="coalesce(i.date_published, '')",
-                 pub_when="coalesce(i.date_published, '')"),
-        "coalesce(_json.title, '')", "_json.home_page_url"),
+        _entries(_JSON_ITEMS, raw_id=f"coalesce({_json_text('i', '$.id')}, {_JSON_URL})", link=_JSON_URL,
+                 title=f"coalesce({_json_text('i', '$.title')}, '')",
+                 author=f"coalesce({_json_text('i', '$.author.name')}, {_json_text('_json.author', '$.name')})",
+                 summary=_json_text("i", "$.summary"),
+                 content=f"coalesce({_json_text('i', '$.content_html')}, {_json_text('i', '$.content_text')})",
+                 id_when=f"coalesce({_json_text('i', '$.date_published')}, '')",
+                 pub_when=f"coalesce({_json_text('i', '$.date_published')}, '')"),
+        f"coalesce({_json_text('_json.title')}, '')", _json_text("_json.home_page_url")),
 }
 
 
-_PROLOG = rf"^﻿?(?:[{WS}]+|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|(?i:<!DOCTYPE)[^>]*>)*"
+_PROLOG = rf"^﻿?(?:[{WS}]+|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|(?i:<!DOCTYPE)[^>\[]*(?:\[[\s\S]*?\]\s*)?>)*"
 
 
 def _root(body: Column) -> Column:
@@ -161,6 +172,8 @@ def parse_feeds(fetches: DataFrame) -> DataFrame:
     ``fetches`` needs ``body`` (text) and ``content_type``. The strict parser runs first; only bodies it rejects are
     sent to Python, which mends them for a second strict pass, so one scan serves every format and both passes.
     """
+    # A byte order mark is no part of the document.
+    fetches = fetches.withColumn("body", F.regexp_replace("body", "^﻿", ""))
     body = F.col("body")
     json_like = F.col("content_type").contains("json") | F.ltrim(body).startswith("{")
     staged = fetches.withColumn("content_type", F.coalesce("content_type", F.lit(""))).withColumn(

@@ -95,12 +95,13 @@ def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts:
     grown = items.unionByName(rows.select(*items.columns))
 
     unknown = shorts.unknown_videos(grown, feeds, verdicts).select("video_id").distinct()
-    settled = stored(shorts.classify(answers.join(unknown, "video_id", "left_semi")))
-    known = verdicts.select("video_id", "is_short").unionByName(settled)
+    settled = shorts.classify(answers.join(unknown, "video_id", "left_semi"))
+    settled = stored(settled if "checked_at" in settled.columns else settled.withColumn("checked_at", now))
+    known = shorts.upsert_verdicts(verdicts, settled)
     gone = stored(shorts.doomed(grown, feeds, known))
     kept = retention(grown.join(gone, "item_id", "left_anti"), cap)
 
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    run = state.run_stats(state.judged(feeds, outcomes), count(fresh), count(gone),
+    run = state.run_stats(state.judged(feeds, state.latest(outcomes)), count(fresh), count(gone),
                           shorts.unclassified(grown, feeds, known).scalar())
     return Poll(kept, state.next_feed_state(feeds, outcomes, now), known, run)

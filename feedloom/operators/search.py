@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedloom.functions.porter import porter_stem_udf, stem
 from feedloom.operators.joins import join_checked
@@ -46,11 +45,11 @@ def query_tokens(q: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ")
 
 
-def query_terms(q: str, stemmed: bool = True) -> list[str]:
-    """The same on the driver, folded and stemmed as the index is; empty means the plain list is asked for."""
-    words = re.findall(r"[^\W_]+", q.strip()[:QUERY_CAP].lower())[:QUERY_TOKENS]
-    folded = ["".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) for w in words]
-    return [stem(w) if stemmed else w for w in folded]
+def query_terms(spark: SparkSession, q: str, stemmed: bool = True) -> list[str]:
+    """A query's terms, cut and folded by the same column as the texts and stemmed as the index is; empty means the plain
+    list is asked for."""
+    words = spark.range(1).select(tokens(F.lit(q.strip()[:QUERY_CAP])).alias("w")).first()["w"][:QUERY_TOKENS]
+    return [stem(w) if stemmed else w for w in words]
 
 
 # The outer explode keeps the optimizer from adding a non-empty filter below it, which would tokenize every text again.
@@ -142,7 +141,7 @@ def search(items: DataFrame, feeds: DataFrame, q: str, index: Index, stemmed: bo
     ``index`` was built with the same ``stemmed``. Only the page's rows meet the wide items. A query without a letter or
     digit is the plain list of ``view``.
     """
-    terms = query_terms(q, stemmed)
+    terms = query_terms(items.sparkSession, q, stemmed)
     if not terms:
         listed = list_items(items, feeds, view, feed_id, folder, page, page_size=page_size)
         return listed.withColumn("score", F.lit(None).cast("double"))
@@ -155,4 +154,4 @@ def search(items: DataFrame, feeds: DataFrame, q: str, index: Index, stemmed: bo
 def search_count(items: DataFrame, feeds: DataFrame, q: str, index: Index, stemmed: bool = True,
                  feed_id: int | None = None, folder: str | None = None) -> DataFrame:
     scoped = in_scope(items.select("item_id", "feed_id"), feeds, feed_id, folder)
-    return match(index, query_terms(q, stemmed)).join(scoped, "item_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return match(index, query_terms(items.sparkSession, q, stemmed)).join(scoped, "item_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))

@@ -65,17 +65,25 @@ def classify(answers: DataFrame, keyed: bool = True) -> DataFrame:
 
     ``answers`` holds one row per asked video: ``seconds`` (null where the duration service omitted it), ``http_status``
     and ``location`` of the surface probe. With ``answered`` false the duration batch failed and nothing is settled.
-    Without a key the surface alone decides.
+    Without a key the surface alone decides. Of several answers for one video the latest by ``checked_at`` counts; where
+    that column is missing, a video that one answer calls a Short is one.
     """
     surface = surface_verdict(F.col("http_status"), F.col("location"))
     verdict = F.when(short_enough(F.col("seconds")), surface).otherwise(0) if keyed else surface
     if keyed and "answered" in answers.columns:
         verdict = F.when(F.col("answered"), verdict)
-    return answers.select("video_id", verdict.cast("int").alias("is_short")).filter("is_short is not null")
+    settled = answers.withColumn("is_short", verdict.cast("int")).filter("is_short is not null")
+    if "checked_at" not in answers.columns:
+        return settled.groupBy("video_id").agg(F.max("is_short").alias("is_short"))
+    return settled.groupBy("video_id").agg(F.max_by("is_short", F.struct("checked_at", "is_short")).alias("is_short"),
+                                           F.max("checked_at").alias("checked_at"))
 
 
 def upsert_verdicts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored verdicts with the fresh ones on top."""
+    """Stored verdicts with the fresh ones on top, one row per video. ``fresh`` has one row per video, as ``classify``
+    gives it; columns that it lacks are null."""
+    fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c)
+                           for c in stored.columns])
     return stored.join(fresh.select("video_id"), "video_id", "left_anti").unionByName(fresh.select(*stored.columns))
 
 

@@ -22,13 +22,19 @@ def judged(feeds: DataFrame, outcomes: DataFrame) -> DataFrame:
     return outcomes.join(known, "feed_id").withColumn("decayed", decayed)
 
 
+def latest(outcomes: DataFrame) -> DataFrame:
+    """One outcome per feed: the one fetched last, or the greatest ``fetch_id`` where no time is known."""
+    order = [c for c in ("fetched_at", "fetch_id") if c in outcomes.columns] or ["status"]
+    return outcomes.groupBy("feed_id").agg(F.max_by(F.struct(*outcomes.columns), F.struct(*order)).alias("_o")).select("_o.*")
+
+
 def next_feed_state(feeds: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """The feed table after one poll; feeds without an outcome stay as they are.
+    """The feed table after one poll; feeds without an outcome stay as they are, and of several the last counts.
 
     A 304 clears the error and keeps the validators. Any error, decay included, drops them and counts up. The title
     is adopted while empty, the site only while missing, the item count only from a healthy scrape.
     """
-    polled = judged(feeds, outcomes).select(
+    polled = judged(feeds, latest(outcomes)).select(
         "feed_id", F.lit(True).alias("polled"), "status", "error", "decayed", "n_items", "before",
         *[F.col(c).alias(f"new_{c}") for c in ("etag", "last_modified", "feed_title", "site_url")])
     same, failed = F.col("status") == "not-modified", (F.col("status") == "error") | F.col("decayed")

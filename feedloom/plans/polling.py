@@ -222,13 +222,14 @@ r as (select u.item_id, min(o.seq) as first_read, max(case when o.act='mark-read
  from u join own o on o.item_id=u.item_id where o.act in ('open','mark-read') and not (o.act='mark-read' and o.state=0)
  and (u.unread_at is null or o.seq>u.unread_at) group by 1),
 m as (select u.item_id, min(a.ts) as marked_at from u join actions_v a on a.feed_id=u.feed_id and a.act='mark-all'
- and a.ts>=u.arrived and (u.unread_at is null or a.ts>=u.unread_at.ts) group by 1),
+ and a.ts>=u.arrived and (u.unread_at is null or row(a.ts, a.action_id)>u.unread_at) group by 1),
 s as (select u.*, r.first_read, r.stamp, m.marked_at, (u.is_read=1 and u.unread_at is null) as stays
  from u left join r on r.item_id=u.item_id left join m on m.item_id=u.item_id)
 select item_id, case when stays or first_read is not null or marked_at is not null then 1 else 0 end as is_read,
  coalesce(star, is_starred) as is_starred,
  case when stamp is not null then stamp.ts when stays then read_at else least(first_read.ts, marked_at) end as read_at
-from s""".replace("row(ts, action_id)", "{'ts': ts, 'action_id': action_id}"), "items actions")(
+from s""".replace("row(ts, action_id)", "{'ts': ts, 'action_id': action_id}").replace(
+    "row(a.ts, a.action_id)", "{'ts': a.ts, 'action_id': a.action_id}"), "items actions")(
     lambda t: actions.apply_actions(t.items, t.actions, t.feeds, F.coalesce("published_at", "fetched_at")))
 
 query("apply_feed_edits", """select f.feed_id, coalesce(r.title, f.title) as title, e.folder

@@ -103,7 +103,7 @@ def test_rank_against_brute_force(spark, q, stemmed):
     table, texts = docs(spark)
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
     tokens = [[stem(w) if stemmed else w for f in d if f for w in re.findall(r"[^\W_]+", fold(f))] for d in texts]
-    terms = search.query_terms(q, stemmed)
+    terms = search.query_terms(spark, q, stemmed)
     avg, n, want = sum(map(len, tokens)) / len(tokens), len(tokens), {}
     for i, words in enumerate(tokens):
         if all(t in words for t in terms):
@@ -118,7 +118,7 @@ def test_rank_against_brute_force(spark, q, stemmed):
 
 
 def test_a_query_without_words_is_the_plain_list(spark):
-    assert search.query_terms("  !? _ ") == [] and len(search.query_terms(" ".join("abcdefghijklmnop"))) == 12
+    assert search.query_terms(spark, "  !? _ ") == [] and len(search.query_terms(spark, " ".join("abcdefghijklmnop"))) == 12
     table, texts = docs(spark)
     feeds = spark.createDataFrame([(1, "F", None, None)], "feed_id bigint, title string, site_url string, folder string")
     assert search.search(table, feeds, "?!", search.build_index(table), view="all").count() == len(texts)
