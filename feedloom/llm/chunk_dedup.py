@@ -87,14 +87,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Rows equal in id and text are one row."""
     kept = stored(exact_dedup(docs, id_col, text_col).filter("kept").select(
-        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")))
-    keyed = docs.withColumn("_sha", F.sha2(whole_text(text_col).cast("binary"), 256))
-    rows = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_sha"] == kept["_sha"]), "left_semi")
-    same = kept.join(exact_repeats(docs, id_col, text_col), ["_id", "_sha"], "left_semi")
-    return rows.drop("_sha") if same.isEmpty() else rows.dropDuplicates([id_col, "_sha"]).drop("_sha")
+        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")))
+    keyed = docs.withColumn("__sha", F.sha2(whole_text(text_col).cast("binary"), 256))
+    rows = keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__sha"] == kept["__sha"]), "left_semi")
+    same = kept.join(exact_repeats(docs, id_col, text_col), ["__id", "__sha"], "left_semi")
+    return rows.drop("__sha") if same.isEmpty() else rows.dropDuplicates([id_col, "__sha"]).drop("__sha")
 
 
 def exact_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _sha) of rows that stand in the table more than once with the same id and text."""
-    return docs.groupBy(F.col(id_col).alias("_id"), F.sha2(whole_text(text_col).cast("binary"), 256).alias("_sha")).count().filter(
+    """(__id, __sha) of rows that stand in the table more than once with the same id and text."""
+    return docs.groupBy(F.col(id_col).alias("__id"), F.sha2(whole_text(text_col).cast("binary"), 256).alias("__sha")).count().filter(
         "count > 1").drop("count")

@@ -133,10 +133,10 @@ def identify(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAG
         return pd.DataFrame(out, columns=["lang", "score", "ambiguous"])
 
     # Columns of the input that have the results' names give way to them.
-    found = docs.withColumn("_found", predict(F.col(text_col)))
+    found = docs.withColumn("__found", predict(F.col(text_col)))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")),
-                        F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"),
-                        F.col("_found.ambiguous").alias("ambiguous"))
+                        F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"),
+                        F.col("__found.ambiguous").alias("ambiguous"))
 
 
 def keep_identified(docs: DataFrame, may_learn: Column, **how) -> DataFrame:

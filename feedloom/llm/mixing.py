@@ -73,26 +73,26 @@ def draw(id_col: Column, seed: str) -> Column:
 
 def _drawn(docs: DataFrame, dims: Mapping[str, Column], weight: Column, targets: Mapping, id_col: str, seed: str,
            rounds: int) -> DataFrame:
-    """``docs`` with the dimensions (as _mix_<name>), _weight, _probability and _kept."""
-    named = {f"_mix_{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()}
-    keyed = docs.withColumns({**named, "_weight": F.greatest(F.lit(1), weight).cast("long")})
-    slim = keyed.select(*(F.col(f"_mix_{d}").alias(d) for d in dims), F.col("_weight").alias("weight"))
-    cells = cell_factors(slim, targets, rounds).toDF(*(f"_mix_{d}" for d in targets), "_probability")
+    """``docs`` with the dimensions (as __mix_<name>), __weight, __probability and __kept."""
+    named = {f"__mix_{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()}
+    keyed = docs.withColumns({**named, "__weight": F.greatest(F.lit(1), weight).cast("long")})
+    slim = keyed.select(*(F.col(f"__mix_{d}").alias(d) for d in dims), F.col("__weight").alias("weight"))
+    cells = cell_factors(slim, targets, rounds).toDF(*(f"__mix_{d}" for d in targets), "__probability")
     # No hint: the cells are a written table, so Spark knows their size; beyond its limit it splits skewed cells itself.
-    return keyed.join(cells, [f"_mix_{d}" for d in targets]).withColumn(
-        "_kept", draw(F.col(id_col), seed) < F.col("_probability"))
+    return keyed.join(cells, [f"__mix_{d}" for d in targets]).withColumn(
+        "__kept", draw(F.col(id_col), seed) < F.col("__probability"))
 
 
 def mix(docs: DataFrame, dims: Mapping[str, Column], weight: Column, targets: Mapping, id_col: str = "doc_id",
         seed: str = "mix", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, the dimensions, weight, probability, kept."""
     return _drawn(docs, dims, weight, targets, id_col, seed, rounds).select(
-        id_col, *(F.col(f"_mix_{d}").alias(d) for d in dims), F.col("_weight").alias("weight"),
-        F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+        id_col, *(F.col(f"__mix_{d}").alias(d) for d in dims), F.col("__weight").alias("weight"),
+        F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
 
 
 def sample(docs: DataFrame, dims: Mapping[str, Column], weight: Column, targets: Mapping, id_col: str = "doc_id",
            seed: str = "mix", rounds: int = ROUNDS) -> DataFrame:
     """The drawn rows with their own columns."""
-    return _drawn(docs, dims, weight, targets, id_col, seed, rounds).filter("_kept").select(
+    return _drawn(docs, dims, weight, targets, id_col, seed, rounds).filter("__kept").select(
         *(F.col(f"`{c}`") for c in docs.columns))

@@ -307,7 +307,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id stands for their class, that is the least one; all columns stay."""
+    """The rows of ``docs`` whose id stands for their class, that is the least one; all columns stay. Rows without an id
+    stay, as no other row can stand for them by name; rows that repeat an id stay or go together."""
     found = ngram_join(docs, id_col=id_col, text_col=text_col, **how)
-    dropped = found.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    dropped = found.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+    return docs.join(dropped, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -107,7 +107,8 @@ def occurrences(docs: DataFrame, words: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their text freed of repeated spans, and n_clauses, n_removed."""
+    """The rows of ``docs`` with their text freed of repeated spans, and ``n_removed`` clauses (a column of that name gives
+    way)."""
     slim_batches(docs.sparkSession)
     # ``mark`` tells rows with the same id but another text apart.
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"),
@@ -116,15 +117,15 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     firsts = seen.filter("not again").groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
         "first < last").select("hash", "first")
     covered = seen.join(firsts, "hash", "left").filter("again or doc > first").groupBy("doc", "mark").agg(
-        F.collect_set(F.struct("begin", "end")).alias("_covered"))
-    texts = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
-                              "_mark": F.xxhash64(whole_text(text_col))})
-    joined = texts.join(covered, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark")), "left")
+        F.collect_set(F.struct("begin", "end")).alias("__covered")).toDF("__doc", "__mark", "__covered")
+    texts = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+                              "__mark": F.xxhash64(whole_text(text_col))})
+    joined = texts.join(covered, ["__doc", "__mark"], "left")
     cut = rewrite(words)
-    out = joined.withColumn("_new", F.when(F.col("_covered").isNotNull(), cut(
-        whole_text(text_col), F.col("_covered.begin"), F.col("_covered.end"))))
-    return out.select(*(F.coalesce("_new.text", text_col).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-                      F.coalesce("_new.removed", F.lit(0)).alias("n_removed"))
+    out = joined.withColumn("__new", F.when(F.col("__covered").isNotNull(), cut(
+        whole_text(text_col), F.col("__covered.begin"), F.col("__covered.end"))))
+    return out.select(*(F.coalesce("__new.text", text_col).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_removed"),
+                      F.coalesce("__new.removed", F.lit(0)).alias("n_removed"))
 
 
 def rewrite(words: int):

@@ -237,7 +237,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int, fitted: int, terms: int, id_col: str, text_col: str, label_col: str) -> Model | None:
-    """Lexicon, label model and classifier; None where no row is labelled."""
+    """Lexicon, label model and classifier; None where no document has a label."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     if not counts:
@@ -260,6 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int, fitted: int, terms:
             yield pd.DataFrame({"label": frame["label"], "vote": [v.tobytes() for v, _ in rows], "bucket": [b.tobytes() for _, b in rows]})
 
     rows = texts.filter(F.col("rank") <= fitted).mapInPandas(look, "label int, vote binary, bucket binary").toPandas().sort_values(["label", "vote", "bucket"])
+    if rows.empty:
+        return None
     votes = np.frombuffer(b"".join(rows["vote"]), dtype=np.int8).reshape(len(rows), -1)
     label = rows["label"].to_numpy()
     prior = float(np.clip(counts.get(1, 0) / sum(counts.values()), 1e-4, 1 - 1e-4))
@@ -288,6 +290,6 @@ def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, fitted
             rows = [make(t) for t in texts]
             yield pd.Series(model.scores(np.stack([v for v, _ in rows]), [b for _, b in rows]))
 
-    found = docs.withColumn("_score", scored(whole_text(text_col)))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")), F.col("_score").alias("score"),
-                        (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    found = docs.withColumn("__score", scored(whole_text(text_col)))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")), F.col("__score").alias("score"),
+                        (F.col("__score") >= 0.5).cast("int").alias("predicted"))
