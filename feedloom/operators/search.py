@@ -13,6 +13,7 @@ from feedloom.operators.joins import join_checked
 from feedloom.operators.lists import View, in_scope, list_items, with_feed
 from feedloom.schemas import PAGE_SIZE, QUERY_CAP, QUERY_TOKENS
 from feedloom.session import stored
+from feedloom.sources.tables import Table
 
 TEXT_COLUMNS = ("title", "summary", "content")
 # BM25 parameters and the floor of a term's weight.
@@ -89,6 +90,15 @@ class Index:
         return self.postings.filter(F.col("bucket").isin(*folders) & F.col("term").isin(*asked))
 
 
+def item_terms(items: DataFrame, stemmed: bool) -> DataFrame:
+    """``item_id, dl, term, tf``: the terms of all columns together, with the item's length beside them."""
+    words = F.concat(*[tokens(F.col(c)) for c in TEXT_COLUMNS])
+    counts = (items.select("item_id", words.alias("w"))
+              .select("item_id", F.size("w").cast("bigint").alias("dl"), F.explode_outer("w").alias("term"))
+              .filter("term is not null").groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return by_stem(stored(counts), "item_id", "dl") if stemmed else counts
+
+
 def build_index(items: DataFrame, stemmed: bool = True, buckets: int = 64) -> Index:
     """Postings of all columns together, with each item's length beside its terms, stored in folders by term.
 
@@ -96,18 +106,48 @@ def build_index(items: DataFrame, stemmed: bool = True, buckets: int = 64) -> In
     a search reads its terms' folders and joins nothing. Folders are rebalanced: a term that every item holds is many
     files and a rare one few.
     """
-    words = F.concat(*[tokens(F.col(c)) for c in TEXT_COLUMNS])
-    counts = (items.select("item_id", words.alias("w"))
-              .select("item_id", F.size("w").cast("bigint").alias("dl"), F.explode_outer("w").alias("term"))
-              .filter("term is not null").groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    if stemmed:
-        counts = by_stem(stored(counts), "item_id", "dl")
+    counts = item_terms(items, stemmed)
     placed = counts.withColumn("bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
     index = stored(placed.sortWithinPartitions("bucket", "term"), "bucket")
     n, held = items.count(), index.agg(F.sum("tf")).first()[0] or 0
     return Index(index, n, held / n if held else 1.0, buckets)
 
 
+class SavedIndex:
+    """An index that lives on in a folder: items are added and removed in numbered steps, and a search reads the folders of
+    its terms without a rebuild.
+
+    A removal names the rows as they were indexed; it hides what earlier steps added of these items. An update is the
+    removal of the old rows and the addition of the new ones in one step. Totals are written with each step. A step that
+    is written again replaces itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, stemmed: bool = True, buckets: int = 64):
+        self.stemmed, self.buckets = stemmed, buckets
+        self.postings = Table(spark, f"{path}/postings", "term string, item_id bigint, tf bigint, dl bigint, step int", "term", buckets)
+        self.removed = Table(spark, f"{path}/removed", "item_id bigint, step int")
+        self.totals = Table(spark, f"{path}/totals", "n bigint, held bigint, step int")
+
+    def _write(self, items: DataFrame, step: int, sign: int, table: Table, rows: DataFrame) -> None:
+        table.put(rows.withColumn("step", F.lit(step)), f"{step}")
+        words = F.concat(*[tokens(F.col(c)) for c in TEXT_COLUMNS])
+        self.totals.put(items.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum(F.size(words)), F.lit(0))).alias("held"))
+                        .withColumn("step", F.lit(step)), f"{step}{'+' if sign > 0 else '-'}")
+
+    def add(self, items: DataFrame, step: int) -> None:
+        self._write(items, step, 1, self.postings, item_terms(items, self.stemmed))
+
+    def remove(self, items: DataFrame, step: int) -> None:
+        self._write(items, step, -1, self.removed, items.select("item_id").distinct())
+
+    def open(self) -> Index:
+        """The index as it stands; one row of totals goes to the driver."""
+        n, held = self.totals.read().agg(F.sum("n"), F.sum("held")).first()
+        gone = self.removed.read().groupBy("item_id").agg(F.max("step").alias("gone"))
+        live = self.postings.rows().join(gone, "item_id", "left").filter("gone is null or step >= gone")
+        return Index(live.select("bucket", "term", "item_id", "tf", "dl"), n or 0, held / n if n and held else 1.0, self.buckets)
+
+
 def match(index: Index, terms: list[str]) -> DataFrame:
     """Items that hold every term in any column: ``item_id, dl`` and a count ``tf_i`` per distinct term."""
     distinct = sorted(set(terms))

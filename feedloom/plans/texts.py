@@ -1,6 +1,8 @@
 """Queries of the column functions and of search."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from feedloom.functions import dates, identity, text, urls
@@ -9,6 +11,7 @@ from feedloom.operators.joins import spread_small
 from feedloom.plans.bindings import Tables
 from feedloom.plans.reading import NOW_TS, _WS, now, sql_decode, sql_excerpt, sql_strip
 from feedloom.plans.registry import query
+from feedloom.session import shared_dir
 
 # --- text
 
@@ -199,6 +202,25 @@ query("search_count", f"""select count(*) as n from (select item_id from ({_POST
                                   stemmed=False))
 
 
-@query("search_stemmed")
+# The words of one stem in these tables; the others stay as they are, which changes no document's length.
+_STEMMED = "('license', 'licensed', 'licenses', 'licensing')"
+_STEM_SQL = _bm25_sql(["licens"]).replace(f"({_POST})", f"(select item_id, case when term in {_STEMMED} then 'licens' else term end as term from ({_POST}))")
+
+
+@query("search_stemmed", _STEM_SQL, "items feeds")
 def _stemmed(t: Tables) -> DataFrame:
-    return search.search(t.items, t.feeds, "things", search.build_index(t.text_items)).select("item_id", "feed_id", "score")
+    return search.search(t.items, t.feeds, "Licenses", search.build_index(t.text_items)).select(
+        "item_id", "feed_id", "title", "feed_title", F.round("score", 6).alias("score"))
+
+
+@query("search_after_add", _bm25_sql(["que"]), "items feeds")
+def _after_add(t: Tables) -> DataFrame:
+    """A saved index that took the items in two steps, a third of them first with another text."""
+    saved = search.SavedIndex(t.spark, f"{shared_dir(t.spark)}/feedloom/{uuid.uuid4().hex}", stemmed=False)
+    items = t.text_items
+    drafts = items.filter("item_id % 3 = 0").withColumn("content", F.concat(F.lit("que que "), "title"))
+    saved.add(drafts.unionByName(items.filter("item_id % 3 = 1")), 1)
+    saved.remove(drafts, 2)
+    saved.add(items.filter("item_id % 3 <> 1"), 2)
+    return search.search(t.items, t.feeds, "Qué", saved.open(), stemmed=False).select(
+        "item_id", "feed_id", "title", "feed_title", F.round("score", 6).alias("score"))

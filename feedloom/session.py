@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
     made = tempfile.mkdtemp(prefix="feedloom-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -53,9 +55,19 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables this process stored. Frames that read them must not be used afterwards."""
+def release(spark: SparkSession, kept: int = 0) -> None:
+    """Delete the tables this process stored, but for the first ``kept``. Frames that read them must not be used afterwards."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    while _STORED:
+    while len(_STORED) > kept:
         path = hadoop.Path(_STORED.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is stored inside: for work that repeats, as a stream's batches do."""
+    before = len(_STORED)
+    try:
+        yield
+    finally:
+        release(spark, before)

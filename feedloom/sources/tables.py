@@ -1,70 +1,47 @@
-"""Plain Parquet tables that can be appended to and replaced while they are read.
+"""Stored tables: plain Parquet in folders by bucket of the key and by batch.
 
-A table is a folder of part folders and numbered manifests; a manifest lists the parts that make up one version. Files
-are never changed once listed, so readers keep the version they started with and a failed write leaves only an unlisted
-folder.
+A batch replaces its own folders when it is written again, so a repeated stream batch leaves one copy. Reads by key open
+the folders of the keys' buckets only.
 """
 from __future__ import annotations
 
-import json
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-FEED_BUCKETS = 256
+FEED_BUCKETS = 64
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, schema: str, bucket_by: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: str, bucket_by: str | None = None, buckets: int = FEED_BUCKETS):
         self.spark, self.path, self.schema, self.bucket_by = spark, path.rstrip("/"), schema, bucket_by
-
-    def _manifests(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.path}/_manifests")
-        return hadoop, folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict:
-        hadoop, folder, fs = self._manifests()
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-        if not names:
-            return {"version": 0, "parts": [], "batches": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/_manifests/{names[-1]}", wholetext=True).first()[0])
-
-    def _commit(self, manifest: dict) -> None:
-        """Create the next manifest; two writers of one version collide here and the second one fails."""
-        hadoop, folder, fs = self._manifests()
-        fs.mkdirs(folder)
-        out = fs.create(hadoop.Path(folder, f"{manifest['version']:012d}.json"), False)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-
-    def _write(self, df: DataFrame) -> str:
-        part = f"{self.path}/part={uuid.uuid4().hex}"
-        if self.bucket_by:
-            # Rows of one feed share a folder, and a large feed is still many files inside it.
-            df = df.withColumn("bucket", F.pmod(F.xxhash64(self.bucket_by), F.lit(FEED_BUCKETS)).cast("int"))
-            df.write.partitionBy("bucket").parquet(part)
-        else:
-            df.write.parquet(part)
-        return part
-
-    def read(self) -> DataFrame:
-        parts = self.manifest()["parts"]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        schema = self.schema + ", part string" + (", bucket int" if self.bucket_by else "")
-        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*parts).drop("part", "bucket")
-
-    def append(self, df: DataFrame, stream: str | None = None, batch_id: int | None = None) -> bool:
-        """Add rows. With a stream's batch id a repeated batch is recognised and changes nothing."""
-        now = self.manifest()
-        if stream is not None and now["batches"].get(stream, -1) >= batch_id:
-            return False
-        batches = now["batches"] | ({stream: batch_id} if stream is not None else {})
-        self._commit({"version": now["version"] + 1, "parts": now["parts"] + [self._write(df)], "batches": batches})
-        return True
-
-    def replace(self, df: DataFrame) -> None:
-        """Make ``df`` the whole table; it may read the version it replaces."""
-        now = self.manifest()
-        self._commit({"version": now["version"] + 1, "parts": [self._write(df)], "batches": now["batches"]})
+        self.buckets = buckets if bucket_by else 1
+        self.columns = [part.split()[0] for part in schema.split(", ")]
+        self._placed(spark.createDataFrame([], schema), "").write.mode("append").partitionBy("bucket", "batch").parquet(self.path)
+
+    def bucket(self, key: str | None = None) -> Column:
+        key = key or self.bucket_by
+        return (F.pmod(F.xxhash64(key), F.lit(self.buckets)) if key else F.lit(0)).cast("int")
+
+    def _placed(self, df: DataFrame, batch: str) -> DataFrame:
+        return df.select(*self.columns, self.bucket().alias("bucket"), F.lit(batch).alias("batch"))
+
+    def rows(self) -> DataFrame:
+        """The table with its folder columns ``bucket`` and ``batch``, by which reads are pruned."""
+        return self.spark.read.schema(f"{self.schema}, bucket int, batch string").parquet(self.path)
+
+    def read(self, without: str | None = None) -> DataFrame:
+        """All rows, or all but those of one batch."""
+        rows = self.rows()
+        return (rows if without is None else rows.filter(F.col("batch") != without)).select(*self.columns)
+
+    def of_keys(self, keys: DataFrame, without: str | None = None) -> DataFrame:
+        """The rows of some keys. The buckets asked for are a handful of numbers, and only their folders are read."""
+        asked = [r["bucket"] for r in keys.select(self.bucket().alias("bucket")).distinct().collect()]
+        rows = self.rows().filter(F.col("bucket").isin(asked) if asked else F.lit(False))
+        rows = rows if without is None else rows.filter(F.col("batch") != without)
+        return rows.select(*self.columns).join(keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi")
+
+    def put(self, df: DataFrame, batch: str) -> None:
+        """Write the rows of a batch, in place of what the batch wrote before. Rows are brought together by bucket first:
+        a bucket is one file, or several where it is large."""
+        placed = self._placed(df, batch).hint("rebalance", "bucket")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.path)

@@ -6,28 +6,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators import ingest
 from feedloom.operators.poll import read_responses
-from feedloom.session import stored
+from feedloom.session import scratch, stored
 from feedloom.sources.tables import Table
 
 POLL_LOG = "poll_id bigint, feed_id bigint, polled_at timestamp, status string, n_items int"
 
 
 def ingest_batch(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: Table, stream: str, batch_id: int) -> None:
-    """One micro-batch: read the responses, insert what is new, log the polls. A repeated batch changes nothing."""
-    fetches = stored(fetches)
-    outcomes, entries = read_responses(fetches)
-    entries = stored(entries)
-    when = fetches.select("fetch_id", "fetched_at")
-    known = items.read()
-    fresh = stored(ingest.new_items(entries, known, verdicts, ["feed_id", "fetch_id"], bounded=True))
-    rows = ingest.with_ids(fresh, known).join(when, "fetch_id").withColumns({
-        "is_read": F.lit(0), "is_starred": F.lit(0), "read_at": F.lit(None).cast("timestamp")})
-    columns = [part.split()[0] for part in items.schema.split(", ")]
-    items.append(rows.select(*columns), stream, batch_id)
-    log = outcomes.join(when, "fetch_id").select(
-        F.xxhash64("fetch_id").alias("poll_id"), "feed_id", F.col("fetched_at").alias("polled_at"), "status",
-        F.col("n_items").cast("int").alias("n_items"))
-    polls.append(log, stream, batch_id)
+    """One micro-batch: read the responses, insert what is new, log the polls. A repeated batch writes its rows again in
+    their own place. Stored keys are read for the batch's feeds only, and what the batch stored meanwhile goes."""
+    batch = f"{stream}-{batch_id}"
+    with scratch(fetches.sparkSession):
+        fetches = stored(fetches)
+        outcomes, entries = read_responses(fetches)
+        entries = stored(entries)
+        when = fetches.select("fetch_id", "fetched_at")
+        known = items.of_keys(entries.select("feed_id"), without=batch)
+        fresh = stored(ingest.new_items(entries, known, verdicts, ["feed_id", "fetch_id"], bounded=True))
+        rows = ingest.with_ids(fresh, items.read(without=batch)).join(when, "fetch_id").withColumns({
+            "is_read": F.lit(0), "is_starred": F.lit(0), "read_at": F.lit(None).cast("timestamp")})
+        items.put(rows, batch)
+        log = outcomes.join(when, "fetch_id").select(
+            F.xxhash64("fetch_id").alias("poll_id"), "feed_id", F.col("fetched_at").alias("polled_at"), "status",
+            F.col("n_items").cast("int").alias("n_items"))
+        polls.put(log, batch)
 
 
 def start_ingest(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: Table, checkpoint: str,

@@ -225,11 +225,17 @@ def test_subscription_lists(spark):
     assert (summary.added, summary.skipped) == (2, 3)
 
 
-def test_tables_keep_versions_and_know_repeated_batches(spark, tmp_path):
-    table = Table(spark, str(tmp_path), "feed_id bigint, v int", bucket_by="feed_id")
+def test_a_repeated_batch_replaces_itself_and_reads_are_pruned(spark, tmp_path):
+    path = tmp_path / "t"
+    table = Table(spark, str(path), "feed_id bigint, v int", bucket_by="feed_id", buckets=16)
     assert table.read().count() == 0
-    rows = spark.createDataFrame([(1, 1), (2, 2)], "feed_id bigint, v int")
-    assert table.append(rows, "s", 0) and not table.append(rows, "s", 0) and table.append(rows, "s", 1)
-    before = table.read()
-    table.replace(before.filter("feed_id = 1"))
-    assert before.count() == 4 and table.read().count() == 2
+    rows = spark.range(400).select((F.col("id") % 100).alias("feed_id"), F.col("id").cast("int").alias("v"))
+    for batch in ("s-0", "s-0", "s-1"):
+        table.put(rows, batch)
+    assert table.read().count() == 800 and table.read(without="s-1").count() == 400
+    assert len(list(path.glob("bucket=*/batch=s-0/*.parquet"))) <= 16
+    one = table.of_keys(spark.createDataFrame([(7,)], "feed_id bigint"), without="s-1")
+    assert sorted(r.v for r in one.collect()) == [7, 107, 207, 307]
+    assert len({f.split("bucket=")[1].split("/")[0] for f in table.rows().filter(F.col("bucket") == 3).inputFiles()}) >= 1
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]

@@ -63,3 +63,16 @@ def test_ingest_survives_repeats(spark, tmp_path):
     assert items.read().count() == 5
     log = {(r.feed_id, r.polled_at.minute): r.status for r in polls.read().filter(F.col("polled_at") < T0 + dt.timedelta(minutes=7)).distinct().collect()}
     assert log == {(1, 0): "ok", (2, 1): "ok", (3, 2): "error", (1, 3): "ok", (2, 4): "ok", (4, 5): "error", (1, 6): "not-modified"}
+
+
+def test_batches_leave_no_scratch(spark, tmp_path):
+    from feedloom import session
+
+    items = Table(spark, f"{tmp_path}/items", ITEMS, bucket_by="feed_id", buckets=4)
+    polls = Table(spark, f"{tmp_path}/polls", ingest.POLL_LOG)
+    verdicts = spark.createDataFrame([], "video_id string, is_short int")
+    before = list(session._STORED)
+    for k in range(3):
+        ingest.ingest_batch(spark.createDataFrame([response(k, 1, rss(f"g{k}", "same"))], FETCHES), items, verdicts, polls, "s", k)
+    assert session._STORED == before
+    assert sorted(r.guid for r in items.read().collect()) == ["g0", "g1", "g2", "same"] and polls.read().count() == 3
