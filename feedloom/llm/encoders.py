@@ -6,13 +6,12 @@ Two generations bound a cache: when the young one is full it becomes the old one
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import types
 
-import numpy as np
-
-#: Distinct pieces a worker remembers per generation.
-REMEMBERED = 300_000
+#: Distinct pieces a worker remembers per generation, some 150 bytes each.
+REMEMBERED = 600_000
 
 
 class Remembered(dict):
@@ -53,11 +52,38 @@ def word_ids(tokenizer_file: str) -> Remembered:
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        return Remembered(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+
+        def encode(piece: str) -> bytes:
+            """A closing mark behind a plain letter is a pre-token of its own, and case is folded letter by letter, so the
+            many spellings of a word cost one encoding. A word of plain small letters is one pre-token and goes straight
+            to the merges; all else is the tokenizer's."""
+            if _WORD.fullmatch(piece):
+                return ids_of([t.id for t in merges.tokenize(piece.translate(spelling))])
+            if len(piece) > 1 and piece[-1] in _CLOSING and piece[-2].isalpha() and _LATIN.fullmatch(piece[-2]):
+                return cache[piece[:-1]] + cache[piece[-1]]
+            lower = piece.lower()
+            if lower != piece and "<" not in piece and _LATIN.fullmatch(piece):
+                return cache[lower]
+            return ids_of(tokenizer.encode(piece, add_special_tokens=False).ids)
+
+        merges = tokenizer.model
+        # How the merges spell each letter: its bytes as characters, as the pre-tokenizer gives them.
+        spelling = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(97, 256)) if _WORD.fullmatch(c)}
+        cache = Remembered(encode)
+        return cache
 
     return per_process("word_ids:" + tokenizer_file, make)
 
 
+def ids_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_CLOSING = ".,;:!?"
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+_LATIN = re.compile("[\x20-\x7eÀ-ÖØ-öø-ÿ]+")
+
+
 _BREAKS = str.maketrans("\n\t\r", "   ")
 
 
@@ -80,7 +106,7 @@ def piece_lengths(model_file: str) -> Remembered:
 
 
 #: A word with the spaces before it; the last one also takes the spaces after it.
-_SPACED = re.compile(r" *[^ ]+(?: +$)?")
+_SPACED = re.compile(r" *[^ ]+(?: +\Z)?")
 
 
 def pieces(text: str) -> list[str]:
