@@ -7,7 +7,7 @@ its digest and sorts the archive's captures: a run. Runs are cut at common key r
 loser tree, so that the parts of the index in order are the whole history in order. A range is cut inside a URL too, so
 one URL with a third of all captures is shared out.
 
-Null payloads are empty, null URLs leave out their header and have the empty key. Rows that repeat an id with the same
+Null payloads are empty, null times are the epoch, null URLs leave out their header and have the empty key. Rows that repeat an id with the same
 payload are written alike, each as its own record. Payloads below ``least`` bytes are always responses.
 """
 from __future__ import annotations
@@ -44,18 +44,23 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, sha, keep): the captures that revisit another one, ``keep``. Slim rows only, summed on the map side."""
+    """(page_id, keeps): for ids whose captures revisit others, the response by payload digest. Slim rows only, summed on
+    the map side."""
     slim = pages.select("page_id", F.sha2("payload", 256).alias("sha"), F.length("payload").alias("bytes"))
     groups = slim.filter(F.col("bytes") >= least).groupBy("sha").agg(
-        F.max("page_id").alias("keep"), F.min("page_id").alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    groups = groups.select("sha", "keep")
-    return slim.join(groups, "sha").filter("page_id < keep").select("page_id", "sha", "keep").distinct()
+        F.max("page_id").alias("keep"), F.min("page_id").alias("first")).filter("first < keep").select("sha", "keep")
+    again = slim.join(groups, "sha").filter("page_id < keep")
+    return again.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("sha", "keep"))).alias("keeps"))
 
 
-def records(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, value): one record per capture, without its closing line ends."""
+def records(pages: DataFrame, least: int, archives: int) -> DataFrame:
+    """(page_id, value): one record per capture, without its closing line ends, in as many partitions as archives.
+
+    Payloads move once: they are dealt to archives by id, and the join takes them as they lie.
+    """
     revisits = plan_records(pages, least)
-    joined = pages.withColumn("sha", F.sha2("payload", 256)).join(revisits, ["page_id", "sha"], "left")
+    joined = pages.repartition(archives, "page_id").join(revisits, "page_id", "left").withColumn(
+        "keep", F.try_element_at("keeps", F.sha2("payload", 256)))
     size = F.length("payload").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(RECORD_END))
     again = F.col("keep").isNotNull()
@@ -78,10 +83,10 @@ def records(pages: DataFrame, least: int) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, captured: Column, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", least: int = 0) -> None:
     """Write one record per row into compressed archives under ``path``."""
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), captured.alias("captured"),
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(captured, F.timestamp_seconds(F.lit(0))).alias("captured"),
                         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     total = slim.agg(F.sum(F.length("payload") + 512)).first()[0] or 0
-    records(slim, least).repartition(int(total // ARCHIVE_BYTES) + 1, "page_id").select("value").write.option(
+    records(slim, least, int(total // ARCHIVE_BYTES) + 1).select("value").write.option(
         "lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
