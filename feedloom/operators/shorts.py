@@ -8,6 +8,11 @@ from feedloom.functions.urls import is_video_feed, video_id
 from feedloom.operators.joins import join_checked
 from feedloom.operators.ranking import ordinals, top_per_key
 from feedloom.schemas import API_BATCH, PROBES_PER_FEED, PROBES_PER_RUN, SHORTS_MAX_SECONDS
+from feedloom.session import stored
+
+
+#: Slices of a feed's work list that are numbered on their own.
+SLICES = 64
 
 
 def stored_videos(items: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -36,8 +41,15 @@ def probe_plan(work: DataFrame, per_feed: int = PROBES_PER_FEED, per_run: int =
 
 
 def api_batches(work: DataFrame, size: int = API_BATCH) -> DataFrame:
-    """The work list in numbered batches for an external duration lookup, ids joined by commas."""
-    placed = ordinals(work, ["feed_id"], F.floor(F.col("item_id") / 100_000), [F.col("item_id")])
+    """The work list in numbered batches for an external duration lookup, ids joined by commas.
+
+    Rows are numbered inside slices of their feed. The slices' bounds are the feed's approximate percentiles, so they are
+    even whatever the ids look like.
+    """
+    cuts = stored(work.groupBy("feed_id").agg(
+        F.percentile_approx("item_id", [k / SLICES for k in range(1, SLICES)], 1000).alias("_cuts")))
+    sliced = work.join(cuts, "feed_id").withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("item_id")))).drop("_cuts")
+    placed = ordinals(sliced, ["feed_id"], F.col("_slice"), [F.col("item_id")])
     batch = F.floor((F.col("ordinal") - 1) / size)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "video_id"))), lambda r: r["video_id"])
     return placed.groupBy("feed_id", batch.alias("batch")).agg(F.array_join(ids, ",").alias("ids"),

@@ -35,10 +35,8 @@ query("excerpts", f"select page_id, {sql_excerpt('p')} as excerpt from (select p
 # Every text gets references of each kind appended, so whole texts pass the decoders.
 _TAIL = "' &lt;b&gt; &#65;&#x42;&#x1F600; &amp;lt; &nbsp;&quot;&#39;&apos; &#99999999999; &#38;#67; &hellip;&Eacute;&nope;'"
 query("decode_entities", """select doc_id, concat(text, ' <b> AB😀 &lt;  "'''' ', ' &#67; &hellip;&Eacute;&nope;') as reader,
- concat(text, ' <b> AB😀 &lt;  "'''' &#99999999999; &#67; …é&nope;') as page from documents
-where not contains(text, '&')
-union all select doc_id, null, null from documents where contains(text, '&')""")(
-    lambda t: docs(t).select("doc_id", F.expr(f"case when not contains(text, '&') then concat(text, {_TAIL}) end").alias("c"))
+ concat(text, ' <b> AB😀 &lt;  "'''' &#99999999999; &#67; …é&nope;') as page from documents""")(
+    lambda t: docs(t).select("doc_id", F.expr(f"concat(text, {_TAIL})").alias("c"))
     .select("doc_id", text.decode_entities(F.col("c")).alias("reader"), text.decode_page_entities(F.col("c")).alias("page")))
 
 _INLINE = _WS.replace(r"\s\x{0B}", r"\t\x0B\f\r ").replace("]+", "]+")
