@@ -102,10 +102,27 @@ def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
 resolve_url_udf = resolve_url.asNondeterministic()
 
 
+# Characters that stand for themselves in every part of an address.
+_PLAIN = r"A-Za-z0-9_.~%:@!$&()*+,;=/\-"
+_REST = rf"(?:\?[{_PLAIN}?]+)?(?:#[{_PLAIN}?']+)?$"
+_ABSOLUTE = rf"^https?://[a-z0-9.-]+/[{_PLAIN}']*{_REST}"
+_ROOTED = rf"^/(?!/)(?![^?#]*/\.\.?(?:[/?#]|$))[{_PLAIN}']*{_REST}"
+
+
+def plain_link(href: Column, base: Column) -> Column:
+    """``href`` against ``base`` where that needs no respelling: an absolute address, or a path from the root of a plain
+    host. Null for all other links."""
+    host = F.regexp_extract(base, r"^(https?://[a-z0-9.-]+)(?:[/?#]|$)", 1)
+    return F.when(base.isNotNull() & href.rlike(_ABSOLUTE), href).when((host != "") & href.rlike(_ROOTED), F.concat(host, href))
+
+
 def with_absolute_link(df: DataFrame, href: Column, base: Column, out: str = "url") -> DataFrame:
     """Add a page link as an absolute http(s) address; null for fragments, scripts, mail and phone links."""
     raw = js_trim(decode_page_entities(href))
     usable = let(raw, lambda r: F.when(
         (r != "") & ~r.startswith("#") & ~r.rlike("(?i)^(javascript|mailto|tel):"), r))
-    resolved = df.withColumn(out, resolve_url_udf(usable, base))
+    # Common links are put together in the JVM; Python sees only those that need respelling.
+    split = df.withColumn("__href", usable).withColumn("__plain", plain_link(F.col("__href"), base))
+    rest = resolve_url_udf(F.when(F.col("__plain").isNull(), F.col("__href")), F.when(F.col("__plain").isNull(), base))
+    resolved = split.withColumn(out, F.coalesce(F.col("__plain"), rest)).drop("__href", "__plain")
     return resolved.withColumn(out, F.when(F.col(out).rlike("^https?:"), F.col(out)))

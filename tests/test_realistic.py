@@ -84,3 +84,18 @@ def test_actions_of_one_second_keep_their_order(spark):
     feeds = spark.createDataFrame([(7, "f")], "feed_id long, folder string")
     got = {r["item_id"]: r["is_read"] for r in actions.apply_actions(items, log, feeds).collect()}
     assert got == {1: 0, 2: 1}
+
+
+def test_plain_links_are_what_the_resolver_says(spark):
+    import random
+
+    from feedloom.functions.urls import plain_link, resolve
+
+    rng = random.Random(12)
+    parts = ["http://", "https://", "/", "//", "a.org", "A.org", "h:80", "u@", "b", "..", ".", "?", "#", "q=1&r='", ";p", "%20", " ", "é", "[", "\\", ":"]
+    bases = ["https://h.example/x/y?z#f", "http://H.example/", "https://h.example", "https://h.example:81/a", "mailto:x", "https://h.example/a/../b"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 6))), rng.choice(bases)) for _ in range(20000)]
+    got = spark.createDataFrame(rows, "href string, base string").select(
+        "href", "base", plain_link(F.col("href"), F.col("base")).alias("plain")).filter("plain is not null").collect()
+    assert len(got) > 100
+    assert [(r["href"], r["base"], r["plain"]) for r in got if resolve(r["href"], r["base"]) != r["plain"]] == []
