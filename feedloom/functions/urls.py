@@ -106,7 +106,7 @@ resolve_url_udf = resolve_url.asNondeterministic()
 _PLAIN = r"A-Za-z0-9_.~%:@!$&()*+,;=/\-"
 _REST = rf"(?:\?[{_PLAIN}?]+)?(?:#[{_PLAIN}?']+)?$"
 _ABSOLUTE = rf"^https?://[a-z0-9.-]+/[{_PLAIN}']*{_REST}"
-_ROOTED = rf"^/(?!/)(?![^?#]*/\.\.?(?:[/?#]|$))[{_PLAIN}']*{_REST}"
+_ROOTED = rf"^(?!//)(?![^?#]*/\.\.?(?:[/?#]|$))/[{_PLAIN.replace(';', '')}']*{_REST}"
 
 
 def plain_link(href: Column, base: Column) -> Column:
