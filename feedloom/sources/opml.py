@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from feedloom.functions.text import blank_to_null, decode_entities, js_trim, utf16_left
 from feedloom.functions.urls import is_http
 from feedloom.schemas import FEED_TITLE_CAP, FOLDER_CAP
-from feedloom.session import stored
 
 _TAGS = r"""<outline\b(?:[^>"']++|"[^"]*"|'[^']*')*+>|</outline\s*>|</?body\b[^>]*>"""
 
@@ -30,9 +29,9 @@ def _attr(*names: str) -> Column:
 def opml_feeds(files: DataFrame) -> DataFrame:
     """The feeds of each list in order: ``doc_id, pos, feed_url, title, site_url, folder``.
 
-    A feed's folder is the label of the nearest outline around it that is no feed itself and has a label. Outlines are
-    read level by level, each level one running lookup in file order, so nesting may be of any depth. The tags are stored
-    once parsed, as their depth is asked for first.
+    A feed's folder is the label of the nearest outline around it that is no feed itself and has a label. Four running
+    sums and lookups in file order settle that at any depth: how deep a tag lies, which outline a closing tag ends, how
+    many labelled outlines are open, and which of those was opened last.
     """
     clean = F.regexp_replace("xml", r"<!--[\s\S]*?-->", "")
     # Only outlines inside the body count; a file without a body holds no feeds.
@@ -41,28 +40,32 @@ def opml_feeds(files: DataFrame) -> DataFrame:
     # The outer explode keeps the tag search from running once more inside an inferred filter.
     rows = files.select("doc_id", F.posexplode_outer(tags).alias("pos", "tag")).filter("tag is not null")
     opens = ~F.col("tag").startswith("</")
-    nests = opens & ~F.col("tag").rlike(r"/\s*>$")
-    change = F.when(nests, 1).when(opens, 0).otherwise(-1)
-    in_file = Window.partitionBy("doc_id").orderBy("pos")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("depth", F.coalesce(F.sum(change).over(before), F.lit(0))).filter(opens)
     raw = {"feed_url": _attr("xmlUrl", "xmlurl"), "site_url": _attr("htmlUrl", "htmlurl"), "title": _attr("title", "text")}
-    rows = rows.select("doc_id", "pos", "depth", nests.alias("nests"), *[v.alias(k) for k, v in raw.items()])
+    rows = rows.select("doc_id", "pos", opens.alias("opens"), (opens & ~F.col("tag").rlike(r"/\s*>$")).alias("nests"),
+                       *[F.when(opens, v).alias(k) for k, v in raw.items()])
     clean_value = lambda c: blank_to_null(js_trim(decode_entities(F.col(c))))
     rows = rows.withColumns({"feed_url": clean_value("feed_url"), "site_url": clean_value("site_url"),
                              "title": F.coalesce(clean_value("title"), F.lit(""))})
-    rows = stored(rows)
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    rows = rows.withColumn("folder", F.lit(None).cast("string"))
-    for level in range(deepest):
-        # What an outline at this level passes on: its own label, or where it has none or is a feed, its folder.
-        own = F.when(F.col("feed_url").isNull(), blank_to_null(F.col("title")))
-        passed = F.when((F.col("depth") == level) & F.col("nests"),
-                        F.struct(F.coalesce(own, F.col("folder")).alias("label")))
-        around = F.last(passed, ignorenulls=True).over(before)
-        rows = rows.withColumn("_around", around).withColumn(
-            "folder", F.when(F.col("depth") == level + 1, F.col("_around.label")).otherwise(F.col("folder")))
-    return rows.filter("feed_url is not null").select("doc_id", "pos", "feed_url", "title", "site_url", "folder")
+    label = F.when(F.col("nests") & F.col("feed_url").isNull(), blank_to_null(F.col("title")))
+
+    def before(*keys: str):
+        return Window.partitionBy("doc_id", *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def open_now(change):
+        return F.coalesce(F.sum(change).over(before()), F.lit(0))
+
+    closes = ~F.col("opens")
+    rows = rows.withColumn("label", label).withColumn(
+        "level", open_now(F.when(F.col("nests"), 1).when(closes, -1).otherwise(0)) - F.when(closes, 1).otherwise(0))
+    ended = F.last(F.when(F.col("nests"), F.col("label").isNotNull()), ignorenulls=True).over(before("level"))
+    rows = rows.withColumn("ends_label", closes & F.coalesce(ended, F.lit(False)))
+    rows = rows.withColumn("around", open_now(F.when(F.col("label").isNotNull(), 1).when(F.col("ends_label"), -1).otherwise(0)))
+    feed = ["feed_url", "title", "site_url"]
+    none = [F.lit(None).cast("string").alias(c) for c in feed]
+    labels = rows.filter("label is not null").select("doc_id", "pos", (F.col("around") + 1).alias("around"), "label", *none)
+    held = rows.filter("feed_url is not null").select("doc_id", "pos", "around", F.lit(None).cast("string").alias("label"), *feed)
+    folder = F.last("label", ignorenulls=True).over(before("around"))
+    return labels.union(held).withColumn("folder", folder).filter("feed_url is not null").select("doc_id", "pos", *feed, "folder")
 
 
 def to_add(listed: DataFrame, feeds: DataFrame) -> DataFrame:

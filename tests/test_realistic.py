@@ -99,3 +99,21 @@ def test_plain_links_are_what_the_resolver_says(spark):
         "href", "base", plain_link(F.col("href"), F.col("base")).alias("plain")).filter("plain is not null").collect()
     assert len(got) > 100
     assert [(r["href"], r["base"], r["plain"]) for r in got if resolve(r["href"], r["base"]) != r["plain"]] == []
+
+
+def test_subscription_lists_of_any_depth(spark):
+    import time
+
+    from feedloom.sources.opml import opml_feeds
+
+    deep = "".join(f'<outline text="f{k}">' for k in range(5000)) + '<outline xmlUrl="http://x"/>' + "</outline>" * 5000 + '<outline xmlUrl="http://top"/>'
+    mixed = ('<outline text="A"><outline xmlUrl="http://1"><outline xmlUrl="http://2"/></outline><outline><outline xmlUrl="http://3"/></outline>'
+             '<outline text="B"/><outline xmlUrl="http://4"/></outline><outline xmlUrl="http://5"/><outline text="C"><outline text="D"></outline>'
+             '<outline xmlUrl="http://6"/></outline>')
+    files = spark.createDataFrame([("deep", f"<opml><body>{deep}</body></opml>"), ("mixed", f"<opml><body>{mixed}</body></opml>")],
+                                  "doc_id string, xml string")
+    started = time.time()
+    got = {r["feed_url"]: r["folder"] for r in opml_feeds(files).collect()}
+    assert time.time() - started < 60
+    assert got == {"http://x": "f4999", "http://top": None, "http://1": "A", "http://2": "A", "http://3": "A", "http://4": "A",
+                   "http://5": None, "http://6": "C"}
