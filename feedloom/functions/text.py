@@ -155,6 +155,8 @@ def reading_paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(out, "\n{2,}", -1), tidy), lambda p: p != "")
 
 
-def page_title(html: Column) -> Column:
-    raw = F.regexp_extract(html, r"(?i)<title[^>]*>([\s\S]{0,300}?)</title>", 1)
+def page_title(html: Column, longest: int | None = None) -> Column:
+    """The page's title; with ``longest`` a longer one counts as none."""
+    count = "*?" if longest is None else f"{{0,{longest}}}?"
+    raw = F.regexp_extract(html, rf"(?i)<title[^>]*>([\s\S]{count})</title>", 1)
     return blank_to_null(squeeze(decode_page_entities(raw)))

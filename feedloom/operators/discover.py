@@ -24,13 +24,15 @@ def _first_resolved(hrefs: pd.Series, base: pd.Series) -> pd.Series:
 first_resolved_udf = _first_resolved.asNondeterministic()
 
 
-def with_feed_link(pages: DataFrame, html: str = "html", base: str = "url", out: str = "feed_url") -> DataFrame:
-    """Add the feed a page declares in its head: the first alternate link of a feed type whose address resolves.
+def with_feed_link(pages: DataFrame, html: str = "html", base: str = "url", out: str = "feed_url",
+                   head_chars: int | None = None) -> DataFrame:
+    """Add the feed a page declares: the first alternate link of a feed type whose address resolves, in the whole page or
+    in its first ``head_chars`` characters.
 
     The tag list stays an array inside its row, so pages are not exploded or shuffled.
     """
     attr = lambda tag, name: F.regexp_extract(tag, rf"""(?i){name}\s*=\s*['"]([^'"]+)['"]""", 1)
-    tags = F.regexp_extract_all(F.left(html, F.lit(HEAD_SCAN_CHARS)), F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(html if head_chars is None else F.left(html, F.lit(head_chars)), F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
     declared = F.filter(tags, lambda t: t.rlike(r"""(?i)rel\s*=\s*['"]?[^'">]*alternate""")
                         & F.lower(attr(t, "type")).isin(FEED_TYPES) & (attr(t, "href") != ""))
     hrefs = F.transform(declared, lambda t: decode_href(attr(t, "href")))
@@ -78,7 +80,7 @@ def discover_feeds(sites: DataFrame, crawl: DataFrame) -> DataFrame:
     pages = pages.withColumns({"is_feed": F.col("ok") & _is_feed(), "channel_in_page": F.when(
         F.col("ok") & urls.is_channel_url(F.col("url")), urls.channel_id_in_page(F.col("body")))})
     pages = with_feed_link(pages.withColumn("page", F.when(F.col("ok") & ~F.col("is_feed"), F.col("body"))),
-                           "page", "landed", "linked").drop("body", "page", "content_type")
+                           "page", "landed", "linked", HEAD_SCAN_CHARS).drop("body", "page", "content_type")
     asked = sites.select("site_id", "url").join(pages, "url", "left").fillna(False, ["ok", "is_feed"])
     channel = F.when(urls.is_channel_url(F.col("url")),
                      F.coalesce(urls.channel_id_in_url(F.col("url")), F.col("channel_in_page")))

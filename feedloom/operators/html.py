@@ -8,15 +8,18 @@ from feedloom.functions.markup import scan_batches
 from feedloom.functions.text import WS, blank_to_null, utf16_left, utf16_length
 from feedloom.functions.urls import with_absolute_link
 from feedloom.operators.joins import spread_small
-from feedloom.schemas import (HEADINGS, MAX_PAGE_BYTES, MAX_PAGE_ITEMS, MAX_SELECTOR, MAX_SUMMARY, MAX_TITLE, NODES,
-                              RULE)
+from feedloom.schemas import HEADINGS, MAX_PAGE_ITEMS, MAX_SELECTOR, MAX_SUMMARY, MAX_TITLE, NODES, RULE
 
 ROLES = ("item", "title", "link", "date", "summary")
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """Every element of every page (``page_id, url, html``). Pages over the size limit become error rows unread."""
-    fits = F.octet_length("html") <= MAX_PAGE_BYTES
+#: The limits a poll sets to what one scrape may bring.
+SCRAPE_LIMITS = {"max_items": MAX_PAGE_ITEMS, "max_title": MAX_TITLE, "max_summary": MAX_SUMMARY}
+
+
+def html_nodes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Every element of every page (``page_id, url, html``). With ``max_bytes`` larger pages become error rows unread."""
+    fits = F.lit(True) if max_bytes is None else F.coalesce(F.octet_length("html") <= max_bytes, F.lit(True))
     error = F.when(~fits, "page is over the scrape limit")
     checked = pages.select("page_id", "url", F.when(fits, F.col("html")).alias("html"), error.alias("error"))
     return spread_small(checked, "page_id").mapInArrow(scan_batches, NODES)
@@ -137,12 +140,14 @@ def is_link() -> Column:
     return (F.col("tag") == "a") & (F.coalesce(F.try_element_at("attrs", F.lit("href")), F.lit("")) != "")
 
 
-def extract_items(nodes: DataFrame, rules: DataFrame | Column, steps: int | None = None) -> DataFrame:
+def extract_items(nodes: DataFrame, rules: DataFrame | Column, steps: int | None = None, max_items: int | None = None,
+                  max_title: int | None = None, max_summary: int | None = None) -> DataFrame:
     """What each rule finds on its pages: ``page_id, rule_id, pos, guid, url, title, summary, published_at``.
 
     ``rules`` is one rule for every page, or holds ``page_id, rule_id, rule``; ``steps`` is the longest selector's step count where it is known. Elements that can play no part in a rule are dropped before the one
     shuffle, which is by page; containers, their contents and every chosen element then come from running maxima and
-    one aggregate over the same ordering. A page is at most 4 MB, so no group is unbounded.
+    one aggregate over the same ordering. A group is one page's useful elements. The ``max_`` arguments are a poll's limits:
+    blocks of a page, and lengths of titles and summaries.
     """
     chain = [selector(f"rule.{r}").alias(f"c_{r}") for r in ROLES]
     most = F.greatest(*[F.size(f"c_{r}") for r in ROLES]).alias("n")
@@ -173,7 +178,8 @@ def extract_items(nodes: DataFrame, rules: DataFrame | Column, steps: int | None
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("pos", F.count_if("opens").over(upto)).withColumn(
         "until", F.max(F.when(F.col("opens"), F.col("end"))).over(upto))
-    inside = rows.filter(F.col("pos").between(1, MAX_PAGE_ITEMS) & ~F.col("opens") & (F.col("start") < F.col("until")))
+    wanted = F.col("pos") >= 1 if max_items is None else F.col("pos").between(1, max_items)
+    inside = rows.filter(wanted & ~F.col("opens") & (F.col("start") < F.col("until")))
 
     block = [*scope, "pos"]
     inside = with_matches(inside, {f"is_{r}": f"c_{r}" for r in ROLES if r != "item"}, longest, block)
@@ -194,8 +200,8 @@ def extract_items(nodes: DataFrame, rules: DataFrame | Column, steps: int | None
     href = F.when(F.col("link_el").isNotNull(), F.col("link_el.href")).otherwise(F.col("headline.el.href"))
     shown = F.coalesce("title_el.text", "headline.text", F.lit(""))
     return with_absolute_link(found, href, F.col("page_url")).filter("url is not null").select(
-        *block, F.col("url").alias("guid"), "url", utf16_left(shown, MAX_TITLE).alias("title"),
-        blank_to_null(utf16_left(F.col("summary"), MAX_SUMMARY)).alias("summary"),
+        *block, F.col("url").alias("guid"), "url", (shown if max_title is None else utf16_left(shown, max_title)).alias("title"),
+        blank_to_null(F.col("summary") if max_summary is None else utf16_left(F.col("summary"), max_summary)).alias("summary"),
         parse_date(F.col("date_text")).alias("published_at"))
 
 

@@ -9,10 +9,10 @@ from feedloom.functions import urls
 from feedloom.functions.text import page_title
 from feedloom.operators import ingest, outcome, shorts, state
 from feedloom.operators.feeds import due_feeds
-from feedloom.operators.html import extract_items, html_nodes, with_rule
+from feedloom.operators.html import SCRAPE_LIMITS, extract_items, html_nodes, with_rule
 from feedloom.operators.parse import items_of, parse_feeds
 from feedloom.operators.retention import retention
-from feedloom.schemas import RETAIN_PER_FEED
+from feedloom.schemas import MAX_PAGE_BYTES, MAX_TITLE, RETAIN_PER_FEED
 from feedloom.session import stored
 
 _OUTCOME = ["fetch_id", "feed_id", "status", "error", "etag", "last_modified", "feed_title", "site_url", "n_items"]
@@ -43,15 +43,15 @@ def _scrape_responses(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("rule").isNotNull() & F.col("status").between(200, 299)
         & outcome.oversize(F.col("content_length"), F.octet_length("body")).isNull()
         & outcome.is_html(F.col("body"), F.coalesce("content_type", F.lit(""))))
-    nodes = stored(html_nodes(readable.select("page_id", landed.alias("url"), F.col("body").alias("html"))))
+    nodes = stored(html_nodes(readable.select("page_id", landed.alias("url"), F.col("body").alias("html")), MAX_PAGE_BYTES))
     rules = readable.select("page_id", F.lit(0).alias("rule_id"), "rule")
-    found = stored(extract_items(nodes, rules))
+    found = stored(extract_items(nodes, rules, **SCRAPE_LIMITS))
     counts = found.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"))
     broken = nodes.filter("error is not null").select("page_id", F.col("error").alias("unread"))
     judged = texts.join(counts, "page_id", "left").join(broken, "page_id", "left")
     outcomes = outcome.classify_scrape(judged, F.col("n_items"), F.col("rule.item"), F.col("unread"))
     adopted = outcomes.withColumns({
-        "feed_title": page_title(F.col("body")), "site_url": urls.origin(landed),
+        "feed_title": page_title(F.col("body"), MAX_TITLE), "site_url": urls.origin(landed),
         "n_items": F.coalesce("n_items", F.lit(0))})
     entries = found.join(texts.select("page_id", "feed_id", "fetch_id"), "page_id").select(
         "fetch_id", "feed_id", (F.col("pos") - 1).cast("int").alias("feed_pos"), "guid", "url", "title",

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions.text import utf16_length
-from feedloom.operators.html import extract_items, headline_order, html_nodes, is_link
-from feedloom.schemas import HEADINGS
+from feedloom.operators.html import SCRAPE_LIMITS, extract_items, headline_order, html_nodes, is_link
+from feedloom.schemas import HEADINGS, MAX_PAGE_BYTES
 from feedloom.session import stored
 
 # What makes a group of same-shaped siblings a candidate, and how many suggestions and samples are kept.
@@ -93,7 +93,7 @@ def suggest_rules(nodes: DataFrame, top: int = TOP_RULES, sample: int = SAMPLE)
     selector has at most two steps.
     """
     rules = stored(suggested_rules(nodes))
-    found = extract_items(nodes, rules.select("page_id", "rule_id", "rule"), steps=2)
+    found = extract_items(nodes, rules.select("page_id", "rule_id", "rule"), steps=2, **SCRAPE_LIMITS)
     entry = F.struct("pos", "url", "title", "summary", "published_at")
     scored = found.groupBy("page_id", "rule_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(utf16_length(F.col("title"))).alias("avg_title"),
@@ -107,7 +107,7 @@ def suggest_rules(nodes: DataFrame, top: int = TOP_RULES, sample: int = SAMPLE)
 
 def scrape_preview(pages: DataFrame) -> DataFrame:
     """For every requested page its suggestions, or the reason there are none."""
-    nodes = stored(html_nodes(pages))
+    nodes = stored(html_nodes(pages, MAX_PAGE_BYTES))
     errors = nodes.filter("error is not null").select("page_id", "error")
     asked = pages.select("page_id", "url").join(errors, "page_id", "left")
     shown = asked.join(suggest_rules(nodes), "page_id", "left")

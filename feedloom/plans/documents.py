@@ -161,13 +161,17 @@ union all select page_id, 'script', len(regexp_extract_all(html,'<script>')),
     lambda t: nodes(t).filter(F.col("tag").isin("a", "li", "meta", "script")).groupBy("page_id", "tag").agg(
         F.count(F.lit(1)).alias("n"), F.sum("text_len").alias("text_length")))
 
+query("html_tags", """select page_id, lower(tag) as tag, count(*) as n from (
+ select page_id, unnest(regexp_extract_all(html,'<([a-zA-Z][a-zA-Z0-9]*)',1)) as tag from pages) group by all""")(
+    lambda t: nodes(t).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")))
+
 _HREFS = """select page_id, url as page_url, generate_subscripts(w,1) as pos, unnest(w) as word from (select page_id, url,
  regexp_extract_all(html,'<li><a href="/([^"]*)">',1) as w from pages)"""
 _LINK = "regexp_extract(page_url,'^(https?://[^/?#]+)',1)||'/'||replace(url_encode(word),'%2C',',')"
 query("scrape_items", f"""select page_id, pos, {_LINK} as guid, {_LINK} as url, word as title from ({_HREFS})""")(
     lambda t: html.extract_items(nodes(t), html.literal_rule(item="li", link="a"))
     .select("page_id", F.col("pos"), "guid", "url", "title"))
-query("headline_links", f"select page_id, pos, {_LINK} as url, word as title from ({_HREFS}) where pos<=100")(
+query("headline_links", f"select page_id, pos, {_LINK} as url, word as title from ({_HREFS})")(
     lambda t: html.headline_links(nodes(t), "nav li"))
 query("select_nodes", """select page_id, count(*) as n, min(word) as first_text from (select page_id,
  unnest(regexp_extract_all(html,'<li><a href="[^"]*">([^<]*)</a>',1)) as word from pages) group by 1""")(

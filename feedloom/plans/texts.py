@@ -65,7 +65,7 @@ from (select page_id, regexp_extract_all(html, '<li><a href="/([^"]*)">', 1) as
     .select("page_id", F.posexplode(text.reading_links(F.col("h"))).alias("n", "l"))
     .select("page_id", F.col("n").cast("bigint").alias("link_no"), "l.url", F.col("l.text").alias("label")))
 
-_TITLE = r"regexp_extract(html,'<title[^>]*>([\s\S]{0,300}?)</title>',1,'i')"
+_TITLE = r"regexp_extract(html,'<title[^>]*>([\s\S]*?)</title>',1,'i')"
 query("page_titles", f"""select page_id, nullif(trim(regexp_replace({sql_decode(_TITLE)},'{_WS}',' ','g')),'') as title
 from pages""")(
     lambda t: page_rows(t).select("page_id", text.page_title(F.col("html")).alias("title")))
