@@ -1,6 +1,8 @@
 """One poll over many feeds: responses to outcomes and entries, then items, feed state, verdicts and the run record."""
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +16,7 @@ from feedloom.operators.parse import items_of, parse_feeds
 from feedloom.operators.retention import retention
 from feedloom.schemas import MAX_PAGE_BYTES, MAX_TITLE, RETAIN_PER_FEED
 from feedloom.session import stored
+from feedloom.sources.tables import Table
 
 _OUTCOME = ["fetch_id", "feed_id", "status", "error", "etag", "last_modified", "feed_title", "site_url", "n_items"]
 _ENTRY = ["fetch_id", "feed_id", "feed_pos", "guid", "url", "title", "author", "summary", "content", "published_at"]
@@ -105,3 +108,16 @@ def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts:
     run = state.run_stats(state.judged(feeds, state.latest(outcomes)), count(fresh), count(gone),
                           shorts.unclassified(grown, feeds, known).scalar())
     return Poll(kept, state.next_feed_state(feeds, outcomes, now), known, run)
+
+
+def recorded(runs: Table, run_id: int, trigger: str, poll: Callable[[], Poll]) -> Poll:
+    """Run a poll and log it. A run that fails is logged too, and its error goes on. A run logged again replaces itself."""
+    clock = lambda: F.lit(dt.datetime.now(dt.timezone.utc))
+    started = clock()
+    try:
+        result = poll()
+        runs.put(state.run_record(result.run, run_id, trigger, started, clock()), f"run-{run_id}")
+    except Exception as error:
+        runs.put(state.failed_run(runs.spark, run_id, trigger, started, clock(), str(error)[:500]), f"run-{run_id}")
+        raise
+    return result

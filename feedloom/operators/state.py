@@ -4,9 +4,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from feedloom.schemas import POLL_INTERVAL_MIN, SCRAPE_DECAY_FLOOR, SCRAPE_DECAY_RATIO
+from feedloom.schemas import POLL_INTERVAL_MIN, RUNS, SCRAPE_DECAY_FLOOR, SCRAPE_DECAY_RATIO
 
 
 def is_decayed(kind: Column, before: Column, found: Column) -> Column:
@@ -75,6 +75,21 @@ def run_stats(judged_outcomes: DataFrame, inserted: Column, swept: Column, uncla
                           unclassified.alias("unclassified"), note.alias("note"))
 
 
+def run_record(stats: DataFrame, run_id: int, trigger: str, started: Column, finished: Column) -> DataFrame:
+    """A row of the run log: the tallies with the run's id, trigger, times and duration."""
+    given = {"run_id": F.lit(run_id).cast("bigint"), "started_at": started, "finished_at": finished, "trigger": F.lit(trigger),
+             "duration_ms": F.unix_millis(finished) - F.unix_millis(started)}
+    columns = [part.split() for part in RUNS.split(", ")]
+    return stats.withColumns(given).select(*[F.col(c).cast(kind).alias(c) for c, kind in columns])
+
+
+def failed_run(spark: SparkSession, run_id: int, trigger: str, started: Column, finished: Column, error: str) -> DataFrame:
+    """The row of a run that ended early: no tallies, and the error as its note."""
+    zero = ("feeds", "ok", "not_modified", "errored", "inserted", "shorts_swept", "unclassified")
+    stats = spark.range(1).select(*[F.lit(0).alias(c) for c in zero], F.lit(f"Run failed: {error}").alias("note"))
+    return run_record(stats, run_id, trigger, started, finished)
+
+
 def poll_windows(polls: DataFrame) -> DataFrame:
     """Poll outcomes per cadence window."""
     return (polls.groupBy(F.window("polled_at", f"{POLL_INTERVAL_MIN} minutes").alias("w"))

@@ -117,3 +117,22 @@ def test_subscription_lists_of_any_depth(spark):
     assert time.time() - started < 60
     assert got == {"http://x": "f4999", "http://top": None, "http://1": "A", "http://2": "A", "http://3": "A", "http://4": "A",
                    "http://5": None, "http://6": "C"}
+
+
+def test_runs_are_logged_also_when_they_fail(spark, tmp_path):
+    from feedloom.operators.poll import Poll, recorded
+    from feedloom.schemas import RUNS
+    from feedloom.sources.tables import Table
+
+    runs = Table(spark, str(tmp_path / "runs"), RUNS)
+    stats = spark.createDataFrame([(3, 2, 0, 1, 5, 0, 0, None)], "feeds long, ok long, not_modified long, errored long, inserted long, "
+                                  "shorts_swept long, unclassified long, note string")
+    recorded(runs, 1, "cron", lambda: Poll(None, None, None, stats))
+    with pytest.raises(RuntimeError):
+        recorded(runs, 2, "manual", lambda: (_ for _ in ()).throw(RuntimeError("no disk")))
+    recorded(runs, 1, "cron", lambda: Poll(None, None, None, stats))
+    got = {r["run_id"]: r for r in runs.read().collect()}
+    assert sorted(got) == [1, 2] and runs.read().count() == 2
+    assert (got[1]["feeds"], got[1]["trigger"], got[1]["note"]) == (3, "cron", None)
+    assert got[1]["duration_ms"] >= 0 and got[1]["started_at"] <= got[1]["finished_at"]
+    assert got[2]["note"] == "Run failed: no disk" and got[2]["feeds"] == 0
