@@ -1,6 +1,8 @@
 """Queries of the document jobs: feed bodies, pages, rules, discovery, subscription lists."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions import urls
@@ -9,8 +11,9 @@ from feedloom.operators.joins import spread_small
 from feedloom.plans.bindings import Tables
 from feedloom.plans.polling import nav_items
 from feedloom.plans.registry import query
-from feedloom.session import stored
-from feedloom.sources import opml
+from feedloom.schemas import FETCHES
+from feedloom.session import shared_dir, stored
+from feedloom.sources import landed, opml
 
 # --- feed bodies: items written out as responses, at most 200 item numbers to a body, and read back
 
@@ -123,8 +126,13 @@ query("parse_feeds_lenient", _READ_XML.replace("as title", "as title").replace(
 
 @query("src_fetches", """select feed_id, count(*) as entries, 'ok' as status from items_v group by 1""", "items")
 def _fetches(t: Tables) -> DataFrame:
-    fetches = mixed(t).withColumns({"status": F.lit(200), "network_error": F.lit(None).cast("string"),
-                                    "etag": F.lit("W/1"), "last_modified": F.lit(None).cast("string")})
+    """The bodies as a poller lands them, read back by the table's reader."""
+    given = {"status": F.lit(200), "etag": F.lit("W/1"), "body": F.col("body").cast("binary")}
+    columns = [part.split() for part in FETCHES.split(", ")]
+    bodies_of = mixed(t).withColumns(given)
+    path = f"{shared_dir(t.spark)}/feedloom/{uuid.uuid4().hex}"
+    bodies_of.select(*[(F.col(c) if c in bodies_of.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns]).write.parquet(path)
+    fetches = landed.read_fetches(t.spark, path).withColumn("body", F.col("body").cast("string"))
     read = parse.parse_feeds(fetches.withColumn("raw", F.col("body"))).withColumnRenamed("raw", "body")
     judged = outcome.classify_feed(read, F.col("parse_error"))
     return judged.groupBy("feed_id", "status").agg(F.sum(F.size("entries")).alias("entries"))
@@ -133,7 +141,7 @@ def _fetches(t: Tables) -> DataFrame:
 # --- pages
 
 query("src_pages", "select page_id, url, length(html) as n_chars from pages")(
-    lambda t: t.pages.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars")))
+    lambda t: landed.read_pages(t.spark, f"{t.dir}/pages.parquet").select("page_id", "url", F.length("html").cast("bigint").alias("n_chars")))
 
 _CHARSETS = "case page_id%5 when 0 then 'utf-8' when 1 then 'windows-1252' when 2 then '' when 3 then 'utf-16le' else 'x-unknown' end"
 _ENCODED = f"""case when {_CHARSETS} = 'utf-16le' then encode(text, 'UTF-16LE')
@@ -291,6 +299,15 @@ def _discover(t: Tables) -> DataFrame:
 # --- subscription lists: one per hundred documents, nested by language
 
 
+def listed_files(t: Tables) -> DataFrame:
+    """The lists as files, one each, read back by the files' reader."""
+    path = f"{shared_dir(t.spark)}/feedloom/{uuid.uuid4().hex}"
+    every = lists(t)
+    every.select(F.col("doc_id").cast("string").alias("list"), "xml").write.partitionBy("list").text(path)
+    name = F.regexp_extract("doc_id", "/list=([^/]+)/", 1)
+    return opml.read_opml(t.spark, path).withColumn("doc_id", name.cast(every.schema["doc_id"].dataType))
+
+
 def lists(t: Tables) -> DataFrame:
     feed = F.concat(F.lit('<outline type="rss" text="Doc &amp; '), F.col("doc_id").cast("string"), F.lit('" xmlUrl="'),
                     F.when(F.col("doc_id") % 9 == 0, "ftp").otherwise("https"), F.lit("://"), "source",
@@ -316,4 +333,4 @@ query("opml_flatten", f"select list_id as doc_id, feed_url, title, site_url, fol
 query("import_opml", f"""select list_id as doc_id, count(*) filter (where fresh) as added, count(*) filter (where not fresh) as skipped
 from (select *, starts_with(feed_url,'http') and feed_url not in (select feed_url from feeds_v)
  and row_number() over (partition by feed_url order by list_id, doc_id, place)=1 as fresh from ({_LISTED})) group by 1""",
-      "feeds")(lambda t: opml.import_summary(opml.to_add(opml.opml_feeds(lists(t)), t.feeds)))
+      "feeds")(lambda t: opml.import_summary(opml.to_add(opml.opml_feeds(listed_files(t)), t.feeds)))
