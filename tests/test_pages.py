@@ -54,10 +54,11 @@ def test_headline(spark):
     assert got == {i: "https://site.example" + want for i, (_, want) in enumerate(cases)}
 
 
-def test_a_page_gives_at_most_a_hundred_containers(spark):
+def test_a_limit_counts_containers(spark):
     page = "".join(f'<p class="c"><a href="/{i}">item {i}</a></p>' for i in range(150))
-    rows = extract(spark, page, item=".c")
-    assert [r.url for r in rows] == [f"https://site.example/{i}" for i in range(100)]
+    found = html.extract_items(html.html_nodes(table(spark, page)), html.literal_rule(item=".c"), max_items=100).orderBy("pos").collect()
+    assert [r.url for r in found] == [f"https://site.example/{i}" for i in range(100)]
+    assert len(extract(spark, page, item=".c")) == 150
 
 
 @pytest.mark.parametrize("selector,want", [
