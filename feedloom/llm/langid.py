@@ -27,8 +27,8 @@ from feedloom.llm.linear import logistic, sample_by
 PER_LANGUAGE = 600
 #: Hash buckets of the n-grams, as a power of two, and the lengths in bytes.
 BUCKET_BITS, LENGTHS = 12, (1, 2, 3, 4)
-#: A text is ambiguous where its score, the share of the best codeword, is below this.
-SURE = 0.5
+#: A text is ambiguous where the best codeword is less than this many times as likely as the second.
+LEAD = 1.1
 #: Long texts are counted in pieces of this many bytes.
 PIECE = 1 << 20
 
@@ -73,12 +73,14 @@ class Model:
     weights: np.ndarray
     trust: np.ndarray
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the nearest codeword for each row of features, and its share of the likelihood."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of features the index of the nearest codeword, its share of the likelihood, and its lead: how many
+        times as likely as the second it is."""
         margin = x @ self.weights[:-1] + self.weights[-1]
         loss = np.stack([(self.trust * np.logaddexp(0, -margin * c)).sum(axis=1) for c in self.code], axis=1)
         near = np.exp(loss.min(axis=1, keepdims=True) - loss)
-        return loss.argmin(axis=1), near.max(axis=1) / near.sum(axis=1)
+        second = np.partition(near, -2, axis=1)[:, -2]
+        return loss.argmin(axis=1), 1 / near.sum(axis=1), 1 / np.maximum(second, 1e-300)
 
 
 def fit(docs: DataFrame, may_learn: Column, per_language: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
@@ -121,13 +123,13 @@ def identify(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAG
             part = texts.iloc[at:at + 256]
             known = [t is not None and model is not None and any(map(str.isalpha, t)) for t in part]
             if any(known):
-                best, share = model.decode(np.stack([features(t) for t, k in zip(part, known, strict=True) if k])) \
-                    if len(model.languages) > 1 else (np.zeros(sum(known), int), np.ones(sum(known)))
-                found = iter(zip(best, share, strict=True))
+                many = sum(known)
+                found = zip(*(model.decode(np.stack([features(t) for t, k in zip(part, known, strict=True) if k]))
+                              if len(model.languages) > 1 else (np.zeros(many, int), np.ones(many), np.full(many, np.inf))), strict=True)
             for k in known:
                 if k:
-                    b, s = next(found)
-                    out.append((model.languages[b], float(s), bool(s < SURE)))
+                    best, share, lead = next(found)
+                    out.append((model.languages[best], float(share), bool(lead < LEAD)))
                 else:
                     out.append(("und", 0.0, False))
         return pd.DataFrame(out, columns=["lang", "score", "ambiguous"])
