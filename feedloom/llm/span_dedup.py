@@ -114,9 +114,12 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"),
                         F.xxhash64(whole_text(text_col)).alias("mark"), whole_text(text_col).alias("text"))
     seen = stored(occurrences(keyed, words))
-    firsts = seen.filter("not again").groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
-        "first < last").select("hash", "first")
-    covered = seen.join(firsts, "hash", "left").filter("again or doc > first").groupBy("doc", "mark").agg(
+    # Written, so that the join reads it by an exchange of its own and Spark can split the rows of a hot span.
+    firsts = stored(seen.filter("not again").groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
+        "first < last").select("hash", "first"))
+    span = ["doc", "mark", "begin", "end"]
+    later = seen.filter("not again").join(firsts, "hash").filter("doc > first").select(*span)
+    covered = later.union(seen.filter("again").select(*span)).groupBy("doc", "mark").agg(
         F.collect_set(F.struct("begin", "end")).alias("__covered")).toDF("__doc", "__mark", "__covered")
     texts = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
                               "__mark": F.xxhash64(whole_text(text_col))})
