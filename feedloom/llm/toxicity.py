@@ -44,6 +44,8 @@ SPELLED = str.maketrans("013457@$!", "oieastasi")
 ADDRESS = ("you", "your", "du", "ihr", "tu", "vous", "tú", "usted")
 #: Lengths of word beginnings that may be terms, and buckets of the words that are none.
 BEGINNINGS, BUCKETS = (4, 5, 6), 1 << 9
+#: Words a worker remembers per generation.
+KNOWN_WORDS = 200_000
 PATTERNS = ("spelled", "spaced", "shouted", "addressed", "several", "none")
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -100,7 +102,7 @@ class Voters:
         self.terms = terms
         self.place = {t: k for k, t in enumerate(terms)}
         self.names = [*terms, *PATTERNS]
-        self.hits = Remembered(lambda w: tuple(self.place[t] for t in terms_of(w) if t in self.place))
+        self.hits = Remembered(lambda w: tuple(self.place[t] for t in terms_of(w) if t in self.place), KNOWN_WORDS)
 
     def hit(self, word: str) -> tuple[int, ...]:
         return self.hits[word]
@@ -198,7 +200,7 @@ class Features:
 
     def __init__(self, terms: list[str]):
         self.ask = Voters(terms)
-        self.bucket = Remembered(lambda w: hash_word(w))
+        self.bucket = Remembered(hash_word, KNOWN_WORDS)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         vote, words = self.ask(text)
