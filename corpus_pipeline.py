@@ -30,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens have the target shares of sources, languages and topics."""
+    """A sample of a stated size, whose expected tokens have the target shares of sources, languages and topics as far as
+    these have the tokens."""
     return mixing.sample(docs, **mix_settings())
 
 

@@ -62,12 +62,14 @@ TOPIC = """case
     when length(coalesce(text, '')) < 8000 then 'article' else 'longform' end"""
 #: Powers of the observed token mass that make the target shares.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+#: Share of the observed token mass that a mixed corpus has.
+SIZE = 0.6
 
 
 def mix_settings() -> dict:
     dims: dict[str, Column] = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}
     return {"dims": dims, "weight": F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4),
-            "targets": {d: mixing.tempered(p) for d, p in POWERS.items()}}
+            "targets": {d: mixing.tempered(p) for d, p in POWERS.items()}, "size": SIZE}
 
 
 def mix_oracle() -> str:
@@ -93,7 +95,8 @@ def mix_oracle() -> str:
 
 @query("op4_mix_sources", mix_oracle())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), **mix_settings())
+    """The query's SQL has no size: it sets the cell with the greatest factor to probability 1."""
+    return mixing.mix(table(spark, sf_dir, "documents"), **{**mix_settings(), "size": None})
 
 
 @query("op5_span_dedup")
