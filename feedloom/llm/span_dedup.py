@@ -8,7 +8,14 @@ that in the least doc_id, and inside a document the first from its start.
 
 A passage of n words that stands in several documents is removed from all but the first if ``words`` or more of its words
 are whole clauses, thus whatever the sentences around it, where n is at least ``words`` plus the words of its two outer
-sentences. Texts of fewer than ``words`` words have no span. Nulls count as empty and come back as they were. Rows that
+sentences. Long sentences are cut on a grid from their start, so inside them a passage is found only where it lies alike.
+
+With a ``run`` (of words), every run of so many words that stands in an earlier document, or earlier in the same text
+without overlap, is removed as well, wherever it begins, word by word. Here a letter of a script that sets no spaces
+is a word. Winnowing picks in every run the least hash of its ``GRAM`` words, the same in all its copies; only runs whose
+pick repeats, and is not all covered by spans already, are hashed and joined.
+
+Texts of fewer than ``words`` words have no span. Nulls count as empty and come back as they were. Rows that
 share a doc_id are one document to the order of occurrences: what they share stays in both. Null ids come first.
 """
 from __future__ import annotations
@@ -28,6 +35,14 @@ WORDS, CLAUSE = 30, 12
 #: Sentence ends: white space behind a closing mark, or a line end.
 _ENDS = re.compile(r"(?<=[.!?。！？…])\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
+#: Words of the pieces that are picked from runs.
+GRAM = 16
+#: Windows whose least piece is looked for at once, which bounds the arrays held.
+AT_ONCE = 1 << 15
+#: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_LETTER = re.compile(f"[{_UNSPACED}]")
+_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
 
 
 def sentence_bounds(text: str) -> list[int]:
@@ -64,12 +79,15 @@ class Spans:
         return np.concatenate((first, begins)), np.concatenate((ends, rest))
 
     def hashes(self, text: str, at: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        words = self.hasher(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"))
+        return self.of_words(text.lower().split(), at[begins], at[ends])
+
+    def of_words(self, given: list[str], s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``s`` to before ``e``."""
+        words = self.hasher(" ".join(given).encode("utf-8", "surrogatepass"))
         if len(self.up) < len(words) + 1:
             self.up, self.down = _powers(BASE, 2 * len(words) + 1), _powers(BASE_INVERSE, 2 * len(words) + 1)
         total = np.zeros(len(words) + 1, dtype=np.uint64)
         np.cumsum(words * self.up[:len(words)], dtype=np.uint64, out=total[1:])
-        s, e = at[begins], at[ends]
         return mix64((total[e] - total[s]) * self.down[s] + (e - s).astype(np.uint64))
 
     def __call__(self, text: str):
@@ -83,6 +101,128 @@ class Spans:
         return self.hashes(text, at, begins, ends).view(np.int64), begins, ends
 
 
+def tokens(text: str) -> list[str]:
+    """The lower-cased words of a text; a letter of a script without spaces is one."""
+    text = text.lower()
+    return text.split() if text.isascii() or not _LETTER.search(text) else _TOKEN.findall(text)
+
+
+class Picks:
+    """The runs of ``run`` words of a text: the hash of each, and of the piece picked from it."""
+
+    def __init__(self, spans: Spans, run: int):
+        self.spans, self.run, self.gram = spans, run, min(GRAM, run)
+
+    def _windows(self, given: list[str], width: int) -> np.ndarray:
+        s = np.arange(len(given) - width + 1)
+        return self.spans.of_words(given, s, s + width)
+
+    def picks(self, given: list[str]) -> np.ndarray:
+        """For every run the hash of its piece; the first of equal ones counts."""
+        if len(given) < self.run:
+            return np.empty(0, dtype=np.int64)
+        return self._picked(given)[0]
+
+    def _picked(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        grams = self._windows(given, self.gram)
+        views = np.lib.stride_tricks.sliding_window_view(grams, self.run - self.gram + 1)
+        place = np.concatenate([views[k:k + AT_ONCE].argmin(axis=1) for k in range(0, len(views), AT_ONCE)]) + np.arange(len(views))
+        return grams[place].view(np.int64), place
+
+    def distinct(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes picked from a text, and whether they stand at several places."""
+        given = tokens(text)
+        if len(given) < self.run:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+        hashed, place = self._picked(given)
+        _, one = np.unique(place, return_index=True)
+        found, count = np.unique(hashed[one], return_counts=True)
+        return found, count > 1
+
+    def runs(self, text: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, begin, again) of the runs whose pick is wanted; ``again``: it stood before without overlap."""
+        given = tokens(text)
+        at = np.flatnonzero(np.isin(self.picks(given), wanted))
+        hashed = self.spans.of_words(given, at, at + self.run).view(np.int64)
+        _, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        return hashed, at, at - at[first][inverse] >= self.run
+
+
+def picked(docs: DataFrame, words: int, run: int) -> DataFrame:
+    """(doc, mark, hash, again): the distinct picks of every text."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        picks = Picks(Spans(WordHasher(), words), run)
+        for frame in frames:
+            out = [(doc, mark, *picks.distinct(text)) for doc, mark, text in zip(frame["doc"], frame["mark"], frame["text"], strict=True)]
+            sizes = [len(h) for _, _, h, _ in out]
+            if sum(sizes):
+                yield pd.DataFrame({"doc": np.repeat([o[0] for o in out], sizes), "mark": np.repeat([o[1] for o in out], sizes),
+                                    "hash": np.concatenate([o[2] for o in out]), "again": np.concatenate([o[3] for o in out])})
+
+    return docs.select("doc", "mark", "text").mapInPandas(work, "doc long, mark long, hash long, again boolean")
+
+
+def open_picks(texts: DataFrame, words: int, run: int) -> DataFrame:
+    """The ``later`` picks of runs that hold a word which no covered span holds."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spans = Spans(WordHasher(), words)
+        picks = Picks(spans, run)
+        for frame in frames:
+            out = []
+            for text, later, b, e in zip(frame["text"], frame["later"], frame["begins"], frame["ends"], strict=True):
+                hashed = picks.picks(tokens(text))
+                left = np.isin(hashed, np.asarray(later))
+                if b is not None and left.any():
+                    gone = np.zeros(len(text) + 1, dtype=np.int64)
+                    for x, y in cut_places(text, spans, np.asarray(b), np.asarray(e))[0]:
+                        gone[x:y] = 1
+                    # Words that stay, counted before every word.
+                    stay = np.concatenate(([0], np.cumsum([1 - gone[m.start()] for m in _TOKEN.finditer(text)])))
+                    left &= stay[run:] > stay[:-run]
+                out.append(np.unique(hashed[left]))
+            if out:
+                yield pd.DataFrame({"hash": np.unique(np.concatenate(out))})
+
+    return texts.select("text", "later", "begins", "ends").mapInPandas(work, "hash long")
+
+
+def wanted_runs(texts: DataFrame, words: int, run: int) -> DataFrame:
+    """(doc, mark, hash, at, again): the runs whose pick is ``wanted``."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        picks = Picks(Spans(WordHasher(), words), run)
+        for frame in frames:
+            for doc, mark, text, wanted in zip(frame["doc"], frame["mark"], frame["text"], frame["wanted"], strict=True):
+                hashed, at, again = picks.runs(text, np.asarray(wanted))
+                yield pd.DataFrame({"doc": doc, "mark": mark, "hash": hashed, "at": at, "again": again})
+
+    return texts.select("doc", "mark", "text", "wanted").mapInPandas(
+        work, "doc long, mark long, hash long, at int, again boolean")
+
+
+def repeated_runs(keyed: DataFrame, covered: DataFrame, words: int, run: int) -> DataFrame:
+    """(__doc, __mark, __runs): the first words of all runs that repeat earlier ones and are not all ``covered``."""
+    def firsts(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("twice")).filter(
+            "first < last or twice").select("hash", "first"))
+
+    picks = picked(keyed, words, run)
+    later = F.col("again") | (F.col("doc") > F.col("first"))
+    found = stored(picks.join(firsts(picks), "hash").select("doc", "mark", "hash", later.alias("later")))
+    lists = found.groupBy("doc", "mark").agg(F.collect_set(F.when(F.col("later"), F.col("hash"))).alias("later"))
+    # Only texts with a repeated pick are written.
+    texts = stored(keyed.dropDuplicates(["doc", "mark"]).join(lists, ["doc", "mark"]).join(
+        covered.select(F.col("__doc").alias("doc"), F.col("__mark").alias("mark"), F.col("__covered.begin").alias("begins"),
+                       F.col("__covered.end").alias("ends")), ["doc", "mark"], "left"))
+    wanted = stored(open_picks(texts.filter(F.size("later") > 0), words, run).distinct())
+    holders = found.join(wanted, "hash").groupBy("doc", "mark").agg(F.collect_set("hash").alias("wanted"))
+    runs = stored(wanted_runs(texts.join(holders, ["doc", "mark"]), words, run))
+    return runs.join(firsts(runs), "hash").filter(later).groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(
+        F.collect_set("at").alias("__runs"))
+
+
 def occurrences(docs: DataFrame, words: int) -> DataFrame:
     """(doc, mark, again, hash, begin, end): each span's first occurrence in its document; later ones are ``again``."""
 
@@ -106,9 +246,10 @@ def occurrences(docs: DataFrame, words: int) -> DataFrame:
         work, "doc long, mark long, again boolean, hash long, begin int, end int")
 
 
-def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their text freed of repeated spans, and ``n_removed`` clauses (a column of that name gives
-    way)."""
+def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
+                   run: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with their text freed of repeated spans, and of all repeated runs of ``run`` words where that is
+    given; ``n_removed`` clauses lost words (a column of that name gives way)."""
     slim_batches(docs.sparkSession)
     # ``mark`` tells rows with the same id but another text apart.
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"),
@@ -123,34 +264,59 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         F.collect_set(F.struct("begin", "end")).alias("__covered")).toDF("__doc", "__mark", "__covered")
     texts = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
                               "__mark": F.xxhash64(whole_text(text_col))})
-    joined = texts.join(covered, ["__doc", "__mark"], "left")
-    cut = rewrite(words)
-    out = joined.withColumn("__new", F.when(F.col("__covered").isNotNull(), cut(
-        whole_text(text_col), F.col("__covered.begin"), F.col("__covered.end"))))
+    if run is None:
+        joined = texts.join(covered, ["__doc", "__mark"], "left").withColumn("__runs", F.lit(None).cast("array<int>"))
+    else:
+        covered = stored(covered)
+        runs = stored(repeated_runs(keyed, covered, words, run))
+        joined = texts.join(covered, ["__doc", "__mark"], "left").join(runs, ["__doc", "__mark"], "left")
+    cut = rewrite(words, run)
+    out = joined.withColumn("__new", F.when(F.col("__covered").isNotNull() | F.col("__runs").isNotNull(), cut(
+        whole_text(text_col), F.col("__covered.begin"), F.col("__covered.end"), F.col("__runs"))))
     return out.select(*(F.coalesce("__new.text", text_col).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_removed"),
                       F.coalesce("__new.removed", F.lit(0)).alias("n_removed"))
 
 
-def rewrite(words: int):
+def rewrite(words: int, run: int | None):
     @F.pandas_udf("text string, removed int")
-    def cut(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, begins: pd.Series, ends: pd.Series, runs: pd.Series) -> pd.DataFrame:
         spans = Spans(WordHasher(), words)
         out = []
-        for text, b, e in zip(texts, begins, ends, strict=True):
-            out.append((text, 0) if b is None or not text else without(text, spans, np.asarray(b), np.asarray(e)))
+        for text, b, e, r in zip(texts, begins, ends, runs, strict=True):
+            out.append((text, 0) if not text or b is None and r is None else without(text, spans, b, e, r, run))
         return pd.DataFrame(out, columns=["text", "removed"])
 
     return cut
 
 
-def without(text: str, spans: Spans, begins: np.ndarray, ends: np.ndarray) -> tuple[str, int]:
-    """The text without the clauses in [begin, end) of any span, and how many went."""
+def cut_places(text: str, spans: Spans, begins, ends) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where the clauses in [begin, end) of any span lie in the text, and where every clause begins, with the text's end."""
     at, _ = spans.clauses(text)
     count = np.zeros(len(at), dtype=np.int64)
-    np.add.at(count, begins, 1)
-    np.add.at(count, ends, -1)
+    if begins is not None:
+        np.add.at(count, np.asarray(begins), 1)
+        np.add.at(count, np.asarray(ends), -1)
     gone = np.cumsum(count)[:-1] > 0
     starts = [m.start() for m in _WORD.finditer(text)]
     place = [starts[w] for w in at[:-1]] + [len(text)]
     place[0] = 0
-    return "".join(text[place[k]:place[k + 1]] for k in range(len(gone)) if not gone[k]), int(gone.sum())
+    return [(place[k], place[k + 1]) for k in np.flatnonzero(gone)], place
+
+
+def without(text: str, spans: Spans, begins, ends, runs=None, run: int | None = None) -> tuple[str, int]:
+    """The text without the clauses in [begin, end) of any span and the runs that begin at these words, and how many
+    clauses lost words."""
+    cuts, place = cut_places(text, spans, begins, ends)
+    if runs is not None:
+        starts = [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
+        starts[0] = 0
+        cuts += [(starts[w], starts[w + run]) for w in np.asarray(runs)]
+    parts, at, lost = [], 0, np.zeros(len(place), dtype=np.int64)
+    for a, b in sorted(cuts):
+        if b > at:
+            a = max(a, at)
+            parts.append(text[at:a])
+            lost[np.searchsorted(place, a, side="right") - 1] += 1
+            lost[np.searchsorted(place, b, side="left")] -= 1
+            at = b
+    return "".join([*parts, text[at:]]), int((np.cumsum(lost)[:-1] > 0).sum())
