@@ -105,6 +105,8 @@ def piece_lengths(model_file: str) -> Remembered:
     return per_process("piece_lengths:" + model_file, make)
 
 
+#: What the model reads as a space of its own.
+MARK = "\u2581"
 #: A word with the spaces before it; the last one also takes the spaces after it.
 _SPACED = re.compile(r" *[^ ]+(?: +\Z)?")
 
@@ -113,8 +115,11 @@ def pieces(text: str) -> list[str]:
     """The parts of a text that a model with a leading word mark encodes one by one with the same result.
 
     The model marks each space and puts one mark before the text, and no token has a mark behind another character, so
-    every part begins at a run of marks. A part's first mark is left out here, as the model adds it again.
+    every part begins at a run of marks. A part's first mark is left out here, as the model adds it again. A text that
+    holds the mark itself stays whole: beside a space it would make one run with it.
     """
+    if MARK in text:
+        return [text]
     if text[0] != " " and text[-1] != " " and "  " not in text:
         return text.split(" ")
     found = _SPACED.findall(text)

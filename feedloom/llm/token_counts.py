@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from feedloom.llm.common import rows_frame, slim_batches, whole_text
-from feedloom.llm.encoders import Remembered, piece_lengths, pieces
+from feedloom.llm.encoders import MARK, Remembered, piece_lengths, pieces
 
 #: Pre-tokens in the broadcast table: at most 32 characters each, so a few megabytes.
 TABLE, LONGEST = 1 << 16, 32
@@ -32,7 +32,7 @@ def frequent_pieces(docs: DataFrame, text_col: str, table: int, per_task: int) -
         seen: Counter = Counter()
         for frame in frames:
             for text in frame["text"]:
-                if text:
+                if text and MARK not in text:  # such a text is one piece, too long to be looked up
                     seen.update(pieces(text))
             if len(seen) > COUNTERS:  # what came once or twice so far gives way
                 seen = Counter({p: n for p, n in seen.items() if n > 2})
