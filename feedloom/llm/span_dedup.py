@@ -311,12 +311,16 @@ def without(text: str, spans: Spans, begins, ends, runs=None, run: int | None =
         starts = [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
         starts[0] = 0
         cuts += [(starts[w], starts[w + run]) for w in np.asarray(runs)]
-    parts, at, lost = [], 0, np.zeros(len(place), dtype=np.int64)
-    for a, b in sorted(cuts):
-        if b > at:
-            a = max(a, at)
-            parts.append(text[at:a])
-            lost[np.searchsorted(place, a, side="right") - 1] += 1
-            lost[np.searchsorted(place, b, side="left")] -= 1
-            at = b
-    return "".join([*parts, text[at:]]), int((np.cumsum(lost)[:-1] > 0).sum())
+    if not cuts:
+        return text, 0
+    cuts = np.array(sorted(cuts))
+    # Cuts that touch are one; a clause inside several cuts counts once.
+    reach = np.maximum.accumulate(cuts[:, 1])
+    new = np.append(True, cuts[1:, 0] > reach[:-1])
+    froms, tos = cuts[new, 0], reach[np.append(np.flatnonzero(new)[1:], len(cuts)) - 1]
+    place = np.asarray(place)
+    lost = np.zeros(len(place), dtype=np.int64)
+    np.add.at(lost, np.searchsorted(place, froms, side="right") - 1, 1)
+    np.add.at(lost, np.searchsorted(place, tos, side="left"), -1)
+    kept = zip([0, *tos.tolist()], [*froms.tolist(), len(text)], strict=True)
+    return "".join([text[a:b] for a, b in kept]), int((np.cumsum(lost)[:-1] > 0).sum())
