@@ -32,13 +32,11 @@ from feedloom.session import stored
 
 #: A span has at least this many words, and a clause at most this many.
 WORDS, CLAUSE = 30, 12
-#: Sentence ends: white space behind a closing mark, or a line end.
-_ENDS = re.compile(r"(?<=[.!?。！？…])\s+|\s*\n\s*")
+#: Sentence ends: white space behind a closing mark, or a line end. Only where a match ends counts.
+_ENDS = re.compile(r"[.!?。！？…]\s+|\n\s*")
 _WORD = re.compile(r"\S+")
 #: Words of the pieces that are picked from runs.
 GRAM = 16
-#: Windows whose least piece is looked for at once, which bounds the arrays held.
-AT_ONCE = 1 << 15
 #: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _LETTER = re.compile(f"[{_UNSPACED}]")
@@ -78,27 +76,22 @@ class Spans:
         rest, begins = rest[begins >= 0], begins[begins >= 0]
         return np.concatenate((first, begins)), np.concatenate((ends, rest))
 
-    def hashes(self, text: str, at: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.of_words(text.lower().split(), at[begins], at[ends])
+    def hashed(self, given: list[str]) -> np.ndarray:
+        return self.hasher(" ".join(given).encode("utf-8", "surrogatepass"))
 
-    def of_words(self, given: list[str], s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Hashes of the words from ``s`` to before ``e``."""
-        words = self.hasher(" ".join(given).encode("utf-8", "surrogatepass"))
-        if len(self.up) < len(words) + 1:
-            self.up, self.down = _powers(BASE, 2 * len(words) + 1), _powers(BASE_INVERSE, 2 * len(words) + 1)
-        total = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * self.up[:len(words)], dtype=np.uint64, out=total[1:])
+    def of_words(self, hashed: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``s`` to before ``e``, from the hashes of all words."""
+        if len(self.up) < len(hashed) + 1:
+            self.up, self.down = _powers(BASE, 2 * len(hashed) + 1), _powers(BASE_INVERSE, 2 * len(hashed) + 1)
+        total = np.zeros(len(hashed) + 1, dtype=np.uint64)
+        np.cumsum(hashed * self.up[:len(hashed)], dtype=np.uint64, out=total[1:])
         return mix64((total[e] - total[s]) * self.down[s] + (e - s).astype(np.uint64))
 
-    def __call__(self, text: str):
-        """(hash, begin, end) of every span."""
-        if not text:
-            return None
+    def __call__(self, text: str, hashed: np.ndarray):
+        """(hash, begin, end) of every span, from the hashes of the lower-cased words."""
         at, _ = self.clauses(text)
         begins, ends = self.runs(at)
-        if not len(begins):
-            return None
-        return self.hashes(text, at, begins, ends).view(np.int64), begins, ends
+        return self.of_words(hashed, at[begins], at[ends]).view(np.int64), begins, ends
 
 
 def tokens(text: str) -> list[str]:
@@ -107,62 +100,50 @@ def tokens(text: str) -> list[str]:
     return text.split() if text.isascii() or not _LETTER.search(text) else _TOKEN.findall(text)
 
 
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by windows that double."""
+    out, k = values, 1
+    while 2 * k <= width:
+        out, k = np.minimum(out[:-k], out[k:]), 2 * k
+    rest = width - k
+    return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
+
+
 class Picks:
     """The runs of ``run`` words of a text: the hash of each, and of the piece picked from it."""
 
     def __init__(self, spans: Spans, run: int):
         self.spans, self.run, self.gram = spans, run, min(GRAM, run)
+        self.width = run - self.gram + 1
 
-    def _windows(self, given: list[str], width: int) -> np.ndarray:
-        s = np.arange(len(given) - width + 1)
-        return self.spans.of_words(given, s, s + width)
-
-    def picks(self, given: list[str]) -> np.ndarray:
-        """For every run the hash of its piece; the first of equal ones counts."""
-        if len(given) < self.run:
+    def picks(self, hashed: np.ndarray) -> np.ndarray:
+        """For every run the hash of its piece."""
+        if len(hashed) < self.run:
             return np.empty(0, dtype=np.int64)
-        return self._picked(given)[0]
-
-    def _picked(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        grams = self._windows(given, self.gram)
-        views = np.lib.stride_tricks.sliding_window_view(grams, self.run - self.gram + 1)
-        place = np.concatenate([views[k:k + AT_ONCE].argmin(axis=1) for k in range(0, len(views), AT_ONCE)]) + np.arange(len(views))
-        return grams[place].view(np.int64), place
-
-    def distinct(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes picked from a text, and whether they stand at several places."""
-        given = tokens(text)
-        if len(given) < self.run:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
-        hashed, place = self._picked(given)
-        _, one = np.unique(place, return_index=True)
-        found, count = np.unique(hashed[one], return_counts=True)
-        return found, count > 1
+        s = np.arange(len(hashed) - self.gram + 1)
+        return least(self.spans.of_words(hashed, s, s + self.gram), self.width).view(np.int64)
+
+    def distinct(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes picked from a text, and whether runs without overlap may share them: then the pick holds for two
+        stretches of runs, or for one longer than a piece can serve."""
+        picked = self.picks(hashed)
+        if not len(picked):
+            return picked, np.empty(0, dtype=bool)
+        at = np.flatnonzero(np.append(True, picked[1:] != picked[:-1]))
+        found, inverse, count = np.unique(picked[at], return_inverse=True, return_counts=True)
+        again = count > 1
+        again[inverse[np.diff(np.append(at, len(picked))) > self.width]] = True
+        return found, again
 
     def runs(self, text: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, begin, again) of the runs whose pick is wanted; ``again``: it stood before without overlap."""
-        given = tokens(text)
-        at = np.flatnonzero(np.isin(self.picks(given), wanted))
-        hashed = self.spans.of_words(given, at, at + self.run).view(np.int64)
+        words = self.spans.hashed(tokens(text))
+        at = np.flatnonzero(np.isin(self.picks(words), wanted))
+        hashed = self.spans.of_words(words, at, at + self.run).view(np.int64)
         _, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         return hashed, at, at - at[first][inverse] >= self.run
 
 
-def picked(docs: DataFrame, words: int, run: int) -> DataFrame:
-    """(doc, mark, hash, again): the distinct picks of every text."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        picks = Picks(Spans(WordHasher(), words), run)
-        for frame in frames:
-            out = [(doc, mark, *picks.distinct(text)) for doc, mark, text in zip(frame["doc"], frame["mark"], frame["text"], strict=True)]
-            sizes = [len(h) for _, _, h, _ in out]
-            if sum(sizes):
-                yield pd.DataFrame({"doc": np.repeat([o[0] for o in out], sizes), "mark": np.repeat([o[1] for o in out], sizes),
-                                    "hash": np.concatenate([o[2] for o in out]), "again": np.concatenate([o[3] for o in out])})
-
-    return docs.select("doc", "mark", "text").mapInPandas(work, "doc long, mark long, hash long, again boolean")
-
-
 def open_picks(texts: DataFrame, words: int, run: int) -> DataFrame:
     """The ``later`` picks of runs that hold a word which no covered span holds."""
 
@@ -172,14 +153,11 @@ def open_picks(texts: DataFrame, words: int, run: int) -> DataFrame:
         for frame in frames:
             out = []
             for text, later, b, e in zip(frame["text"], frame["later"], frame["begins"], frame["ends"], strict=True):
-                hashed = picks.picks(tokens(text))
+                hashed = picks.picks(spans.hashed(tokens(text)))
                 left = np.isin(hashed, np.asarray(later))
                 if b is not None and left.any():
-                    gone = np.zeros(len(text) + 1, dtype=np.int64)
-                    for x, y in cut_places(text, spans, np.asarray(b), np.asarray(e))[0]:
-                        gone[x:y] = 1
                     # Words that stay, counted before every word.
-                    stay = np.concatenate(([0], np.cumsum([1 - gone[m.start()] for m in _TOKEN.finditer(text)])))
+                    stay = np.concatenate(([0], np.cumsum(~covered_words(text, spans, b, e))))
                     left &= stay[run:] > stay[:-run]
                 out.append(np.unique(hashed[left]))
             if out:
@@ -194,21 +172,23 @@ def wanted_runs(texts: DataFrame, words: int, run: int) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         picks = Picks(Spans(WordHasher(), words), run)
         for frame in frames:
-            for doc, mark, text, wanted in zip(frame["doc"], frame["mark"], frame["text"], frame["wanted"], strict=True):
-                hashed, at, again = picks.runs(text, np.asarray(wanted))
-                yield pd.DataFrame({"doc": doc, "mark": mark, "hash": hashed, "at": at, "again": again})
+            out = [picks.runs(text, np.asarray(wanted)) for text, wanted in zip(frame["text"], frame["wanted"], strict=True)]
+            sizes = [len(h) for h, _, _ in out]
+            if out:
+                hashed, at, again = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pd.DataFrame({"doc": np.repeat(frame["doc"].to_numpy(), sizes), "mark": np.repeat(frame["mark"].to_numpy(), sizes),
+                                    "hash": hashed, "at": at, "again": again})
 
     return texts.select("doc", "mark", "text", "wanted").mapInPandas(
         work, "doc long, mark long, hash long, at int, again boolean")
 
 
-def repeated_runs(keyed: DataFrame, covered: DataFrame, words: int, run: int) -> DataFrame:
+def repeated_runs(keyed: DataFrame, picks: DataFrame, covered: DataFrame, words: int, run: int) -> DataFrame:
     """(__doc, __mark, __runs): the first words of all runs that repeat earlier ones and are not all ``covered``."""
     def firsts(rows: DataFrame) -> DataFrame:
         return stored(rows.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("twice")).filter(
             "first < last or twice").select("hash", "first"))
 
-    picks = picked(keyed, words, run)
     later = F.col("again") | (F.col("doc") > F.col("first"))
     found = stored(picks.join(firsts(picks), "hash").select("doc", "mark", "hash", later.alias("later")))
     lists = found.groupBy("doc", "mark").agg(F.collect_set(F.when(F.col("later"), F.col("hash"))).alias("later"))
@@ -223,27 +203,36 @@ def repeated_runs(keyed: DataFrame, covered: DataFrame, words: int, run: int) ->
         F.collect_set("at").alias("__runs"))
 
 
-def occurrences(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, mark, again, hash, begin, end): each span's first occurrence in its document; later ones are ``again``."""
+def occurrences(docs: DataFrame, words: int, run: int | None) -> DataFrame:
+    """(pick, doc, mark, again, hash, begin, end): each span's first occurrence in its document; later ones are ``again``.
+    With a ``run`` also the distinct picks of every text, in one pass, as the words are hashed once."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spans = Spans(WordHasher(), words)
+        picks = Picks(spans, run) if run else None
         for frame in frames:
             out = []
             for doc, mark, text in zip(frame["doc"], frame["mark"], frame["text"], strict=True):
-                found = spans(text)
-                if found:
-                    hashed, begins, ends = found
-                    order = np.lexsort((begins, hashed))
-                    hashed, begins, ends = hashed[order], begins[order], ends[order]
-                    again = np.append(False, hashed[1:] == hashed[:-1])
-                    out.append((np.full(len(again), doc), np.full(len(again), mark), again, hashed, begins, ends))
-            if out:
-                yield pd.DataFrame(dict(zip(("doc", "mark", "again", "hash", "begin", "end"),
-                                            (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+                given = tokens(text) if run else []
+                hashed = spans.hashed(given)
+                plain = text.isascii() or not _LETTER.search(text)
+                found, begins, ends = spans(text, hashed if run and plain else spans.hashed(text.lower().split()))
+                order = np.lexsort((begins, found))
+                found, begins, ends = found[order], begins[order], ends[order]
+                again = np.append(False, found[1:] == found[:-1])[:len(found)]
+                out.append((doc, mark, False, again, found, begins, ends))
+                if picks:
+                    found, again = picks.distinct(hashed)
+                    none = np.zeros(len(found), dtype=np.int64)
+                    out.append((doc, mark, True, again, found, none, none))
+            sizes = [len(o[4]) for o in out]
+            if sum(sizes):
+                yield pd.DataFrame({
+                    **{c: np.repeat([o[k] for o in out], sizes) for k, c in enumerate(("doc", "mark", "pick"))},
+                    **{c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("again", "hash", "begin", "end"), 3)}})
 
     return docs.select("doc", "mark", "text").mapInPandas(
-        work, "doc long, mark long, again boolean, hash long, begin int, end int")
+        work, "doc long, mark long, pick boolean, again boolean, hash long, begin int, end int")
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
@@ -254,7 +243,8 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     # ``mark`` tells rows with the same id but another text apart.
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"),
                         F.xxhash64(whole_text(text_col)).alias("mark"), whole_text(text_col).alias("text"))
-    seen = stored(occurrences(keyed, words))
+    found = stored(occurrences(keyed, words, run), "pick")
+    seen, picks = found.filter("not pick"), found.filter("pick").select("doc", "mark", "hash", "again")
     # Written, so that the join reads it by an exchange of its own and Spark can split the rows of a hot span.
     firsts = stored(seen.filter("not again").groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
         "first < last").select("hash", "first"))
@@ -268,7 +258,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         joined = texts.join(covered, ["__doc", "__mark"], "left").withColumn("__runs", F.lit(None).cast("array<int>"))
     else:
         covered = stored(covered)
-        runs = stored(repeated_runs(keyed, covered, words, run))
+        runs = stored(repeated_runs(keyed, picks, covered, words, run))
         joined = texts.join(covered, ["__doc", "__mark"], "left").join(runs, ["__doc", "__mark"], "left")
     cut = rewrite(words, run)
     out = joined.withColumn("__new", F.when(F.col("__covered").isNotNull() | F.col("__runs").isNotNull(), cut(
@@ -289,18 +279,32 @@ def rewrite(words: int, run: int | None):
     return cut
 
 
+def covered_clauses(at: np.ndarray, begins, ends) -> np.ndarray:
+    """Which clauses lie in [begin, end) of any span."""
+    count = np.zeros(len(at), dtype=np.int64)
+    np.add.at(count, np.asarray(begins), 1)
+    np.add.at(count, np.asarray(ends), -1)
+    return np.cumsum(count)[:-1] > 0
+
+
+def covered_words(text: str, spans: Spans, begins, ends) -> np.ndarray:
+    """Which tokens lie in covered clauses."""
+    at, _ = spans.clauses(text)
+    gone = np.repeat(covered_clauses(at, begins, ends), np.diff(at))
+    if text.isascii() or not _LETTER.search(text):
+        return gone
+    # A word of a script without spaces is several tokens.
+    return np.repeat(gone, [len(_TOKEN.findall(w)) for w in text.split()])
+
+
 def cut_places(text: str, spans: Spans, begins, ends) -> tuple[list[tuple[int, int]], list[int]]:
     """Where the clauses in [begin, end) of any span lie in the text, and where every clause begins, with the text's end."""
     at, _ = spans.clauses(text)
-    count = np.zeros(len(at), dtype=np.int64)
-    if begins is not None:
-        np.add.at(count, np.asarray(begins), 1)
-        np.add.at(count, np.asarray(ends), -1)
-    gone = np.cumsum(count)[:-1] > 0
     starts = [m.start() for m in _WORD.finditer(text)]
     place = [starts[w] for w in at[:-1]] + [len(text)]
     place[0] = 0
-    return [(place[k], place[k + 1]) for k in np.flatnonzero(gone)], place
+    gone = () if begins is None else np.flatnonzero(covered_clauses(at, begins, ends))
+    return [(place[k], place[k + 1]) for k in gone], place
 
 
 def without(text: str, spans: Spans, begins, ends, runs=None, run: int | None = None) -> tuple[str, int]:
