@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedloom.llm import chunk_dedup, langid, mixing, ngram_join, packing, span_dedup, token_counts, topk, toxicity, warc
+from feedloom.llm import (
+    chunk_dedup, class_lm, langid, mixing, ngram_join, packing, span_dedup, token_counts, topk, toxicity, warc, whitening)
 from feedloom.llm.common import fold
 from feedloom.session import shared_dir
 
@@ -149,3 +150,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, table(spark, sf_dir, "labels").filter(~held_out)).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op12_whiten")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+
+
+@query("op13_class_lm")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), may_learn=fold("doc_id", 7) != 2).drop("perplexity")
