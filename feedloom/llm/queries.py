@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedloom.llm import (
-    chunk_dedup, class_lm, langid, mixing, ngram_join, packing, span_dedup, token_counts, topk, toxicity, warc, whitening)
+    chunk_dedup, class_lm, langid, mixing, ngram_join, packing, repair, span_dedup, token_counts, topk, toxicity, warc, whitening)
 from feedloom.llm.common import fold
 from feedloom.session import shared_dir
 
@@ -160,3 +160,63 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_class_lm")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), may_learn=fold("doc_id", 7) != 2).drop("perplexity")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows as their conversation and turn damage them; ``times`` is how often each stands there. Nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.withColumn("fault", F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20)))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(space("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text")).alias("text"),
+        F.when(F.col("fault") == 0, 0).when(F.col("fault") == 3, 2).otherwise(1).alias("times"))
+
+
+def repair_oracle() -> str:
+    """The cost programme forwards as a fold: (cost, audit, repaired text) of the four states, row after row."""
+    far = "{'c': 1000000000, 'a': '', 'r': ''}"
+    add = lambda s, c, letter, line: f"{{'c': {s}.c + {c}, 'a': {s}.a || '{letter}', 'r': {s}.r || {line}}}"
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    user, bot = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+    def set_in(s, body):
+        front = f"list_min([{s}[3], {add(f'{s}[1]', 2, 'I', user)}, {add(f'{s}[2]', 2, 'I', user)}, {add(f'{s}[4]', 2, 'I', user)}])"
+        return let(front, "fu", let(f"[{s}[1], {s}[2], fu, list_min([{s}[4], {add('fu', 2, 'I', bot)}])]", "s", body))
+
+    gone = lambda k: add(f"s[{k}]", 3, "D", "''")
+    keep = lambda k, i: f"case when e.f in ('', 'truncated') and substr(e.x, 1, 1) = '{i}' then {add(f's[{k}]', 'e.n', 'K', 'chr(10) || e.x')} else {far} end"
+    turn = lambda k, role: f"case when e.f in ('', 'truncated') then {add(f's[{k}]', '2 + e.n', 'R', f'{role} || e.t')} else {far} end"
+    step = set_in("st.s", "[" + ", ".join([
+        gone(1), f"list_min([{gone(2)}, {keep(1, 's')}])",
+        f"list_min([{', '.join([gone(3), *[keep(k, 'u') for k in (1, 2, 4)], *[turn(k, user) for k in (1, 2, 4)]])}])",
+        f"list_min([{gone(4)}, {keep(3, 'a')}, {turn(3, bot)}])"]) + "]")
+    best = set_in("st.s", "list_min([s[1], s[4]])")
+    begin = f"[{{'c': 0, 'a': '', 'r': ''}}, {far}, {far}, {far}]"
+    crc = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+            lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint)"""
+    return f"""with g as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+        k as (select *, {crc} % 20 as c from g),
+        d as (select conv_id, turn, case when c = 4 then 'user' else role end as role,
+            case when c = 1 then '' when c = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case c when 0 then 0 when 3 then 2 else 1 end)) as copy
+            from k),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos from d),
+        m as (select *, min(pos) over (partition by conv_id, role, text) < pos as again, lag(role) over (partition by conv_id order by pos) as before from o),
+        f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when again then 'duplicate'
+            when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') then 'truncated' else '' end as fault from m),
+        l as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+            count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+            count(*) filter (where pos > 1 and substr(before, 1, 1) || substr(role, 1, 1) not in ('su', 'ua', 'au')) as illegal,
+            list({{'s': {begin}, 'x': role || ':' || text, 't': text, 'f': fault, 'n': (fault = 'truncated')::int}} order by pos) as rows from f group by conv_id),
+        r as (select * exclude (rows), list_reduce(list_prepend({{'s': {begin}, 'x': '', 't': '', 'f': '', 'n': 0}}, rows),
+            lambda st, e: {{'s': {step}, 'x': '', 't': '', 'f': '', 'n': 0}}) as st from l),
+        b as (select * exclude (st), {best} as b from r)
+        select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+            coalesce(illegal, 0) as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, sha256(coalesce(b.r[2:], '')) as repaired_sha256
+        from (select distinct conv_id from conversations) i left join b on i.conv_id is not distinct from b.conv_id"""
+
+
+@query("op11_repair_conversations", repair_oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.Plan(damaged(table(spark, sf_dir, "conversations")), times=F.col("times")).digests()
