@@ -5,7 +5,7 @@ of the word inside its class. Texts are lower-cased (A to Z) and cut at ASCII wh
 a token with a class of its own, and stands before the first word.
 
 - Counts: every task counts its words, Spark adds them up; the whole vocabulary stays a distributed table.
-- Exchange: the ``exchanged`` most frequent words begin in classes dealt by rank. In every round tasks count each such word's
+- Exchange: the most frequent words, at most ``exchanged``, begin in classes dealt by rank. In every round tasks count each such word's
   neighbours by class, and the words, one after the other, move to the class that raises the likelihood of the class bigrams most,
   half of them in a round, since the others' counts are those of the round's start. All other words, the whole rest of the vocabulary,
   then move once, each against the same class counts, in tasks partitioned by word.
@@ -16,28 +16,28 @@ a token with a class of its own, and stands before the first word.
   there are. So an unseen word is as unlikely as it should be, and its class is the likeliest after the class before.
 
 Bounds: classes at most 250, the driver holds ``exchanged`` x 2(classes + 2) counts and the broadcast table's words; vocabulary, counts and
-bigrams grow with the corpus and stay in Spark. Null texts count as empty and have one token, the end. Ties of counts go
-to the lesser word. Repeated rows, also of one id, are scored each and learned from each; a null id comes back. Very long
+bigrams grow with the corpus and stay in Spark. Both sets of frequent words are whole steps of a scale of counts (64 to a
+doubling), as many as fit, so that ties do not matter and no task sends its own top list. Null texts count as empty and have one token, the end. Repeated rows, also of one id, are scored each and learned from each; a null id comes back. Very long
 texts are whole. Where nothing may be learned from, every token has probability 1, in base and score. Empty tables give
 no rows. Only the id and the text are read, so other columns may have any name.
 """
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.llm.common import whole_text
+from feedloom.llm.common import slim_bytes, whole_text
 from feedloom.session import stored
 
 #: Word classes, rounds of exchange, words that take part in them, words of the broadcast table.
 CLASSES, ROUNDS, EXCHANGED, TABLE = 64, 5, 8192, 1 << 18
 #: Distinct words (or tokens) that a task holds before it hands them on; tokens of a stored piece.
-HELD, PIECE = 1 << 18, 1 << 14
+HELD, PIECE = 1 << 17, 1 << 14
 #: The end as a word (no word is empty), and the byte of a token without a class yet.
 END, OPEN = b"", 255
 
@@ -281,8 +281,8 @@ class Model:
 
 
 def encoded(texts: DataFrame, words: list[bytes], counts: np.ndarray, classes: np.ndarray, model: Model) -> DataFrame:
-    """One row per text (kind 0) with its bytes and sums over the words of the table, and one (kind 1) for each distinct
-    word that the table lacks, with its places."""
+    """(row, id, learn, n, known, base, emission, code, lacked): each text's bytes and sums over the words of the table, and
+    the words that the table lacks, in order."""
     from pyspark import TaskContext
 
     table, end = b"\n".join(words), len(model.sizes) - 1
@@ -295,52 +295,43 @@ def encoded(texts: DataFrame, words: list[bytes], counts: np.ndarray, classes: n
         find = {w: k for k, w in enumerate(table.split(b"\n"))}.get if words else {}.get
         other, row = len(words), TaskContext.get().partitionId() << 33
         for frame in frames:
-            out, rest = [], []
+            out = []
             for id_, learn, data in zip(frame["id"], frame["learn"], frame["data"], strict=True):
                 given = words_of(data)
                 ids = np.array([*[find(w, other) for w in given], other + 1])
-                open_ = np.flatnonzero(ids == other)
-                out.append((0, row, id_, learn, len(ids), len(ids) - 1 - len(open_), base[ids].sum(), emission[ids].sum(), code[ids].tobytes(), None, None))
-                places = defaultdict(list)
-                for k in open_.tolist():
-                    places[given[k]].append(k)
-                rest += [(1, row, None, None, None, None, None, None, None, w, np.array(at, dtype="<i4").tobytes()) for w, at in places.items()]
+                lacked = [given[k] for k in np.flatnonzero(ids == other).tolist()]
+                out.append((row, id_, learn, len(ids), len(given) - len(lacked), base[ids].sum(), emission[ids].sum(), code[ids].tobytes(), lacked))
                 row += 1
-                if len(rest) > HELD // 4:
-                    yield pd.DataFrame(out + rest, columns=names, dtype=object)
-                    out, rest = [], []
-            yield pd.DataFrame(out + rest, columns=names, dtype=object)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
-    kind = f"kind int, row long, id {id_kind}, learn boolean, n int, known int, base double, emission double, code binary, word binary, at binary"
+    kind = f"row long, id {id_kind}, learn boolean, n int, known int, base double, emission double, code binary, lacked array<binary>"
     names = [c.split()[0] for c in kind.split(", ")]
     return texts.mapInPandas(work, kind)
 
 
 def filled(texts: DataFrame, looked: DataFrame, model: Model) -> DataFrame:
     """The texts with the looked-up words' classes, counts and sums; words that no text taught stay open."""
-    found = looked.groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("at", "m", "class")])
+    found = looked.groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("place", "m", "class")])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for id_, learn, n, known, base, emission, code, at, m, cls in zip(*[frame[c] for c in frame.columns], strict=True):
-                if at is not None and len(at):
-                    sizes = np.array([len(a) // 4 for a in at])
-                    places = np.frombuffer(b"".join(at), dtype="<i4")
+            for id_, learn, n, known, base, emission, code, place, m, cls in zip(*[frame[c] for c in frame.columns], strict=True):
+                if place is not None and len(place):
                     m, cls = np.asarray(m), np.asarray(cls)
                     seen = m > 0
                     code = np.frombuffer(code, dtype=np.uint8).copy()
-                    code[places] = np.repeat(np.where(seen, cls, OPEN), sizes)
-                    known += int(sizes[seen].sum())
-                    base += float((model.base(m) * sizes).sum())
-                    emission += float((model.emission(m[seen], cls[seen]) * sizes[seen]).sum())
+                    code[np.flatnonzero(code == OPEN)[np.asarray(place)]] = np.where(seen, cls, OPEN)
+                    known += int(seen.sum())
+                    base += float(model.base(m).sum())
+                    emission += float(model.emission(m[seen], cls[seen]).sum())
                     code = code.tobytes()
                 out.append((id_, learn, n, known, base, emission, code))
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     kind = f"id {texts.schema['id'].dataType.simpleString()}, learn boolean, n int, known int, base double, emission double, code binary"
     names = [c.split()[0] for c in kind.split(", ")]
-    return texts.join(found, "row", "left").select(*names, "at", "m", "class").mapInPandas(work, kind)
+    return texts.join(found, "row", "left").select(*names, "place", "m", "class").mapInPandas(work, kind)
 
 
 def transitions(codes: DataFrame, n: int) -> np.ndarray:
@@ -387,6 +378,7 @@ def score(docs: DataFrame, may_learn: Column, n_classes: int = CLASSES, rounds:
     is the add-one unigram's log10 probability, ``perplexity`` that of the score."""
     if not 0 < n_classes <= 250 or not 0 < exchanged < 65_534:
         raise ValueError("classes must fit a byte and exchanged words sixteen bits")
+    slim_bytes(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(may_learn, F.lit(False)).alias("learn"), whole_text(text_col).cast("binary").alias("data"))
     learned = texts.filter("learn")
     vocabulary = stored(count_words(learned))
@@ -407,10 +399,10 @@ def score(docs: DataFrame, may_learn: Column, n_classes: int = CLASSES, rounds:
     model.sizes[-1], model.members[-1] = ends, 1
     more = _top(rest, max(table - len(words), 0))
     known = stored(encoded(texts, words + [bytes(r["word"]) for r in more], np.append(counts, [r["n"] for r in more]).astype(np.int64),
-                           np.append(classes[:-2], [r["class"] for r in more]).astype(np.int64), model), "kind")
-    looked = known.filter("kind = 1").select("row", "word", "at").join(rest, "word", "left").select(
-        "row", "at", F.coalesce("n", F.lit(0)).alias("m"), F.coalesce("class", F.lit(0)).alias("class"))
-    codes = stored(filled(known.filter("kind = 0").drop("kind", "word", "at"), looked, model))
+                           np.append(classes[:-2], [r["class"] for r in more]).astype(np.int64), model))
+    looked = known.select("row", F.posexplode("lacked").alias("place", "word")).join(rest, "word", "left").select(
+        "row", "place", F.coalesce("n", F.lit(0)).alias("m"), F.coalesce("class", F.lit(0)).alias("class"))
+    codes = stored(filled(known.drop("lacked"), looked, model))
     model.pairs = transitions(codes, n_classes + 1)
     end_base = float(model.base(np.array([ends]))[0])
 
@@ -428,5 +420,14 @@ def score(docs: DataFrame, may_learn: Column, n_classes: int = CLASSES, rounds:
         F.col("base").alias("base_score"), F.col("s").alias("score"), F.pow(F.lit(10.0), -F.col("s") / F.col("n")).alias("perplexity"))
 
 
-def _top(words: DataFrame, n: int) -> Iterable:
-    return words.orderBy(F.col("n").desc(), "word").limit(n).collect() if n else []
+def _top(words: DataFrame, n: int) -> list:
+    """The most frequent words, in whole steps of the scale, at most ``n``; by falling count and rising word."""
+    step = F.floor(F.log2("n") * 64)
+    left, least = n, None
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("step").desc()).collect():
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["step"]
+    rows = [] if least is None else words.filter(step >= least).collect()
+    return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))

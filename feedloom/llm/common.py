@@ -36,6 +36,15 @@ def slim_batches(spark, rows: int = 512):
         spark.conf.set(key, str(rows))
 
 
+def slim_bytes(spark, mb: int = 8):
+    """Arrow batches of fewer bytes, whatever their rows; a smaller setting is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(key)).strip().lower().rstrip("b")
+    size = int(held[:-1]) * {"k": 1, "m": 1 << 10, "g": 1 << 20}[held[-1]] << 10 if held[-1:] in "kmg" else int(held)
+    if not 0 < size <= mb << 20:
+        spark.conf.set(key, f"{mb}m")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over an array."""
     x = (x ^ (x >> np.uint64(30))) * MIX_A

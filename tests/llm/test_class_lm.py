@@ -31,7 +31,9 @@ def plain_model(texts, n_classes, rounds, exchanged, table):
     """word -> (n, class), transitions, all by loops; ``exchange`` alone is the library's and tested by itself."""
     streams = [["", *plain_words(t), ""] for t in texts]
     counts = collections.Counter(w for s in streams for w in s[1:])
-    top = sorted((w for w in counts if w), key=lambda w: (-counts[w], w.encode()))[:exchanged]
+    scale = collections.Counter(math.floor(math.log2(n) * 64) for w, n in counts.items() if w)
+    fits = [s for s in scale if sum(n for o, n in scale.items() if o >= s) <= exchanged]
+    top = sorted((w for w in counts if w and math.floor(math.log2(counts[w]) * 64) in fits), key=lambda w: (-counts[w], w.encode()))
     number = {w: k for k, w in enumerate(top)}
     number[""] = len(top) + 1
     of = lambda w: number.get(w, len(top))
