@@ -87,7 +87,9 @@ def _stream(t: Tables, name: str) -> DataFrame:
 
 
 def poll_stream(t: Tables) -> DataFrame:
-    return t.spark.sql(POLLS, events=_stream(t, "events")).withColumn("scraped", F.lit(False))
+    """The polls as a stream, pages of every third feed scraped, with a validator on each answer."""
+    return t.spark.sql(POLLS, events=_stream(t, "events")).withColumns({
+        "scraped": F.col("feed_id") % 3 == 2, "etag": F.concat(F.lit('W/"'), F.col("poll_id").cast("string"), F.lit('"'))})
 
 
 @query("stream_ingest", f"""select distinct {_BODY_SQL} as feed_id, guid from items_v i where {_NOT_SHORT}
@@ -112,12 +114,24 @@ def _stream_dedup(t: Tables) -> DataFrame:
     return _drained(t, ingest.drop_redelivered(entries)).select("feed_id", "guid")
 
 
-query("stream_health", """select feed_id, max(polled_at) as polled_at, arg_max(status, poll_id) as last_status,
- count(*) filter (where status='error' and (last_good is null or poll_id>last_good)) as error_count
-from (select *, max(case when status<>'error' then poll_id end) over (partition by feed_id) as last_good from polls_v)
-group by 1""", "polls")(
-    lambda t: _drained(t, health.feed_health(poll_stream(t)), "update").groupBy("feed_id").agg(
-        F.max_by(F.struct("polled_at", "last_status", "error_count"), "batch_id").alias("h")).select("feed_id", "h.*"))
+# Every poll applied to its feed's state, in order; what the watermark has not passed yet is left out.
+_HEALTH = """recursive o as (select *, row_number() over (partition by feed_id order by polled_at, poll_id) as k from polls_v),
+walk as (select feed_id, cast(0 as bigint) as k, cast(null as bigint) as poll_id, cast(null as timestamp) as polled_at, cast(null as varchar) as last_status,
+  cast(0 as bigint) as error_count, cast(null as bigint) as last_item_count, cast(null as varchar) as etag from (select distinct feed_id from polls_v)
+ union all select feed_id, k, poll_id, polled_at, case when bad then 'error' else status end, case when bad then error_count+1 else 0 end,
+  case when status='ok' and not bad and feed_id%3=2 then n_items else before end,
+  case when bad then null when status='ok' then 'W/"'||poll_id||'"' else etag end
+ from (select o.*, w.error_count, w.last_item_count as before, w.etag, o.status='error' or coalesce(o.status='ok' and o.feed_id%3=2
+   and w.last_item_count>=4 and o.n_items<w.last_item_count*0.5, false) as bad from walk w join o on o.feed_id=w.feed_id and o.k=w.k+1)),
+passed as (select max(polled_at) - interval 1 hour as mark from polls_v)"""
+query("stream_health", f"""with {_HEALTH} select feed_id, poll_id, polled_at, last_status, error_count, last_item_count, etag from walk, passed
+where k>0 and polled_at<=mark""", "polls")(
+    lambda t: _drained(t, health.feed_health(poll_stream(t))).select(
+        "feed_id", "poll_id", "polled_at", "last_status", "error_count", "last_item_count", "etag"))
+query("stream_due", f"""with {_HEALTH} select feed_id, polled_at, error_count, polled_at + interval 6 hour as due_at from (
+ select *, lead(polled_at) over (partition by feed_id order by k) as again from walk where k>0), passed
+where error_count>=5 and (again is null or again>=polled_at + interval 6 hour) and polled_at + interval 6 hour<=mark""", "polls")(
+    lambda t: _drained(t, health.feeds_due(poll_stream(t))).select("feed_id", "polled_at", "error_count", "due_at"))
 query("stream_windows", """select time_bucket(interval '20 minutes', polled_at) as window_start, count(*) as polls,
  count(*) filter (where status='ok') as ok, count(*) filter (where status='not-modified') as not_modified,
  count(*) filter (where status='error') as errored from polls_v group by 1""", "polls")(

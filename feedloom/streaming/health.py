@@ -1,44 +1,125 @@
-"""Feed health kept as stream state, and poll outcomes per cadence window."""
+"""Feed health kept as stream state, feeds due again after a slowdown, and poll outcomes per cadence window."""
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from feedloom.schemas import POLL_INTERVAL_MIN, SCRAPE_DECAY_FLOOR, SCRAPE_DECAY_RATIO
+from feedloom.schemas import BACKOFF_MINUTES, ERROR_BACKOFF_THRESHOLD, POLL_INTERVAL_MIN, SCRAPE_DECAY_FLOOR, SCRAPE_DECAY_RATIO
 
-HEALTH = "feed_id bigint, polled_at timestamp, last_status string, error_count bigint, last_item_count bigint"
-_STATE = "error_count bigint, last_item_count bigint"
+#: What a poll brought, as the health stream takes it.
+POLLS = "poll_id bigint, feed_id bigint, polled_at timestamp, status string, n_items int, scraped boolean, etag string, last_modified string"
+HEALTH = ("feed_id bigint, poll_id bigint, polled_at timestamp, last_status string, error_count bigint, last_item_count bigint, "
+          "etag string, last_modified string, due_at timestamp")
+_STATE = "status string, errors bigint, count bigint, etag string, last_modified string, polled_us bigint, due_ms bigint, until_ms bigint"
+_NEW = (None, 0, None, None, None, None, None, None)
+_MINUTE = 60_000
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Carry a feed's streak and last healthy count over one micro-batch of its polls, in time order."""
-    errors, count = state.get if state.exists else (0, -1)
-    polls = pd.concat(batches).sort_values(["polled_at", "poll_id"])
-    status = None
-    for status, found, scraped in zip(polls["status"], polls["n_items"], polls["scraped"]):
-        if status == "ok" and scraped:
-            if count >= SCRAPE_DECAY_FLOOR and found < count * SCRAPE_DECAY_RATIO:
-                status = "error"
-            else:
-                count = int(found)
-        errors = errors + 1 if status == "error" else 0
-    state.update((errors, count))
-    yield pd.DataFrame({"feed_id": [key[0]], "polled_at": [polls["polled_at"].iloc[-1]], "last_status": [status],
-                        "error_count": [errors], "last_item_count": [None if count < 0 else count]})
+class FeedHealth(StatefulProcessor):
+    """Applies a feed's polls in the order of their times, whatever order they arrive in.
 
+    A poll that arrives goes into a state map under its time and sets a timer for it; timers fire in order once the watermark has
+    passed them, and only then the poll counts. So rows of a feed are neither sorted nor held in memory, a late row (within the
+    watermark's delay) finds its place, and a feed's state is one typed value. A failed poll also sets a timer for when the feed
+    would be due again; it stands for that unless another poll was applied meanwhile. The state of a feed that
+    was not polled for ``keep`` goes, by a timer as well (Spark's own time to live knows processing time only).
+    """
 
-def feed_health(polls: DataFrame) -> DataFrame:
-    """``poll_id, feed_id, polled_at, status, n_items, scraped`` in, a row per feed and micro-batch out.
+    def __init__(self, emit: str, threshold: int, backoff_minutes: int, keep_minutes: int):
+        self.emit, self.threshold, self.backoff, self.keep = emit, threshold, backoff_minutes * _MINUTE, keep_minutes * _MINUTE
 
-    State is two numbers per feed. A feed's rows of one micro-batch are sorted in memory: the source's files per
-    trigger bound them.
-    """
-    slim = polls.select("poll_id", "feed_id", "polled_at", "status", F.coalesce("n_items", F.lit(0)).alias("n_items"),
-                        "scraped")
-    return slim.groupBy("feed_id").applyInPandasWithState(_advance, HEALTH, _STATE, "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.health = handle.getValueState("health", _STATE)
+        self.waiting = handle.getMapState("waiting", "at bigint", "polls string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            arrived = defaultdict(list)
+            for row in frame.itertuples(index=False):
+                us = row.polled_at.value // 1000
+                text = lambda v: v if isinstance(v, str) else None
+                arrived[-(-us // 1000)].append([us, int(row.poll_id), row.status, int(row.n_items), bool(row.scraped), text(row.etag), text(row.last_modified)])
+            for at, polls in arrived.items():
+                held = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+                self.waiting.updateValue((at,), (json.dumps(held + polls),))
+                self.handle.registerTimer(at)
+                self.handle.registerTimer(at + self.keep)
+                if any(p[2] != "not-modified" for p in polls):
+                    self.handle.registerTimer(at + self.backoff)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        state = self.health.get() if self.health.exists() else _NEW
+        out = []
+        # Before a poll at the same time: a feed is due before it is polled.
+        if state[6] == now:
+            state = (*state[:6], None, state[7])
+            self.health.update(state)
+            if self.emit == "due":
+                out.append(self._row(key[0], None, state, state[5] + self.backoff * 1000))
+        if self.waiting.containsKey((now,)):
+            for poll in sorted(json.loads(self.waiting.getValue((now,))[0])):
+                state = self._applied(state, poll, now)
+                if self.emit == "health":
+                    out.append(self._row(key[0], poll[1], state, None))
+            self.waiting.removeKey((now,))
+            self.health.update(state)
+        elif state[7] == now:
+            self.health.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in HEALTH.split(", ")], dtype=object).astype(
+                {"polled_at": "datetime64[us]", "due_at": "datetime64[us]"})
+
+    def _applied(self, state: tuple, poll: list, now: int) -> tuple:
+        """A 304 clears the error and keeps the validators; an error, decay included, drops them and counts up."""
+        _, errors, count, etag, last_modified, _, _, _ = state
+        us, _, status, found, scraped, new_etag, new_modified = poll
+        decayed = status == "ok" and scraped and count is not None and count >= SCRAPE_DECAY_FLOOR and found < count * SCRAPE_DECAY_RATIO
+        if status == "error" or decayed:
+            status, errors, etag, last_modified = "error", errors + 1, None, None
+        else:
+            errors = 0
+            if status == "ok":
+                etag, last_modified, count = new_etag, new_modified, found if scraped else count
+        due = now + self.backoff if errors >= self.threshold else None
+        return status, errors, count, etag, last_modified, us, due, now + self.keep
+
+    @staticmethod
+    def _row(feed: int, poll: int | None, state: tuple, due: int | None) -> tuple:
+        when = pd.Timestamp(state[5], unit="us")
+        return feed, poll, when, state[0], state[1], state[2], state[3], state[4], pd.NaT if due is None else pd.Timestamp(due, unit="us")
+
+    def close(self) -> None:
+        pass
+
+
+def _run(polls: DataFrame, emit: str, delay: str, threshold: int, backoff_minutes: int, keep_minutes: int) -> DataFrame:
+    if keep_minutes <= backoff_minutes:
+        raise ValueError("a feed's state must outlive its slowdown")
+    names = [c.split()[0] for c in POLLS.split(", ")]
+    given = polls.withColumn("n_items", F.coalesce("n_items", F.lit(0))).withColumn("scraped", F.coalesce("scraped", F.lit(False)))
+    slim = given.select(*[F.col(c) if c in polls.columns else F.lit(None).cast("string").alias(c) for c in names])
+    return slim.filter("polled_at is not null and feed_id is not null").withWatermark("polled_at", delay).groupBy("feed_id").transformWithStateInPandas(
+        FeedHealth(emit, threshold, backoff_minutes, keep_minutes), HEALTH, "Append", "EventTime")
+
+
+def feed_health(polls: DataFrame, delay: str = "1 hour", threshold: int = ERROR_BACKOFF_THRESHOLD, backoff_minutes: int = BACKOFF_MINUTES,
+                keep_minutes: int = 180 * 24 * 60) -> DataFrame:
+    """A feed's health after every poll of a stream (``POLLS``; validators may be missing), once ``delay`` has passed."""
+    return _run(polls, "health", delay, threshold, backoff_minutes, keep_minutes)
+
+
+def feeds_due(polls: DataFrame, delay: str = "1 hour", threshold: int = ERROR_BACKOFF_THRESHOLD, backoff_minutes: int = BACKOFF_MINUTES,
+              keep_minutes: int = 180 * 24 * 60) -> DataFrame:
+    """One row (``due_at`` set) whenever a feed slowed by ``threshold`` failures in a row has gone ``backoff_minutes`` without a poll."""
+    return _run(polls, "due", delay, threshold, backoff_minutes, keep_minutes)
 
 
 def poll_windows(polls: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -13,22 +13,60 @@ from feedloom.streaming import health, ingest
 T0 = dt.datetime(2026, 1, 1)
 
 
-def test_health_over_micro_batches_equals_the_batch(spark, tmp_path):
+def plain_health(polls, threshold, backoff):
+    """poll_id -> health, and the times feeds fell due, poll by poll."""
+    out, due, last = {}, [], {}
+    for i, feed, at, status, n, scraped, etag, modified in sorted(polls, key=lambda p: (p[2], p[0])):
+        errors, count, tags, before = last.get(feed, (0, None, (None, None), None))
+        if before and errors >= threshold and at - before >= backoff:
+            due.append((feed, before + backoff))
+        decayed = status == "ok" and scraped and count is not None and count >= 4 and n < count * 0.5
+        if status == "error" or decayed:
+            status, errors, tags = "error", errors + 1, (None, None)
+        else:
+            errors = 0
+            if status == "ok":
+                tags, count = (etag, modified), n if scraped else count
+        last[feed] = errors, count, tags, at
+        out[i] = (feed, status, errors, count, *tags)
+    return out, due + [(f, at + backoff) for f, (errors, _, _, at) in last.items() if errors >= threshold]
+
+
+def test_health_and_due_over_micro_batches(spark, tmp_path):
+    """Polls arrive out of order within the delay, in many batches; the stream is stopped and started between them."""
     rng = random.Random(5)
-    log = [(i, rng.choice([1, 2, 2]), T0 + dt.timedelta(minutes=i), rng.choice(["ok", "error", "not-modified"]), rng.randrange(40), False)
-           for i in range(120)]
-    schema = "poll_id bigint, feed_id bigint, polled_at timestamp, status string, n_items int, scraped boolean"
-    polls = spark.createDataFrame(log, schema)
-    for k in range(4):
-        polls.filter(F.floor(F.col("poll_id") / 30) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        out = lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
-        health.feed_health(stream).writeStream.outputMode("update").foreachBatch(out).option(
+    log = [(i, rng.choice([1, 2, 2, 5]), T0 + dt.timedelta(minutes=7 * i, microseconds=rng.randrange(10**6)), rng.choice(["ok", "error", "error", "not-modified"]),
+            rng.randrange(40), False, f"e{i}", rng.choice([None, f"m{i}"])) for i in range(240)]
+    log = [(*p[:5], p[1] == 2, *p[6:]) for p in log] + [(1000, 9, T0 + dt.timedelta(days=9), "ok", None, None, None, None)]
+    arriving = sorted(log, key=lambda p: p[2] + dt.timedelta(minutes=rng.randrange(55)))
+    got, fell_due = {}, []
+    for k in range(0, len(arriving), 60):
+        spark.createDataFrame(arriving[k:k + 60], health.POLLS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k:04d}")
+        for name, make in (("h", health.feed_health), ("d", health.feeds_due)):
+            stream = spark.readStream.schema(health.POLLS).parquet(f"{tmp_path}/in/*")
+            out = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/{name}/{k}-{n}")
+            make(stream, threshold=2, backoff_minutes=30).writeStream.foreachBatch(out).option(
+                "checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
+    want, due = plain_health([(*p[:4], p[4] or 0, p[5] or False, *p[6:]) for p in log if p[0] < 1000], 2, dt.timedelta(minutes=30))
+    rows = spark.read.schema(health.HEALTH).parquet(f"{tmp_path}/h/*").collect()
+    assert len(rows) == len(want)
+    assert {r.poll_id: (r.feed_id, r.last_status, r.error_count, r.last_item_count, r.etag, r.last_modified) for r in rows} == want
+    rows = spark.read.schema(health.HEALTH).parquet(f"{tmp_path}/d/*").collect()
+    assert sorted((r.feed_id, r.due_at) for r in rows) == sorted(due) and len(due) > 5
+
+
+def test_silent_feeds_leave_the_state(spark, tmp_path):
+    """A feed that comes back after its state went starts anew."""
+    at = lambda days: T0 + dt.timedelta(days=days)
+    for k, rows in enumerate([[(1, 1, at(0), "error"), (2, 1, at(1), "error"), (3, 2, at(1), "error")], [(4, 2, at(8), "error")],
+                              [(5, 2, at(20), "ok")], [(6, 1, at(21), "error"), (7, 3, at(22), "ok")]]):
+        spark.createDataFrame([(*r, 1, False, None, None) for r in rows], health.POLLS).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(health.POLLS).parquet(f"{tmp_path}/in/*")
+        out = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
+        health.feed_health(stream, keep_minutes=10 * 24 * 60).writeStream.foreachBatch(out).option(
             "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.schema(health.HEALTH + ", n int").parquet(f"{tmp_path}/out/*").groupBy("feed_id").agg(
-        F.max_by("error_count", "n").alias("error_count"))
-    want = state.error_streaks(polls).groupBy("feed_id").agg(F.max_by("error_count", "poll_id").alias("error_count"))
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+    got = {r.poll_id: r.error_count for r in spark.read.schema(health.HEALTH).parquet(f"{tmp_path}/out/*").collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 0, 6: 1}
 
 
 def response(i, feed, body, kind="feed", rule=None, status=200):
