@@ -1,11 +1,12 @@
 """From parsed entries to new item rows: skip known Shorts, keep the newest, drop duplicates, ignore what is stored."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions.urls import video_id
-from feedloom.operators.ranking import ordinals, top_per_key
+from feedloom.operators.ranking import top_per_key
 from feedloom.schemas import MAX_ITEMS_PER_POLL, RETAIN_PER_FEED
+from feedloom.session import stored
 
 _NEWEST = ("published_at desc nulls last", "feed_pos asc")
 _OLDEST = ("published_at asc nulls first", "feed_pos desc")
@@ -48,28 +49,31 @@ def first_wins(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
-def insert_ignore(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def insert_ignore(batch: DataFrame, held: DataFrame) -> DataFrame:
     """Rows whose (feed, guid) is not stored. Stored rows are never replaced, so read state survives."""
-    return batch.join(stored.select("feed_id", "guid"), ["feed_id", "guid"], "left_anti")
+    return batch.join(held.select("feed_id", "guid"), ["feed_id", "guid"], "left_anti")
 
 
-def new_items(batch: DataFrame, stored: DataFrame, verdicts: DataFrame, poll_keys: list[str],
+def new_items(batch: DataFrame, held: DataFrame, verdicts: DataFrame, poll_keys: list[str],
               cap: int = RETAIN_PER_FEED, bounded: bool = False) -> DataFrame:
     kept = newest_per_poll(without_shorts(batch, verdicts), poll_keys, cap, bounded)
-    return insert_ignore(first_wins(kept), stored)
+    return insert_ignore(first_wins(kept), held)
 
 
-def with_ids(fresh: DataFrame, stored: DataFrame) -> DataFrame:
-    """Give new rows ids that grow with recency inside each feed.
+def with_ids(fresh: DataFrame, stored_items: DataFrame, last: Column | None = None) -> DataFrame:
+    """Give new rows ids that grow with recency, from behind ``last`` (the greatest stored id where that is not given) without a gap.
 
-    An id is ``base + rank * stride + feed_id``: ranks are per feed, so no global sort is needed and ids never collide.
-    Ranks are counted day by day (undated rows by place), so a feed with a third of the rows is not one task's work.
+    Feed ids of any size take part in the order only. Slim keys are sorted in ranges and written; the sizes of the ranges,
+    one row each, give every range its offset, and the ids go to the wide rows by key.
     """
-    base = F.coalesce(stored.agg(F.max("item_id")).scalar(), F.lit(0).cast("bigint"))
-    top = fresh.agg(F.max(F.abs("feed_id"))).scalar()
-    stride = 2 * F.coalesce(top, F.lit(0).cast("bigint")) + 1
-    undated = F.when(F.col("published_at").isNull(), -F.col("feed_pos"))
-    chunk = F.struct(F.coalesce(F.unix_date(F.to_date("published_at")), F.lit(-2**31)).alias("day"),
-                     F.coalesce(undated, F.lit(0)).alias("place"))
-    ranked = ordinals(fresh, ["feed_id"], chunk, [*_order(_OLDEST), F.col("guid")], "_rank")
-    return ranked.withColumn("item_id", base + F.col("_rank") * stride + F.col("feed_id")).drop("_rank")
+    last = F.coalesce(stored_items.agg(F.max("item_id")).scalar() if last is None else last, F.lit(0)).cast("bigint")
+    order = [*_order(_OLDEST), F.col("feed_id"), F.col("guid")]
+    slim = fresh.select("feed_id", "guid", "published_at", "feed_pos").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(slim.select("feed_id", "guid", F.monotonically_increasing_id().alias("_at")))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
+        "feed_id", "guid", (last + F.col("_offset") + inside + 1).alias("item_id"))
+    return fresh.join(numbered, ["feed_id", "guid"])

@@ -74,17 +74,20 @@ def read_responses(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Poll:
-    """What one poll leaves: whole new tables and the run's record."""
+    """What one poll leaves: whole new tables, the run's record, the new entries and the videos settled."""
     items: DataFrame
     feeds: DataFrame
     verdicts: DataFrame
     run: DataFrame
+    fresh: DataFrame
+    settled: DataFrame
 
 
 def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts: DataFrame, answers: DataFrame,
-               now: Column, force: bool = False, cap: int = RETAIN_PER_FEED) -> Poll:
+               now: Column, force: bool = False, cap: int = RETAIN_PER_FEED, last_id: Column | None = None) -> Poll:
     """Ingest, sweep, retention, record, in that order, over all due feeds at once, one response per feed.
 
+    Tables may hold the polled feeds' rows only, if ``last_id`` names the greatest item id of all.
     ``answers`` are landed durations and surface replies for videos asked about since the last poll. The entries and
     new rows are stored before they are used twice, so neither parsing nor ingest is repeated and a lost executor costs
     one stage.
@@ -93,7 +96,7 @@ def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts:
     outcomes, entries = read_responses(fetches.join(due, "feed_id", "left_semi"))
     outcomes, entries = stored(outcomes), stored(entries)
     fresh = stored(ingest.new_items(entries, items, verdicts, ["feed_id", "fetch_id"], cap, bounded=True))
-    rows = ingest.with_ids(fresh, items).withColumns({
+    rows = ingest.with_ids(fresh, items, last_id).withColumns({
         "fetched_at": now, "is_read": F.lit(0), "is_starred": F.lit(0), "read_at": F.lit(None).cast("timestamp")})
     grown = items.unionByName(rows.select(*items.columns))
 
@@ -107,7 +110,7 @@ def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts:
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
     run = state.run_stats(state.judged(feeds, state.latest(outcomes)), count(fresh), count(gone),
                           shorts.unclassified(grown, feeds, known).scalar())
-    return Poll(kept, state.next_feed_state(feeds, outcomes, now), known, run)
+    return Poll(kept, state.next_feed_state(feeds, outcomes, now), known, run, fresh, settled)
 
 
 def recorded(runs: Table, run_id: int, trigger: str, poll: Callable[[], Poll]) -> Poll:

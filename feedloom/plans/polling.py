@@ -92,11 +92,12 @@ def _replay(t: Tables) -> DataFrame:
     return marked.agg(F.count_if(F.col("again") == 0).alias("first_time"), F.count_if(F.col("again") == 1).alias("replayed"))
 
 
-query("ingest_ids", f"""select feed_id, guid, published_at,
- row_number() over (partition by feed_id order by published_at asc nulls first, item_id desc, guid)
- * (select 2*max(feed_id)+1 from ({_NEW})) + feed_id + (select max(item_id) from items_v) as item_id from ({_NEW})""",
-      "items verdicts")(
-    lambda t: ingest.with_ids(fresh(t).drop("item_id"), t.items).select("feed_id", "guid", "published_at", "item_id"))
+# Feed ids spread over all 64 bits, as hashes of addresses would be.
+_WIDE = 72_057_594_037_927_931
+query("ingest_ids", f"""select feed_id, guid, published_at, row_number() over (order by published_at asc nulls first, pos desc, feed_id, guid)
+ + (select max(item_id) from items_v) as item_id from (select *, item_id as pos from ({_NEW}))""", "items verdicts")(
+    lambda t: ingest.with_ids(fresh(t).drop("item_id").withColumn("feed_id", F.col("feed_id") * F.lit(_WIDE)), t.items).select(
+        F.expr(f"feed_id div {_WIDE}L").alias("feed_id"), "guid", "published_at", "item_id"))
 
 query("retention", f"""select item_id, feed_id, is_starred, is_read from (select *, row_number() over (partition by feed_id
  order by coalesce(published_at,fetched_at) desc, item_id desc) as r from items_v) where r<={CAP} or is_starred=1""",

@@ -17,6 +17,7 @@ from feedloom.session import shared_dir
 from feedloom.sources.landed import stream_fetches
 from feedloom.sources.tables import Table
 from feedloom.streaming import health, ingest
+from feedloom.streaming.poll import PollTables, start_polls
 
 _RULE = '{"item":"li","link":"a"}'
 # A poll has one response per feed, so each body of a source stands for a feed of its own; pages are scrape feeds.
@@ -42,15 +43,19 @@ def fetches(t: Tables) -> DataFrame:
         F.lit("W/1").alias("etag"), null.alias("last_modified"), "body", now().alias("fetched_at"))
 
 
-def polled(t: Tables) -> Poll:
-    landed = fetches(t)
+def known_feeds(t: Tables, landed: DataFrame) -> DataFrame:
+    """A feed for every response, never polled yet."""
     known = landed.select("feed_id", F.col("url").alias("feed_url"), "kind", "scrape_rule")
     given = {"title": F.lit(""), "error_count": F.lit(0)}
     columns = [(p.split()[0], p.split()[1]) for p in FEEDS.split(", ")]
-    feeds = known.select(*[F.col(n) if n in known.columns else given.get(n, F.lit(None)).cast(k).alias(n)
-                           for n, k in columns])
+    return known.select(*[F.col(n) if n in known.columns else given.get(n, F.lit(None)).cast(k).alias(n)
+                          for n, k in columns])
+
+
+def polled(t: Tables) -> Poll:
+    landed = fetches(t)
     none = t.spark.createDataFrame([], ITEMS)
-    return poll_cycle(landed, feeds, none, t.verdicts, t.probes, now())
+    return poll_cycle(landed, known_feeds(t, landed), none, t.verdicts, t.probes, now())
 
 
 _BODY_SQL = f"feed_id*{_BODY_FEED} + item_id//200"
@@ -106,6 +111,24 @@ def _stream_ingest(t: Tables) -> DataFrame:
     return items.read().select("feed_id", "guid")
 
 
+@query("stream_poll", f"""with held as (select {_BODY_SQL} as feed_id, count(distinct guid) as held from items_v i where {_NOT_SHORT} group by 1
+ union all select -page_id-1, len(list_distinct(regexp_extract_all(html,'<li><a href="([^"]*)">',1))) from pages where contains(html,'<li><a ')),
+known as (select {_BODY_SQL} as feed_id, 'ok' as last_status, 0 as error_count from items_v group by feed_id, 1
+ union all select -page_id-1, case when contains(html,'<li><a ') then 'ok' else 'error' end, case when contains(html,'<li><a ') then 0 else 1 end from pages)
+select feed_id, last_status, error_count, coalesce(held, 0) as held from known left join held using (feed_id)""", "items verdicts")
+def _stream_poll(t: Tables) -> DataFrame:
+    """The poll in micro-batches, state, sweep, retention and run log included."""
+    base = _folder(t)
+    landed = fetches(t)
+    landed.repartition(3, "feed_id").write.parquet(f"{base}/landed")
+    tables = PollTables.at(t.spark, f"{base}/tables")
+    tables.begin(known_feeds(t, landed), verdicts=t.verdicts.withColumn("checked_at", F.lit(None).cast("timestamp")))
+    start_polls(stream_fetches(t.spark, f"{base}/landed", 1), tables, t.probes, f"{base}/checkpoint").awaitTermination()
+    feeds, items, _ = tables.read()
+    counts = items.groupBy("feed_id").agg(F.count(F.lit(1)).alias("held"))
+    return feeds.join(counts, "feed_id", "left").select("feed_id", "last_status", "error_count", F.coalesce("held", F.lit(0)).alias("held"))
+
+
 @query("stream_dedup", "select distinct feed_id, guid from items_v", "items")
 def _stream_dedup(t: Tables) -> DataFrame:
     documents = _stream(t, "documents")

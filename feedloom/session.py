@@ -55,12 +55,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession, kept: int = 0) -> None:
     """Delete the tables this process stored, but for the first ``kept``. Frames that read them must not be used afterwards."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
     while len(_STORED) > kept:
-        path = hadoop.Path(_STORED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _STORED.pop())
 
 
 @contextmanager

@@ -55,6 +55,16 @@ def test_ids_grow_with_recency(spark):
     assert got.select("item_id").distinct().count() == 5 and got.agg(F.min("item_id")).first()[0] > 40
 
 
+def test_ids_for_feeds_of_any_id(spark):
+    """Hashed feed ids, over many ranges: no gap, no overflow, oldest first."""
+    rows = [(f * (2**62 - 57), k, f"g{k}", (k * 7) % 50 if k % 9 else None) for f in (-2, -1, 0, 1) for k in range(60)]
+    fresh = entries(spark, rows).repartition(5)
+    got = ingest.with_ids(fresh, items(spark, []), F.lit(10**15)).orderBy("item_id").collect()
+    assert [r.item_id for r in got] == list(range(10**15 + 1, 10**15 + 241))
+    want = sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, -r[1], r[0], r[2]))
+    assert [(r.feed_id, r.guid) for r in got] == [(r[0], r[2]) for r in want]
+
+
 def test_known_shorts_are_not_ingested(spark):
     batch = entries(spark, [(1, 0, "v", 1), (1, 1, "w", 1), (1, 2, "p", 1)]).withColumn("url", F.expr(
         "case guid when 'v' then 'https://youtu.be/AAAAAAAAAAA' when 'w' then 'https://youtu.be/BBBBBBBBBBB' end"))
@@ -239,3 +249,27 @@ def test_a_repeated_batch_replaces_itself_and_reads_are_pruned(spark, tmp_path):
     assert len({f.split("bucket=")[1].split("/")[0] for f in table.rows().filter(F.col("bucket") == 3).inputFiles()}) >= 1
     scan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_versions_replace_buckets(spark, tmp_path):
+    """Reads see the newest version before theirs, an emptied bucket is empty, and what an unfinished version left is written over."""
+    from feedloom.sources.tables import Snapshots
+
+    table = Snapshots(spark, f"{tmp_path}/t", "feed_id bigint, v int", "feed_id", 4)
+    frame = lambda rows: spark.createDataFrame(rows, "feed_id bigint, v int")
+    look = lambda n=None: sorted(map(tuple, table.as_of(n).collect()))
+    assert look() == []
+    table.replace(frame([(k, 0) for k in range(12)]), [0, 1, 2, 3], 0)
+    of = {k: table.asked(frame([(k, 0)]))[0] for k in range(12)}
+    gone, kept = of[0], [(k, 0) for k in range(12) if of[k] != of[0]]
+    table.replace(frame([(0, 5)]), [gone], 1)
+    table.replace(frame([]), [gone], 2)
+    assert look(1) == [(k, 0) for k in range(12)] and look(2) == sorted([(0, 5), *kept]) and look() == kept
+    # Version 3 breaks off half way, then comes again.
+    table.replace(frame([(0, 99)]), [gone], 3)
+    assert look(3) == kept
+    table.replace(frame([(0, 7)]), [gone], 3)
+    assert look() == sorted([(0, 7), *kept])
+    table.expire(3)
+    assert look(3) == kept and look() == sorted([(0, 7), *kept])
+    assert table.rows().filter(F.col("bucket") == gone).select("batch").distinct().count() == 2

@@ -103,6 +103,60 @@ def test_ingest_survives_repeats(spark, tmp_path):
     assert log == {(1, 0): "ok", (2, 1): "ok", (3, 2): "error", (1, 3): "ok", (2, 4): "ok", (4, 5): "error", (1, 6): "not-modified"}
 
 
+def test_poll_stream_equals_polls_one_by_one(spark, tmp_path):
+    """Every table after every batch is that of ``poll_cycle`` over whole tables; a batch that broke off and comes again changes nothing."""
+    from feedloom.operators.poll import poll_cycle
+    from feedloom.schemas import FEEDS, VERDICTS
+    from feedloom.streaming.poll import PollTables, poll_batch
+
+    columns = [c.split()[0] for c in FEEDS.split(", ")]
+    video = "https://www.youtube.com/feeds/videos.xml?channel_id=UC"
+    feed = lambda i, **k: tuple({"feed_id": i, "feed_url": f"https://h{i}.example/f", "title": "", "error_count": 0, "kind": "feed", **k}.get(c) for c in columns)
+    rule = '{"item":".c"}'
+    feeds = spark.createDataFrame([feed(1), feed(2, kind="scrape", scrape_rule=rule), feed(3), feed(2**62, feed_url=video), feed(9)], FEEDS)
+    none = spark.createDataFrame([], ITEMS)
+    verdicts = spark.createDataFrame([("AAAAAAAAAAA", 1, T0)], VERDICTS)
+    answers = spark.createDataFrame([("BBBBBBBBBBB", 20, 200, None, T0), ("CCCCCCCCCCC", 900, None, None, T0)],
+                                    "video_id string, seconds int, http_status int, location string, checked_at timestamp")
+    watch = lambda *ids: "<feed xmlns='http://www.w3.org/2005/Atom'><title>V</title>" + "".join(
+        f"<entry><id>{i}</id><title>{i}</title><link href='https://www.youtube.com/watch?v={i}'/></entry>" for i in ids) + "</feed>"
+    page = "".join(f'<div class="c"><a href="/{k}">p{k}</a></div>' for k in range(6))
+    batches = [
+        [response(0, 1, rss("a", "b")), response(1, 2, page, "scrape", rule), response(2, 3, "gone", status=410)],
+        [response(3, 2**62, watch("AAAAAAAAAAA", "BBBBBBBBBBB", "CCCCCCCCCCC")), response(4, 2, page[:60], "scrape", rule), response(5, 3, "", status=500)],
+        [response(6, 1, rss(*"bcdefgh")), response(7, 2**62, watch("BBBBBBBBBBB", "DDDDDDDDDDD")), response(8, 3, rss("z"))],
+        [response(9, 1, "", status=304)]]
+    tables = PollTables.at(spark, f"{tmp_path}/tables", buckets=3)
+    tables.begin(feeds, verdicts=verdicts)
+    rows = lambda df: sorted(map(str, df.collect()))
+    items, last = none, 0
+    for k, batch in enumerate(batches, 1):
+        fetches = spark.createDataFrame(batch, FETCHES)
+        now = F.lit(max(r[-1] for r in batch))
+        want = poll_cycle(fetches, feeds, items, verdicts, answers, now, force=True, cap=5, last_id=F.lit(last))
+        if k == 3:
+            # The batch dies after its items were written: nobody sees them, and its repetition writes them again.
+            before = [rows(t) for t in tables.read()]
+            log, tables.runs.put = tables.runs.put, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+            try:
+                poll_batch(fetches, tables, answers, k, cap=5)
+                raise AssertionError("the batch was to fail")
+            except RuntimeError:
+                tables.runs.put = log
+            assert [rows(t) for t in tables.read()] == before and tables.committed() == 2
+        for _ in range(1 + (k == 2)):
+            poll_batch(fetches, tables, answers, k, cap=5)
+            got = tables.read()
+            assert [rows(t) for t in got] == [rows(want.feeds.select(columns)), rows(want.items.select(got[1].columns)), rows(want.verdicts)]
+        record, told = tables.runs.read().filter(F.col("run_id") == k).collect(), want.run.first()
+        assert len(record) == 1 and all(record[0][c] == told[c] for c in ("feeds", "ok", "not_modified", "errored", "inserted", "shorts_swept"))
+        assert record[0].unclassified == {1: 0, 2: 0, 3: 1, 4: 0}[k]
+        feeds, items, verdicts = (spark.createDataFrame(t.collect(), t.schema) for t in got)
+        last = record[0].last_item_id
+    assert {r.feed_id: (r.error_count, r.last_status) for r in feeds.collect()} == {
+        1: (0, "not-modified"), 2: (1, "error"), 3: (0, "ok"), 2**62: (0, "ok"), 9: (0, None)}
+
+
 def test_batches_leave_no_scratch(spark, tmp_path):
     from feedloom import session
 
