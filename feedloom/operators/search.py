@@ -12,12 +12,14 @@ from feedloom.functions.porter import porter_stem_udf, stem
 from feedloom.operators.joins import join_checked
 from feedloom.operators.lists import View, in_scope, list_items, with_feed
 from feedloom.schemas import PAGE_SIZE, QUERY_CAP, QUERY_TOKENS
-from feedloom.session import stored
+from feedloom.session import remove, scratch, stored
 from feedloom.sources.tables import Table
 
 TEXT_COLUMNS = ("title", "summary", "content")
 # BM25 parameters and the floor of a term's weight.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Hits that a search sends to every task; three numbers each.
+JOIN_ROWS = 1_000_000
 
 
 def _base(ch: str) -> str:
@@ -77,17 +79,38 @@ def term_bucket(term: Column, buckets: int) -> Column:
 
 @dataclass
 class Index:
-    """Stored postings (``bucket, term, item_id, tf, dl``) and the two totals a rank needs."""
+    """Stored postings (``bucket, term, item_id, tf, dl``) and the two totals a rank needs.
+
+    A saved index has several parts: there removed rows count below zero until a merge drops them, and ``terms``
+    (``bucket, term, df``) adds up to the number of items of each term.
+    """
     postings: DataFrame
     n: int
     avgdl: float
     buckets: int
+    terms: DataFrame | None = None
 
-    def of(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms: only the folders of their buckets are read."""
+    def _held(self, rows: DataFrame, terms: list[str]) -> DataFrame:
+        """The rows of some terms: only the folders of their buckets are read."""
         asked = [F.lit(t) for t in terms]
         folders = [term_bucket(t, self.buckets) for t in asked]
-        return self.postings.filter(F.col("bucket").isin(*folders) & F.col("term").isin(*asked))
+        return rows.filter(F.col("bucket").isin(*folders) & F.col("term").isin(*asked))
+
+    def of(self, terms: list[str], lo: int | None = None, hi: int | None = None) -> DataFrame:
+        """The postings of some terms, of the items from ``lo`` to ``hi`` where that is given."""
+        rows = self._held(self.postings, terms)
+        rows = rows if lo is None else rows.filter(F.col("item_id").between(lo, hi))
+        if self.terms is None:
+            return rows
+        return rows.groupBy("term", "item_id").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl")).filter("tf > 0")
+
+    def counts(self, terms: list[str]) -> dict[str, int]:
+        """How many items hold each term; a number per term of the query goes to the driver."""
+        if self.terms is None:
+            rows = self.of(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        else:
+            rows = self._held(self.terms, terms).groupBy("term").agg(F.sum("df").alias("df"))
+        return {t: 0 for t in terms} | {r["term"]: r["df"] for r in rows.collect()}
 
 
 def item_terms(items: DataFrame, stemmed: bool) -> DataFrame:
@@ -108,7 +131,7 @@ def build_index(items: DataFrame, stemmed: bool = True, buckets: int = 64) -> In
     """
     counts = item_terms(items, stemmed)
     placed = counts.withColumn("bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
-    index = stored(placed.sortWithinPartitions("bucket", "term"), "bucket")
+    index = stored(placed.sortWithinPartitions("bucket", "term", "item_id"), "bucket")
     n, held = items.count(), index.agg(F.sum("tf")).first()[0] or 0
     return Index(index, n, held / n if held else 1.0, buckets)
 
@@ -117,60 +140,121 @@ class SavedIndex:
     """An index that lives on in a folder: items are added and removed in numbered steps, and a search reads the folders of
     its terms without a rebuild.
 
-    A removal names the rows as they were indexed; it hides what earlier steps added of these items. An update is the
-    removal of the old rows and the addition of the new ones in one step. Totals are written with each step. A step that
-    is written again replaces itself.
-    """
+    Every step is a part. A removal names the rows as they were indexed and writes their postings below zero, into the folders of their terms, so
+    a search adds up what it reads anyway and needs no list of removals. An update is the removal of the old rows and the
+    addition of the new ones in one step. As soon as ``fan`` parts have one size, they are merged into a part of the
+    next: sums of nothing are dropped, and each term's items lie in order. So a search over any number of steps
+    opens at most ``fan`` - 1 parts of each size, and a posting is rewritten once for each size.
 
-    def __init__(self, spark: SparkSession, path: str, stemmed: bool = True, buckets: int = 64):
-        self.stemmed, self.buckets = stemmed, buckets
-        self.postings = Table(spark, f"{path}/postings", "term string, item_id bigint, tf bigint, dl bigint, step int", "term", buckets)
-        self.removed = Table(spark, f"{path}/removed", "item_id bigint, step int")
-        self.totals = Table(spark, f"{path}/totals", "n bigint, held bigint, step int")
+    The list of parts, a few rows, is written last and makes the step count; what broke off before is not seen, and is written
+    over when the step is repeated. A step that counts already is left alone. Parts that were merged go one step later, so that a
+    search that began before the merge can end.
+    """
 
-    def _write(self, items: DataFrame, step: int, sign: int, table: Table, rows: DataFrame) -> None:
-        table.put(rows.withColumn("step", F.lit(step)), f"{step}")
+    def __init__(self, spark: SparkSession, path: str, stemmed: bool = True, buckets: int = 64, fan: int = 4):
+        if fan < 2:
+            raise ValueError("a merge takes two parts at least")
+        self.spark, self.path, self.stemmed, self.buckets, self.fan = spark, path, stemmed, buckets, fan
+        self.postings = Table(spark, f"{path}/postings", "term string, item_id bigint, tf bigint, dl bigint", "term", buckets)
+        self.terms = Table(spark, f"{path}/terms", "term string, df bigint", "term", buckets)
+        self.parts = Table(spark, f"{path}/parts", "name string, level int, n bigint, held bigint, step int, gone boolean")
+
+    def _listed(self) -> tuple[int, list]:
+        """The newest list's number, and its rows."""
+        rows = self.parts.rows()
+        newest = rows.agg(F.max("batch")).first()[0]
+        return (0, []) if newest is None else (int(newest[1:]), rows.filter(F.col("batch") == newest).drop("bucket", "batch").collect())
+
+    def live(self) -> list:
+        """The parts that a search opens now."""
+        return [r for r in self._listed()[1] if not r["gone"]]
+
+    def _put(self, name: str, rows: DataFrame, terms: DataFrame) -> None:
+        self.postings.put(rows, name, "term", "item_id")
+        self.terms.put(terms, name, "term")
+
+    def _merged(self, group: list, name: str) -> tuple:
+        of = lambda table: table.rows().filter(F.col("batch").isin([r["name"] for r in group]))
+        rows = of(self.postings).groupBy("term", "item_id").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl")).filter("tf <> 0 or dl <> 0")
+        self._put(name, rows, of(self.terms).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"))
+        return name, group[0]["level"] + 1, sum(r["n"] for r in group), sum(r["held"] for r in group), max(r["step"] for r in group), False
+
+    def _write(self, items: DataFrame, step: int, sign: int) -> None:
+        number, listed = self._listed()
+        kind = "add" if sign > 0 else "remove"
+        name = f"{kind}-{step}"
+        newest = max((r["step"] for r in listed), default=-1)
+        if step < newest or any(r["name"] == f"took-{name}" for r in listed):
+            return
+        with scratch(self.spark):
+            rows = stored(item_terms(items, self.stemmed).select("term", "item_id", (sign * F.col("tf")).alias("tf"), (sign * F.col("dl")).alias("dl")))
+            self._put(name, rows, rows.groupBy("term").agg(F.sum(F.lit(sign)).cast("bigint").alias("df")))
         words = F.concat(*[tokens(F.col(c)) for c in TEXT_COLUMNS])
-        self.totals.put(items.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum(F.size(words)), F.lit(0))).alias("held"))
-                        .withColumn("step", F.lit(step)), f"{step}{'+' if sign > 0 else '-'}")
+        n, held = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(words)), F.lit(0))).first()
+        fields = self.parts.columns
+        parts = [r.asDict() for r in listed if not r["gone"]] + [dict(zip(fields, (name, 0, sign * n, sign * held, step, False)))]
+        gone, level = [], 0
+        while len(group := [p for p in parts if p["level"] == level]) >= self.fan:
+            done = dict(zip(fields, self._merged(group, f"merge-{level + 1}-{number + 1}")))
+            parts = [p for p in parts if p["level"] != level] + [done]
+            gone, level = gone + group, level + 1
+        # What the newest step took already is told by marks, which hold nothing.
+        marks = [f"took-{name}"] + [r["name"] for r in listed if r["name"].startswith("took-") and r["step"] == step]
+        rows = [(*[p[f] for f in fields[:-1]], False) for p in parts] + [(*[p[f] for f in fields[:-1]], True) for p in gone]
+        rows += [(m, -1, 0, 0, step, True) for m in marks]
+        self.parts.put(self.spark.createDataFrame(rows, self.parts.schema), f"v{number + 1:018d}")
+        for r in listed:
+            if r["gone"] and r["level"] >= 0:
+                for table in (self.postings, self.terms):
+                    for bucket in range(self.buckets):
+                        remove(self.spark, f"{table.path}/bucket={bucket}/batch={r['name']}")
 
     def add(self, items: DataFrame, step: int) -> None:
-        self._write(items, step, 1, self.postings, item_terms(items, self.stemmed))
+        self._write(items, step, 1)
 
     def remove(self, items: DataFrame, step: int) -> None:
-        self._write(items, step, -1, self.removed, items.select("item_id").distinct())
+        self._write(items, step, -1)
 
     def open(self) -> Index:
-        """The index as it stands; one row of totals goes to the driver."""
-        n, held = self.totals.read().agg(F.sum("n"), F.sum("held")).first()
-        gone = self.removed.read().groupBy("item_id").agg(F.max("step").alias("gone"))
-        live = self.postings.rows().join(gone, "item_id", "left").filter("gone is null or step >= gone")
-        return Index(live.select("bucket", "term", "item_id", "tf", "dl"), n or 0, held / n if n and held else 1.0, self.buckets)
+        """The index as it stands; the list of parts goes to the driver."""
+        parts = self.live()
+        names = [r["name"] for r in parts]
+        n, held = sum(r["n"] for r in parts), sum(r["held"] for r in parts)
+        of = lambda table: table.rows().filter(F.col("batch").isin(names) if names else F.lit(False)).drop("batch")
+        return Index(of(self.postings), n, held / n if n and held else 1.0, self.buckets, of(self.terms))
 
 
-def match(index: Index, terms: list[str]) -> DataFrame:
-    """Items that hold every term in any column: ``item_id, dl`` and a count ``tf_i`` per distinct term."""
+def match(index: Index, terms: list[str], counts: dict[str, int] | None = None) -> DataFrame:
+    """Items that hold every term in any column: ``item_id, dl`` and a count ``tf_i`` per distinct term.
+
+    The rarest term leads. The other terms' postings are read between its first and last item only, rarest first, and meet the
+    hits so far in a join; these are broadcast while the rarest term has at most ``JOIN_ROWS`` items, so that a common term's postings
+    never move.
+    """
     distinct = sorted(set(terms))
-    per_term = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, t in enumerate(distinct)]
-    hits = index.of(distinct).groupBy("item_id").agg(F.first("dl").alias("dl"), *per_term)
-    for i in range(len(distinct)):
-        hits = hits.filter(F.col(f"tf_{i}") > 0)
-    return hits
+    counts = index.counts(distinct) if counts is None else counts
+    order = sorted(range(len(distinct)), key=lambda i: counts[distinct[i]])
+    named = lambda i, **span: index.of([distinct[i]], **span).select("item_id", *([] if span else ["dl"]), F.col("tf").alias(f"tf_{i}"))
+    hits = named(order[0])
+    if len(order) > 1:
+        lo, hi = hits.agg(F.min("item_id"), F.max("item_id")).first()
+        for i in order[1:]:
+            held = F.broadcast(hits) if counts[distinct[order[0]]] <= JOIN_ROWS else hits
+            hits = named(i, lo=0 if lo is None else lo, hi=-1 if hi is None else hi).join(held, "item_id")
+    return hits.select("item_id", "dl", *[f"tf_{i}" for i in range(len(distinct))])
 
 
 def bm25(index: Index, terms: list[str]) -> DataFrame:
     """``item_id, score`` for every match, higher is better. A term asked for twice weighs twice."""
     weights = Counter(terms)
     distinct = sorted(weights)
-    # One row of document counts, a column per term of the query.
-    held = index.of(distinct).agg(*[F.count_if(F.col("term") == t).alias(f"df_{i}") for i, t in enumerate(distinct)]).first()
+    counts = index.counts(distinct)
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
-        df = held[f"df_{i}"]
-        idf = max(math.log((index.n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+        idf = max(math.log((index.n - counts[t] + 0.5) / (counts[t] + 0.5)), IDF_FLOOR)
         score = score + weights[t] * idf * F.col(f"tf_{i}") * (K1 + 1) / (F.col(f"tf_{i}") + norm)
-    return match(index, terms).select("item_id", score.alias("score"))
+    return match(index, terms, counts).select("item_id", score.alias("score"))
 
 
 def search(items: DataFrame, feeds: DataFrame, q: str, index: Index, stemmed: bool = True,

@@ -11,7 +11,7 @@ from feedloom.operators.joins import spread_small
 from feedloom.plans.bindings import Tables
 from feedloom.plans.reading import NOW_TS, _WS, now, sql_decode, sql_excerpt, sql_strip
 from feedloom.plans.registry import query
-from feedloom.session import shared_dir
+from feedloom.session import shared_dir, stored
 
 # --- text
 
@@ -200,6 +200,12 @@ query("search_count", f"""select count(*) as n from (select item_id from ({_POST
                                   stemmed=False))
 
 
+@query("search_common_term", _bm25_sql(["license", "the"]), "items feeds")
+def _common_term(t: Tables) -> DataFrame:
+    """A rare word beside one that most English items hold."""
+    return _found(t, "the license")
+
+
 # The words of one stem in these tables; the others stay as they are, which changes no document's length.
 _STEMMED = "('license', 'licensed', 'licenses', 'licensing')"
 _STEM_SQL = _bm25_sql(["licens"]).replace(f"({_POST})", f"(select item_id, case when term in {_STEMMED} then 'licens' else term end as term from ({_POST}))")
@@ -222,3 +228,18 @@ def _after_add(t: Tables) -> DataFrame:
     saved.add(items.filter("item_id % 3 <> 1"), 2)
     return search.search(t.items, t.feeds, "Qué", saved.open(), stemmed=False).select(
         "item_id", "feed_id", "title", "feed_title", F.round("score", 6).alias("score"))
+
+
+@query("search_after_merge", _bm25_sql(["license", "the"]), "items feeds")
+def _after_merge(t: Tables) -> DataFrame:
+    """A saved index that took the items in six steps with merges of two parts, every third item first with another text."""
+    saved = search.SavedIndex(t.spark, f"{shared_dir(t.spark)}/feedloom/{uuid.uuid4().hex}", stemmed=False, fan=2)
+    items = stored(t.text_items)
+    drafts = items.filter("item_id % 3 = 0").withColumn("content", F.concat(F.lit("the license of "), "title"))
+    saved.add(drafts, 1)
+    saved.add(items.filter("item_id % 3 = 1 and item_id % 2 = 0"), 2)
+    saved.add(items.filter("item_id % 3 = 1 and item_id % 2 = 1"), 3)
+    saved.remove(drafts, 4)
+    saved.add(items.filter("item_id % 3 <> 1"), 4)
+    return search.search(t.items, t.feeds, "the license", saved.open(), stemmed=False).select(
+        "item_id", "feed_id", "title", "feed_title", F.round("score", 6).alias("score"))

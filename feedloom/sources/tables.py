@@ -48,10 +48,11 @@ class Table:
         rows = rows if without is None else rows.filter(F.col("batch") != without)
         return rows.select(*self.columns).join(keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi")
 
-    def put(self, df: DataFrame, batch: str) -> None:
+    def put(self, df: DataFrame, batch: str, *order: str) -> None:
         """Write the rows of a batch, in place of what the batch wrote before. Rows are brought together by bucket first:
-        a bucket is one file, or several where it is large."""
+        a bucket is one file, or several where it is large, in ``order`` inside."""
         placed = self._placed(df, batch).hint("rebalance", "bucket")
+        placed = placed.sortWithinPartitions("bucket", *order) if order else placed
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.path)
 
 

@@ -1,5 +1,7 @@
 """Inputs as they are published: mixed scripts, odd fields, marks, repeats and ties."""
 import datetime as dt
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,50 @@ def test_runs_are_logged_also_when_they_fail(spark, tmp_path):
     assert (got[1]["feeds"], got[1]["trigger"], got[1]["note"]) == (3, "cron", None)
     assert got[1]["duration_ms"] >= 0 and got[1]["started_at"] <= got[1]["finished_at"]
     assert got[2]["note"] == "Run failed: no disk" and got[2]["feeds"] == 0
+
+def test_merged_steps_search_like_a_fresh_index(spark, tmp_path):
+    """Forty steps of additions, removals and updates; a step that broke off, and steps that come again."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(30)]
+    text = lambda: " ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(30)], k=rng.randrange(1, 25)))
+    frame = lambda rows: spark.createDataFrame([(i, v, None, None) for i, v in rows.items()], ITEMS)
+    saved, held = search.SavedIndex(spark, f"{tmp_path}/index", stemmed=False, buckets=3, fan=3), {}
+    for step in range(1, 21):
+        old = {i: held[i] for i in rng.sample(sorted(held), len(held) // 4)}
+        new = {i: text() for i in [*list(old)[::2], *range(step * 10, step * 10 + 8)]}
+        if step == 9:
+            # The parts are written, their list is not.
+            put, saved.parts.put = saved.parts.put, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+            with pytest.raises(RuntimeError):
+                saved.add(frame({900: "w0 w1 w1", **new}), step)
+            saved.parts.put = put
+        if old:
+            saved.remove(frame(old), step)
+        saved.add(frame(new), step)
+        if step in (9, 14):
+            saved.add(frame(new), step)
+            saved.add(frame({901: "w0 w1"}), step - 1)
+        held = {i: v for i, v in held.items() if i not in old} | new
+    assert len(saved.live()) <= 2 * 4
+    index, fresh = saved.open(), search.build_index(frame(held), stemmed=False)
+    assert (index.n, round(index.avgdl, 9)) == (fresh.n, round(fresh.avgdl, 9))
+    assert index.counts(vocabulary) == fresh.counts(vocabulary)
+    for terms in (["w0"], ["w0", "w7"], ["w29", "w1", "w0"], ["w0", "absent"], ["w2", "w2", "w5"]):
+        ranked = [sorted((r.item_id, round(r.score, 9)) for r in search.bm25(i, terms).collect()) for i in (index, fresh)]
+        want = {i for i, v in held.items() if set(terms) <= set(v.split())}
+        assert ranked[0] == ranked[1] and {i for i, _ in ranked[0]} == want
+    opened = {r.f.split("batch=")[1].split("/")[0] for r in index.postings.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert opened <= {r["name"] for r in saved.live()}
+    folders = {d for d in os.listdir(f"{tmp_path}/index/postings/bucket=0")}
+    assert len(folders) <= 2 * 4 + 9
+
+
+def test_a_common_term_does_not_move(spark):
+    """The rare term's hits go to the common term's postings, of which only those between its first and last item are read."""
+    rows = [(i, "common " + ("rare" if 500 <= i < 520 else "other"), None, None) for i in range(2000)]
+    index = search.build_index(spark.createDataFrame(rows, ITEMS), stemmed=False)
+    found = search.match(index, ["common", "rare"])
+    assert sorted(r.item_id for r in found.collect()) == list(range(500, 520))
+    plan = found._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "GreaterThanOrEqual(item_id,500)" in plan and "LessThanOrEqual(item_id,519)" in plan
+    assert index.of(["common"], lo=500, hi=519).count() == 20
