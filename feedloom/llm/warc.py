@@ -43,12 +43,17 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def plan_records(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, keeps): for ids whose captures revisit others, the response by payload digest. Slim rows only, summed on
-    the map side."""
+def shared_payloads(pages: DataFrame, least: int) -> DataFrame:
+    """(sha, keep): payloads of several captures, and the greatest id among them. Slim rows only, summed on the map side."""
     slim = pages.select("page_id", F.sha2("payload", 256).alias("sha"), F.length("payload").alias("bytes"))
-    groups = slim.filter(F.col("bytes") >= least).groupBy("sha").agg(
-        F.max("page_id").alias("keep"), F.min("page_id").alias("first")).filter("first < keep").select("sha", "keep")
+    return slim.filter(F.col("bytes") >= least).groupBy("sha").agg(
+        F.max("page_id").alias("keep"), F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter(
+        "first < keep or n > 1 and keep is not null").select("sha", "keep")
+
+
+def plan_records(pages: DataFrame, groups: DataFrame) -> DataFrame:
+    """(page_id, keeps): for ids whose captures revisit others, the response by payload digest."""
+    slim = pages.select("page_id", F.sha2("payload", 256).alias("sha"))
     again = slim.join(groups, "sha").filter("page_id < keep")
     return again.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("sha", "keep"))).alias("keeps"))
 
@@ -56,11 +61,17 @@ def plan_records(pages: DataFrame, least: int) -> DataFrame:
 def records(pages: DataFrame, least: int, archives: int) -> DataFrame:
     """(page_id, value): one record per capture, without its closing line ends, in as many partitions as archives.
 
-    Payloads move once: they are dealt to archives by id, and the join takes them as they lie.
+    Payloads move once: they are dealt to archives by id, and the join takes them as they lie. Captures without an id, if
+    there are any, find their response by digest and make archives of their own.
     """
-    revisits = plan_records(pages, least)
-    joined = pages.repartition(archives, "page_id").join(revisits, "page_id", "left").withColumn(
-        "keep", F.try_element_at("keeps", F.sha2("payload", 256)))
+    groups = shared_payloads(pages, least)
+    revisits = plan_records(pages, groups)
+    named, unnamed = pages.filter("page_id is not null"), pages.filter("page_id is null")
+    joined = named.repartition(archives, "page_id").join(revisits, "page_id", "left").withColumn(
+        "keep", F.try_element_at("keeps", F.sha2("payload", 256))).drop("keeps")
+    if not unnamed.isEmpty():
+        found = unnamed.withColumn("sha", F.sha2("payload", 256)).join(groups, "sha", "left")
+        joined = joined.unionByName(found.drop("sha"))
     size = F.length("payload").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(RECORD_END))
     again = F.col("keep").isNotNull()

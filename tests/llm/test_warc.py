@@ -47,10 +47,10 @@ def test_small_payloads_are_responses(spark, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [(1, None, "x"), (1, None, "x"), (1, "a\r\nb", "y"), (None, "http://b", "x"), (2, "http://b", "y")]
+    rows = [(1, None, "x"), (1, None, "x"), (1, "a\r\nb", "y"), (None, "http://b", "x"), (2, "http://b", "y"), (None, "c", "own"), (None, "c", "own")]
     got = round_trip(spark, tmp_path, [(*r, "z") for r in rows], PAGES + ", payload string").collect()
     assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in got) == [
-        (0, 1, "response", 0), (1, 1, "response", 0), (1, 1, "response", 0), (1, 1, "revisit", 2), (2, 1, "response", 0)]
+        (0, 1, "revisit", 1), (0, 3, "response", 0), (0, 3, "response", 0), (1, 1, "response", 0), (1, 1, "response", 0), (1, 1, "revisit", 2), (2, 1, "response", 0)]
 
 
 def test_empty_table(spark, tmp_path):
