@@ -78,16 +78,21 @@ def mix_oracle() -> str:
     steps = [f"""rows as materialized (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, {TOPIC} as topic,
         greatest(1, ceil(strlen(coalesce(text, '')) / 4.0))::bigint as weight from documents)""",
              "cells as materialized (select source, lang, topic, sum(weight)::double as mass from rows group by all)"]
-    steps += [f"""t_{d} as materialized (select {d}, pow(seen, {p}) / sum(pow(seen, {p})) over () as target
-        from (select {d}, sum(mass) as seen from cells group by all))""" for d, p in POWERS.items()]
+    # Shares of the stated size; a value whose share is beyond its mass gives all it has, and the rest share what is left.
+    steps += [f"""s_{d} as materialized (select {d}, seen, pow(seen, {p}) / sum(pow(seen, {p})) over () as share, sum(seen) over () * {SIZE} as wanted
+        from (select {d}, sum(mass) as seen from cells group by all)),
+        l_{d} as (select *, (wanted - coalesce(sum(seen) over (order by seen / share, {d} rows between unbounded preceding and 1 preceding), 0))
+            / sum(share) over (order by seen / share, {d} rows between current row and unbounded following) as level from s_{d}),
+        t_{d} as materialized (select {d}, case when level * share >= seen then seen
+            else greatest(0, max(level) filter (where level * share < seen) over ()) * share end as target from l_{d})""" for d, p in POWERS.items()]
     last, fit = "cells", "mass"
     for k in range(mixing.ROUNDS):
         for d in dims:
             steps.append(f"""f{k}_{d} as materialized (select source, lang, topic, mass,
-                {fit} * target / sum({fit}) over (partition by {d}) as fit from {last} join t_{d} using ({d}))""")
+                least(mass, {fit} * target / sum({fit}) over (partition by {d})) as fit from {last} join t_{d} using ({d}))""")
             last, fit = f"f{k}_{d}", "fit"
     return f"""with {", ".join(steps)},
-        odds as (select source, lang, topic, round((fit / mass) / max(fit / mass) over (), {mixing.PLACES}) as probability from {last})
+        odds as (select source, lang, topic, round(fit / mass, {mixing.PLACES}) as probability from {last})
         select doc_id, source, lang, topic, weight, probability,
                round(('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / {1 << 52}.0::double, {mixing.PLACES})
                < probability as kept
@@ -96,8 +101,7 @@ def mix_oracle() -> str:
 
 @query("op4_mix_sources", mix_oracle())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query's SQL has no size: it sets the cell with the greatest factor to probability 1."""
-    return mixing.mix(table(spark, sf_dir, "documents"), **{**mix_settings(), "size": None})
+    return mixing.mix(table(spark, sf_dir, "documents"), **mix_settings())
 
 
 @query("op5_span_dedup")

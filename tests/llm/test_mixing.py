@@ -46,3 +46,14 @@ def test_what_cannot_be_reached_is_told(spark, documents):
 def test_sizes_are_shares(spark, documents, size):
     with pytest.raises(ValueError):
         mixing.mix(documents(rows()), dims(), F.length("text"), TARGETS, size=size)
+
+
+def test_query_with_one_rare_row(spark, tmp_path):
+    """The registered query: a one-token row of a new source leaves what the others keep."""
+    from feedloom.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.union(spark.createDataFrame([(10**9, "w", "en", "new", 1)], docs.schema)).write.parquet(f"{tmp_path}/b/documents.parquet")
+    kept = [{r["doc_id"] for r in QUERIES["op4_mix_sources"](spark, f"{tmp_path}/{x}").filter("kept").collect()} for x in "ab"]
+    assert len(kept[0] ^ (kept[1] - {10**9})) <= 5 and len(kept[0]) > 400
