@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from ipaddress import IPv6Address
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -79,6 +80,9 @@ def resolve(href: str | None, base: str | None) -> str | None:
         host = (parts.hostname or "").encode("idna").decode() if not (parts.hostname or "").isascii() else parts.hostname
         if parts.scheme not in ("http", "https") or not host or re.search(r"[\s<>^|%\\]", host):
             return None
+        if ":" in host:
+            # An IPv6 host keeps its brackets and is spelt in its shortest form.
+            host = f"[{IPv6Address(host).compressed}]"
         port = parts.port
     except (ValueError, UnicodeError):
         return None

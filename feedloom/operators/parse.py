@@ -34,6 +34,57 @@ _MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>\[]*
 _ATTRIBUTE = re.compile(r"""([A-Za-z_][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 
+#: Characters that declared entities may add to one body.
+EXPANSION = 1 << 20
+_SUBSET = re.compile(r"""<!DOCTYPE[^>\[]*\[((?:"[^"]*"|'[^']*'|<!--.*?-->|[^\]"'])*)\]""", re.S | re.I)
+_ENTITY = re.compile(r"""<!ENTITY\s+([A-Za-z_][\w:.-]*)\s+(?:"([^"]*)"|'([^']*)')\s*>""")
+_OPAQUE = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", re.S)
+_REFERENCE = re.compile(r"&([A-Za-z_][\w:.-]*);")
+_NUMBER = re.compile(r"&#(?:x([0-9a-fA-F]{1,6})|(\d{1,7}));")
+
+
+class _Entities:
+    """The entities of a document's own subset. Those of other files and of the subset itself (``%name;``) are not read."""
+
+    def __init__(self, subset: str):
+        self.raw, self.whole, self.left = {}, {}, EXPANSION
+        for name, a, b in _ENTITY.findall(re.sub(r"<!--.*?-->", "", subset, flags=re.S)):
+            # The first declaration binds; numbers in a value are read where it is declared.
+            self.raw.setdefault(name, _NUMBER.sub(lambda m: chr(min(int(m[1], 16) if m[1] else int(m[2]), 0x10FFFF)), a or b))
+
+    def value(self, name: str, inside: tuple[str, ...]) -> str:
+        if name in inside:
+            raise ValueError(f"entity {name} holds itself")
+        if name not in self.whole:
+            self.whole[name] = self.fill(self.raw[name], (*inside, name))
+        return self.whole[name]
+
+    def fill(self, text: str, inside: tuple[str, ...] = ()) -> str:
+        """The text with its references replaced; more than ``EXPANSION`` characters from entities are an error."""
+        out, at, added = [], 0, 0
+        for m in _REFERENCE.finditer(text):
+            if m[1] in self.raw:
+                out += text[at:m.start()], self.value(m[1], inside)
+                at, added = m.end(), added + len(out[-1])
+                if added > EXPANSION:
+                    raise ValueError("entities too large")
+        return "".join([*out, text[at:]])
+
+    def body(self, body: str, begin: int) -> str:
+        """The document with the references behind ``begin`` replaced, but for sections that hold none."""
+        out, at, size = [body[:begin]], begin, 0
+        for m in [*_OPAQUE.finditer(body, begin), None]:
+            part = body[at:m.start() if m else len(body)]
+            out.append(self.fill(part))
+            size += len(out[-1]) - len(part)
+            if size > EXPANSION:
+                raise ValueError("entities too large")
+            if m:
+                out.append(m[0])
+                at = m.end()
+        return "".join(out)
+
+
 def _mend_text(text: str) -> str:
     text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", text)
     text = re.sub(r"&(\w+);", lambda m: _UNDECLARED.get(m[1], m[0]), text)
@@ -42,8 +93,14 @@ def _mend_text(text: str) -> str:
 
 
 def _mend(body: str | None) -> str | None:
-    """A well-formed document out of a broken one: undeclared references spelt out, open elements closed, stray close
-    tags dropped. Null where a CDATA section, comment or instruction never ends."""
+    """A well-formed document out of a broken one: declared entities put in, other references spelt out, open elements closed,
+    stray close tags dropped. Null where a CDATA section, comment or instruction never ends, and where an entity holds itself
+    or entities grow beyond bounds."""
+    if body is not None and (subset := _SUBSET.search(body)):
+        try:
+            body = _Entities(subset[1]).body(body[:subset.start(1)] + body[subset.end(1):], subset.start(1))
+        except (ValueError, RecursionError):
+            return None
     if body is None or re.search(r"<!\[CDATA\[|<!--|<\?", _MARKUP.sub("", body)):
         return None
     out, open_tags, at = [], [], 0
@@ -192,7 +249,9 @@ def parse_feeds(fetches: DataFrame) -> DataFrame:
     # A document with no element of the wanted names also reads as corrupt: mending leaves it as it is.
     rejected = F.coalesce(*[F.col(f"_{f}._corrupt_record") for f in schemas]).isNotNull()
     endless = body.rlike(r"<!\[CDATA\[(?![\s\S]*\]\]>)|<!--(?![\s\S]*-->)")
-    staged = staged.withColumn("_broken", rejected | ((F.col("format") == "none") & endless))
+    # The strict parser leaves declared entities out.
+    declares = (F.col("format") != "json") & body.rlike(r"(?i)^[^<]*(?:<[?!][^<]*)*<!DOCTYPE[^<>\[]*\[[^<]*(?:<!(?!ENTITY)[^<]*)*<!ENTITY")
+    staged = staged.withColumn("_broken", rejected | ((F.col("format") == "none") & endless) | declares)
     staged = staged.withColumn("_mended", mend_xml_udf(F.when(F.col("_broken"), body)))
     staged = staged.withColumns({
         f"_{fmt}": F.when(F.col("_broken"), strict(F.col("_mended"), fmt, schema)).otherwise(F.col(f"_{fmt}"))
@@ -206,7 +265,7 @@ def parse_feeds(fetches: DataFrame) -> DataFrame:
     no_entries = f"cast(array() as array<struct<{_ENTRY.replace(' string', ':string')}>>)"
     return staged.select(
         *kept, "format",
-        F.when(F.col("_broken") & F.col("_mended").isNull(), "a section of the document never ends").alias("parse_error"),
+        F.when(F.col("_broken") & F.col("_mended").isNull(), "a section of the document never ends, or its entities do").alias("parse_error"),
         F.when(F.col("_mended").isNotNull(), "mended").otherwise("strict").alias("parse_mode"),
         pick(1, "''").alias("feed_title"), blank_to_null(pick(2, "null")).alias("site_url"),
         F.coalesce(pick(0, "null"), F.expr(no_entries)).alias("entries"))

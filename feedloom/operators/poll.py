@@ -79,8 +79,8 @@ class Poll:
     feeds: DataFrame
     verdicts: DataFrame
     run: DataFrame
-    fresh: DataFrame
-    settled: DataFrame
+    fresh: DataFrame | None = None
+    settled: DataFrame | None = None
 
 
 def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts: DataFrame, answers: DataFrame,

