@@ -23,7 +23,7 @@ no rows. Only the id and the text are read, so other columns may have any name.
 """
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,7 +37,7 @@ from feedloom.session import stored
 #: Word classes, rounds of exchange, words that take part in them, words of the broadcast table.
 CLASSES, ROUNDS, EXCHANGED, TABLE = 64, 5, 8192, 1 << 18
 #: Distinct words (or tokens) that a task holds before it hands them on; tokens of a stored piece.
-HELD, PIECE = 1 << 17, 1 << 14
+HELD, PIECE = 1 << 18, 1 << 14
 #: The end as a word (no word is empty), and the byte of a token without a class yet.
 END, OPEN = b"", 255
 
@@ -178,24 +178,26 @@ def contexts(texts: DataFrame, words: list[bytes], classes: np.ndarray) -> DataF
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, other = {w: k for k, w in enumerate(words)}.get, len(words)
-        held, tokens = defaultdict(bytearray), 0
+        held, near = [], []
         code = classes.astype(np.uint8)
 
         def out():
-            return pd.DataFrame({"word": list(held), "pairs": [bytes(p) for p in held.values()]})
+            found, distinct = pd.factorize(np.array(held, dtype=object))
+            # Occurrences in order of their word; each word takes its stretch.
+            data = np.concatenate(near)[np.argsort(found, kind="stable")].tobytes()
+            ends = (2 * np.cumsum(np.bincount(found))).tolist()
+            return pd.DataFrame({"word": distinct, "pairs": [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
         for frame in frames:
             for data in frame["data"]:
                 given = words_of(data)
                 ids = np.array([other + 1, *[find(w, other) for w in given], other + 1])
-                near, at = code[ids], np.flatnonzero(ids == other)
-                both = np.stack((near[at - 1], near[at + 1]), axis=1).tobytes()
-                for j, k in enumerate(at.tolist()):
-                    held[given[k - 1]] += both[2 * j:2 * j + 2]
-                tokens += len(at)
-                if tokens > HELD * 4:
+                of, at = code[ids], np.flatnonzero(ids == other)
+                near.append(np.stack((of[at - 1], of[at + 1]), axis=1))
+                held += [given[k - 1] for k in at.tolist()]
+                if len(held) > HELD * 4:
                     yield out()
-                    held, tokens = defaultdict(bytearray), 0
+                    held, near = [], []
         if held:
             yield out()
 
