@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.functions import urls
+from feedloom.functions import sql, urls
 from feedloom.operators import discover, html, outcome, parse, suggest
 from feedloom.operators.joins import spread_small
 from feedloom.plans.bindings import Tables
@@ -173,6 +173,15 @@ query("html_tags", """select page_id, lower(tag) as tag, count(*) as n from (
  select page_id, unnest(regexp_extract_all(html,'<([a-zA-Z][a-zA-Z0-9]*)',1)) as tag from pages) group by all""")(
     lambda t: nodes(t).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")))
 
+@query("sql_html_nodes", """select page_id, lower(tag) as tag, count(*) as n from (
+ select page_id, unnest(regexp_extract_all(html,'<([a-zA-Z][a-zA-Z0-9]*)',1)) as tag from pages) group by all""")
+def _sql_html_nodes(t: Tables) -> DataFrame:
+    """The elements by the table function, for users of SQL alone."""
+    sql.register(t.spark)
+    return t.spark.sql("""select page_id, tag, count(*) as n from page_nodes(table(select page_id, url, html from {pages}))
+        where tag is not null group by page_id, tag""", pages=t.pages)
+
+
 _HREFS = """select page_id, url as page_url, generate_subscripts(w,1) as pos, unnest(w) as word from (select page_id, url,
  regexp_extract_all(html,'<li><a href="/([^"]*)">',1) as w from pages)"""
 _LINK = "regexp_extract(page_url,'^(https?://[^/?#]+)',1)||'/'||replace(url_encode(word),'%2C',',')"

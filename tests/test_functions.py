@@ -132,5 +132,7 @@ def test_sql_functions(spark):
                      pages=table).collect()
     assert sorted((r.page_id, r.tag, r.text, r.classes) for r in rows) == [
         (1, "b", "b", ["x", "y"]), (1, "p", "a b", []), (2, "i", "c", [])]
+    bulk = spark.sql("select page_id, tag, text, classes, base_url from page_nodes(table(select page_id, url, html from {pages}))", pages=table).collect()
+    assert sorted((r.page_id, r.tag, r.text, r.classes) for r in bulk) == sorted((r.page_id, r.tag, r.text, r.classes) for r in rows)
     assert spark.sql("select porter_stem('running') s, resolve_url('b', 'https://h.example/a/') u").first() == (
         "run", "https://h.example/a/b")
