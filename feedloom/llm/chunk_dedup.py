@@ -7,6 +7,8 @@ exactly when the lists are; long texts never meet each other.
 
 Nulls count as empty texts. Rows that repeat a doc_id are rows of their own; of equal rows one stays. A null doc_id
 orders before all others.
+
+Empty tables give no rows, and other columns may have any name.
 """
 from __future__ import annotations
 

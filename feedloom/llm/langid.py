@@ -10,6 +10,9 @@ rows that may be learned from. Prediction reads whole texts and nothing else.
 Texts that are null or have no letter are ``und`` with score 0 and not ambiguous. Without any language to learn every
 text is ``und``; with one, every text with a letter is that language, with score 1. Rows that repeat an id are predicted
 each on its own.
+
+Long texts are read whole, and other columns may have any name. Codewords at equal loss: the first in the order of
+languages counts.
 """
 from __future__ import annotations
 

@@ -15,6 +15,9 @@ whole corpus. A single cell, or one document, stays whole only so.
 
 Nulls in a dimension are the value ''. Every document weighs at least one token, so empty texts take part. Rows that
 repeat an id are drawn alike.
+
+Empty tables give no rows, other columns may have any name, and a text's length matters by its weight alone. Equal
+cells get equal factors.
 """
 from __future__ import annotations
 

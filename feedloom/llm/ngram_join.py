@@ -13,6 +13,9 @@ similarity reaches the threshold falls below a tolerance; what is left is verifi
 Result: one row per document with its class (the least id that verified links lead to) and its number of links, that is
 of other documents at or above the threshold. Texts without words link to nothing and are a class of their own. Texts of
 fewer words than an n-gram have one n-gram, all their words. Nulls count as empty.
+
+Empty tables give no rows; texts of any length are read whole; equal rows are one node and come back each; other
+columns may have any name.
 """
 from __future__ import annotations
 

@@ -6,6 +6,8 @@ that are filled alike form one run of consecutive numbers, so the plan is a few
 each run says which ranks of a length go where. Pieces then take their slots by their rank within their length.
 
 Null texts are empty documents: they hold the end mark alone. A repeated doc_id is a document of its own.
+
+Empty tables give no rows, and other columns may have any name; equal lengths take places by rank.
 """
 from __future__ import annotations
 

@@ -17,6 +17,9 @@ pick repeats, and is not all covered by spans already, are hashed and joined.
 
 Texts of fewer than ``words`` words have no span. Nulls count as empty and come back as they were. Rows that
 share a doc_id are one document to the order of occurrences: what they share stays in both. Null ids come first.
+
+Empty tables give no rows; texts of any length are read whole; of equal hashes in one document the first place counts;
+other columns may have any name.
 """
 from __future__ import annotations
 

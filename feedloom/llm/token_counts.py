@@ -6,6 +6,9 @@ remembered in the worker's own bounded cache. No pre-token is shuffled; only the
 most ``per_task`` rows from every task over the whole corpus.
 
 Null texts are empty: no bytes, no tokens.
+
+Empty tables give no rows; equal rows are counted each; texts of any length are read whole; other columns may have any
+name.
 """
 from __future__ import annotations
 

@@ -9,6 +9,8 @@ compacted away. Scores are exact; ties go to the smaller id.
 Vectors that are null or hold a null or non-finite component take no part, and vectors meet only those of their own
 length. Rows that repeat an id are rows of their own: only the query's own row is left out. Rows with a null id take no
 part. Sums must stay below 2**53, that is components below 2**22 for 512 dimensions.
+
+Empty tables give no rows, and other columns may have any name.
 """
 from __future__ import annotations
 

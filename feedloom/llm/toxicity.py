@@ -14,6 +14,9 @@ Bounds, all of them parameters: ``per_label`` labelled texts of each label for t
 models; ``terms`` lexicon voters. Everything else
 reads whole texts and all documents. Null and empty texts get the score of a text without any vote. Without labelled
 rows every text scores 0.
+
+Texts of any length are read whole; a score of just 0.5 is toxic; equal rows get equal scores; other columns may have
+any name.
 """
 from __future__ import annotations
 
