@@ -10,8 +10,7 @@ one URL with a third of all captures is shared out.
 Null payloads are empty, null times are the epoch, null URLs leave out their header and have the empty key. Rows that repeat an id with the same
 payload are written alike, each as its own record. Payloads below ``least`` bytes are always responses.
 
-Empty tables give no rows and other columns may have any name; captures that agree in key and time keep the order of
-their archives.
+Empty tables give no rows and other columns may have any name; captures equal in key, time and id stand side by side.
 """
 from __future__ import annotations
 
