@@ -11,7 +11,7 @@ from feedloom.functions.text import decode_href
 from feedloom.functions.urls import resolve
 from feedloom.operators.outcome import looks_like_feed
 from feedloom.operators.parse import parse_feeds
-from feedloom.schemas import COMMON_PATHS, FEED_TYPES, HEAD_SCAN_CHARS
+from feedloom.schemas import COMMON_PATHS, FEED_TYPES
 
 
 @pandas_udf(StringType())
@@ -58,12 +58,12 @@ def feed_candidates(sites: DataFrame, crawl: DataFrame) -> DataFrame:
     return hits.groupBy("origin").agg(F.min("pos").alias("pos"), F.min_by("feed_url", "pos").alias("feed_url"))
 
 
-def discover_feeds(sites: DataFrame, crawl: DataFrame) -> DataFrame:
+def discover_feeds(sites: DataFrame, crawl: DataFrame, head_chars: int | None = None) -> DataFrame:
     """What each requested address resolves to: ``site_id, url, how, feed_url, title, site_url, error``.
 
     In order: a video channel's feed, the address itself, the feed its page declares, a usual path. ``crawl`` holds one
     response per address (``url, final_url, status, content_type, body``). Every step is an equi-join on addresses; feed
-    bodies are parsed once, for their titles.
+    bodies are parsed once, for their titles. With ``head_chars`` a page's declared feed is looked for in so many characters only.
     """
     good = answered(crawl).withColumn("is_feed", _is_feed())
     final = F.coalesce("final_url", "url")
@@ -80,7 +80,7 @@ def discover_feeds(sites: DataFrame, crawl: DataFrame) -> DataFrame:
     pages = pages.withColumns({"is_feed": F.col("ok") & _is_feed(), "channel_in_page": F.when(
         F.col("ok") & urls.is_channel_url(F.col("url")), urls.channel_id_in_page(F.col("body")))})
     pages = with_feed_link(pages.withColumn("page", F.when(F.col("ok") & ~F.col("is_feed"), F.col("body"))),
-                           "page", "landed", "linked", HEAD_SCAN_CHARS).drop("body", "page", "content_type")
+                           "page", "landed", "linked", head_chars).drop("body", "page", "content_type")
     asked = sites.select("site_id", "url").join(pages, "url", "left").fillna(False, ["ok", "is_feed"])
     channel = F.when(urls.is_channel_url(F.col("url")),
                      F.coalesce(urls.channel_id_in_url(F.col("url")), F.col("channel_in_page")))

@@ -8,13 +8,15 @@ from feedloom.functions.markup import scan_batches
 from feedloom.functions.text import WS, blank_to_null, utf16_left, utf16_length
 from feedloom.functions.urls import with_absolute_link
 from feedloom.operators.joins import spread_small
-from feedloom.schemas import HEADINGS, MAX_PAGE_ITEMS, MAX_SELECTOR, MAX_SUMMARY, MAX_TITLE, NODES, RULE
+from feedloom.schemas import HEADINGS, MAX_PAGE_BYTES, MAX_PAGE_ITEMS, MAX_SELECTOR, MAX_SUMMARY, MAX_TITLE, META_CHARS, NODES, RULE
 
 ROLES = ("item", "title", "link", "date", "summary")
 
 
 #: The limits a poll sets to what one scrape may bring.
 SCRAPE_LIMITS = {"max_items": MAX_PAGE_ITEMS, "max_title": MAX_TITLE, "max_summary": MAX_SUMMARY}
+#: And to what it may read: bytes of a page, and characters that are searched for its charset. A poll has no limit unless it is given one.
+READER_LIMITS = {**SCRAPE_LIMITS, "max_bytes": MAX_PAGE_BYTES, "meta_chars": META_CHARS}
 
 
 def html_nodes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from feedloom.functions.text import WS
-from feedloom.schemas import MAX_PAGE_BYTES, MAX_PAGE_ITEMS, NO_RULE_ERROR
+from feedloom.schemas import NO_RULE_ERROR
 
 
 def looks_like_feed(body: Column, content_type: Column) -> Column:
@@ -75,18 +75,20 @@ def classify_feed(fetches: DataFrame, parse_error: Column | None = None) -> Data
     return _result(_with_defaults(fetches), _first_error(*cases))
 
 
-def oversize(announced: Column, actual: Column) -> Column:
+def oversize(announced: Column, actual: Column, max_bytes: int | None) -> Column:
     """The refusal text for a page over the size limit, else null."""
+    if max_bytes is None:
+        return F.lit(None).cast("string")
     mb = lambda n: F.floor(n / 1e6 + 0.5).cast("string")
-    limit = F.lit(f"MB, over the {MAX_PAGE_BYTES // 1_000_000}MB scrape limit")
-    return (F.when(announced > MAX_PAGE_BYTES, F.concat(F.lit("page announces "), mb(announced), limit))
-            .when(actual > MAX_PAGE_BYTES, F.concat(F.lit("page is "), mb(actual), limit)))
+    limit = F.lit(f"MB, over the {max_bytes // 1_000_000}MB scrape limit")
+    return (F.when(announced > max_bytes, F.concat(F.lit("page announces "), mb(announced), limit))
+            .when(actual > max_bytes, F.concat(F.lit("page is "), mb(actual), limit)))
 
 
 def classify_scrape(fetches: DataFrame, items: Column, item_selector: Column,
-                    extractor_error: Column | None = None) -> DataFrame:
+                    extractor_error: Column | None = None, max_bytes: int | None = None) -> DataFrame:
     """``items`` is what the rule extracted; a null ``item_selector`` is a feed without a usable rule."""
-    too_big = oversize(F.col("content_length"), F.octet_length("body"))
+    too_big = oversize(F.col("content_length"), F.octet_length("body"), max_bytes)
     cases = [(item_selector.isNull(), F.lit(NO_RULE_ERROR))] + _transport() + [
         (too_big.isNotNull(), F.concat(F.lit("Could not read the page: Error: "), too_big)),
         (~is_html(F.col("body"), F.col("content_type")), _typed("Response was not an HTML page")),
@@ -100,15 +102,16 @@ def classify_scrape(fetches: DataFrame, items: Column, item_selector: Column,
     return _result(_with_defaults(fetches), _first_error(*cases))
 
 
-def decode_bodies(fetches: DataFrame) -> DataFrame:
+def decode_bodies(fetches: DataFrame, meta_chars: int | None = None) -> DataFrame:
     """Binary bodies to text by the declared charset: header first, then the page's own meta tag, else UTF-8.
 
     UTF-8 bodies stay in the JVM; only bodies with another label go to Python. Unknown labels read as UTF-8. Bad bytes become U+FFFD.
+    With ``meta_chars`` the tag is looked for in that many characters only.
     """
     utf8 = F.make_valid_utf8(F.col("body").cast("string"))
     label = r"""charset=["']?([\w-]+)"""
     declared = F.regexp_extract(F.coalesce("content_type", F.lit("")), "(?i)" + label, 1)
-    meta = F.regexp_extract(F.left(utf8, F.lit(2048)), r"(?i)<meta[^>]+" + label, 1)
+    meta = F.regexp_extract(utf8 if meta_chars is None else F.left(utf8, F.lit(meta_chars)), r"(?i)<meta[^>]+" + label, 1)
     charset = F.lower(F.when(declared != "", declared).otherwise(meta))
     legacy = F.when((charset != "") & ~charset.isin("utf-8", "utf8"), F.col("body"))
     decoded = F.coalesce(decode_udf(legacy, charset), utf8)

@@ -11,10 +11,10 @@ from feedloom.functions import urls
 from feedloom.functions.text import page_title
 from feedloom.operators import ingest, outcome, shorts, state
 from feedloom.operators.feeds import due_feeds
-from feedloom.operators.html import SCRAPE_LIMITS, extract_items, html_nodes, with_rule
+from feedloom.operators.html import extract_items, html_nodes, with_rule
 from feedloom.operators.parse import items_of, parse_feeds
 from feedloom.operators.retention import retention
-from feedloom.schemas import MAX_PAGE_BYTES, MAX_TITLE, RETAIN_PER_FEED
+from feedloom.schemas import RETAIN_PER_FEED
 from feedloom.session import stored
 from feedloom.sources.tables import Table
 
@@ -35,26 +35,26 @@ def _with_body(parsed: DataFrame) -> DataFrame:
     return parsed.withColumnRenamed("raw", "body")
 
 
-def _scrape_responses(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _scrape_responses(fetches: DataFrame, max_bytes: int | None = None, meta_chars: int | None = None, **of_items) -> tuple[DataFrame, DataFrame]:
     size = F.octet_length("body").cast("bigint")
-    texts = with_rule(outcome.decode_bodies(fetches.withColumn("content_length", F.coalesce("content_length", size))),
+    texts = with_rule(outcome.decode_bodies(fetches.withColumn("content_length", F.coalesce("content_length", size)), meta_chars),
                       "scrape_rule")
     # Numbered once written, so that each response is a page of its own and keeps its number on a retry.
     texts = stored(texts.withColumn("page_id", F.monotonically_increasing_id()))
     landed = F.coalesce("final_url", "url")
     readable = texts.filter(
         F.col("rule").isNotNull() & F.col("status").between(200, 299)
-        & outcome.oversize(F.col("content_length"), F.octet_length("body")).isNull()
+        & outcome.oversize(F.col("content_length"), F.octet_length("body"), max_bytes).isNull()
         & outcome.is_html(F.col("body"), F.coalesce("content_type", F.lit(""))))
-    nodes = stored(html_nodes(readable.select("page_id", landed.alias("url"), F.col("body").alias("html")), MAX_PAGE_BYTES))
+    nodes = stored(html_nodes(readable.select("page_id", landed.alias("url"), F.col("body").alias("html")), max_bytes))
     rules = readable.select("page_id", F.lit(0).alias("rule_id"), "rule")
-    found = stored(extract_items(nodes, rules, **SCRAPE_LIMITS))
+    found = stored(extract_items(nodes, rules, **of_items))
     counts = found.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"))
     broken = nodes.filter("error is not null").select("page_id", F.col("error").alias("unread"))
     judged = texts.join(counts, "page_id", "left").join(broken, "page_id", "left")
-    outcomes = outcome.classify_scrape(judged, F.col("n_items"), F.col("rule.item"), F.col("unread"))
+    outcomes = outcome.classify_scrape(judged, F.col("n_items"), F.col("rule.item"), F.col("unread"), max_bytes)
     adopted = outcomes.withColumns({
-        "feed_title": page_title(F.col("body"), MAX_TITLE), "site_url": urls.origin(landed),
+        "feed_title": page_title(F.col("body"), of_items.get("max_title")), "site_url": urls.origin(landed),
         "n_items": F.coalesce("n_items", F.lit(0))})
     entries = found.join(texts.select("page_id", "feed_id", "fetch_id"), "page_id").select(
         "fetch_id", "feed_id", (F.col("pos") - 1).cast("int").alias("feed_pos"), "guid", "url", "title",
@@ -62,13 +62,14 @@ def _scrape_responses(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return adopted.select(*_OUTCOME), entries
 
 
-def read_responses(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Outcomes (one per response) and entries (of the good ones).
+def read_responses(fetches: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """Outcomes (one per response) and entries (of the good ones). ``limits`` for scraped pages are ``max_bytes``, ``meta_chars`` and
+    those of ``extract_items``; there are none unless given (``READER_LIMITS``).
 
     A body that cannot be read is an error outcome; it never ends the job.
     """
-    plain, scraped = (f(fetches.filter(c)) for f, c in (
-        (_feed_responses, F.coalesce("kind", F.lit("feed")) != "scrape"), (_scrape_responses, F.col("kind") == "scrape")))
+    plain = _feed_responses(fetches.filter(F.coalesce("kind", F.lit("feed")) != "scrape"))
+    scraped = _scrape_responses(fetches.filter(F.col("kind") == "scrape"), **limits)
     return plain[0].unionByName(scraped[0]), plain[1].unionByName(scraped[1])
 
 
@@ -84,16 +85,16 @@ class Poll:
 
 
 def poll_cycle(fetches: DataFrame, feeds: DataFrame, items: DataFrame, verdicts: DataFrame, answers: DataFrame,
-               now: Column, force: bool = False, cap: int = RETAIN_PER_FEED, last_id: Column | None = None) -> Poll:
+               now: Column, force: bool = False, cap: int = RETAIN_PER_FEED, last_id: Column | None = None, **limits) -> Poll:
     """Ingest, sweep, retention, record, in that order, over all due feeds at once, one response per feed.
 
-    Tables may hold the polled feeds' rows only, if ``last_id`` names the greatest item id of all.
+    ``limits`` are those of ``read_responses``. Tables may hold the polled feeds' rows only, if ``last_id`` names the greatest item id of all.
     ``answers`` are landed durations and surface replies for videos asked about since the last poll. The entries and
     new rows are stored before they are used twice, so neither parsing nor ingest is repeated and a lost executor costs
     one stage.
     """
     due = due_feeds(feeds, now, force).select("feed_id")
-    outcomes, entries = read_responses(fetches.join(due, "feed_id", "left_semi"))
+    outcomes, entries = read_responses(fetches.join(due, "feed_id", "left_semi"), **limits)
     outcomes, entries = stored(outcomes), stored(entries)
     fresh = stored(ingest.new_items(entries, items, verdicts, ["feed_id", "fetch_id"], cap, bounded=True))
     rows = ingest.with_ids(fresh, items, last_id).withColumns({

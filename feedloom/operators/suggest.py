@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions.text import utf16_length
-from feedloom.operators.html import SCRAPE_LIMITS, extract_items, headline_order, html_nodes, is_link
-from feedloom.schemas import HEADINGS, MAX_PAGE_BYTES
+from feedloom.operators.html import extract_items, headline_order, html_nodes, is_link
+from feedloom.schemas import HEADINGS
 from feedloom.session import stored
 
 # What makes a group of same-shaped siblings a candidate, and how many suggestions and samples are kept.
@@ -86,14 +86,14 @@ def suggested_rules(nodes: DataFrame) -> DataFrame:
         F.when(F.col("dated"), "time").alias("date"), summary.alias("summary")).alias("rule"), "place")
 
 
-def suggest_rules(nodes: DataFrame, top: int = TOP_RULES, sample: int = SAMPLE) -> DataFrame:
+def suggest_rules(nodes: DataFrame, top: int = TOP_RULES, sample: int = SAMPLE, **limits) -> DataFrame:
     """The best rules of every page with what they would bring: long titles first, many items second.
 
     The element rows are read several times and so should be a stored table; the rules are stored here. A suggested
-    selector has at most two steps.
+    selector has at most two steps. ``limits`` are those of ``extract_items``.
     """
     rules = stored(suggested_rules(nodes))
-    found = extract_items(nodes, rules.select("page_id", "rule_id", "rule"), steps=2, **SCRAPE_LIMITS)
+    found = extract_items(nodes, rules.select("page_id", "rule_id", "rule"), steps=2, **limits)
     entry = F.struct("pos", "url", "title", "summary", "published_at")
     scored = found.groupBy("page_id", "rule_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(utf16_length(F.col("title"))).alias("avg_title"),
@@ -105,12 +105,12 @@ def suggest_rules(nodes: DataFrame, top: int = TOP_RULES, sample: int = SAMPLE)
             .select("page_id", "rank", "rule", "n", "score", "sample"))
 
 
-def scrape_preview(pages: DataFrame) -> DataFrame:
-    """For every requested page its suggestions, or the reason there are none."""
-    nodes = stored(html_nodes(pages, MAX_PAGE_BYTES))
+def scrape_preview(pages: DataFrame, max_bytes: int | None = None, **limits) -> DataFrame:
+    """For every requested page its suggestions, or the reason there are none. Pages over ``max_bytes`` are not read."""
+    nodes = stored(html_nodes(pages, max_bytes))
     errors = nodes.filter("error is not null").select("page_id", "error")
     asked = pages.select("page_id", "url").join(errors, "page_id", "left")
-    shown = asked.join(suggest_rules(nodes), "page_id", "left")
+    shown = asked.join(suggest_rules(nodes, **limits), "page_id", "left")
     reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("the page could not be read as a list: "), "error")).when(
         F.col("rank").isNull(), "nothing on the page reads as a list of articles (a repeated block of linked headlines)")
     return shown.select("page_id", "url", "rank", "rule", "n", "sample", reason.alias("reason"))

@@ -11,7 +11,7 @@ from feedloom.operators.joins import spread_small
 from feedloom.plans.bindings import Tables
 from feedloom.plans.polling import nav_items
 from feedloom.plans.registry import query
-from feedloom.schemas import FETCHES
+from feedloom.schemas import FETCHES, HEAD_SCAN_CHARS, MAX_PAGE_BYTES, META_CHARS
 from feedloom.session import shared_dir, stored
 from feedloom.sources import landed, opml
 
@@ -151,7 +151,7 @@ from pages""")(
     lambda t: outcome.decode_bodies(
         spread_small(t.pages, "page_id").withColumn("text", F.replace("html", F.lit('<meta charset="utf-8">'), F.lit("")))
         .select("page_id", F.concat(F.lit("text/html; charset="), F.expr(_CHARSETS)).alias("content_type"),
-                F.expr(_ENCODED).alias("body")))
+                F.expr(_ENCODED).alias("body")), META_CHARS)
     .select("page_id", "body", F.nullif("charset", F.lit("")).alias("charset")))
 
 
@@ -222,14 +222,14 @@ where len(w)>=3 and len(list_filter(w, lambda x: length(x)>=8))>=2"""
 @query("suggest_rules", f"""select page_id, 1 as rank, 'li' as item, cast(null as varchar) as link, n,
  round(least(avg_title,80)*log2(n+1),6) as score from ({_LIST})""")
 def _suggest(t: Tables) -> DataFrame:
-    return suggest.suggest_rules(stored(nodes(t))).select("page_id", "rank", "rule.item", "rule.link", "n",
+    return suggest.suggest_rules(stored(nodes(t)), **html.SCRAPE_LIMITS).select("page_id", "rank", "rule.item", "rule.link", "n",
                                                           F.round("score", 6).alias("score"))
 
 
 query("scrape_preview", f"""select p.page_id, p.url, case when l.n is not null then 1 end as rank,
  case when l.n is not null then 'li' end as item, l.n, case when l.n is null then
  'nothing on the page reads as a list of articles (a repeated block of linked headlines)' end as reason
-from pages p left join ({_LIST}) l on l.page_id=p.page_id""")(lambda t: suggest.scrape_preview(t.pages).select("page_id", "url", "rank", "rule.item", "n", "reason"))
+from pages p left join ({_LIST}) l on l.page_id=p.page_id""")(lambda t: suggest.scrape_preview(t.pages, MAX_PAGE_BYTES, **html.SCRAPE_LIMITS).select("page_id", "url", "rank", "rule.item", "n", "reason"))
 
 
 @query("add_scrapes", f"""select page_id, case when n=0 then 'error' else 'ok' end as status, n, case when n=0 then
@@ -244,7 +244,7 @@ def _add_scrapes(t: Tables) -> DataFrame:
         "page_id", "url", F.col("html").alias("body"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("network_error"),
         F.lit("text/html").alias("content_type"), F.lit(None).cast("bigint").alias("content_length"),
         F.lit("W/1").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.coalesce("n", F.lit(0)).alias("n"))
-    judged = outcome.classify_scrape(fetches, F.col("n"), F.lit("li"))
+    judged = outcome.classify_scrape(fetches, F.col("n"), F.lit("li"), max_bytes=MAX_PAGE_BYTES)
     return judged.select("page_id", "status", "n", "error", urls.origin(F.col("url")).alias("site_url"))
 
 
@@ -302,7 +302,7 @@ def _discover(t: Tables) -> DataFrame:
     response = F.struct("final_url", "status", "content_type", "body")
     one = crawl(t).groupBy("url").agg(F.min_by(response, better).alias("r")).select("url", "r.*")
     landed = pages.unionByName(one)
-    return discover.discover_feeds(t.pages.select(F.col("page_id").alias("site_id"), "url"), landed)
+    return discover.discover_feeds(t.pages.select(F.col("page_id").alias("site_id"), "url"), landed, HEAD_SCAN_CHARS)
 
 
 # --- subscription lists: one per hundred documents, nested by language

@@ -7,6 +7,7 @@ from feedloom.operators import actions, ingest, outcome, retention, shorts, stat
 from feedloom.plans.bindings import Tables
 from feedloom.plans.reading import NOW_TS, now
 from feedloom.plans.registry import query
+from feedloom.schemas import MAX_PAGE_BYTES
 
 CAP = 20  # the smallest tables hold fewer rows per feed than the default cap
 
@@ -45,7 +46,7 @@ from (select *, {_NAV} as n, case when network_error is not null then 'Network e
   then 'Response was not an HTML page (HTTP '||status||', '||{_TYPE}||')'
  when {_NAV}=0 then 'The scrape rule matched nothing on that page (item selector: li)' end as e from page_fetches_v)""",
       "page_fetches")(
-    lambda t: outcome.classify_scrape(t.page_fetches.withColumn("n", nav_items()), F.col("n"), F.lit("li"))
+    lambda t: outcome.classify_scrape(t.page_fetches.withColumn("n", nav_items()), F.col("n"), F.lit("li"), max_bytes=MAX_PAGE_BYTES)
     .select("page_id", "status", "error", "etag", F.col("n").cast("bigint").alias("n")))
 
 # --- ingest and retention

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
+from feedloom.operators.html import READER_LIMITS
 from feedloom.operators.poll import Poll, poll_cycle
 from feedloom.plans.bindings import POLLS, Tables
 from feedloom.plans.documents import mixed
@@ -55,7 +56,7 @@ def known_feeds(t: Tables, landed: DataFrame) -> DataFrame:
 def polled(t: Tables) -> Poll:
     landed = fetches(t)
     none = t.spark.createDataFrame([], ITEMS)
-    return poll_cycle(landed, known_feeds(t, landed), none, t.verdicts, t.probes, now())
+    return poll_cycle(landed, known_feeds(t, landed), none, t.verdicts, t.probes, now(), **READER_LIMITS)
 
 
 _BODY_SQL = f"feed_id*{_BODY_FEED} + item_id//200"
@@ -107,7 +108,7 @@ def _stream_ingest(t: Tables) -> DataFrame:
     items = Table(t.spark, f"{base}/items", ITEMS, bucket_by="feed_id")
     polls = Table(t.spark, f"{base}/polls", ingest.POLL_LOG)
     ingest.start_ingest(stream_fetches(t.spark, f"{base}/landed", 2), items, t.verdicts, polls,
-                        f"{base}/checkpoint").awaitTermination()
+                        f"{base}/checkpoint", limits=READER_LIMITS).awaitTermination()
     return items.read().select("feed_id", "guid")
 
 
@@ -123,7 +124,7 @@ def _stream_poll(t: Tables) -> DataFrame:
     landed.repartition(3, "feed_id").write.parquet(f"{base}/landed")
     tables = PollTables.at(t.spark, f"{base}/tables")
     tables.begin(known_feeds(t, landed), verdicts=t.verdicts.withColumn("checked_at", F.lit(None).cast("timestamp")))
-    start_polls(stream_fetches(t.spark, f"{base}/landed", 1), tables, t.probes, f"{base}/checkpoint").awaitTermination()
+    start_polls(stream_fetches(t.spark, f"{base}/landed", 1), tables, t.probes, f"{base}/checkpoint", READER_LIMITS).awaitTermination()
     feeds, items, _ = tables.read()
     counts = items.groupBy("feed_id").agg(F.count(F.lit(1)).alias("held"))
     return feeds.join(counts, "feed_id", "left").select("feed_id", "last_status", "error_count", F.coalesce("held", F.lit(0)).alias("held"))

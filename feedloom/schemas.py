@@ -55,6 +55,7 @@ QUERY_TOKENS = 12
 EXCERPT_LENGTH = 260
 PANEL_MAX = 25
 HEAD_SCAN_CHARS = 200_000
+META_CHARS = 2048
 UNGROUPED = "Ungrouped"
 YOUTUBE_MARKER = "youtube.com/feeds/videos.xml"
 FEED_TYPES = ["application/rss+xml", "application/atom+xml", "application/feed+json", "application/json"]

@@ -12,13 +12,13 @@ from feedloom.sources.tables import Table
 POLL_LOG = "poll_id bigint, feed_id bigint, polled_at timestamp, status string, n_items int"
 
 
-def ingest_batch(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: Table, stream: str, batch_id: int) -> None:
+def ingest_batch(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: Table, stream: str, batch_id: int, **limits) -> None:
     """One micro-batch: read the responses, insert what is new, log the polls. A repeated batch writes its rows again in
     their own place. Stored keys are read for the batch's feeds only, and what the batch stored meanwhile goes."""
     batch = f"{stream}-{batch_id}"
     with scratch(fetches.sparkSession):
         fetches = stored(fetches)
-        outcomes, entries = read_responses(fetches)
+        outcomes, entries = read_responses(fetches, **limits)
         entries = stored(entries)
         when = fetches.select("fetch_id", "fetched_at")
         known = items.of_keys(entries.select("feed_id"), without=batch)
@@ -33,9 +33,9 @@ def ingest_batch(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: T
 
 
 def start_ingest(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: Table, checkpoint: str,
-                 stream: str = "ingest", **trigger) -> StreamingQuery:
-    """``fetches`` is a stream of responses; by default it drains what has landed and stops."""
-    run = lambda batch, batch_id: ingest_batch(batch, items, verdicts, polls, stream, batch_id)
+                 stream: str = "ingest", limits: dict | None = None, **trigger) -> StreamingQuery:
+    """``fetches`` is a stream of responses; by default it drains what has landed and stops. ``limits`` are those of ``read_responses``."""
+    run = lambda batch, batch_id: ingest_batch(batch, items, verdicts, polls, stream, batch_id, **(limits or {}))
     return (fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

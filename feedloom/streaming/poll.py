@@ -52,7 +52,7 @@ class PollTables:
         return self.feeds.as_of(done), self.items.as_of(done), self.verdicts.as_of(done)
 
 
-def poll_batch(fetches: DataFrame, tables: PollTables, answers: DataFrame, version: int, trigger: str = "stream", cap: int = RETAIN_PER_FEED) -> None:
+def poll_batch(fetches: DataFrame, tables: PollTables, answers: DataFrame, version: int, trigger: str = "stream", cap: int = RETAIN_PER_FEED, **limits) -> None:
     """One micro-batch, as version ``version`` (from 1). Only the buckets of its feeds and of the videos it settles are read
     and written. Its time is the last response's, so that a repeated batch gives the same rows; a batch without rows leaves its
     run record. ``unclassified`` counts the videos of the buckets read, thus of the batch's feeds and their neighbours."""
@@ -65,7 +65,7 @@ def poll_batch(fetches: DataFrame, tables: PollTables, answers: DataFrame, versi
         asked = tables.feeds.asked(polled)
         feeds, items = stored(tables.feeds.as_of(version, asked)), stored(tables.items.as_of(version, asked))
         verdicts = stored(tables.verdicts.as_of(version))
-        poll = poll_cycle(fetches, feeds, items, verdicts, answers, now, force=True, cap=cap, last_id=F.lit(last))
+        poll = poll_cycle(fetches, feeds, items, verdicts, answers, now, force=True, cap=cap, last_id=F.lit(last), **limits)
         tables.items.replace(poll.items, asked, version)
         tables.feeds.replace(poll.feeds, asked, version)
         videos = tables.verdicts.asked(poll.settled)
@@ -76,8 +76,8 @@ def poll_batch(fetches: DataFrame, tables: PollTables, answers: DataFrame, versi
         tables._log(stored(record), version, last + poll.fresh.count())
 
 
-def start_polls(fetches: DataFrame, tables: PollTables, answers: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """``fetches`` is a stream of responses; by default it drains what has landed and stops."""
-    run = lambda batch, batch_id: poll_batch(batch, tables, answers, batch_id + 1)
+def start_polls(fetches: DataFrame, tables: PollTables, answers: DataFrame, checkpoint: str, limits: dict | None = None, **trigger) -> StreamingQuery:
+    """``fetches`` is a stream of responses; by default it drains what has landed and stops. ``limits`` are those of ``read_responses``."""
+    run = lambda batch, batch_id: poll_batch(batch, tables, answers, batch_id + 1, **(limits or {}))
     return (fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -157,6 +157,20 @@ def test_poll_stream_equals_polls_one_by_one(spark, tmp_path):
         1: (0, "not-modified"), 2: (1, "error"), 3: (0, "ok"), 2**62: (0, "ok"), 9: (0, None)}
 
 
+def test_limits_are_off_unless_given(spark):
+    """A page of 5 MB with 150 items, its charset named far down, is read whole; the reader's own limits are arguments."""
+    from feedloom.operators.html import READER_LIMITS
+    from feedloom.operators.poll import read_responses
+
+    items = "".join(f'<div class="c"><a href="/{k}">p{k} {"x" * 400}</a></div>' for k in range(150))
+    pages = {1: items + "<!--" + "y" * 5_000_000 + "-->", 2: items}
+    fetches = spark.createDataFrame([response(k, k, body, "scrape", '{"item":".c"}') for k, body in pages.items()], FETCHES)
+    status = lambda found: {r.feed_id: (r.status, r.n_items) for r in found[0].collect()}
+    whole, cut = read_responses(fetches), read_responses(fetches, **READER_LIMITS)
+    assert status(whole) == {1: ("ok", 150), 2: ("ok", 150)} and whole[1].filter(F.length("title") > 400).count() == 300
+    assert status(cut) == {1: ("error", 0), 2: ("ok", 100)}
+
+
 def test_batches_leave_no_scratch(spark, tmp_path):
     from feedloom import session
 
