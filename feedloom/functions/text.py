@@ -48,6 +48,16 @@ def utf16_left(c: Column, n: int) -> Column:
     )
 
 
+# The predefined entities, and the patterns by which a reader's text and a page's title are told.
+PREDEFINED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+_ANCHOR = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(https?://[^"'\s>]+)["']?[^>]*>([\s\S]*?)</a>"""
+_UNREAD = r"(?i)<(script|style)[\s\S]*?</\1>"
+_BLOCK_END = "(?i)</(p|div|h[1-6]|li|blockquote|section|article|tr)>"
+_LINE_END = r"(?i)<br\s*/?>"
+_TAG = "<[^>]+>"
+_TITLE = r"(?i)<title[^>]*>([\s\S]{count})</title>"
+
+
 def esc(c: Column) -> Column:
     out = F.coalesce(c, F.lit(""))
     for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
@@ -109,17 +119,16 @@ def decode_page_entities(c: Column) -> Column:
 
 
 def decode_href(c: Column) -> Column:
-    """The five predefined references inside an attribute, ``&amp;`` last."""
-    for names, char in (("#60|#x3c|lt", "<"), ("#62|#x3e|gt", ">"), ("#34|#x22|quot", '"'),
-                        ("#39|#x27|apos", "'"), ("#38|#x26|amp", "&")):
-        c = F.regexp_replace(c, f"(?i)&(?:{names});", char)
-    return c
+    """The five predefined characters inside an attribute, by name or by number, in one pass; other references stay."""
+    spelt = {ref: char for name, char in PREDEFINED.items() for ref in (f"&{name};", f"&#{ord(char)};", f"&#x{ord(char):x};")}
+    table = F.create_map(*[F.lit(x) for pair in spelt.items() for x in pair])
+    return splice(c, "&#?[A-Za-z0-9]+;", lambda m, _: F.coalesce(F.try_element_at(table, F.lower(m)), m))
 
 
 def strip_tags(c: Column) -> Column:
     """Feed HTML to one line of plain text."""
-    bare = F.regexp_replace(c, r"(?i)<(script|style)[\s\S]*?</\1>", " ")
-    return squeeze(decode_entities(F.regexp_replace(bare, "<[^>]+>", " ")))
+    bare = F.regexp_replace(c, _UNREAD, " ")
+    return squeeze(decode_entities(F.regexp_replace(bare, _TAG, " ")))
 
 
 def excerpt(c: Column, n: int = EXCERPT_LENGTH) -> Column:
@@ -127,9 +136,6 @@ def excerpt(c: Column, n: int = EXCERPT_LENGTH) -> Column:
         utf16_length(text) > n, F.concat(F.rtrim(utf16_left(text, n)), F.lit("…"))).otherwise(text))
 
 
-_ANCHOR = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(https?://[^"'\s>]+)["']?[^>]*>([\s\S]*?)</a>"""
-
-
 def reading_links(c: Column) -> Column:
     """Safe links of a body in order: ``array<struct<url,text>>``."""
     return F.transform(
@@ -143,10 +149,10 @@ def reading_paragraphs(c: Column) -> Column:
     """Body as an array of paragraphs; the n-th safe link stands as NUL n NUL inside its paragraph."""
     nul = F.lit("\u0000")
     out = splice(c, _ANCHOR, lambda _, i: F.concat(nul, i.cast("string"), nul))
-    out = F.regexp_replace(out, r"(?i)<(script|style)[\s\S]*?</\1>", " ")
-    out = F.regexp_replace(out, "(?i)</(p|div|h[1-6]|li|blockquote|section|article|tr)>", "\n\n")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = decode_entities(F.regexp_replace(out, "<[^>]+>", " "))
+    out = F.regexp_replace(out, _UNREAD, " ")
+    out = F.regexp_replace(out, _BLOCK_END, "\n\n")
+    out = F.regexp_replace(out, _LINE_END, "\n")
+    out = decode_entities(F.regexp_replace(out, _TAG, " "))
     inline_ws = WS.replace("\\n", "")
 
     def tidy(p: Column) -> Column:
@@ -158,5 +164,5 @@ def reading_paragraphs(c: Column) -> Column:
 def page_title(html: Column, longest: int | None = None) -> Column:
     """The page's title; with ``longest`` a longer one counts as none."""
     count = "*?" if longest is None else f"{{0,{longest}}}?"
-    raw = F.regexp_extract(html, rf"(?i)<title[^>]*>([\s\S]{count})</title>", 1)
+    raw = F.regexp_extract(html, _TITLE.replace("{count}", count), 1)
     return blank_to_null(squeeze(decode_page_entities(raw)))

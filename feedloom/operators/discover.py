@@ -7,13 +7,17 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from feedloom.functions import urls
-from feedloom.functions.text import decode_href
+from feedloom.functions.text import decode_href, let
 from feedloom.functions.urls import resolve
 from feedloom.operators.outcome import looks_like_feed
 from feedloom.operators.parse import parse_feeds
 from feedloom.schemas import COMMON_PATHS, FEED_TYPES
 
 
+_ATTRIBUTE = r"""([A-Za-z][\w:-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_QUOTES = r"""^["']|["']$"""
+
+
 @pandas_udf(StringType())
 def _first_resolved(hrefs: pd.Series, base: pd.Series) -> pd.Series:
     found = (next((u for h in (hs if hs is not None else ()) if (u := resolve(h, b))), None)
@@ -31,11 +35,16 @@ def with_feed_link(pages: DataFrame, html: str = "html", base: str = "url", out:
 
     The tag list stays an array inside its row, so pages are not exploded or shuffled.
     """
-    attr = lambda tag, name: F.regexp_extract(tag, rf"""(?i){name}\s*=\s*['"]([^'"]+)['"]""", 1)
+    # A tag's attributes as (name, value), quoted or not; the first of a name counts.
+    read = lambda tag: F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.struct(
+        F.lower(F.regexp_extract(a, _ATTRIBUTE, 1)).alias("name"), F.trim(F.regexp_replace(F.regexp_extract(a, _ATTRIBUTE, 2), _QUOTES, "")).alias("value")))
+    value = lambda attrs, name: F.coalesce(F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"], F.lit(""))
     tags = F.regexp_extract_all(html if head_chars is None else F.left(html, F.lit(head_chars)), F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
-    declared = F.filter(tags, lambda t: t.rlike(r"""(?i)rel\s*=\s*['"]?[^'">]*alternate""")
-                        & F.lower(attr(t, "type")).isin(FEED_TYPES) & (attr(t, "href") != ""))
-    hrefs = F.transform(declared, lambda t: decode_href(attr(t, "href")))
+    links = F.transform(tags, lambda t: let(read(t), lambda attrs: F.struct(
+        *[value(attrs, name).alias(name) for name in ("rel", "type", "href")])))
+    declared = F.filter(links, lambda k: F.array_contains(F.split(F.lower(k["rel"]), r"\s+"), "alternate")
+                        & F.lower(k["type"]).isin(FEED_TYPES) & (k["href"] != ""))
+    hrefs = F.transform(declared, lambda k: decode_href(k["href"]))
     return pages.withColumn(out, first_resolved_udf(F.when(F.size(hrefs) > 0, hrefs), F.col(base)))
 
 

@@ -129,3 +129,15 @@ def test_any_markup_nests(pieces):
         if row["parent_id"] >= 0:
             parent = rows[row["parent_id"]]
             assert parent["start"] < row["start"] and row["end"] <= parent["end"]
+
+
+def test_declared_feeds_in_any_spelling(spark):
+    from feedloom.operators.discover import with_feed_link
+
+    rss = "application/rss+xml"
+    pages = {1: f'<link rel=alternate type={rss} href=/a.xml>', 2: f"<LINK HREF='/b?x&#38;y&amp;z' TYPE='{rss}' REL='home Alternate'>",
+             3: f'<link rel="alternate stylesheet" type="text/css" href="/c"><link rel="alternate" type="{rss}" href="">', 4: f'<link rel="alternatex" type="{rss}" href="/d">',
+             5: f'<link title="type=x" rel="alternate" type="{rss}" href="&#x2f;e" href="/no">', 6: "", 7: None}
+    table = spark.createDataFrame([(k, "https://h.example/p", v) for k, v in pages.items()], "page_id bigint, url string, html string")
+    got = {r.page_id: r.feed_url for r in with_feed_link(table).collect()}
+    assert got == {1: "https://h.example/a.xml", 2: "https://h.example/b?x&y&z", 3: None, 4: None, 5: "https://h.example/&#x2f;e", 6: None, 7: None}
