@@ -5,26 +5,46 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions.text import blank_to_null, utf16_left
 from feedloom.operators.joins import join_checked
-from feedloom.operators.ranking import salts_for
 from feedloom.schemas import FEED_TITLE_CAP, FOLDER_CAP
+from feedloom.session import stored
 
 
-def _next_mark(waiting: DataFrame, marks: DataFrame, keys: list[str], salts: int) -> DataFrame:
+SLICE_SECONDS, SLICE_ROWS = 3_600, 100_000
+
+
+def _next_mark(waiting: DataFrame, marks: DataFrame, keys: list[str], slice_seconds: int = SLICE_SECONDS,
+               slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For every (item_id, since) the first mark after ``since`` under the same keys. Both are (time, action id) pairs.
 
-    Items are cut into salts and marks copied to each, so neither a hot feed nor a mark over everything makes one
-    large sort. ``marks`` are mark-all actions, few against the items.
+    Time is cut into slices. An item finds its mark in its own slice, or takes the first mark of the later ones, which one
+    row per (keys, slice) tells. Marks therefore go to slices that hold waiting items only, once each; a slice of more than
+    ``slice_rows`` items is cut further by item, and only its own marks are copied to its cuts.
     """
-    items = waiting.select(*keys, "item_id", F.col("since").alias("at"),
-                           F.lit(None).cast("struct<ts:timestamp,action_id:bigint>").alias("mark"),
-                           F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("salt"))
-    copies = marks.select(*keys, F.lit(None).cast("bigint").alias("item_id"), F.col("seq").alias("at"),
-                          F.col("seq").alias("mark"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    latest_first = Window.partitionBy(*keys, "salt").orderBy(F.col("at").desc(), F.col("mark").desc_nulls_last())
-    seen = latest_first.rowsBetween(Window.unboundedPreceding, 0)
-    found = items.unionByName(copies.withColumn("salt", F.col("salt").cast("bigint"))).withColumn(
-        "next", F.last("mark", ignorenulls=True).over(seen))
-    return found.filter("item_id is not null and next is not null").select("item_id", "next")
+    no_time = F.lit(-(1 << 62))
+    cut = lambda at: F.coalesce(F.floor(F.unix_seconds(at["ts"]) / slice_seconds), no_time).alias("slice")
+    at = [*keys, "slice"]
+    items = waiting.select(*keys, "item_id", "since", cut(F.col("since")))
+    given = marks.select(*keys, "seq", cut(F.col("seq")))
+    held = items.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("cuts"))
+    firsts = given.groupBy(*at).agg(F.min("seq").alias("first"))
+    behind = Window.partitionBy(*keys).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    slices = held.join(firsts, at, "full").withColumn("later", F.min("first").over(behind)).filter(
+        "cuts is not null and (first is not null or later is not null)")
+    # Written once: items and marks both meet these rows, which are few.
+    slices = stored(slices.select(*at, "cuts", "later", F.col("first").isNotNull().alias("marked")))
+    sited = items.join(slices, at)
+    waits = sited.filter("marked").select(*at, F.pmod(F.xxhash64("item_id"), "cuts").alias("cut"), "item_id", "later",
+                                          F.col("since").alias("at"), F.lit(None).cast(given.schema["seq"].dataType).alias("mark"))
+    copies = given.join(slices.filter("marked").drop("later", "marked"), at).select(
+        *at, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut"),
+        F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
+        F.lit(None).cast(given.schema["seq"].dataType).alias("later"), F.col("seq").alias("at"), F.col("seq").alias("mark"))
+    latest_first = Window.partitionBy(*at, "cut").orderBy(F.col("at").desc(), F.col("mark").desc_nulls_last())
+    seen = F.last("mark", ignorenulls=True).over(latest_first.rowsBetween(Window.unboundedPreceding, 0))
+    # Dealt by the cut as well, or the join's dealing by slice would stand and a hot slice stay whole.
+    found = waits.unionByName(copies).repartition(*at, "cut").withColumn("next", F.coalesce(seen, "later"))
+    return found.filter("item_id is not null").select("item_id", "next").unionByName(
+        sited.filter("not marked").select("item_id", F.col("later").alias("next"))).filter("next is not null")
 
 
 def mark_all_scopes(actions: DataFrame, feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,9 +86,7 @@ def apply_actions(items: DataFrame, actions: DataFrame, feeds: DataFrame, arrive
     waiting = state.filter(((F.col("is_read") == 0) | F.col("unread_at").isNotNull()) & F.col("stamp").isNull()).select(
         "item_id", "feed_id", since.alias("since"))
     by_feed, by_all = mark_all_scopes(actions, feeds)
-    salts = salts_for(items)
-    marked = _next_mark(waiting, by_feed, ["feed_id"], salts).unionByName(
-        _next_mark(waiting, by_all, [], 8 * salts)).groupBy("item_id").agg(F.min("next.ts").alias("marked_at"))
+    marked = _next_mark(waiting, by_feed, ["feed_id"]).unionByName(_next_mark(waiting, by_all, [])).groupBy("item_id").agg(F.min("next.ts").alias("marked_at"))
 
     first = F.least(F.col("first_read.ts"), F.col("marked_at"))
     stays = (F.col("is_read") == 1) & F.col("unread_at").isNull()

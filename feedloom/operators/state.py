@@ -1,12 +1,11 @@
 """Feed health: the state after a poll, failure streaks, scrape decay, run statistics."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from feedloom.functions.text import let
 from feedloom.schemas import POLL_INTERVAL_MIN, RUNS, SCRAPE_DECAY_FLOOR, SCRAPE_DECAY_RATIO
+from feedloom.session import stored
 
 
 def is_decayed(kind: Column, before: Column, found: Column) -> Column:
@@ -128,85 +127,108 @@ def error_streaks(polls: DataFrame, chunk: str = "day") -> DataFrame:
 
 # The last healthy count is a fold: a poll either keeps the count before it (decay) or replaces it. Seen as a function
 # of the count before, one poll finding n keeps counts above max(2n, 3) and maps the rest to n. Chaining such functions
-# gives a step function with the identity on top; the steps left standing more than double each time, so a whole day
-# shrinks to a few dozen numbers, days chain cheaply, and each day is then replayed from its own starting count.
-
-def _step(steps: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Chain one poll onto ``steps``: (upper bound of the count before, count after), ascending."""
-    limit = max(int(n / SCRAPE_DECAY_RATIO), SCRAPE_DECAY_FLOOR - 1)
-    mapped = [(upper, value if value > limit else n) for upper, value in steps]
-    if not steps or steps[-1][0] < limit:
-        mapped.append((limit, n))
-    return [s for i, s in enumerate(mapped) if i + 1 == len(mapped) or mapped[i + 1][1] != s[1]]
-
-
-def _apply(steps: list[tuple[int, int]], count: int) -> int:
-    return next((value for upper, value in steps if count <= upper), count)
-
-
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (feed, day, time) in, one row of steps per (feed, day) out."""
-    key, steps = None, []
-
-    def closed() -> tuple:
-        return (*key, [u for u, _ in steps], [v for _, v in steps])
-
-    for pdf in batches:
-        done = []
-        for feed, day, n in zip(pdf["feed_id"], pdf["_day"], pdf["n_items"]):
-            if (feed, day) != key:
-                if key is not None:
-                    done.append(closed())
-                key, steps = (feed, day), []
-            steps = _step(steps, n)
-        yield pd.DataFrame(done, columns=["feed_id", "_day", "_upper", "_value"])
-    if key is not None:
-        yield pd.DataFrame([closed()], columns=["feed_id", "_day", "_upper", "_value"])
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Days sorted by (feed, day) in, the count each day starts from out (-1 for none yet)."""
-    feed_now, count = None, -1
-    for pdf in batches:
-        starts = []
-        for feed, upper, value in zip(pdf["feed_id"], pdf["_upper"], pdf["_value"]):
-            if feed != feed_now:
-                feed_now, count = feed, -1
-            starts.append(count)
-            count = _apply(list(zip(upper, value)), count)
-        yield pdf[["feed_id", "_day"]].assign(_start=starts)
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (feed, day, time) with their day's start in, the count before each row out."""
-    key, count = None, -1
-    for pdf in batches:
-        before = []
-        for feed, day, n, start in zip(pdf["feed_id"], pdf["_day"], pdf["n_items"], pdf["_start"]):
-            if (feed, day) != key:
-                key, count = (feed, day), start
-            before.append(count)
-            if not (count >= SCRAPE_DECAY_FLOOR and n < count * SCRAPE_DECAY_RATIO):
-                count = n
-        yield pdf[["poll_id", "feed_id", "n_items"]].assign(before=before)
+# gives a step function with the identity on top; the steps left standing more than double each time, so any run of polls
+# shrinks to a few dozen numbers. Runs chain to greater runs, and starting counts are handed back down to the polls.
+
+_STEPS = "array<struct<upper:bigint,value:bigint>>"
+_RUN = 256
+
+
+def _after(steps: Column, count: Column) -> Column:
+    """The count after ``steps``, (upper bound of the count before, count after) ascending; -1 stands for none yet."""
+    return F.coalesce(F.get(F.filter(steps, lambda s: count <= s["upper"]), F.lit(0))["value"], count)
+
+
+def _top(steps: Column) -> Column:
+    return F.coalesce(F.get(steps, F.size(steps) - 1)["upper"], F.lit(-2).cast("bigint"))
+
+
+def _merged(steps: Column) -> Column:
+    """Of neighbours with one value the upper one stands for both."""
+    return let(steps, lambda c: F.filter(
+        c, lambda s, i: (i + 1 == F.size(c)) | (F.get(c, i + 1)["value"] != s["value"])))
+
+
+def _joined(first: Column, then: Column) -> Column:
+    """``first``, then ``then``, as one list of steps."""
+    mapped = F.transform(first, lambda s: F.struct(s["upper"].alias("upper"), _after(then, s["value"]).alias("value")))
+    return _merged(F.concat(mapped, F.filter(then, lambda s: s["upper"] > _top(first))))
+
+
+def _folded(parts: Column) -> Column:
+    """A list of step lists as one."""
+    return F.aggregate(parts, F.array().cast(_STEPS), _joined)
+
+
+def _starts(parts: Column, start: Column) -> Column:
+    """The count before each of a list of step lists (and, last, the one after all)."""
+    return F.aggregate(parts, F.array(start), lambda seen, p: F.concat(seen, F.array(_after(p, F.element_at(seen, -1)))))
+
+
+def _polled(polls: Column) -> Column:
+    """A poll's count and the greatest count before it that it replaces."""
+    return F.transform(polls, lambda p: F.struct(p["n_items"].cast("bigint").alias("value"), F.greatest(
+        F.floor(p["n_items"] / SCRAPE_DECAY_RATIO), F.lit(SCRAPE_DECAY_FLOOR - 1)).cast("bigint").alias("upper")))
+
+
+def _run_steps(polls: Column) -> Column:
+    """The steps of a run of polls, one after the other."""
+    def chain(steps: Column, p: Column) -> Column:
+        mapped = F.transform(steps, lambda s: F.struct(
+            s["upper"].alias("upper"), F.when(s["value"] > p["upper"], s["value"]).otherwise(p["value"]).alias("value")))
+        more = F.when(_top(steps) < p["upper"], F.array(F.struct(p["upper"].alias("upper"), p["value"].alias("value"))))
+        return _merged(F.concat(mapped, F.coalesce(more, F.array().cast(_STEPS))))
+    return F.aggregate(_polled(polls), F.array().cast(_STEPS), chain)
+
+
+def _run_counts(polls: Column, start: Column) -> Column:
+    """The count before each poll of a run, and the one after it."""
+    return F.aggregate(_polled(polls), F.array(start), lambda seen, p: let(F.element_at(seen, -1), lambda c: F.concat(
+        seen, F.array(F.when(c > p["upper"], c).otherwise(p["value"])))))
+
+
+def _with_start(runs: DataFrame, levels: int = 2) -> DataFrame:
+    """``feed_id, run, start`` for ``feed_id, run, steps``, runs numbered from 0 in time order.
+
+    256 neighbours make a run of the next level, whose start is settled first. A feed's last list holds one entry for
+    each 65,536 runs.
+    """
+    into = F.floor(F.col("run") / _RUN) if levels else F.lit(0).cast("bigint")
+    lists = runs.groupBy("feed_id", into.alias("up")).agg(F.array_sort(F.collect_list(F.struct("run", "steps"))).alias("parts"))
+    if levels:
+        whole = lists.select("feed_id", F.col("up").alias("run"), _folded(F.col("parts.steps")).alias("steps"))
+        above = _with_start(whole, levels - 1).withColumnsRenamed({"run": "up", "start": "begin"})
+        lists = lists.join(above, ["feed_id", "up"])
+    else:
+        lists = lists.withColumn("begin", F.lit(-1).cast("bigint"))
+    each = lists.select("feed_id", F.explode(F.arrays_zip(F.col("parts.run").alias("run"), F.slice(
+        _starts(F.col("parts.steps"), F.col("begin")), F.lit(1), F.size("parts")).alias("start"))).alias("r"))
+    return each.select("feed_id", "r.run", "r.start")
 
 
 def scrape_decay(polls: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     """Every answered scrape poll with the last healthy count before it and whether it had decayed.
 
-    Partitions are sorted and streamed through Python in Arrow batches, so no feed or day is held as a group.
+    Polls are numbered inside (feed, day) and cut into runs of at most 256, so no feed or day is held as a group; a
+    window over the feeds' runs numbers these. Polls without a count are left out.
     """
-    order = ["feed_id", "_day", "polled_at", "poll_id"]
-    answered = polls.filter("status = 'ok'").select(
+    answered = polls.filter("status = 'ok' and n_items is not null").select(
         "poll_id", "feed_id", "polled_at", "n_items",
-        F.floor(F.unix_seconds("polled_at") / chunk_seconds).alias("_day"))
-    lined_up = answered.repartition("feed_id", "_day").sortWithinPartitions(*order)
-    key = "feed_id bigint, _day bigint"
-    days = lined_up.select("feed_id", "_day", "n_items").mapInPandas(
-        _summarise, f"{key}, _upper array<bigint>, _value array<bigint>")
-    starts = days.repartition("feed_id").sortWithinPartitions("feed_id", "_day").mapInPandas(
-        _chain, f"{key}, _start bigint")
-    replayed = answered.join(starts, ["feed_id", "_day"]).repartition("feed_id", "_day").sortWithinPartitions(
-        *order).drop("polled_at").mapInPandas(_replay, "poll_id bigint, feed_id bigint, n_items int, before bigint")
+        F.floor(F.unix_seconds("polled_at") / chunk_seconds).alias("day"))
+    within = Window.partitionBy("feed_id", "day").orderBy("polled_at", "poll_id")
+    cut = answered.withColumn("part", F.floor((F.row_number().over(within) - 1) / _RUN))
+    held = cut.groupBy("feed_id", "day", "part").agg(
+        F.array_sort(F.collect_list(F.struct("polled_at", "poll_id", "n_items"))).alias("polls"))
+    in_time = Window.partitionBy("feed_id").orderBy("day", "part")
+    # Written once: every level above and the way back down read it.
+    runs = stored(held.withColumn("steps", _run_steps(F.col("polls"))))
+    numbered = runs.select("feed_id", "day", "part", "steps", (F.row_number().over(in_time) - 1).cast("bigint").alias("run"))
+    starts = numbered.select("feed_id", "day", "part", "run").join(_with_start(
+        numbered.select("feed_id", "run", "steps")), ["feed_id", "run"]).select("feed_id", "day", "part", "start")
+    before = _run_counts(F.col("polls"), F.col("start"))
+    rows = runs.drop("steps").join(starts, ["feed_id", "day", "part"]).select("feed_id", F.inline(F.arrays_zip(
+        F.col("polls.poll_id").alias("poll_id"), F.col("polls.n_items").alias("n_items"),
+        F.slice(before, F.lit(1), F.size("polls")).alias("before"))))
     decayed = (F.col("before") >= SCRAPE_DECAY_FLOOR) & (F.col("n_items") < F.col("before") * SCRAPE_DECAY_RATIO)
-    return replayed.withColumn("decayed", decayed).withColumn("before", F.when(F.col("before") >= 0, F.col("before")))
+    return rows.select("poll_id", "feed_id", "n_items", F.when(F.col("before") >= 0, F.col("before")).alias("before"),
+                       decayed.alias("decayed"))

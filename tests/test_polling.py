@@ -130,15 +130,66 @@ def test_feed_state(spark):
     assert run.note == "40 YouTube video(s) still unclassified, carried to the next poll"
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 40), max_size=30), st.integers(-1, 60))
-def test_chained_decay_steps_equal_the_fold(counts, start):
-    steps, fold = [], start
-    for n in counts:
-        steps = state._step(steps, n)
-        fold = fold if fold >= 4 and n < fold * 0.5 else n
-    assert state._apply(steps, start) == fold
-    assert len(steps) < 10
+def test_chained_decay_steps_equal_the_fold(spark):
+    rng = random.Random(8)
+    cases = [([rng.randrange(rng.choice([6, 41])) for _ in range(rng.randrange(31))], rng.randrange(-1, 61)) for _ in range(300)]
+    rows = spark.createDataFrame([(k, [(n,) for n in counts], start) for k, (counts, start) in enumerate(cases)],
+                                 "k int, polls array<struct<n_items:int>>, start bigint")
+    halves = [state._run_steps(F.slice("polls", *cut)) for cut in ((F.lit(1), F.lit(9)), (F.lit(10), F.lit(30)))]
+    got = rows.select("k", state._run_counts(F.col("polls"), F.col("start")).alias("counts"),
+                      state._run_steps(F.col("polls")).alias("steps"),
+                      state._folded(F.array(*halves)).alias("joined"), "start").withColumn(
+        "after", state._after(F.col("joined"), F.col("start"))).collect()
+    for r in got:
+        counts, fold = cases[r.k]
+        folds = [fold]
+        for n in counts:
+            fold = fold if fold >= 4 and n < fold * 0.5 else n
+            folds.append(fold)
+        assert r.counts == folds and r.after == fold
+        assert r.joined == r.steps and len(r.steps) < 10
+
+
+def test_decay_across_runs_of_polls(spark):
+    """More polls a day than a run holds, several feeds, ties of time, runs beyond one level."""
+    rng = random.Random(5)
+    log = [(i, rng.choice([1, 1, 1, 2, 3]), T0 + dt.timedelta(minutes=i // 3), "ok", rng.choice([None, *range(60)]))
+           for i in range(4000)]
+    polls = spark.createDataFrame(log, "poll_id bigint, feed_id bigint, polled_at timestamp, status string, n_items int")
+    count, folds = {}, {}
+    for i, f, _, _, n in log:
+        if n is not None:
+            before = count.get(f)
+            decayed = before is not None and before >= 4 and n < before * 0.5
+            folds[i] = (before, bool(decayed) if before is not None else None)
+            count[f] = before if decayed else n
+    decays = state.scrape_decay(polls, chunk_seconds=20_000)
+    assert {r.poll_id: r.before for r in decays.collect()} == {i: b for i, (b, _) in folds.items()}
+    assert {r.poll_id: bool(r.decayed) for r in decays.collect()} == {i: bool(d) for i, (_, d) in folds.items()}
+    assert "InPandas" not in decays._jdf.queryExecution().toString()
+    assert state.scrape_decay(polls.limit(0)).count() == 0
+
+
+def test_marks_reach_items_after_them_whatever_the_slices(spark):
+    """Next marks by slices of time against a search of all marks: hot slices, ties, items without a time."""
+    rng = random.Random(11)
+    at = lambda: rng.choice([T0 + dt.timedelta(seconds=rng.randrange(40_000)), T0 + dt.timedelta(seconds=5000)])
+    waiting = [(i, rng.randrange(4), (at() if rng.random() > .02 else None, rng.randrange(50))) for i in range(900)]
+    marks = [(rng.randrange(4), (at(), 100 + i)) for i in range(60)]
+    seq = "struct<ts:timestamp,action_id:bigint>"
+    items = spark.createDataFrame(waiting, f"item_id bigint, feed_id bigint, since {seq}")
+    given = spark.createDataFrame(marks, f"feed_id bigint, seq {seq}")
+    low = dt.datetime(1, 1, 1)
+    key = lambda p: (p[0] or low, p[1])
+    for keys in (["feed_id"], []):
+        want = {}
+        for i, f, since in waiting:
+            later = [m for g, m in marks if (not keys or g == f) and key(m) > key(since)]
+            if later:
+                want[i] = min(later)
+        for rows in (7, 100_000):
+            got = actions._next_mark(items, given, keys, slice_seconds=3600, slice_rows=rows).collect()
+            assert len(got) == len(want) and {r.item_id: (r.next.ts, r.next.action_id) for r in got} == want
 
 
 def test_streaks_and_decay_over_days(spark):
