@@ -63,6 +63,25 @@ def origin(url: Column) -> Column:
     return blank_to_null(F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#\\]+)", 1)))
 
 
+def _joined(base: str, text: str) -> str:
+    """As ``urljoin``, which drops empty segments of paths it joins; here they stay."""
+    if re.match(r"[^:/?#]+(?:[/?#]|$)", text):
+        place = re.match(r"(?i)https?://[^/?#]*([^?#]*/)?", base)
+        return (place[0] if place[1] else place[0] + "/") + text if place else urljoin(base, text)
+    return base[:base.index("://") + 3] + re.match(r"[^/?#]*", base.split("://", 1)[1])[0] + text if (
+        re.match(r"/(?!/)", text) and re.match(r"(?i)https?://", base)) else urljoin(base, text)
+
+
+def _without_dots(path: str) -> str:
+    kept: list[str] = []
+    for part in path.split("/")[1:]:
+        if part == "..":
+            del kept[-1:]
+        elif part != ".":
+            kept.append(part)
+    return "/" + "/".join(kept + [""] * path.endswith(("/.", "/..")))
+
+
 def resolve(href: str | None, base: str | None) -> str | None:
     """``href`` against ``base``, spelt as a browser would spell it; null where either is no address."""
     if href is None or base is None:
@@ -76,7 +95,7 @@ def resolve(href: str | None, base: str | None) -> str | None:
     if scheme:
         text = f"{scheme[1].lower()}://" + text[scheme.end():].lstrip("/")
     try:
-        parts = urlsplit(urljoin(base, text))
+        parts = urlsplit(_joined(base, text))
         host = (parts.hostname or "").encode("idna").decode() if not (parts.hostname or "").isascii() else parts.hostname
         if parts.scheme not in ("http", "https") or not host or re.search(r"[\s<>^|%\\]", host):
             return None
@@ -91,7 +110,7 @@ def resolve(href: str | None, base: str | None) -> str | None:
     netloc = (login + "@" if login else "") + host + (f":{port}" if port not in (None, default) else "")
     return urlunsplit((
         parts.scheme, netloc,
-        quote(parts.path or "/", safe="/%:@!$&'()*+,;=~[]|^\\"),
+        quote(_without_dots(parts.path or "/"), safe="/%:@!$&'()*+,;=~[]|^\\"),
         quote(parts.query, safe="/%:@!$&()*+,;=~[]|^\\?`{}"),
         quote(parts.fragment, safe="/%:@!$&'()*+,;=~[]|^\\?#{}"),
     ))
@@ -106,18 +125,42 @@ def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
 resolve_url_udf = resolve_url.asNondeterministic()
 
 
-# Characters that stand for themselves in every part of an address.
+# Characters that stand for themselves in every part of an address, and hosts that need no respelling.
 _PLAIN = r"A-Za-z0-9_.~%:@!$&()*+,;=/\-"
 _REST = rf"(?:\?[{_PLAIN}?]+)?(?:#[{_PLAIN}?']+)?$"
-_ABSOLUTE = rf"^https?://[a-z0-9.-]+/[{_PLAIN}']*{_REST}"
-_ROOTED = rf"^(?!//)(?![^?#]*/\.\.?(?:[/?#]|$))/[{_PLAIN.replace(';', '')}']*{_REST}"
+_HOST = r"(?:[a-z0-9.-]+|\[::[1-9a-f][0-9a-f]{0,3}\])"
+_ADDRESS = rf"^(https?://{_HOST})(/[{_PLAIN}']*)({_REST[:-1]})$"
+_PLACE = rf"^(https?://{_HOST})([/?#].*)?$"
+_PATH = rf"^[{_PLAIN}']*{_REST}"
+
+
+def without_dots(path: Column) -> Column:
+    """A path that opens with a slash without its ``.`` and ``..`` segments; empty segments stay."""
+    parts = F.split(path, "/")
+    walk = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), lambda kept, part: (
+        F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))))
+    # A path that ends in such a segment names a folder.
+    kept = F.when(path.rlike(r"/\.\.?$"), F.concat(walk, F.array(F.lit("")))).otherwise(walk)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
 def plain_link(href: Column, base: Column) -> Column:
-    """``href`` against ``base`` where that needs no respelling: an absolute address, or a path from the root of a plain
-    host. Null for all other links."""
-    host = F.regexp_extract(base, r"^(https?://[a-z0-9.-]+)(?:[/?#]|$)", 1)
-    return F.when(base.isNotNull() & href.rlike(_ABSOLUTE), href).when((host != "") & href.rlike(_ROOTED), F.concat(host, href))
+    """``href`` against ``base`` where no character needs respelling: an absolute address, or a host, path from the root,
+    path from the page or query on a plain host. Null for all other links."""
+    site = F.regexp_extract(base, _PLACE, 1)
+    behind = F.regexp_extract(F.regexp_extract(base, _PLACE, 2), r"^[^?#]*", 0)
+    path = F.when(behind == "", "/").otherwise(behind)
+    usable = base.isNotNull() & (site != "")
+    # A path whose first segment holds a colon would read as a scheme.
+    full = (F.when(base.isNotNull() & href.rlike("^https?://"), href)
+            .when(usable & href.startswith("//"), F.concat(F.regexp_extract(base, "^https?:", 0), href))
+            .when(usable & href.startswith("?") & href.rlike(_PATH), F.concat(site, path, href))
+            .when(usable & href.startswith("/") & href.rlike(_PATH), F.concat(site, href))
+            .when(usable & href.rlike(_PATH) & href.rlike(r"^[^:/?#]+(?:[/?#]|$)"),
+                  F.concat(site, F.regexp_extract(path, "^.*/", 0), href)))
+    part = lambda c, n: F.regexp_extract(c, _ADDRESS, n)
+    return let(full, lambda c: F.when(c.rlike(_ADDRESS), F.concat(part(c, 1), without_dots(part(c, 2)), part(c, 3))))
 
 
 def with_absolute_link(df: DataFrame, href: Column, base: Column, out: str = "url") -> DataFrame:

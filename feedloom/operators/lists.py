@@ -49,19 +49,23 @@ def with_feed(items: DataFrame, feeds: DataFrame, *more: str) -> DataFrame:
 def list_items(items: DataFrame, feeds: DataFrame, view: View = "unread", feed_id: int | None = None,
                folder: str | None = None, page: int = 0, after: tuple | None = None,
                page_size: int = PAGE_SIZE) -> DataFrame:
-    """One page of the list.
+    """One page of the list. Building it starts no job.
 
-    The page is chosen from the key columns alone; its ids (at most ``page_size``) then go back as an IN list, which
-    reaches the scan, so article bodies are read for the page and not for the table. ``after=(sort_time, item_id)``
-    asks for the rows behind a known row, which stays cheap where a deep offset does not.
+    The page is chosen from the key columns alone; its ids (at most ``page_size``) then go back to the table when the
+    query runs, their bounds as a filter that reaches the scan, so article bodies are read for the page and not for the
+    table. ``after=(sort_time, item_id)`` asks for the rows behind a known row, which stays cheap where a deep offset
+    does not.
     """
     keys = in_scope(in_view(items, view), feeds, feed_id, folder).select("item_id", "published_at", "fetched_at")
     if after is not None:
         ts, item_id = F.lit(after[0]).cast("timestamp"), after[1]
         keys = keys.filter((sort_time() < ts) | ((sort_time() == ts) & (F.col("item_id") < item_id)))
-    ranked = keys.orderBy(*newest_first()).offset(page * page_size).limit(page_size)
-    ids = [row.item_id for row in ranked.select("item_id").collect()]
-    chosen = items.filter(F.col("item_id").isin(ids) if ids else F.lit(False))
+    ids = keys.orderBy(*newest_first()).offset(page * page_size).limit(page_size).select("item_id")
+    # As rows, not as aggregates: Spark would merge two of these into one pair, which does not reach the scan.
+    least, greatest = (ids.orderBy(by).limit(1).scalar() for by in (F.col("item_id").asc(), F.col("item_id").desc()))
+    span = items.filter((F.col("item_id") >= least) & (F.col("item_id") <= greatest))
+    # A page's ids are bounded by its size.
+    chosen = span.join(F.broadcast(ids), "item_id", "left_semi")
     return with_feed(chosen, feeds).orderBy(*newest_first()).limit(page_size)
 
 

@@ -103,6 +103,22 @@ def test_plain_links_are_what_the_resolver_says(spark):
     assert [(r["href"], r["base"], r["plain"]) for r in got if resolve(r["href"], r["base"]) != r["plain"]] == []
 
 
+@pytest.mark.parametrize("href, base, want", [
+    ("../a", "http://h.example/d/e/f", "http://h.example/d/a"), ("a//../b", "http://h.example/d/e", "http://h.example/d/a/b"),
+    ("..", "http://h.example/d/e/f", "http://h.example/d/"), (".", "http://h.example/d/e", "http://h.example/d/"),
+    ("?q=1", "http://h.example/d/e?z#y", "http://h.example/d/e?q=1"), (";x", "http://h.example/d/e", "http://h.example/d/;x"),
+    ("x", "http://h.example", "http://h.example/x"), ("x?a=../b", "http://h.example/q/", "http://h.example/q/x?a=../b"),
+    ("http://o.example/a/../b", "http://h.example/", "http://o.example/b"), ("/a/b/..", "http://h.example/", "http://h.example/a/"),
+    ("../../../x", "http://h.example/a", "http://h.example/x"), ("z", "http://[::1]/a/b", "http://[::1]/a/z"),
+    ("./a:b", "http://h.example/", "http://h.example/a:b"), ("/x;y=1", "http://h.example/", "http://h.example/x;y=1"),
+    ("x", "http://h.example?to=a/b", "http://h.example/x")])
+def test_links_put_together_in_columns(spark, href, base, want):
+    from feedloom.functions.urls import plain_link, resolve
+
+    row = spark.createDataFrame([(href, base)], "href string, base string")
+    assert row.select(plain_link(F.col("href"), F.col("base")).alias("u")).first().u == want == resolve(href, base)
+
+
 def test_subscription_lists_of_any_depth(spark):
     import time
 
