@@ -51,13 +51,42 @@ def candidate_blocks(nodes: DataFrame) -> DataFrame:
     return chosen.groupBy("page_id", "item").agg(F.min(place).alias("place"), F.min_by("model", place).alias("model"))
 
 
+def within_blocks(elements: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every element once for each block whose model it starts inside of, with the block's columns.
+
+    A sweep over a page: models open and close, and a running sum tells how many are open at an element. Extents nest, so
+    the open model of depth d is the last one of that depth that opened. A row per element and open block is all that is
+    made; no element meets a block it lies outside of.
+    """
+    parts = [c for c in elements.columns if c != "page_id"]
+    given = [c for c in blocks.columns if c != "page_id"]
+    # At one place a model closes before an element is looked at, and opens after the element it is.
+    closes, looks, opens = F.lit(0), F.lit(1), F.lit(2)
+    no_element = F.lit(None).cast(elements.select(F.struct(*parts).alias("e")).schema["e"].dataType)
+    no_block = F.lit(None).cast(blocks.select(F.struct(*given).alias("b")).schema["b"].dataType)
+    edge = lambda kind, at, step: F.struct(kind.alias("kind"), F.col(at).alias("at"), F.lit(step).alias("step"))
+    edges = blocks.select("page_id", F.struct(*given).alias("block"), F.explode(F.array(
+        edge(opens, "model.start", 1), edge(closes, "model.end", -1))).alias("edge")).select(
+        "page_id", "edge.*", no_element.alias("element"), F.when(F.col("edge.step") == 1, F.col("block")).alias("block"))
+    looked = elements.select("page_id", looks.alias("kind"), F.col("start").alias("at"), F.lit(0).alias("step"),
+                             F.struct(*parts).alias("element"), no_block.alias("block"))
+    sweep = Window.partitionBy("page_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = looked.unionByName(edges).withColumn("open", F.sum("step").over(sweep).cast("int")).filter(
+        (F.col("open") > 0) & (F.col("kind") != closes))
+    depths = F.when(F.col("kind") == opens, F.array("open")).otherwise(F.sequence(F.lit(1), F.col("open")))
+    level = Window.partitionBy("page_id", "depth").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    handed = met.withColumn("depth", F.explode(depths)).withColumn("block", F.last("block", ignorenulls=True).over(level))
+    return handed.filter(F.col("kind") == looks).select("page_id", "element.*", "block.*")
+
+
 def suggested_rules(nodes: DataFrame) -> DataFrame:
     """``page_id, rule_id, rule, place``: a rule per candidate, filled in from its model's descendants."""
     blocks = candidate_blocks(nodes).withColumn("rule_id", F.col("place.node_id"))
-    slim = nodes.filter("error is null").select("page_id", "tag", "classes", "attrs", "start", "end", "text", "text_len")
-    wanted = slim.filter(F.col("tag").isin(*HEADINGS, "a", "time", "p") | (F.size("classes") > 0))
-    inside = wanted.join(blocks, "page_id").filter(
-        (F.col("start") > F.col("model.start")) & (F.col("start") < F.col("model.end")))
+    useful = nodes.filter("error is null").filter(F.col("tag").isin(*HEADINGS, "a", "time", "p") | (F.size("classes") > 0))
+    # Of texts the first character counts, of classes the first, of attributes the link.
+    slim = useful.select("page_id", "tag", F.slice("classes", 1, 1).alias("classes"), F.map_filter(
+        "attrs", lambda name, _: name == "href").alias("attrs"), "start", "end", F.left("text", F.lit(1)).alias("text"), "text_len")
+    inside = within_blocks(slim, blocks)
     key = ["page_id", "rule_id"]
     model = Window.partitionBy(*key)
     extent = lambda *more: F.struct("start", "end", *more)

@@ -1,5 +1,6 @@
 """Pages: elements, selectors, extraction, suggestion, hostile markup."""
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.markup import scan
 from feedloom.operators import html, suggest
+from feedloom.session import stored
 
 BASE = "https://site.example/list/"
 PAGE = """<!doctype html><title>List</title><script>let s = "<div class='row'><a href='/no'>no</a></div>";</script>
@@ -107,6 +109,41 @@ def test_suggestions(spark):
     assert reasons[0] is None and "nothing on the page" in reasons[3] and "nothing on the page" in reasons[4]
 
 
+def test_elements_meet_the_blocks_they_lie_in(spark):
+    """The sweep against a search of all blocks: nested and adjoining extents on several pages."""
+    rng = random.Random(4)
+    elements, blocks = [], []
+    for page in range(6):
+        clock = 0
+
+        def grow(depth):
+            nonlocal clock
+            start, clock = clock, clock + 1
+            while depth < 6 and rng.random() < 0.6:
+                grow(depth + 1)
+            # Ends may coincide, as an element that closes its parent does.
+            clock += rng.random() < 0.5
+            elements.append((page, start, max(clock, start + 1)))
+            clock = max(clock, start + 1)
+
+        for _ in range(12):
+            grow(0)
+        blocks += [(p, 1000 + k, (s, e)) for k, (p, s, e) in enumerate(elements) if p == page and rng.random() < (page > 0) * 0.4]
+    els = spark.createDataFrame(elements, "page_id int, start int, end int")
+    bls = spark.createDataFrame(blocks, "page_id int, rule_id int, model struct<start:int,end:int>")
+    got = sorted((r.page_id, r.start, r.rule_id) for r in suggest.within_blocks(els, bls).collect())
+    assert got == sorted((p, s, k) for p, s, _ in elements for q, k, m in blocks if p == q and m[0] < s < m[1]) and len(got) > 50
+
+
+def test_suggestions_on_a_page_of_many_blocks(spark):
+    """5,000 lists of three linked headlines, each a candidate of its own, and the lists themselves one more."""
+    page = "".join(f'<div id="l{k}">' + "".join(f'<div class="c{k}"><h3><a href="/{k}/{i}">Headline {k} number {i}</a></h3></div>' for i in range(3))
+                   + "</div>" for k in range(5_000))
+    nodes = stored(html.html_nodes(table(spark, page)))
+    rules = suggest.suggested_rules(nodes).filter("rule.title = 'h3' and rule.link = 'h3 a'")
+    assert {r.item for r in rules.select("rule.item").collect()} == {f".c{k}" for k in range(5_000)} | {"#l0"}
+
+
 def test_hostile_pages(spark):
     rows = extract(spark, "<p>open " * 6000 + '<div class="c"><h3><a href="/z">&#x110000; &#4294967296; kept</a></h3></div>',
                    item=".c")
