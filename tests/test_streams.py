@@ -69,6 +69,31 @@ def test_silent_feeds_leave_the_state(spark, tmp_path):
     assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 0, 6: 1}
 
 
+def test_health_with_any_state_store(spark, tmp_path):
+    """Feeds of many polls, ids and values missing, in a session that names no state store."""
+    rows = [(i if i % 7 else None, i % 3, T0 + dt.timedelta(minutes=i), "error" if i % 400 < 40 else "ok", None if i % 5 else 9, None, f"e{i}", None)
+            for i in range(3000)]
+    spark.createDataFrame(rows, health.POLLS).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(9999, 7, T0 + dt.timedelta(days=9), "ok", 1, None, None, None)], health.POLLS).write.mode("append").parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        for name, make in (("h", health.feed_health), ("d", health.feeds_due)):
+            stream = spark.readStream.schema(health.POLLS).parquet(f"{tmp_path}/in")
+            out = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/{name}/{n}")
+            make(stream, threshold=2, backoff_minutes=3).writeStream.foreachBatch(out).option(
+                "checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    want, due = plain_health([(i, *r[1:4], r[4] or 0, False, *r[6:]) for i, r in enumerate(rows)], 2, dt.timedelta(minutes=3))
+    got = spark.read.schema(health.HEALTH).parquet(f"{tmp_path}/h/*").orderBy("polled_at").collect()
+    assert [(r.feed_id, r.last_status, r.error_count, r.last_item_count, r.etag, r.last_modified) for r in got] == [want[i] for i in range(3000)]
+    assert [r.poll_id for r in got] == [r[0] for r in rows]
+    got = spark.read.schema(health.HEALTH).parquet(f"{tmp_path}/d/*").collect()
+    assert sorted((r.feed_id, r.due_at) for r in got) == sorted(due) and len(due) > 5
+
+
 def response(i, feed, body, kind="feed", rule=None, status=200):
     ctype = "text/html" if kind == "scrape" else "application/rss+xml"
     return (f"f{i}", feed, f"https://h{feed}.example/list", None, kind, rule, status, None, ctype, None, "e", None,
