@@ -9,6 +9,7 @@ from feedloom.functions.text import WS, blank_to_null, utf16_left, utf16_length
 from feedloom.functions.urls import with_absolute_link
 from feedloom.operators.joins import spread_small
 from feedloom.schemas import HEADINGS, MAX_PAGE_BYTES, MAX_PAGE_ITEMS, MAX_SELECTOR, MAX_SUMMARY, MAX_TITLE, META_CHARS, NODES, RULE
+from feedloom.session import bound_batches
 
 ROLES = ("item", "title", "link", "date", "summary")
 
@@ -21,6 +22,7 @@ READER_LIMITS = {**SCRAPE_LIMITS, "max_bytes": MAX_PAGE_BYTES, "meta_chars": MET
 
 def html_nodes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Every element of every page (``page_id, url, html``). With ``max_bytes`` larger pages become error rows unread."""
+    bound_batches(pages.sparkSession)
     fits = F.lit(True) if max_bytes is None else F.coalesce(F.octet_length("html") <= max_bytes, F.lit(True))
     error = F.when(~fits, "page is over the scrape limit")
     checked = pages.select("page_id", "url", F.when(fits, F.col("html")).alias("html"), error.alias("error"))

@@ -30,6 +30,18 @@ def get_session(app: str = "feedloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+#: Bytes of rows that one Python worker is given at a time.
+PYTHON_BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bodies and pages go to Python in batches of few bytes, whatever number of rows fits; a smaller bound that is set, or one in another unit, stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sql(f"set {key}").first()["value"].rstrip("b")
+    if held.isdigit() and int(held) > PYTHON_BATCH_BYTES:
+        spark.conf.set(key, str(PYTHON_BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)

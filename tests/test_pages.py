@@ -178,3 +178,27 @@ def test_declared_feeds_in_any_spelling(spark):
     table = spark.createDataFrame([(k, "https://h.example/p", v) for k, v in pages.items()], "page_id bigint, url string, html string")
     got = {r.page_id: r.feed_url for r in with_feed_link(table).collect()}
     assert got == {1: "https://h.example/a.xml", 2: "https://h.example/b?x&y&z", 3: None, 4: None, 5: "https://h.example/&#x2f;e", 6: None, 7: None}
+
+
+def test_python_is_given_and_gives_pages_in_small_batches(spark):
+    """Neither a batch of many pages nor a page of many elements is held as Python rows at once."""
+    import pyarrow as pa
+
+    from feedloom.functions.markup import scan_batches
+    from feedloom.operators.html import html_nodes
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        html_nodes(spark.createDataFrame([(1, "u", "<p>")], "page_id bigint, url string, html string"))
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+    pages = 40
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(pages)), "url": ["u"] * pages, "html": ["<b>x</b>" * 500] * pages,
+                                        "error": pa.array([None] * pages, pa.string())})
+    out = list(scan_batches(iter([batch])))
+    assert max(b.num_rows for b in out) <= 2000
+    rows = [r["page_id"] for b in out for r in b.to_pylist()]
+    assert rows == [p for p in range(pages) for _ in range(500)]
