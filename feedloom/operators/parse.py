@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from feedloom.functions.dates import parse_date
 from feedloom.functions.identity import hash_guid, item_guid
 from feedloom.functions.text import WS, blank_to_null
+from feedloom.session import bound_batches
 
 _T = "array<struct<_VALUE:string>>"
 _LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
@@ -229,6 +230,7 @@ def parse_feeds(fetches: DataFrame) -> DataFrame:
     ``fetches`` needs ``body`` (text) and ``content_type``. The strict parser runs first; only bodies it rejects are
     sent to Python, which mends them for a second strict pass, so one scan serves every format and both passes.
     """
+    bound_batches(fetches.sparkSession)
     # A byte order mark is no part of the document.
     fetches = fetches.withColumn("body", F.regexp_replace("body", "^﻿", ""))
     body = F.col("body")

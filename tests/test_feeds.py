@@ -147,3 +147,17 @@ def test_charsets(spark):
         "content_type string, body binary")
     assert [r.body for r in outcome.decode_bodies(rows).collect()] == [
         "Café – ok", '<meta charset="iso-8859-1">né', "日本", "é", "a�b"]
+
+
+def test_bodies_go_to_python_in_small_batches(spark):
+    from feedloom.operators.parse import parse_feeds
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        body = "<rss><channel><item><title>a&nbsp;b</title></item>"
+        got = parse_feeds(spark.createDataFrame([(body, "text/xml")], "body string, content_type string")).first()
+        assert got.parse_mode == "mended" and got.entries[0].title == "a b" and int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
