@@ -189,10 +189,11 @@ class SavedIndex:
         with scratch(self.spark):
             rows = stored(item_terms(items, self.stemmed).select("term", "item_id", (sign * F.col("tf")).alias("tf"), (sign * F.col("dl")).alias("dl")))
             self._put(name, rows, rows.groupBy("term").agg(F.sum(F.lit(sign)).cast("bigint").alias("df")))
-        words = F.concat(*[tokens(F.col(c)) for c in TEXT_COLUMNS])
-        n, held = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(words)), F.lit(0))).first()
+            # Terms are counted in what is written, so that the texts are read and cut into terms once.
+            held = rows.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        n = items.count()
         fields = self.parts.columns
-        parts = [r.asDict() for r in listed if not r["gone"]] + [dict(zip(fields, (name, 0, sign * n, sign * held, step, False)))]
+        parts = [r.asDict() for r in listed if not r["gone"]] + [dict(zip(fields, (name, 0, sign * n, held, step, False)))]
         gone, level = [], 0
         while len(group := [p for p in parts if p["level"] == level]) >= self.fan:
             done = dict(zip(fields, self._merged(group, f"merge-{level + 1}-{number + 1}")))

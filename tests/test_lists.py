@@ -32,3 +32,25 @@ def scanned(plan, column: str) -> int:
         return scanned(getattr(plan, inner)(), column)
     here = plan.metrics().get("numOutputRows").get().value() if "Scan" in plan.nodeName() and f"{column}#" in plan.toString() else 0
     return here + sum(scanned(plan.children().apply(i), column) for i in range(plan.children().size()))
+
+
+def test_a_saved_index_cuts_texts_into_terms_once(spark, tmp_path):
+    """A step reads its texts once; its totals are those of its rows, those without a term too."""
+    from feedloom.operators.search import SavedIndex
+
+    read = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        read.add(1)
+        return None if i == 3 else f"w{i} and and"
+
+    ids = spark.range(1, 6).withColumnRenamed("id", "item_id")
+    columns = {"title": F.lit(None).cast("string"), "author": F.lit(""), "summary": F.lit(" ")}
+    items = ids.withColumn("content", F.udf(text, "string")("item_id")).withColumns(columns)
+    saved = SavedIndex(spark, f"{tmp_path}/index", stemmed=False)
+    saved.add(items, 1)
+    assert read.value == 5
+    assert [(r.n, r.held) for r in saved.live()] == [(5, 12)]
+    saved.remove(items.filter("item_id < 3"), 2)
+    index = saved.open()
+    assert index.n == 3 and round(index.avgdl * 3) == 6 and index.counts(["and", "w1", "w4"]) == {"and": 2, "w1": 0, "w4": 1}
