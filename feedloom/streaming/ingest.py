@@ -14,14 +14,14 @@ POLL_LOG = "poll_id bigint, feed_id bigint, polled_at timestamp, status string,
 
 def ingest_batch(fetches: DataFrame, items: Table, verdicts: DataFrame, polls: Table, stream: str, batch_id: int, **limits) -> None:
     """One micro-batch: read the responses, insert what is new, log the polls. A repeated batch writes its rows again in
-    their own place. Stored keys are read for the batch's feeds only, and what the batch stored meanwhile goes."""
+    their own place. Stored keys are read for the batch's feeds only, and what the batch stored meanwhile goes. Bodies are read from
+    where they landed and entries from their parsed responses, so neither is written once more."""
     batch = f"{stream}-{batch_id}"
     with scratch(fetches.sparkSession):
-        fetches = stored(fetches)
         outcomes, entries = read_responses(fetches, **limits)
-        entries = stored(entries)
-        when = fetches.select("fetch_id", "fetched_at")
-        known = items.of_keys(entries.select("feed_id"), without=batch)
+        when = stored(fetches.select("fetch_id", "feed_id", "fetched_at"))
+        known = items.of_keys(when.select("feed_id"), without=batch)
+        when = when.drop("feed_id")
         fresh = stored(ingest.new_items(entries, known, verdicts, ["feed_id", "fetch_id"], bounded=True))
         rows = ingest.with_ids(fresh, items.read(without=batch)).join(when, "fetch_id").withColumns({
             "is_read": F.lit(0), "is_starred": F.lit(0), "read_at": F.lit(None).cast("timestamp")})
