@@ -207,3 +207,32 @@ def test_batches_leave_no_scratch(spark, tmp_path):
         ingest.ingest_batch(spark.createDataFrame([response(k, 1, rss(f"g{k}", "same"))], FETCHES), items, verdicts, polls, "s", k)
     assert session._STORED == before
     assert sorted(r.guid for r in items.read().collect()) == ["g0", "g1", "g2", "same"] and polls.read().count() == 3
+
+
+def test_ingest_writes_no_body_again(spark, tmp_path, monkeypatch):
+    """A batch's bodies stay where they landed."""
+    kept = []
+    monkeypatch.setattr(ingest, "stored", lambda df, *by, f=ingest.stored: kept.append(df.columns) or f(df, *by))
+    body = "<rss><channel>" + "".join(f"<item><title>t{i}</title><link>https://x.example/{i}</link></item>" for i in range(3)) + "</channel></rss>"
+    spark.createDataFrame([response(1, 1, body), response(2, 2, body)], FETCHES).write.parquet(f"{tmp_path}/in")
+    items, polls = Table(spark, f"{tmp_path}/items", ITEMS, bucket_by="feed_id"), Table(spark, f"{tmp_path}/polls", ingest.POLL_LOG)
+    verdicts = spark.createDataFrame([], "video_id string, is_short int")
+    ingest.start_ingest(stream_fetches(spark, f"{tmp_path}/in"), items, verdicts, polls, f"{tmp_path}/cp").awaitTermination()
+    assert items.read().count() == 6 and polls.read().count() == 2
+    assert kept and all("body" not in columns for columns in kept)
+
+
+def test_polls_of_the_tables_read_landed_responses(spark, monkeypatch):
+    """The feeds of a poll are read from its landed responses, and a part of the stream is a file for each core."""
+    from feedloom.plans import streams
+    from feedloom.plans.bindings import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    given = []
+    monkeypatch.setattr(streams, "poll_cycle", lambda *frames, **limits: given.extend(frames))
+    streams.polled(t)
+    assert given[0].inputFiles() and set(given[0].inputFiles()) == set(given[1].inputFiles())
+    path = streams._folder(t)
+    assert streams._land(t, path, 3) == spark.sparkContext.defaultParallelism
+    landed = spark.read.parquet(path)
+    assert 3 < len(landed.inputFiles()) <= 3 * spark.sparkContext.defaultParallelism and landed.count() == given[0].count()
